@@ -1,0 +1,300 @@
+"""The document operators against brute force over a small table with odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from scriptorium.llm import langid, license_scan, media, mixing, packing, secret_scan, simhash, suffix_dedup
+
+BASE = [
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def by_text(rows, found, fields):
+    """Result rows as a multiset of (doc_id, fields)."""
+    return Counter((r["doc_id"], *(r[f] for f in fields)) for r in found)
+
+
+def test_secrets(rows, docs):
+    want = Counter()
+    for doc, text, *_ in rows:
+        spans = sorted((m.start(), i, f"{kind}:{m.start()}:{m.end()}") for i, (kind, rx, ok) in enumerate(BASE) for m in rx.finditer(text or "") if ok(m))
+        n = Counter(s[1] for s in spans)
+        want[(doc, n[0], n[1], n[2], hashlib.sha256(",".join(s[2] for s in spans).encode()).hexdigest())] += 1
+    found = secret_scan.secret_report(docs).collect()
+    assert by_text(rows, found, ["n_assign", "n_access", "n_hex", "base_sha256"]) == want
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in found) > 3
+
+
+def test_secrets_by_owner(spark):
+    opaque = "Zx9" + "aB3dE5fG7hJ9kL1mN3pQ5rS7t"
+    rows = [(i, f"say {opaque} end" if i < 6 else "say Qq1" + "aB3dE5fG7hJ9kL1mN3pQ5rS7t", "en", f"s{i}", 1) for i in range(7)]
+    found = {r["doc_id"]: r for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert found[0]["spans"] == "" and found[0]["copied"] == 1 and found[0]["owners"] == 6
+    assert found[6]["spans"].startswith("opaque:4:") and found[6]["live"] == 1
+
+
+def test_redaction(docs, rows):
+    found = {(r["doc_id"], r["text"]) for r in secret_scan.redact_secrets(docs).select("doc_id", "text").collect()}
+    assert (9007, 'x [SECRET]" y [SECRET] z') in found
+    assert {(d, t) for d, t, *_ in rows if d in (9001, 9004, 9005, 0, 1)} <= found
+
+
+def naive_print(text):
+    words = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    words = re.findall(r"[^\x20\x09-\x0D]+", words)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def components(prints):
+    """prints: (doc, fingerprint) pairs to component ids by pairwise distance."""
+    distinct = sorted({p for _, p in prints})
+    root = {p: p for p in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= 2:
+                root[find(a)] = find(b)
+    least = {}
+    for d, p in prints:
+        if d is not None:
+            least[find(p)] = min(d, least.get(find(p), d))
+    return Counter((d, f"{p:016x}", least.get(find(p))) for d, p in prints)
+
+
+def test_simhash(rows, docs):
+    want = components([(d, naive_print(t)) for d, t, *_ in rows])
+    assert by_text(rows, simhash.simhash_report(docs).collect(), ["fingerprint", "component_id"]) == want
+
+
+@pytest.mark.parametrize("bucket", [0, 3, 1000])
+def test_simhash_links(spark, bucket):
+    """Dense and chained fingerprints, with all, some and no buckets over the size that is paired off."""
+    rng = random.Random(4)
+    prints = {0, 1, 3, 7, 15, 31, (1 << 64) - 1, 1 << 63}
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        prints |= {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(12)}
+    ordered = sorted(prints)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in ordered], "fp long")
+    from scriptorium.llm.components import connected_components
+
+    links = simhash.near_links(df, bucket)
+    roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    want = defaultdict(set)
+    for d, _, c in components([(i, p) for i, p in enumerate(ordered)]):
+        want[c].add(ordered[d])
+    found = defaultdict(set)
+    for p in ordered:
+        s = p - (1 << 64) if p >> 63 else p
+        found[roots.get(s, s)].add(p)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, found.values()))
+
+
+def test_targets():
+    assert mixing.fair_targets([100, 100, 100], [1, 2, 3], 300) == [50, 100, 150]
+    t = mixing.fair_targets([10, 1000, 1000], [3, 1, 1], 2010)
+    assert t == [30, 990, 990]
+    assert mixing.fair_targets([0, 5], [1, 1], 5) == [0, 5] and mixing.fair_targets([], [], 0) == []
+
+
+def test_mixing(rows, docs):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    found = mixing.mix_report(docs).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((d, size(t)) for d, t, *_ in rows)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in found)
+    source = {d: s for d, _, _, s, _ in rows}
+    names = sorted({s for s in source.values()}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(t) for _, t, _, s, _ in rows if s == n) for n in names]
+    target = dict(zip(names, mixing.fair_targets(sizes, [(1, 2, 3)[i % 3] for i in range(len(names))], sum(sizes))))
+    taken = Counter()
+    for r in found:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert r["target"] == pytest.approx(target[source[r["doc_id"]]])
+    assert sum(taken.values()) <= sum(sizes)
+    assert all(target[n] - 1 <= taken[n] <= target[n] for n in names)
+    assert sum(r["taken"] % max(1, r["size"]) > 0 for r in found) <= len(names)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
+    assert sorted(map(key, found)) == sorted(map(key, mixing.mix_report(docs.repartition(3)).collect()))
+
+
+def test_licenses(spark, docs, rows):
+    found = license_scan.scan_licenses(docs).collect()
+    assert len(found) == len(rows)
+    known = dict(license_scan.digests())
+    for r, text in [(r, t) for r in found for d, t, *_ in rows if d == r["doc_id"] and d is not None and d != 9006]:
+        assert r["text_digest"] == hashlib.sha256(license_scan.canonical_text(text or "").encode()).hexdigest()
+        assert r["license"] == known.get(r["text_digest"])
+        stated = {known[x] for line in (text or "").split("\n") if (x := hashlib.sha256(license_scan.canonical_text(line).encode()).hexdigest()) in known}
+        assert r["notices"] == ",".join(sorted(stated))
+    whole = "Copyright (c) 2020 Somebody\n" + license_scan.NOTICES["ISC"][3].replace(", ", ",\n ").replace("license", "licence").upper()
+    one = license_scan.scan_licenses(spark.createDataFrame([(1, whole), (2, "released under the mit LICENCE")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in one} == {1: "ISC", 2: "MIT"}
+
+
+def repeats(texts, length):
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        gone = gone[: len(t)]
+        runs = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
+        out.append((len(t), int(gone.sum()), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+    return out
+
+
+def test_repeats(rows, docs):
+    want = Counter((d, *r) for (d, *_), r in zip(rows, repeats([(t or "").encode() for _, t, *_ in rows], 200)))
+    found = suffix_dedup.repeat_report(docs).collect()
+    assert by_text(rows, found, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == want
+
+
+@pytest.mark.parametrize("group,chunk", [(8192, 1 << 19), (2, 1 << 19), (8192, 150)])
+def test_repeats_small(spark, group, chunk, monkeypatch):
+    """Short repeats in a small alphabet: overlaps, periods, near copies; single windows for all large groups; long texts in parts."""
+    rng = random.Random(7)
+    base = "".join(rng.choice("abc") for _ in range(400))
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 120))) for _ in range(40)] + ["a" * 90, "ab" * 60, base, base[50:300]]
+    for _ in range(25):
+        at = rng.randrange(400)
+        texts.append(base[:at] + rng.choice("abcd") + base[at + rng.randrange(2) :])
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    found = suffix_dedup.remove_repeats(df, length=20, gram=6, group=group).withColumn("sha", F.sha2("kept", 256)).collect()
+    want = repeats([t.encode() for t in texts], 20)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in found} == dict(enumerate(want))
+
+
+def test_maximal_repeats():
+    """All maximal repeats of a string with all their occurrences."""
+    text = b"abracadabra_abracadabra_cadab"
+    data = np.frombuffer(text, np.uint8).astype(np.uint16)
+    starts = np.arange(len(text))
+    order, lcp = suffix_dedup.suffix_array(data, starts, np.full(len(text), len(text)), 32)
+    assert [text[i:] for i in order] == sorted(text[i:] for i in range(len(text)))
+    left = np.where(order == 0, -1, data[np.maximum(order - 1, 0)].astype(np.int64))
+    found = {text[s[0] : s[0] + n]: sorted(s.tolist()) for n, s in suffix_dedup.maximal_repeats(order, lcp, left, 3)}
+    want = {}
+    for i in range(len(text)):
+        for j in range(i + 3, len(text) + 1):
+            at = [m.start() for m in re.finditer(f"(?={re.escape(text[i:j].decode())})", text.decode())]
+            if len(at) > 1 and len({text[k - 1] if k else -1 for k in at}) > 1 and len({text[k + j - i] if k + j - i < len(text) else -k - 2 for k in at}) > 1:
+                want[text[i:j]] = at
+    assert found == want
+
+
+def test_media(rows, docs):
+    want = Counter()
+    for doc, text, *_ in rows:
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        want[(doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))] += 1
+    found = media.media_report(docs).collect()
+    assert by_text(rows, found, ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"]) == want
+    stored = media.store_media(docs, "bmp").limit(20).collect()
+    assert all(media.decode(r["media"]).tobytes()[: r["n_bytes"]] for r in stored if r["n_bytes"])
+
+
+def test_images():
+    rng = np.random.default_rng(1)
+    for shape in [(1, 1), (7, 5), (5, 7, 3), (24, 24), (3, 9, 3)]:
+        a = rng.integers(0, 256, shape, dtype=np.uint8)
+        assert (media.decode(media.encode_pgm(a)) == a).all() and (media.decode(media.encode_bmp(a)) == a).all()
+    a = rng.integers(0, 256, (16, 18), dtype=np.uint8)
+    assert np.allclose(media.area_resize(a, 8, 9), a.reshape(8, 2, 9, 2).mean(axis=(1, 3)))
+    whole = media.area_resize(a, 5, 7)
+    assert np.isclose(whole.mean(), a.mean())
+    assert media.decode(b"P2 # c\n2 1\n9\n3 4\n").tolist() == [[3, 4]] and media.decode(b"P1\n2 2\n10\n01").tolist() == [[1, 0], [0, 1]]
+    assert media.decode(b"P4\n3 1\n\xa0").tolist() == [[1, 0, 1]]
+    with pytest.raises(ValueError):
+        media.decode(b"GIF89a")
+
+
+def test_packing(rows, docs):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.TOKENIZER)
+    want = Counter()
+    for doc, text, *_ in rows:
+        ids = np.array(slow.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        n, at = len(ids), 0
+        for piece in range(-(-n // 1024)):
+            size = (n - 1) % 1024 + 1 if piece == 0 else 1024
+            want[(doc, piece, at, size, zlib.crc32(ids[at : at + size].tobytes()))] += 1
+            at += size
+    found = packing.pack(docs).collect()
+    assert by_text(rows, found, ["piece", "start", "length", "ids_crc32"]) == want
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+    total = sum(r["length"] for r in found)
+    assert len(sequences) <= 1.02 * -(-total // 1024) + 1
+
+
+def test_patterns():
+    rng = random.Random(3)
+    for _ in range(5):
+        stock = Counter(rng.choice([rng.randint(1, 1024), rng.randint(300, 700), 1024]) for _ in range(3000))
+        used = packing.solve_configurations(dict(stock), rounds=100)
+        held = Counter()
+        for pattern, times in used:
+            assert sum(k * c for k, c in pattern.items()) <= 1024 and times > 0
+            for k, c in pattern.items():
+                held[k] += c * times
+        assert held == stock
+    assert packing.solve_configurations({}) == []
+
+
+def test_encoders_agree():
+    """The rank encoder is used only for characters on which both pre-tokenizers agree."""
+    from tokenizers import Tokenizer
+
+    slow, encode = Tokenizer.from_file(packing.TOKENIZER), packing._encoder(packing.TOKENIZER)
+    for c in [*range(1, 0x260), *range(0x2000, 0x2040), 0x20AC, 0x3000, 0x4E00, 0x1F600]:
+        text = f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} x\n {chr(c)}"
+        assert encode(text) == slow.encode(text, add_special_tokens=False).ids, hex(c)
+    for text in ["", " ", "x" * 5000, "\n" * 3000, "it's we'll 'S", "<|endoftext|> a"]:
+        assert encode(text) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_language(rows, docs):
+    found = langid.language_report(docs).collect()
+    assert len(found) == len(rows)
+    lang = {d: (t, la) for d, t, la, *_ in rows}
+    for r in found:
+        text, _ = lang[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 if r["doc_id"] is not None else True)
+        assert 0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (text is None or not any(map(str.isalpha, text)))
+    held = [(r["lang_pred"], lang[r["doc_id"]][1]) for r in found if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 9000]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_empty(empty):
+    for report in (secret_scan.secret_report, simhash.simhash_report, mixing.mix_report, license_scan.scan_licenses, suffix_dedup.repeat_report, media.media_report, packing.pack, langid.language_report, secret_scan.redact_secrets):
+        assert report(empty).collect() == []
