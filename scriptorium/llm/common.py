@@ -1,36 +1,15 @@
-"""Session helpers that the corpus operators share."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as a regular expression class body.
-SPACE = r"\x20\x09-\x0D"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    folder = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from ..shared import cut, shared_folder, table
 
+__all__ = ["SPACE", "cut", "shared_folder", "table", "word_count"]
 
-def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: ASCII white space, as a regular expression class body.
+SPACE = r"\x20\x09-\x0D"
 
 
 def word_count(text):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import connected_components
+from ..operators.graph import connected_components
 
 #: Members of a table bucket up to which a probe fetches them all; the members of larger ones are linked by their whole Hamming balls.
 BUCKET = 16

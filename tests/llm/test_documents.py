@@ -95,7 +95,7 @@ def test_simhash_links(spark, bucket):
         prints |= {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(12)}
     ordered = sorted(prints)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in ordered], "fp long")
-    from scriptorium.llm.components import connected_components
+    from scriptorium.operators.graph import connected_components
 
     links = simhash.near_links(df, bucket)
     roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
