@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, license_scan, media, mixing, packing, secret_scan, simhash, suffix_dedup, topk
+from . import html_extract, langid, license_scan, media, mixing, oracles, packing, secret_scan, simhash, suffix_dedup, topk
 from .common import table
 
 
@@ -28,4 +28,4 @@ QUERIES = {
     "op10_html_extraction": _over("pages", html_extract.extract_main_text),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_secret_scan": oracles.secrets(), "op4_topk": oracles.top_k(), "op5_license_scan": oracles.licenses()}
