@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Tables that this process has cut, for drop_cuts().
+_CUTS: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df as it is, but with long keys that the planner takes for new ones.
+
+    An aggregate that is joined on its own keys shares the join's stage, whose partitions can't be split then. With an
+    exchange between the two, a key that many rows of the other side have is dealt out by a skew join.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all tables that this process has cut: for a session that is done with its results."""
+    jvm = spark.sparkContext._jvm
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
