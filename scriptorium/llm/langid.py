@@ -98,20 +98,25 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, boo
     return out
 
 
+def _groups(texts: pa.Array, most: int = 250_000) -> Iterator[list[str | None]]:
+    """Runs of up to 64 texts of bounded length together, or one longer text."""
+    group: list[str | None] = []
+    size = 0
+    for x in texts:
+        text = x.as_py()
+        if group and (len(group) == 64 or size + len(text or "") > most):
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
+
+
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list = []
-            group: list = []
-            size = 0
-            texts = batch.column(0).to_pylist()
-            for text in texts:  # groups of bounded length
-                group.append(text)
-                size += len(text or "")
-                if len(group) == 64 or size > 1_000_000:
-                    rows += predict(model, group)
-                    group, size = [], 0
-            rows += predict(model, group)
+            rows = [r for group in _groups(batch.column(0)) for r in predict(model, group)]
             name, score, rejected = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 import zlib
 from collections import Counter
@@ -21,30 +22,40 @@ CAPACITY, END = 1024, 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters on whose classes the rank file's pattern and the tokenizer's agree (tests compare them); other texts go to the tokenizer itself.
 _COMMON = re.compile("[^\x00-ɏ‐-‧€]")
-_ENCODERS: dict[str, tuple] = {}
+_LONG_RUN = re.compile(r"[^\s]{2000}|\s{2000}")
+_TOKENIZERS: dict[str, object] = {}
+_RANKS: dict[str, object] = {}
 
 
-def _encoder(path: str):
-    """texts to lists of ids; the same ids as the tokenizers file, whose merges the rank file beside it also has."""
-    if path not in _ENCODERS:
-        import os
-
+def _tokenizer(path: str):
+    """The tokenizers file, loaded where a text needs it."""
+    if path not in _TOKENIZERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
         from tokenizers import Tokenizer
 
-        slow, ranks = Tokenizer.from_file(path), path.removesuffix(".json") + ".tiktoken"
-        fast = None
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return _TOKENIZERS[path]
+
+
+def _ranks(path: str):
+    """An encoder with the same merges from the rank file beside a tokenizers file; None if there is no such file."""
+    if path not in _RANKS:
+        ranks, _RANKS[path] = path.removesuffix(".json") + ".tiktoken", None
         if os.path.exists(ranks):
+            import tiktoken
+
             with open(ranks, "rb") as lines:
-                fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, special_tokens={})
-        _ENCODERS[path] = (slow, fast)
-    slow, fast = _ENCODERS[path]
+                _RANKS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, special_tokens={})
+    return _RANKS[path]
+
+
+def _encoder(path: str):
+    """texts to lists of ids, those of the tokenizers file."""
 
     def encode(text: str) -> list[int]:
         # a run of more than a few thousand letters would take the rank encoder quadratic time
-        if fast is None or "<|endoftext|>" in text or _COMMON.search(text) or re.search(r"[^\s]{2000}|\s{2000}", text):
-            return slow.encode(text, add_special_tokens=False).ids
+        if "<|endoftext|>" in text or _COMMON.search(text) or _LONG_RUN.search(text) or (fast := _ranks(path)) is None:
+            return _tokenizer(path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode

@@ -81,7 +81,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     some = rows.where(F.size("found") > 0).select("_rid", "_key", "_owner", "_repo", F.explode("found").alias("c"))
     some = some.withColumn("_hash", F.sha2(F.col("c.value"), 256))
     who = some.select("_hash", F.struct("_owner", "_repo").alias("r"), F.struct("_owner").alias("o")).distinct()
-    freq = who.groupBy("_hash").agg(F.count_distinct("r").alias("_repos"), F.count_distinct("o").alias("_owners"))
+    freq = cut(who.groupBy("_hash").agg(F.count_distinct("r").alias("_repos"), F.count_distinct("o").alias("_owners")))
     judged = some.join(freq, "_hash").withColumn("_live", F.col("_owners") <= copied_owners)
     per_row = judged.groupBy("_rid").agg(
         F.first("_key").alias("_key"),

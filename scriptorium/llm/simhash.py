@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 from ..operators.graph import connected_components
 
 #: Members of a table bucket up to which a probe fetches them all; the members of larger ones are linked by their whole Hamming balls.
@@ -70,14 +70,14 @@ def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keyed = lambda i: F.transform(ball(seg(i)), lambda k: F.struct(F.lit(i).alias("s"), k.alias("k")))
     probe = F.explode(F.concat(keyed(0), keyed(1))).alias("e")
     probes = prints.select(F.col("fp").alias("a"), probe).select("a", "e.s", "e.k")
-    large = table.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("s", "k")
+    large = cut(table.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("s", "k"))
     small = table.join(large, ["s", "k"], "left_anti")
     differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     pairs = probes.join(small, ["s", "k"]).where((F.col("a") != F.col("fp")) & (differ("a", "fp") <= 2)).select("a", F.col("fp").alias("b"))
     whole = probes.join(large, ["s", "k"], "left_semi").select("a").distinct()  # members probe their own bucket
     flips = F.explode(F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda b: F.when(b < 0, F.col("a")).otherwise(F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))).alias("point")
     points = whole.select("a", flips)
-    centre = points.groupBy("point").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b < top").select("point", "b")
+    centre = apart(points.groupBy("point").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b < top").select("point", "b"), "point")
     stars = points.join(centre, "point").where(F.col("a") != F.col("b")).select("a", "b")
     return pairs.unionByName(stars)
 
@@ -91,8 +91,8 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     doc_id and text are ignored.
     """
     rows = cut(fingerprints(docs))
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_links(cut(prints.select("fp")), bucket)
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links = near_links(prints.select("fp"), bucket)
     roots = connected_components(links).withColumnsRenamed({"node": "fp"})
     known = prints.join(roots, "fp", "left")
     named = known.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))

@@ -298,3 +298,10 @@ def test_language(rows, docs):
 def test_empty(empty):
     for report in (secret_scan.secret_report, simhash.simhash_report, mixing.mix_report, license_scan.scan_licenses, suffix_dedup.repeat_report, media.media_report, packing.pack, langid.language_report, secret_scan.redact_secrets):
         assert report(empty).collect() == []
+
+
+def test_mix_order(docs):
+    """The mix in order: copies by finish time, in ranges over the partitions."""
+    ordered = mixing.mix_order(mixing.mix_sources(docs)).select("finish").collect()
+    times = [r["finish"] for r in ordered]
+    assert times == sorted(times) and len(times) > 50 and times[-1] < 1.6
