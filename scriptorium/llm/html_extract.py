@@ -18,20 +18,27 @@ _RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "obj
 _SOURCE = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "math", "canvas", "select", "object", "audio", "video", "datalist"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label", "input"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that leave no gap in the text around them.
+_UNSEEN = {"script", "style", "template", "noscript"}
 #: Elements that stand for a part of a page other than its article.
 _ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "address"}
 _ASIDE_WORD = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|promo\w*|sponsor\w*|banner|nav\w*|menu\w*|sidebar|side|footer|foot|header|masthead|breadcrumbs?|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|discussion|disqus|widget|login|signup|search|pagination|pager|toolbar|copyright|legal|gdpr|alert|skip\w*|teaser|tags?|byline-links)(?:$|[-_\s])", re.I)
+#: Of these, only those that stand for a part beside the article even where an article element has them, and those that within an article name a part of it.
+_ASIDE_ARTICLE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|promo\w*|sponsor\w*|comments?|replies|reply|related|recommend\w*|teaser|widget|sidebar)(?:$|[-_\s])", re.I)
+_OWN_PART = re.compile(r"(?:^|[-_\s])(?:header|head|masthead|byline-links|side)(?:$|[-_\s])", re.I)
+#: Class names that say what a page has rather than what an element is.
+_HAS = ("has-", "with-", "no-", "without-", "show-", "hide-", "is-")
 _ASIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "note"}
 _MAIN_WORD = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body|text)(?:$|[-_\s])", re.I)
 _SPACE = re.compile(r"\s+")
 
 #: Names of a block's features, in order.
-FEATURES = ("zone", "words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "has_article")
+FEATURES = ("beside", "article", "named", "words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "has_article")
 
 
-def _zone(name: str, attrs: str) -> int:
-    """-1 for a part beside the article, 1 for the article, 0 for neither."""
-    zone = -1 if name in _ASIDE else 1 if name in ("article", "main") else 0
+def _zone(name: str, attrs: str, within: bool = False) -> int:
+    """-1 for a part beside the article, 1 for the article, 2 for an element named like one, 0 for none of these. within: in an article."""
+    zone = -1 if name in _ASIDE and not (within and name == "header") else 1 if name in ("article", "main") else 0
     if attrs and name not in ("body", "html"):
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
@@ -40,7 +47,14 @@ def _zone(name: str, attrs: str) -> int:
             if key == "role":
                 zone = -1 if value in _ASIDE_ROLE else 1 if value in ("main", "article") else zone
             elif key in ("class", "id"):
-                if _ASIDE_WORD.search(value) and not (zone == 1 and name in ("article", "main")):
+                names = " ".join(x for x in value.split() if not x.lower().startswith(_HAS))
+                if name == "article":
+                    names = " ".join(_ASIDE_ARTICLE.findall(names)) and "comment"
+                elif name == "main":
+                    names = ""
+                elif within:
+                    names = _OWN_PART.sub(" ", names)
+                if names and _ASIDE_WORD.search(names):
                     return -1
                 if _MAIN_WORD.search(value) and zone == 0:
                     zone = 2
@@ -92,7 +106,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                 parts.append(m[0][9:].removesuffix("]]>"))
             continue
         name = name.lower()
-        if name not in _INLINE:
+        if name not in _INLINE and name not in _UNSEEN:
             end_block()
         if m[1]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
@@ -103,8 +117,6 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             continue
         if name in _SOURCE and not m[0].endswith("/>"):  # its content is skipped up to its end tag
             gone = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            if name not in _INLINE:
-                end_block()
             pos = gone.end() if gone else size
             continue
         if name not in _INLINE:  # a new block ends what an open paragraph or a list item left open
@@ -116,7 +128,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                     break
         if m[0].endswith("/>"):
             continue
-        zone = {-1: 3}.get(z := (-1 if name in _RAW else _zone(name, m[3])), z)
+        zone = {-1: 3}.get(z := (-1 if name in _RAW else _zone(name, m[3], zones[1] > 0)), z)
         stack.append((name, zone))
         zones[zone] += bool(zone)
         links += name == "a"
@@ -131,10 +143,10 @@ def features(found: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
     link = np.array([0, *(b[2] / b[1] for b in found), 0], float)
     zone = np.array([b[3] for b in found], float)
     n = len(found)
-    return np.column_stack([zone, words[1:-1], link[1:-1], words[:-2], link[:-2], words[2:], link[2:], np.array([b[4] for b in found], float), np.full(n, float((zone == 1).any()))]) if n else np.zeros((0, len(FEATURES)))
+    return np.column_stack([zone == -1, zone == 1, zone == 2, words[1:-1], link[1:-1], words[:-2], link[:-2], words[2:], link[2:], np.array([b[4] for b in found], float), np.full(n, float((zone == 1).any()))]) if n else np.zeros((0, len(FEATURES)))
 
 
-#: A small labelled table: FEATURES and 1 for main text. Blocks as they stand in pages of several kinds.
+#: A small labelled table: zone, the FEATURES after the first three, and 1 for main text. Blocks as they stand in pages of several kinds.
 LABELLED = [
     # an article element: its blocks of any length are main text
     (1, 9, 0, 1, 1, 24, 0, 1, 1, 1), (1, 24, 0, 9, 0, 30, 0, 0, 1, 1), (1, 1, 0, 30, 0, 12, 0, 0, 1, 1), (1, 60, 0.05, 1, 0, 8, 0, 0, 1, 1),
@@ -159,8 +171,20 @@ LABELLED = [
 ]
 
 
-def train_tree(table: list[tuple], depth: int = 8) -> tuple:
-    """A binary tree of least Gini impurity: (feature, threshold, low, high) or the share of main text in a leaf."""
+def labelled_rows(table: list[tuple]) -> list[tuple]:
+    """Training rows of the labelled table, with zones as FEATURES has them.
+
+    Where a block stands outweighs its words, so each row's words and links are also seen in an article, beside one,
+    and loose in a page that has one.
+    """
+    rows = [*table]
+    for _, *rest, _, _ in table:
+        rows += [(1, *rest, 1, 1), (-1, *rest, 1, 0), (-1, *rest, 0, 0), (0, *rest, 1, 0), (2, *rest, 1, 0)]
+    return [(float(z == -1), float(z == 1), float(z == 2), *rest) for z, *rest in rows]
+
+
+def train_tree(table: list[tuple], depth: int = 8) -> tuple | float:
+    """A binary tree of least Gini impurity over labelled_rows(): (feature, threshold, low, high) or the share of main text in a leaf."""
     data = np.array(table, float)
     x, y = data[:, :-1], data[:, -1]
     if depth == 0 or len(set(y)) == 1:
@@ -198,7 +222,7 @@ def extract_main_text(pages: DataFrame, labelled: list[tuple] = LABELLED) -> Dat
     Broken markup is read as far as it goes. Rows that repeat are extracted each; an empty table gives no rows;
     other columns are ignored.
     """
-    tree = train_tree(labelled)
+    tree = train_tree(labelled_rows(labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

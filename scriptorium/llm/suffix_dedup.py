@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 
 #: Bytes of the shortest repeat that is removed, and of the k-grams whose hashes choose anchors.
 LENGTH, GRAM = 200, 32
@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("dk"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = rows.select("doc_id", "dk", "h", "text")
     spans = cut(rows.select("dk", "h", "text").mapInArrow(_anchor_batches(length, gram), "dk long, h long, first long, more int, gram long, span long"))
-    again = spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    again = apart(spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram")
     spans = cut(spans.join(again, "gram", "left_semi"))
     kinds = spans.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("dk", "h", "first", "more")).alias("one"))
     kinds = cut(kinds.select("gram", "span", "n", "one.*"))

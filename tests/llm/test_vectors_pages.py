@@ -44,18 +44,38 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{margin:0}<
 
 
 def test_main_text():
-    tree = html_extract.train_tree(html_extract.LABELLED)
+    tree = html_extract.train_tree(html_extract.labelled_rows(html_extract.LABELLED))
     assert html_extract.main_text(PAGE, tree) == "A title <here> First part of it. Short. Café éA end &am"
-    assert all(html_extract.classify(tree, r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED)
+    assert all(html_extract.classify(tree, r[:-1]) == bool(r[-1]) for r in html_extract.labelled_rows(html_extract.LABELLED))
     loose = "<div><a href=x>Home</a></div><h1>Head line of it</h1><p>" + "many words stand in here " * 8 + "</p><p>" + "and some more of them " * 9 + "</p><div><a href=x>a b</a> <a href=y>c d</a></div>"
     text = html_extract.main_text(loose, tree)
     assert text.startswith("many words") or text.startswith("Head line")
     assert "Home" not in text and "c d" not in text
 
 
+def test_tree_follows_zones():
+    """Whatever the words: an article's blocks are main text, blocks beside it never are, nor loose ones of a page with an article."""
+    tree = html_extract.train_tree(html_extract.labelled_rows(html_extract.LABELLED))
+    rng = random.Random(3)
+    for _ in range(3000):
+        rest = [rng.randint(1, 200), rng.random(), rng.randint(0, 200), rng.random(), rng.randint(0, 200), rng.random(), rng.randint(0, 1)]
+        assert html_extract.classify(tree, [0, 1, 0, *rest, 1]) and not html_extract.classify(tree, [1, 0, 0, *rest, rng.randint(0, 1)])
+        assert not html_extract.classify(tree, [0, 0, rng.randint(0, 1), *rest, 1])
+
+
+def test_parts_of_pages():
+    tree = html_extract.train_tree(html_extract.labelled_rows(html_extract.LABELLED))
+    text = lambda page: html_extract.main_text(page, tree)
+    own = "<article class='post has-sidebar'><header class='entry-header'><h1>Title here</h1></header><p>Yes.</p><div class='related-posts'>Other</div><aside>Side</aside><form>Mail <input></form><footer>Tags</footer></article>"
+    assert text(f"<body class='no-sidebar'><header>Site</header><div id='page' class='with-sidebar'>{own}<article class='comment'><p>I say a lot of words here as a reader of it.</p></article></div></body>") == "Title here Yes."
+    assert text("<main class='layout-sidebar'><p>One word.</p><div role='alert'>Notice of it</div><div class='cookie-consent'>We use cookies</div><div style='display: none'>gone</div><p>Two <a href=x>linked</a> ones.</p></main>") == "One word. Two linked ones."
+    assert text("<div class='content'><p>" + "long text of this " * 9 + "</p><ul class='menu'><li><a href=a>A</a></ul></div><div id='comments'><p>" + "reader text of this " * 9 + "</p></div>") == ("long text of this " * 9).strip()
+    assert text("<article><p>a<script>x</script>b<style>y</style><noscript>z</noscript><!-- c --> d<svg><text>e</text></svg></p><ul><li>f<li>g</ul><table><tr><td>h<td>i</table><textarea>j</textarea></article>") == "ab d f g h i"
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<!-- x", "<script>", "<a href='", "</p></b>", "<p>" * 3000, "\ud800"])
 def test_broken(page):
-    html_extract.main_text(page, html_extract.train_tree(html_extract.LABELLED))
+    html_extract.main_text(page, html_extract.train_tree(html_extract.labelled_rows(html_extract.LABELLED)))
 
 
 def test_pages(spark, sf):
