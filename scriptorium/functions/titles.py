@@ -95,3 +95,80 @@ def pick_title(left: Column, right: Column) -> Column:
     """The better of two titles after cleaning, the right one of equals."""
     a, b = blank(clean_title(left)), blank(clean_title(right))
     return F.when(a.isNull() | b.isNull(), F.coalesce(b, a)).when(title_quality(b) >= title_quality(a), b).otherwise(a)
+
+
+# Rewrites of a title from discovery evidence, in order, and openings that no title has.
+EVIDENCE_REWRITES = [
+    ("^[\"'`“”‘’]+|[\"'`“”‘’]+$", ""), (r"(?i)\s*[-|]\s*GitHub$", ""), (r"(?i)\s*·\s*GitHub$", ""), (r"\s*##.*$", ""), (r"(?i)\s*\bbibtex\b.*$", ""),
+    (r"(?i)\s*\((?:accepted|to appear|main conference|findings)[^)]+\)\s*$", ""), (r"\s*[·|].*$", ""),
+]
+EVIDENCE_BAD_START = r"(?i)^(?:github|gitlab|arxiv|readme|yaml|json|python|pytorch)\b"
+# Words that describe a page rather than its paper.
+DESCRIPTORS = [
+    (r"^[\])\"'‘’“”`]+", ""), (r"(?i)^(?:official\s+)?(?:code|repository|repo|implementation|project page|paper|benchmark release)\s+(?:for|of)?\s*", ""), (r"(?i)^this is the repo of\s+", ""),
+    (r"(?i)^the project page of\s+", ""), (r"(?i)^of\s*:\s*", ""), (r"(?i)^accepted (?:to|by)\s+", ""),
+]
+QUOTED = [r"(?i)paper\s+[\"“”'‘’`]([^\"“”'‘’`]{8,220})[\"“”'‘’`]", r"(?i)[\"“”'‘’`]([^\"“”'‘’`]{8,220}:[^\"“”'‘’`]{8,220})[\"“”'‘’`]"]
+# Where a view finds a title, and what it strips from one.
+VIEW_PATTERNS = [
+    r"(?i)(?:accepted paper\s*:\s*|implementation of (?:Google'?s|Google)\s+)([A-Z][A-Za-z0-9+_.-]{2,100}(?::\s*[^.\n]{6,220})?)",
+    r"\b([A-Z][A-Za-z0-9+_.-]{1,60}\s*\([^)]{6,180}\))", r"\b([A-Z][A-Za-z0-9+_.-]{1,60}:\s*[^.\n]{8,220})",
+]
+VIEW_REWRITES = [
+    (r"(?i)^GitHub\s+-\s+[^:]+:\s*", ""), (rf"(?i)^\[?{_V}\s*2026\]?\s*", ""), (rf"(?i)^{_V}\s*2026\s+accepted paper\s*:\s*", ""), (rf"(?i)^code of\s+{_V}\s*2026\s+accepted paper\s*:\s*", ""),
+    (r"(?i)^(?:the\s+)?(?:official\s+)?(?:code|repository|repo|implementation)\s+(?:for|of)?\s*", ""), (r"(?i)^this is the official implementation for\s*", ""), (r"(?i)^this is the code repository for our paper\s*:?\s*", ""),
+    (r"(?i)^[A-Za-z0-9_-]+:\s*This is the official PyTorch implementation of\s*", ""), (r"\s*##.*$", ""),
+    (r"(?i)\s+(?:This is the code repository|This is the official implementation|If you find our work useful|Please consider giving us|Abstract|As large language models|Accepted by|Accepted to)\b.*$", ""),
+    (r"(?i)\s+(?:we introduce|we propose|we present|we release)\b.*$", ""), (rf"(?i)\s+\b{_V}\s*2026\b.*$", ""), (r"(?i)(?:;\s*)?waiting for Zhipu enrichment\.?$", ""), (r"\|.*$", ""),
+]
+REPAIR_PATTERNS = [r"(?i)title=\{([^}]{8,220})\}", r"(?i)accepted paper\s*:\s*([^\n]{8,220})", r"(?i)implementation of\s+\"([^\"\n]{8,220})\"", r"(?i)implementation of\s+([A-Z][^.\n]{8,220})", r"([A-Z][A-Za-z0-9+_.-]{1,48}:\s*[^#\n]{8,220})"]
+
+
+def _rewrite(value: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, to in rules:
+        value = F.regexp_replace(value, rx(pattern), to)
+    return squeeze(value)
+
+
+def clean_evidence_title(value: Column) -> Column:
+    """A discovery-side title after its rewrites; null if what is left is no title."""
+    out = _rewrite(squeeze(F.coalesce(value, F.lit(""))), EVIDENCE_REWRITES)
+    bad = ~F.length(out).between(8, 220) | out.rlike(r"(?i)go to file|repository files navigation|github topics|https?://") | out.rlike(rx(TITLE_BAD_START)) | out.rlike(rx(EVIDENCE_BAD_START)) | ~out.rlike("[a-zA-Z]")
+    return F.when(~bad, out)
+
+
+def title_from_evidence(sources: Column, venue: Column, repository_name: Column) -> Column:
+    """The first title of an evidence row: quoted in any of its texts, else after a venue and year, else a text without these, else the repository's name."""
+    first = lambda make: F.get(F.filter(F.transform(sources, make), lambda x: x.isNotNull()), 0)
+    quoted = first(lambda s: F.coalesce(*[clean_evidence_title(F.regexp_extract(s, p, 1)) for p in QUOTED]))
+    head = F.concat(F.lit(r"(?i)\[?"), venue, F.lit(r"[-\s']*(?:2026|26)(?:\s+Main(?:\s+Conference)?)?\]?"))
+    after = lambda s: F.call_function("regexp_extract", s, F.concat(head, F.lit(r"\s*[:-]?\s*(?!\(?\s*(?:accepted|main|conference|findings|poster|oral)\b)([^·|\n]{8,220})")), F.lit(1))
+    anchored = first(lambda s: clean_evidence_title(_rewrite(after(s), DESCRIPTORS)))
+    words = r"(?i)\b(?:official|code|repository|repo|implementation|project page|paper|accepted|accepted by|accepted to|for)\b"
+    bare = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?i)^GitHub\s+-\s+[^:]+:\s*", ""), head, F.lit("")), rx(words), " "), "[·|].*$", "")
+    return F.coalesce(quoted, anchored, first(lambda s: clean_evidence_title(bare(s))), clean_evidence_title(F.regexp_replace(repository_name, "[-_]+", " ")))
+
+
+def view_title(value: Column) -> Column:
+    """A title as a view shows it; empty if it shows none."""
+    raw = F.trim(F.coalesce(value, F.lit("")))
+    found = F.coalesce(*[blank(F.trim(F.regexp_extract(raw, rx(p), 1))) for p in VIEW_PATTERNS], raw)
+    out = _rewrite(found, VIEW_REWRITES)
+    bad = ~F.length(out).between(4, 220) | out.rlike(r"(?i)^(?:GitHub|This is|Discovery evidence found|从项目页|该项目明确|没有提供)") | out.rlike(r"(?i)waiting for Zhipu enrichment|repository files navigation|go to file|table of contents")
+    bad = bad | ~out.rlike(r"[A-Za-z]|[\x{4e00}-\x{9fff}]") | ((F.length(out) < 12) & ~out.rlike(r"^[A-Z][A-Za-z0-9+_.-]{2,40}$"))
+    return F.when(bad, "").otherwise(out)
+
+
+def repair_title(evidence_texts: Column, title: Column) -> Column:
+    """The first clean title in an entry's evidence texts, else in its own title; null if there is none."""
+    found = lambda s: F.coalesce(*[blank(clean_title(F.regexp_extract(s, p, 1))) for p in REPAIR_PATTERNS])
+    every = F.filter(F.transform(F.concat(evidence_texts, F.array(title)), lambda s: F.when(~F.coalesce(s, F.lit("")).rlike(f"(?i){WAITING}"), found(squeeze(F.coalesce(s, F.lit("")))))), lambda x: x.isNotNull())
+    return F.get(every, 0)
+
+
+def clean_narrative(value: Column, raw_title: Column, title: Column, venue: Column) -> Column:
+    """A summary or reason with the raw title replaced by the clean one; a fixed sentence where its shape is that of no narrative."""
+    text = blank(F.trim(value))
+    fallback = F.when(title != "", F.concat(F.lit("Discovery evidence found an explicit "), F.coalesce(blank(venue), F.lit("a 2026 top venue")), F.lit(" paper signal for "), title, F.lit("; waiting for Zhipu enrichment.")))
+    changed = F.when((title != "") & (raw_title != "") & (title != raw_title) & F.contains(text, raw_title), F.replace(text, raw_title, title)).otherwise(text)
+    return F.when(text.isNull(), None).when(is_dirty_title(changed), fallback).otherwise(changed)

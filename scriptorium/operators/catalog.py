@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.display import status_rank
-from ..functions.text import blank, contained, normalize_keywords, normalize_text, slugify, stable_id, unique_strings
+from ..functions.text import blank, clean_list, contained, content_value, normalize_keywords, normalize_text, parse_authors, slugify, split_keywords, stable_id, unique_strings
 from ..functions.venues import venue_short, venue_year_key
 from ..values import CATEGORY_HINTS, DEFAULT_CATEGORY, FOCUS_HINTS, INTRO_KEYS, RELEVANT_TERMS, UNCLASSIFIED
 
@@ -202,3 +202,32 @@ def validate(records: DataFrame, categories: list[str] = [*CATEGORY_HINTS], requ
     wrong = F.transform(F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda c: ~F.array_contains(known, c)), lambda c: F.concat(F.lit("invalid category "), c))
     rows = records.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("title")))
     return rows.select("id", "title", F.explode(F.concat(F.filter(F.array(*tests), lambda x: x.isNotNull()), wrong)).alias("problem"))
+
+
+def from_notes(notes: DataFrame) -> DataFrame:
+    """Catalogue candidates of review-site notes (forum, content as JSON): fields are values or hold one, the year stands in the venue."""
+    at = lambda k: F.trim(F.coalesce(content_value(F.col("content"), k), F.lit("")))
+    listed = F.from_json(content_value(F.col("content"), "keywords"), "array<string>")
+    words = F.coalesce(clean_list(listed), split_keywords(at("keywords")))
+    names = F.from_json(content_value(F.col("content"), "authors"), "array<string>")
+    authors = F.when(F.size(F.coalesce(names, F.array().cast("array<string>"))) > 0, clean_list(names)).otherwise(parse_authors(at("_bibtex"), at("authors")))
+    rows = notes.select("forum", at("title").alias("title"), at("venue").alias("venue"), at("abstract").alias("abstract"), F.coalesce(blank(at("TLDR")), at("tldr")).alias("tldr"), words.alias("keywords"), at("primary_area").alias("track"), at("pdf").alias("pdf"), authors.alias("authors"))
+    rows = rows.withColumn("_c", classify(F.concat_ws(" ", "title", "abstract", "tldr", F.array_join("keywords", " "), "track")))
+    categories = F.when(F.size("_c.categories") > 0, F.col("_c.categories")).otherwise(F.array(F.col("_c.primary")))
+    return rows.select(
+        F.coalesce(blank(slugify(F.col("title"), "")), F.col("forum")).alias("id"), "title", "venue", F.coalesce(blank(F.regexp_extract("venue", r"(?<![0-9A-Za-z_])(20[0-9]{2})(?![0-9A-Za-z_])", 1)).cast("int"), F.lit(2026)).alias("year"), "authors", "keywords", "track", "tldr", "abstract",
+        F.concat(F.lit("https://openreview.net/forum?id="), "forum").alias("openreviewUrl"), F.when(F.col("pdf") != "", F.when(F.col("pdf").startswith("/"), F.concat(F.lit("https://openreview.net"), "pdf")).otherwise(F.col("pdf"))).alias("pdfUrl"),
+        F.col("_c.primary").alias("primaryCategory"), categories.alias("categories"), (F.col("_c.focus_score") + F.size("_c.categories")).alias("relevanceScore"),
+    )
+
+
+def with_generated(candidates: DataFrame, generated: DataFrame, categories: list[str] = [*CATEGORY_HINTS]) -> DataFrame:  # noqa: B006
+    """Candidates with generated guides (id, primaryCategory, categories, keywords, hook): known categories only, the primary one first; at most 12 keywords, generated ones first."""
+    g = generated.select("id", F.col("primaryCategory").alias("_p"), F.col("categories").alias("_c"), F.col("keywords").alias("_k"), "hook")
+    rows = candidates.join(g, "id")
+    known = F.array(*[F.lit(c) for c in categories])
+    none = F.array().cast("array<string>")
+    primary = F.when(F.array_contains(known, F.coalesce("_p", F.lit(""))), F.col("_p")).otherwise(F.col("primaryCategory"))
+    listed = F.array_distinct(F.filter(F.concat(F.array(primary), F.coalesce("_c", "categories", none)), lambda c: F.array_contains(known, c)))
+    new = {"primaryCategory": primary, "categories": F.when(F.size(listed) > 0, listed).otherwise(F.array(primary)), "keywords": F.slice(unique_strings(F.concat(F.coalesce("_k", none), F.coalesce("keywords", none))), 1, 12)}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in candidates.columns], "hook")

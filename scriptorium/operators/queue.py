@@ -311,3 +311,30 @@ def provisional_batches(entries: DataFrame, size: int, most: int) -> Iterator[Da
     numbered = head.withColumn("_b", F.floor((F.row_number().over(Window.orderBy(*queue_order())) - 1) / size))
     for b in range(most):
         yield numbered.where(F.col("_b") == b).drop("_b")
+
+
+def strong_candidates(evidence: DataFrame, limit: int) -> DataFrame:
+    """Queue candidates from evidence (pos, url, platform, title, snippet, readerTitle, readerExcerpt, score, priority) that names an accepted paper.
+
+    The venue must stand in the texts with a year and a word of acceptance, of no other track, at a source that counts;
+    the best row of each title stays, up to limit by priority. Confidence is score / 36 within 0.78 and 0.96.
+    """
+    from ..functions.titles import title_from_evidence
+    from ..functions.venues import is_strong_source, other_track, platform_of, repository, venue_in_evidence
+
+    body = F.concat_ws(" ", blank(F.col("title")), blank(F.col("readerTitle")), blank(F.col("snippet")), blank(F.col("readerExcerpt")))
+    rows = evidence.withColumn("_body", body).withColumn("acceptedVenue", venue_in_evidence(F.col("_body"))).where(F.col("acceptedVenue").isNotNull() & ~other_track(F.col("_body")) & is_strong_source(F.col("url")))
+    sources = F.filter(F.array(*[blank(F.col(c)) for c in ("readerTitle", "title", "snippet", "readerExcerpt")]), lambda x: x.isNotNull())
+    title = title_from_evidence(sources, F.get(F.split("acceptedVenue", " "), 0), repository(F.col("url"))["name"])
+    # a generator, so that the long expression is evaluated once and not again in each test of it
+    rows = rows.select("*", F.explode(F.filter(F.array(title), lambda t: t.isNotNull() & ~is_broken_title(t))).alias("_t")).withColumn("_k", normalize_text(F.col("_t"))).where("_k <> ''")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("priority"), "pos"))).where("_n = 1")
+    return first.orderBy(F.desc("priority"), "pos").limit(limit).select(
+        stable_id(F.col("_t")).alias("id"), F.col("_t").alias("title"), F.lit("accepted").alias("status"), F.least(F.greatest(F.coalesce("score", F.lit(12)) / 36.0, F.lit(0.78)), F.lit(0.96)).alias("confidence"),
+        "acceptedVenue", F.lit(2026).alias("acceptedYear"), F.col("url").alias("primaryUrl"), F.coalesce(blank(F.col("platform")), platform_of(F.col("url"))).alias("platform"),
+    )
+
+
+def toggled(selection: set[str], value: str) -> set[str]:
+    """A selection with a value put in or taken out."""
+    return selection ^ {value}

@@ -362,3 +362,52 @@ def _(t):
     return papers(t).select("id", catalog.is_relevant_title(col("title"), ["tion", "sch", "ment"], ["the of", "que la"]).alias("relevant"))
 
 
+
+
+def _rewritten(x: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, to in rules:
+        x = sub(x, pattern, to)
+    return squeeze(x)
+
+
+_SHOWN = f"""list_transform([{_rewritten('coalesce(' + ', '.join(f"nullif(trim(regexp_extract(trim(v), {re2(p)}, 1)), '')" for p in titles.VIEW_PATTERNS) + ', trim(v))', titles.VIEW_REWRITES)}], lambda y: CASE WHEN length(y) NOT BETWEEN 4 AND 220 OR regexp_matches(y, '(?i)^(?:GitHub|This is|Discovery evidence found|从项目页|该项目明确|没有提供)')
+  OR regexp_matches(y, '(?i)waiting for Zhipu enrichment|repository files navigation|go to file|table of contents') OR NOT regexp_matches(y, '[A-Za-z]|[\\x{{4e00}}-\\x{{9fff}}]') OR (length(y) < 12 AND NOT regexp_matches(y, '^[A-Z][A-Za-z0-9+_.-]{{2,40}}$')) THEN '' ELSE y END)[1]"""
+
+
+@query("view_title", f"WITH {_E} SELECT id, {_SHOWN} AS title FROM e")
+def _(t):
+    return _evidence(t).select("id", titles.view_title(col("v")).alias("title"))
+
+
+@query("narrative_clean", f"""WITH {PAPERS}, n AS (SELECT id, 'About ' || left(title, 40) || ' now' AS s, left(title, 40) AS raw, CASE WHEN id % 2 = 0 THEN 'Clean ' || id ELSE left(title, 40) END AS clean, CASE WHEN id % 3 = 0 THEN '' ELSE 'ACL 2026' END AS venue FROM papers),
+  c AS (SELECT *, CASE WHEN clean <> raw AND raw <> '' AND clean <> '' THEN replace(trim(s), raw, clean) ELSE trim(s) END AS x FROM n) SELECT id, CASE WHEN {_dirty('x')} THEN 'Discovery evidence found an explicit ' || coalesce(nullif(venue, ''), 'a 2026 top venue') || ' paper signal for ' || clean || '; waiting for Zhipu enrichment.' ELSE x END AS text FROM c WHERE clean <> ''""")
+def _(t):
+    rows = papers(t).select("id", F.left("title", lit(40)).alias("raw"), F.when(col("id") % 2 == 0, F.concat(lit("Clean "), "id")).otherwise(F.left("title", lit(40))).alias("clean"), F.when(col("id") % 3 == 0, "").otherwise("ACL 2026").alias("venue"))
+    return rows.where("clean <> ''").select("id", titles.clean_narrative(F.concat(lit("About "), "raw", lit(" now")), col("raw"), col("clean"), col("venue")).alias("text"))
+
+
+@query("generated_guides", f"""WITH {PAPERS} SELECT id, CASE WHEN id % 2 = 0 THEN 'reasoning' ELSE 'audio-speech' END AS "primaryCategory", CASE WHEN id % 2 = 0 THEN 'reasoning,rag-knowledge' ELSE 'audio-speech,rag-knowledge' END AS categories, 'g,' || lang AS keywords, 'h' || id AS hook FROM papers WHERE id % 3 = 0""")
+def _(t):
+    p = papers(t)
+    made = p.where("id % 3 = 0").select("id", F.when(col("id") % 2 == 0, "reasoning").otherwise("no such").alias("primaryCategory"), F.array(lit("rag-knowledge"), lit("none")).alias("categories"), F.array(lit(" g ")).alias("keywords"), F.concat(lit("h"), "id").alias("hook"))
+    rows = p.select("id", lit("audio-speech").alias("primaryCategory"), F.array(lit("audio-speech")).alias("categories"), F.array("lang", lit("g")).alias("keywords"))
+    out = catalog.with_generated(rows, made)
+    return out.select("id", "primaryCategory", F.array_join("categories", ",").alias("categories"), F.array_join("keywords", ",").alias("keywords"), "hook")
+
+
+@query("notes_normalize", f"""WITH {PAPERS} SELECT coalesce(nullif({slug('title', '')}, ''), 'f' || id) AS id, title, 2000 + (id % 30) AS year, 'Ann ' || lang || '|Bo' AS authors, 'https://openreview.net/forum?id=f' || id AS "openreviewUrl" FROM papers WHERE id % 7 = 0""")
+def _(t):
+    body = F.expr("to_json(named_struct('title', named_struct('value', title), 'venue', concat('VENUE ', 2000 + id % 30, ' poster'), 'authors', named_struct('value', array(concat('Ann ', lang), 'Bo'))))")
+    out = catalog.from_notes(papers(t).where("id % 7 = 0").select(F.concat(lit("f"), "id").alias("forum"), body.alias("content")))
+    return out.select("id", "title", "year", F.array_join("authors", "|").alias("authors"), "openreviewUrl")
+
+
+@query("repair_title")
+def _(t):
+    return _evidence(t).select("id", titles.repair_title(F.array("v"), lit("")).alias("title"))
+
+
+@query("strong_candidates")
+def _(t):
+    rows = papers(t).select(col("id").cast("int").alias("pos"), F.concat(lit("https://github.com/lab/t"), "id").alias("url"), lit("").alias("platform"), F.expr(_EV).alias("title"), lit("").alias("snippet"), lit("").alias("readerTitle"), lit("").alias("readerExcerpt"), lit(20).alias("score"), (col("id") % 50).cast("int").alias("priority"))
+    return queue.strong_candidates(rows, 24)

@@ -260,3 +260,43 @@ def test_views(spark):
     entries = spark.createDataFrame([("1", "T", "2026-01-02", "", [("x", "u", None, None, "s", None, None, "2026-01-09", None)]), ("2", "U", "2026-01-03", "", [("web", "u", "E", None, None, None, "ex", "", None)])], ("id string, title string, updatedAt string, discoveredAt string, evidence array<struct<platform:string,url:string,title:string,author:string,snippet:string,readerTitle:string,readerExcerpt:string,publishDate:string,query:string>>"))
     out = views.latest_evidence(entries).collect()
     assert [(r["id"], r["title"], r["snippet"]) for r in out] == [("1:0", "X signal", "s"), ("2:0", "E", "ex")]
+
+
+def test_notes(spark):
+    notes = spark.createDataFrame([("f1", json.dumps({"title": {"value": "A VLM Agent"}, "venue": {"value": "ICLR 2025 poster"}, "keywords": {"value": ["x", " y "]}, "authors": {"value": ["A B"]}, "pdf": {"value": "/pdf/1"}, "abstract": {"value": "agents"}})), ("f2", json.dumps({"title": "", "keywords": "p; q", "_bibtex": "author={C D and E F}"}))], "forum string, content string")
+    out = {r["openreviewUrl"][-2:]: r for r in catalog.from_notes(notes).collect()}
+    a, b = out["f1"], out["f2"]
+    assert (a["id"], a["year"], a["keywords"], a["authors"], a["pdfUrl"], a["categories"][:1]) == ("a-vlm-agent", 2025, ["x", "y"], ["A B"], "https://openreview.net/pdf/1", ["agents-tool-use"]) and a["relevanceScore"] > 2
+    assert (b["id"], b["year"], b["keywords"], b["authors"], b["pdfUrl"], b["primaryCategory"]) == ("f2", 2026, ["p", "q"], ["C D", "E F"], None, "mllm-foundations")
+    made = spark.createDataFrame([("a-vlm-agent", "nope", ["reasoning", "bad"], ["k", "x"], "hook")], "id string, primaryCategory string, categories array<string>, keywords array<string>, hook string")
+    row = catalog.with_generated(catalog.from_notes(notes), made).first()
+    assert (row["primaryCategory"], row["categories"], row["keywords"], row["hook"]) == ("agents-tool-use", ["agents-tool-use", "reasoning"], ["k", "x", "y"], "hook")
+
+
+def test_strong_candidates(spark):
+    shape = "pos int, url string, platform string, title string, snippet string, readerTitle string, readerExcerpt string, score int, priority int"
+    rows = [
+        (0, "https://github.com/lab/tool", "", '[ACL 2026] official code for paper "Deep Widgets: A Long Study"', "", "", "", 40, 9), (1, "https://github.com/lab/tool2", "", "ACL 2026: Graphs of Many Things, accepted", "", "", "", 3, 8),
+        (2, "https://github.com/lab/tool3", "", 'ACL 2026 workshop paper "Some Thing: A Study Of"', "", "", "", 3, 7), (3, "https://blog.example.com", "", 'ACL 2026 paper "Some Thing: A Study Of"', "", "", "", 3, 7), (4, "https://github.com/lab/x", "", 'ACL 2026 paper "Deep Widgets: a long study"', "", "", "", 3, 1),
+    ]
+    out = queue.strong_candidates(spark.createDataFrame(rows, shape), 5).collect()
+    assert [(r["title"], r["confidence"], r["acceptedVenue"]) for r in out] == [("Deep Widgets: A Long Study", 0.96, "ACL 2026"), ("Graphs of Many Things, accepted", 0.78, "ACL 2026")]
+    assert queue.toggled({"a"}, "b") == {"a", "b"} and queue.toggled({"a"}, "a") == set()
+
+
+def test_titles_in_views(spark):
+    from scriptorium.functions import titles
+
+    lit = F.lit
+    exprs = [
+        (titles.view_title(lit("[ACL 2026] The official code for GraphNet: Learning Graphs. More")), "GraphNet: Learning Graphs"),
+        (titles.view_title(lit("This is")), ""),
+        (titles.view_title(lit("QuickNet")), "QuickNet"),
+        (titles.repair_title(F.array(lit("waiting for Zhipu enrichment"), lit("see title={A Study of Widgets}")), lit("x")), "A Study of Widgets"),
+        (titles.repair_title(F.array().cast("array<string>"), lit("nothing")), None),
+        (titles.clean_narrative(lit("GitHub thing is good"), lit("GitHub thing"), lit("A Thing"), lit("")), "A Thing is good"),
+        (titles.clean_narrative(lit("see https://x.org"), lit(""), lit("A Thing"), lit("ACL 2026")), "Discovery evidence found an explicit ACL 2026 paper signal for A Thing; waiting for Zhipu enrichment."),
+        (titles.clean_narrative(lit(" "), lit(""), lit("A"), lit("")), None),
+    ]
+    row = spark.range(1).select(*[e.alias(f"v{i}") for i, (e, _) in enumerate(exprs)]).first()
+    assert [*row] == [w for _, w in exprs]
