@@ -110,39 +110,49 @@ def price_pattern(prices: np.ndarray, stock: np.ndarray, capacity: int) -> dict[
     return dict(found)
 
 
-def solve_configurations(stock: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, step: float = 0.15) -> list[tuple[dict[int, int], int]]:
+def solve_configurations(stock: dict[int, int], capacity: int = CAPACITY, rounds: int = 2000, rate: float = 2.0, shares: tuple[float, ...] = (0.85, 0.6, 0.35, 0.1)) -> list[tuple[dict[int, int], int]]:
     """Patterns (length to count) and how often to use each, which together hold the stock exactly.
 
-    Multiplicative weights on the configuration program's covering rows: a length's price starts at its
-    share of the capacity and falls as patterns cover it, and each round's pattern is the best knapsack at
-    these prices. The fractional solution is scaled to within the stock and rounded down; what is left is
-    packed by best fit over the histogram. Work depends on capacity and rounds, not on the number of pieces.
+    Multiplicative weights on the covering rows of the configuration program: a length's weight falls by the
+    exponential of the part of it that is covered, its price is weight times length, and each round adds the
+    best knapsack at these prices until one of its lengths is covered. Rounds end when the first of `shares` of the
+    volume is covered, as late patterns are the wasteful ones. Amounts are rounded down, and what is left is
+    packed by best fit over the histogram; of the solutions as they stood at each share, the one that rounds to
+    the fewest sequences counts. Work depends on capacity and rounds, not on the number of pieces.
     """
     full = stock.get(capacity, 0)
-    n = np.zeros(capacity + 1)
-    for length, count in stock.items():
-        if length < capacity:
-            n[length] = count
-    used: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    whole: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
     sizes = np.arange(capacity + 1)
+    need, covered = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    for length, count in stock.items():
+        need[length] = count if length < capacity else 0
+    volume = float(need @ sizes)
     amount: dict[tuple, float] = {}
-    if n.any():
-        weight, covered = np.where(n > 0, 1.0, 0.0), np.zeros(capacity + 1)
-        for _ in range(rounds):
-            pattern = price_pattern((weight * sizes)[1:], n[1:], capacity)
-            if not pattern:
-                break
-            most = min(n[k] / c for k, c in pattern.items()) * step
-            key = tuple(sorted(pattern.items()))
-            amount[key] = amount.get(key, 0.0) + most
-            for k, c in key:
-                covered[k] += c * most
-                weight[k] *= np.exp(-step * c * most / n[k] / 0.15)
-            weight /= weight.max()
-    left = n.astype(np.int64)
-    over = np.divide(covered, n, out=np.zeros(capacity + 1), where=n > 0) if amount else n
-    for key, x in sorted(amount.items(), key=lambda kv: (-kv[1], kv[0])):
-        times = int(min([x / max(1.0, max(over[k] for k, _ in key)), *(left[k] // c for k, c in key)]))
+    found, goals = [], sorted(shares)
+    for _ in range(rounds):
+        part = np.divide(covered, need, out=np.ones(capacity + 1), where=need > 0)
+        short = part < 1 - 1e-9
+        while goals and covered @ sizes >= goals[0] * volume:
+            found.append(_rounded(amount, need, capacity))
+            goals.pop(0)
+        if not goals or not short.any():
+            break
+        prices = np.exp(-rate * (part - part[short].min())) * sizes
+        pattern = price_pattern(prices[1:], short[1:], capacity)
+        most = min((need[k] - covered[k]) / c for k, c in pattern.items())
+        key = tuple(sorted(pattern.items()))
+        amount[key] = amount.get(key, 0.0) + most
+        for k, c in key:
+            covered[k] += c * most
+    found.append(_rounded(amount, need, capacity))
+    return whole + min(found, key=lambda used: sum(times for _, times in used))
+
+
+def _rounded(amount: dict[tuple, float], need: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of patterns within the stock, and best fit for the rest."""
+    left, used = need.astype(np.int64), []
+    for key, x in amount.items():
+        times = int(min(x + 1e-6, *(left[k] // c for k, c in key)))
         if times:
             used.append((dict(key), times))
             for k, c in key:
@@ -194,7 +204,7 @@ def _places(used: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, rounds: int = 400, buckets: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, rounds: int = 2000, buckets: int = 256) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     The pieces' length histogram (at most `capacity` rows) goes to the driver, which solves the
