@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -31,6 +31,12 @@ def fair_targets(sizes: list[int], weights: list[float], budget: float, epochs:
     return target
 
 
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A document's place in the shuffled order: 32 hexadecimal digits of a hash that SQL has too."""
+    empty = F.lit("")
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), empty), F.md5(F.coalesce(text, empty))))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: what a mix of all sources takes of it.
 
@@ -50,7 +56,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs:
     """
     spark = docs.sparkSession
     kept = [f"_c{i}" for i in range(len(carry))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("r"), *[F.col(c).alias(k) for c, k in zip(carry, kept)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("r"), *[F.col(c).alias(k) for c, k in zip(carry, kept)])
     rows = cut(rows)
     totals = sorted(rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda x: (x["source"] is None, (x["source"] or "").encode()))
     sizes = [x["n"] for x in totals]
@@ -61,7 +67,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs:
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
 
     parts = max(64, -(-max([x["rows"] for x in totals], default=0) // BUCKET_ROWS))
-    rows = rows.withColumn("b", F.floor((F.col("r") / F.lit(2.0**64) + 0.5) * parts).cast("int"))
+    rows = rows.withColumn("b", F.floor(F.conv(F.left("r", F.lit(8)), 16, 10).cast("long") * parts / F.lit(2.0**32)).cast("int"))
     sums = rows.groupBy("o", "b").agg(F.sum("size").alias("w"))
     before = sums.select("o", "b", (F.sum("w").over(Window.partitionBy("o").orderBy("b")) - F.col("w")).alias("before"))
     local = Window.partitionBy("o", "b").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,7 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express.
 
-No SQL is given where a hash that SQL lacks (XXH64, CRC-32), a tokenizer, a trained model or whole-corpus windows of
-bytes decide: simhash, mixing, repeats, media, packing, language ID, main text and the pipeline. Tests hold those
+No SQL is given where a hash that SQL lacks (XXH64, CRC-32), a tokenizer or a trained model
+decide: simhash, media, packing, language ID, main text and the pipeline. Tests hold those
 against brute force.
 """
 
@@ -49,3 +49,27 @@ def secrets(copied_owners: int = 3) -> str:
       count_if(live) AS live, count_if(NOT live) AS copied, max(repos) AS repositories, max(owners) AS owners FROM j GROUP BY rid)
       SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, 0) AS live, coalesce(copied, 0) AS copied, coalesce(repositories, 0) AS repositories, coalesce(owners, 0) AS owners
       FROM d LEFT JOIN a ON a.rid = d.rid"""
+
+
+def mixing(epochs: int = 3, seed: int = 17) -> str:
+    """Sources by how soon they are full: those whose limit over their weight is below the level that the others then have."""
+    return f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5({seed} || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS r FROM documents),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS LAST) AS o FROM d GROUP BY source),
+      f AS (SELECT *, {epochs} * n / w AS ratio FROM s),
+      l AS (SELECT *, ((SELECT sum(n) FROM s) - coalesce(sum({epochs} * n) OVER (ORDER BY ratio, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+      c AS (SELECT *, bool_and(ratio < level) OVER (ORDER BY ratio, o ROWS UNBOUNDED PRECEDING) AS capped FROM l),
+      t AS (SELECT source, n, CASE WHEN capped THEN CAST({epochs} * n AS DOUBLE) ELSE CAST((SELECT sum(n) FROM c) - coalesce((SELECT sum({epochs} * n) FROM c WHERE capped), 0) AS DOUBLE) * w / (SELECT sum(w) FROM c WHERE NOT capped) END AS target FROM c),
+      q AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
+      SELECT q.doc_id, q.size, t.n AS source_size, t.target, CAST({" + ".join(f"greatest(0, least(q.size, floor(t.target) - q.start - {e} * t.n))" for e in range(epochs))} AS BIGINT) AS taken FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
+
+
+def repeats(length: int = 200) -> str:
+    """Every window of bytes, as hexadecimal digits, by its MD5: some gigabytes of digits for each 10 MB of text, so for small tables."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+      u AS (SELECT rid, unnest(list_transform(range(length(x) // 2 - {length - 1}), lambda i: md5(substr(x, 2 * i + 1, {2 * length})))) AS h, unnest(range(length(x) // 2 - {length - 1})) AS p FROM d WHERE length(x) >= {2 * length}),
+      g AS (SELECT h FROM u GROUP BY h HAVING count(*) > 1), f AS (SELECT rid, p FROM u WHERE h IN (SELECT h FROM g)),
+      b AS (SELECT rid, unnest(list_transform(range(length(x) // 2), lambda i: substr(x, 2 * i + 1, 2))) AS byte, unnest(range(length(x) // 2)) AS p FROM d),
+      c AS (SELECT b.rid, b.p, b.byte, coalesce(max(CASE WHEN f.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.rid ORDER BY b.p ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW), 0) AS gone FROM b LEFT JOIN f ON f.rid = b.rid AND f.p = b.p),
+      e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY rid ORDER BY p) AS before FROM c),
+      a AS (SELECT rid, count(*) AS n, CAST(sum(gone) AS BIGINT) AS removed, count_if(gone = 1 AND before = 0) AS spans, string_agg(byte, '' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY rid)
+      SELECT d.doc_id, coalesce(a.n, 0) AS n_bytes, coalesce(a.removed, 0) AS n_removed, coalesce(a.spans, 0) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON a.rid = d.rid"""

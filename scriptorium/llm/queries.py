@@ -28,4 +28,4 @@ QUERIES = {
     "op10_html_extraction": _over("pages", html_extract.extract_main_text),
 }
 
-ORACLES = {"op1_secret_scan": oracles.secrets(), "op4_topk": oracles.top_k(), "op5_license_scan": oracles.licenses()}
+ORACLES = {"op1_secret_scan": oracles.secrets(), "op3_mixing": oracles.mixing(), "op4_topk": oracles.top_k(), "op6_suffix_dedup": oracles.repeats(), "op5_license_scan": oracles.licenses()}
