@@ -21,6 +21,7 @@ class Catalogue:
     vectors: DataFrame
     dimensions: int
     model: str = "vectors"
+    most_lexical: int = 10_000  # hits of a lexical search, which are ranked in one place
 
     def __post_init__(self):
         self.prepared = prepare(self.papers, "title", keywords="keywords", blob=["venue", "abstract"], categories="categories").cache()
@@ -45,9 +46,9 @@ class Catalogue:
         if not text.strip():
             ranked, order = self.papers, [F.col("pos")]
         elif vector is None:
-            ranked, order = self.lexical(text, self.rows), [F.desc("score"), F.col("pos")]
+            ranked, order = self.lexical(text, self.most_lexical), [F.desc("score"), F.col("pos")]
         else:
-            hits = fuse(top_k(self.vectors, vector, adaptive_k(cap, self.rows)), self.lexical(text, self.rows), self.papers, self.model)
+            hits = fuse(top_k(self.vectors, vector, adaptive_k(cap, self.rows)), self.lexical(text, self.most_lexical), self.papers, self.model)
             ranked, order = hits.withColumnRenamed("rank", "hybridRank").drop("pos").join(self.papers, "id"), [F.col("hybridRank")]
         return paginate(facet_filter(ranked, list(venue_years), list(categories)), order, cap, page, per_page)
 

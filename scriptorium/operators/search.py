@@ -64,7 +64,7 @@ def prepare(papers: DataFrame, title: str = "title", other_titles: list[str] = (
 
 
 def lexical_scores(prepared: DataFrame, query: Query, base: Column | None = None) -> DataFrame:
-    """score, exact and signals of each prepared row; fixed weights. base: a fuzzy score of 0 to 100."""
+    """score (0: no hit), exact and signals of each prepared row; fixed weights. base: a fuzzy score of 0 to 100."""
     q = F.lit(query.norm)
     points = lambda test, n: F.when(test, n).otherwise(0)
     long_ = lambda words: [w for w in words if len(w) > 1]
@@ -88,7 +88,7 @@ def lexical_scores(prepared: DataFrame, query: Query, base: Column | None = None
     signals = F.concat(signals, F.slice(F.transform(spelled, lambda x: F.concat_ws(" -> ", x["a"], x["p"])), 1, 3), F.when(cats > 0, F.array(F.lit("semantic category"))).otherwise(F.array().cast("array<string>")))
     labels = F.array(*[F.lit(x) for x in query.labels]).cast("array<string>")
     signals = F.array_distinct(F.concat(signals, F.when((terms > 0) | (cats > 0), labels).otherwise(F.array().cast("array<string>"))))
-    rows = prepared.withColumns({"score": score.cast("double"), "exact": exact, "signals": signals}).where("score > 0")
+    rows = prepared.withColumns({"score": score.cast("double"), "exact": exact, "signals": signals})
     return rows.drop("_title", "_titles", "_keywords", "_categories", "_blob")
 
 
@@ -99,8 +99,14 @@ def exact_collapse(scored: DataFrame) -> DataFrame:
 
 
 def lexical_search(prepared: DataFrame, query: Query, limit: int, pos: str = "pos", base: Column | None = None) -> DataFrame:
-    """The best rows by score, then position; only exact hits if there are any."""
-    return exact_collapse(lexical_scores(prepared, query, base)).orderBy(F.desc("score"), pos).limit(max(1, limit))
+    """The best rows by score, then position; only exact hits if there are any.
+
+    One pass and one bounded heap a task: exact hits come first in its order, so the head tells whether there is one.
+    A filter on the score would be pushed to the scan and score each row twice; zeros go from the head instead.
+    """
+    head = lexical_scores(prepared, query, base).orderBy(F.desc("exact"), F.desc("score"), pos).limit(max(1, limit))
+    any_exact = F.max("exact").over(Window.partitionBy())
+    return head.withColumn("_any", any_exact).where((F.col("score") > 0) & (F.col("exact") == F.col("_any"))).drop("_any").orderBy(F.desc("score"), pos)
 
 
 def acronym_of(token: Column) -> Column:

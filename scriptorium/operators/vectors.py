@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import hash_values, slugify
+from ..shared import cut
 
 #: Rows of a stored chunk.
 CHUNK_ROWS = 512
@@ -65,16 +66,26 @@ def reuse_split(current: DataFrame, stored: DataFrame, model: str) -> DataFrame:
     return current.join(same, ["id", "fingerprint"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
 
 
-def chunk_rows(rows: DataFrame, key: str, order: str, size: int = CHUNK_ROWS) -> DataFrame:
-    """Adds part (from 1) and offset of each row's chunk: up to `size` rows of a key in order; offsets count over all keys in order.
+def numbered(rows: DataFrame, order: str, key: str | None = None, into: str = "_i") -> DataFrame:
+    """Rows numbered from 0 in order, within each key if one is given.
 
-    Ranks within a key need its rows together only for their number; the offsets come from the keys' counts.
+    Rows are dealt out by ranges of key and order and numbered within these; the ranges' counts give what comes
+    before. So a key that holds a third of all rows is many tasks' work, and so is a table without keys.
     """
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    keys = [key] if key else []
+    dealt = cut(rows.repartitionByRange(*keys, order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    before = counts.select(*keys, "_p", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(order)) - 1
+    return dealt.withColumn("_l", local).join(before, [*keys, "_p"]).withColumn(into, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before")
+
+
+def chunk_rows(rows: DataFrame, key: str, order: str, size: int = CHUNK_ROWS) -> DataFrame:
+    """Adds part (from 1) and offset of each row's chunk: up to `size` rows of a key in order; offsets count over all keys in order."""
     per_key = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    before = per_key.select(key, (F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).alias("_before"))
-    placed = rows.withColumn("_i", n).join(before, key)
-    return placed.withColumn("part", (F.floor(F.col("_i") / size) + 1).cast("int")).withColumn("offset", (F.col("_before") + F.floor(F.col("_i") / size) * size).cast("long")).drop("_before")
+    first = per_key.select(key, (F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).alias("_first"))
+    placed = numbered(rows, order, key).join(first, key)
+    return placed.withColumn("part", (F.floor(F.col("_i") / size) + 1).cast("int")).withColumn("offset", (F.col("_first") + F.floor(F.col("_i") / size) * size).cast("long")).drop("_first")
 
 
 def chunk_manifest(rows: DataFrame, key: str, order: str, identity: str, fingerprint: str, dimensions: int, prefix: str = "vectors", size: int = CHUNK_ROWS) -> DataFrame:
@@ -98,5 +109,4 @@ def chunk_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 def batches(rows: DataFrame, order: str, size: int, partition: str | None = None) -> DataFrame:
     """Adds batch (from 0): groups of `size` rows in order, within a partition column if one is given."""
-    w = Window.partitionBy(partition).orderBy(order) if partition else Window.orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return numbered(rows, order, partition).withColumn("batch", F.floor(F.col("_i") / size).cast("long")).drop("_i")
