@@ -17,6 +17,8 @@ col, lit = F.col, F.lit
 #: Hints for invented prose.
 HINTS = {"alpha": ["the", "tion"], "beta": ["er", "wh", "qu"], "gamma": ["ung", "sch"], "delta": ["ción", "os "], "epsilon": ["é", "ment"], "zeta": ["zzz"]}
 FOCUS = ["the of", "und", "que"]
+#: Sources that stand for the official list.
+OFFICIAL = "venue IN ('src0', 'src1', 'src2', 'src3')"
 
 
 def _classified(x: str, hints: dict, default: str, most: int = 4) -> dict[str, str]:
@@ -121,11 +123,11 @@ def _(t):
     return catalog.suffix_ids(papers(t).select("pos", F.lower(F.left("title", lit(4))).alias("id")), "id", "pos")
 
 
-@query("source_fallback", f"WITH {PAPERS}, c AS (SELECT id, venue, 'now' AS taken FROM papers WHERE venue IN ('src1', 'src4', 'src7') AND id % 2 = 0) SELECT * FROM c UNION ALL SELECT id, venue, 'before' FROM papers WHERE venue NOT IN (SELECT venue FROM c)")
+@query("source_fallback", f"WITH {PAPERS}, c AS (SELECT id, venue, 'now' AS taken FROM papers WHERE venue IN ('src1', 'src4', 'src7') AND lang = 'en') SELECT * FROM c UNION ALL SELECT id, venue, 'before' FROM papers WHERE venue NOT IN (SELECT venue FROM c)")
 def _(t):
-    rows = papers(t).select("id", "venue")
-    now = rows.where("venue IN ('src1', 'src4', 'src7') AND id % 2 = 0").withColumn("taken", lit("now"))
-    return catalog.with_fallback(now, rows.withColumn("taken", lit("before")), "venue")
+    rows = papers(t).select("id", "venue", "lang")
+    now = rows.where("venue IN ('src1', 'src4', 'src7') AND lang = 'en'").drop("lang").withColumn("taken", lit("now"))
+    return catalog.with_fallback(now, rows.drop("lang").withColumn("taken", lit("before")), "venue")
 
 
 _G = "SELECT l.doc_id AS pos, CASE l.doc_id % 3 WHEN 0 THEN CAST(l.doc_id AS VARCHAR) END AS id, CASE l.doc_id % 3 WHEN 1 THEN p.title END AS title, CASE l.doc_id % 3 WHEN 2 THEN 'u' || l.doc_id END AS url, l.quality FROM labels l JOIN papers p ON l.doc_id = p.id"
@@ -140,18 +142,18 @@ def _(t):
     return catalog.enrich_with_guides(rows, guides, ["quality"]).select("id", "quality", col("guideStatus").alias("status"))
 
 
-@query("official_anti_join", f"WITH {PAPERS}, o AS (SELECT DISTINCT {norm('title')} AS k FROM papers WHERE id % 5 = 0) SELECT id, title FROM papers WHERE id % 5 <> 0 AND {norm('title')} NOT IN (SELECT k FROM o WHERE k <> '')")
+@query("official_anti_join", f"WITH {PAPERS}, o AS (SELECT DISTINCT {norm('title')} AS k FROM papers WHERE venue IN ('src0', 'src1', 'src2', 'src3')) SELECT id, title FROM papers WHERE NOT venue IN ('src0', 'src1', 'src2', 'src3') AND {norm('title')} NOT IN (SELECT k FROM o WHERE k <> '')")
 def _(t):
-    rows = papers(t).select("id", "title")
-    return catalog.without_official(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"))
+    rows = papers(t).select("id", "title", "venue")
+    return catalog.without_official(rows.where(f"NOT {OFFICIAL}"), rows.where(OFFICIAL)).drop("venue")
 
 
-@query("official_promote", f"""WITH {PAPERS}, o AS (SELECT {norm('title')} AS k, arg_min(venue, pos) AS venue, arg_min(year, pos) AS year FROM papers WHERE id % 5 = 0 GROUP BY 1)
-  SELECT p.id, CASE WHEN o.k IS NULL THEN 'candidate' ELSE 'officially-published' END AS status, o.venue AS "acceptedVenue", o.year AS "acceptedYear", CASE WHEN o.k IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM papers p LEFT JOIN o ON {norm('p.title')} = o.k AND o.k <> '' WHERE p.id % 5 <> 0""")
+@query("official_promote", f"""WITH {PAPERS}, o AS (SELECT {norm('title')} AS k, arg_min(venue, pos) AS venue, arg_min(year, pos) AS year FROM papers WHERE venue IN ('src0', 'src1', 'src2', 'src3') GROUP BY 1)
+  SELECT p.id, CASE WHEN o.k IS NULL THEN 'candidate' ELSE 'officially-published' END AS status, o.venue AS "acceptedVenue", o.year AS "acceptedYear", CASE WHEN o.k IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM papers p LEFT JOIN o ON {norm('p.title')} = o.k AND o.k <> '' WHERE NOT p.venue IN ('src0', 'src1', 'src2', 'src3')""")
 def _(t):
     rows = papers(t)
-    entries = rows.where("id % 5 <> 0").select("id", "title", lit("candidate").alias("status"), lit(None).cast("string").alias("acceptedVenue"), lit(None).cast("int").alias("acceptedYear"), lit(0.5).alias("confidence"))
-    return catalog.promote_official(entries, rows.where("id % 5 = 0").select("pos", "title", "venue", "year")).drop("title")
+    entries = rows.where(f"NOT {OFFICIAL}").select("id", "title", lit("candidate").alias("status"), lit(None).cast("string").alias("acceptedVenue"), lit(None).cast("int").alias("acceptedYear"), lit(0.5).alias("confidence"))
+    return catalog.promote_official(entries, rows.where(OFFICIAL).select("pos", "title", "venue", "year")).drop("title")
 
 
 @query("facet_filter", f"WITH {PAPERS} SELECT id, venue, year, lang FROM papers WHERE venue || ':' || year IN ('src3:2026', 'src5:2025', 'src7:2024') AND lang IN ('en', 'fr')")
@@ -306,9 +308,9 @@ def _(t):
     return _manifest(t)
 
 
-@query("chunk_delta", f"WITH a AS ({_manifest_sql('true')}), b AS ({_manifest_sql('vec_id % 97 <> 3')}) SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'delete' WHEN a = b THEN 'keep' ELSE 'write' END AS action FROM a FULL OUTER JOIN b ON a.file = b.file".replace("a = b", 'a."offset" = b."offset" AND a.count = b.count AND a.fingerprint = b.fingerprint'))
+@query("chunk_delta", f"WITH a AS ({_manifest_sql('true')}), b AS ({_manifest_sql('label <> 7')}) SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'delete' WHEN a = b THEN 'keep' ELSE 'write' END AS action FROM a FULL OUTER JOIN b ON a.file = b.file".replace("a = b", 'a."offset" = b."offset" AND a.count = b.count AND a.fingerprint = b.fingerprint'))
 def _(t):
-    return vectors.chunk_delta(_manifest(t), _manifest(t, "vec_id % 97 <> 3"))
+    return vectors.chunk_delta(_manifest(t), _manifest(t, "label <> 7"))
 
 
 @query("batching", "SELECT p_partkey, p_brand, CAST(floor((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) / 32) AS BIGINT) AS batch FROM part")
@@ -371,10 +373,10 @@ def _(t):
     return queue.round_robin(t("events").select("event_id", "event_type"), "event_type", "event_id", 40, _ORDER)
 
 
-@query("backfill_fill", """WITH b AS (SELECT event_id, user_id, 0 AS tier FROM events WHERE event_type = 'error' AND event_id % 50 = 0 UNION ALL SELECT event_id, user_id, 1 FROM events WHERE event_type = 'view'), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tier, event_id) = 1) SELECT event_id, user_id, tier FROM f ORDER BY tier, event_id LIMIT 60""")
+@query("backfill_fill", """WITH b AS (SELECT event_id, user_id, 0 AS tier FROM events WHERE event_type = 'error' AND value > 90 UNION ALL SELECT event_id, user_id, 1 FROM events WHERE event_type = 'view'), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tier, event_id) = 1) SELECT event_id, user_id, tier FROM f ORDER BY tier, event_id LIMIT 60""")
 def _(t):
-    e = t("events").select("event_id", "user_id", "event_type")
-    return queue.backfill(e.where("event_type = 'error' AND event_id % 50 = 0").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), "user_id", [col("event_id")], 60)
+    e = t("events").select("event_id", "user_id", "event_type", "value")
+    return queue.backfill(e.where("event_type = 'error' AND value > 90").drop("event_type", "value"), e.where("event_type = 'view'").drop("event_type", "value"), "user_id", [col("event_id")], 60)
 
 
 _VALUES = ", ".join(f"({q(s)}, {i}, {q(x)})" for (s, _, _), xs in search_plans.FAMILIES.items() for i, x in enumerate(xs, 1))
@@ -407,10 +409,10 @@ def _(t):
     return queue.merge_evidence(rows, "conv_id", "turn")
 
 
-@query("status_lattice", "SELECT user_id, ['ignored', 'candidate', 'accepted', 'officially-published'][1 + max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)] AS status FROM events WHERE event_id % 17 = 0 GROUP BY 1")
+@query("status_lattice", "SELECT user_id || ':' || hour(ts) AS entry, ['ignored', 'candidate', 'accepted', 'officially-published'][1 + max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)] AS status FROM events GROUP BY 1")
 def _(t):
     s = F.when(col("event_type") == "purchase", "officially-published").when(col("event_type") == "signup", "accepted").when(col("event_type") == "click", "candidate").otherwise("ignored")
-    return queue.status_lattice(t("events").where("event_id % 17 = 0").select("user_id", s.alias("status")), "user_id")
+    return queue.status_lattice(t("events").select(F.concat_ws(":", "user_id", F.hour("ts")).alias("entry"), s.alias("status")), "entry")
 
 
 _ST = "CASE event_id % 4 WHEN 0 THEN 'ignored' WHEN 1 THEN 'candidate' WHEN 2 THEN 'accepted' ELSE 'officially-published' END"
@@ -480,10 +482,10 @@ def _entries(t):
 _UN = _classified("concat_ws(' ', nullif(title, ''), nullif(left(abstract, 120), ''), 'k  k  ', CASE WHEN id % 2 = 0 THEN 'ACL 2026' END)", CATEGORY_HINTS, "mllm-foundations")
 
 
-@query("unofficial_record", f"""WITH {PAPERS}, o AS (SELECT DISTINCT {norm('title')} AS k FROM papers WHERE id % 10 = 9) SELECT 'e' || id AS id, CASE WHEN id % 4 = 2 THEN 'ACL 2026' ELSE '未分类 / Unclassified' END AS venue, CASE WHEN id % 4 = 2 THEN 2026 ELSE year END AS year, CASE WHEN id % 4 = 2 THEN 'accepted' ELSE 'candidate' END AS "acceptanceStatus",
+@query("unofficial_record", f"""WITH {PAPERS}, o AS (SELECT DISTINCT {norm('title')} AS k FROM papers WHERE venue IN ('src0', 'src1', 'src2', 'src3')) SELECT 'e' || id AS id, CASE WHEN id % 4 = 2 THEN 'ACL 2026' ELSE '未分类 / Unclassified' END AS venue, CASE WHEN id % 4 = 2 THEN 2026 ELSE year END AS year, CASE WHEN id % 4 = 2 THEN 'accepted' ELSE 'candidate' END AS "acceptanceStatus",
   {_UN['primary']} AS "primaryCategory", CASE WHEN id % 2 = 0 THEN 'k,ACL 2026,x,unofficial' ELSE 'k,x,unofficial' END AS keywords, 'https://example.com/' || id AS "openreviewUrl", left(abstract, 120) AS abstract FROM papers WHERE id % 4 IN (1, 2) AND id % 3 <> 0 AND {norm('title')} NOT IN (SELECT k FROM o WHERE k <> '')""")
 def _(t):
-    out = catalog.unofficial_papers(_entries(t).drop("pos"), papers(t).where("id % 10 = 9").select("title"))
+    out = catalog.unofficial_papers(_entries(t).drop("pos"), papers(t).where(OFFICIAL).select("title"))
     return out.select("id", "venue", "year", "acceptanceStatus", "primaryCategory", F.array_join("keywords", ",").alias("keywords"), "openreviewUrl", "abstract")
 
 

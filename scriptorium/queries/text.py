@@ -166,9 +166,9 @@ def _(t):
 _STRIP = squeeze(f"regexp_replace({sub(sub('html', '(?i)<br' + chr(92) + 's*/?>', ' '), '<[^>]*>', ' ')}, {q(chr(92) + '[([^' + chr(92) + ']]{2,220})' + chr(92) + ']' + chr(92) + '([^)]+' + chr(92) + ')')}, '\\1', 'g')")
 
 
-@query("html_text", f"SELECT page_id, left({_STRIP}, 500) AS text FROM pages")
+@query("html_text", f"SELECT page_id, CAST(length({_STRIP}) AS BIGINT) AS size, sha1({_STRIP}) AS digest FROM pages")
 def _(t):
-    return t("pages").select("page_id", F.left(html.strip_markup(col("html")), lit(500)).alias("text"))
+    return t("pages").select("page_id", html.strip_markup(col("html")).alias("c")).select("page_id", F.length("c").cast("long").alias("size"), F.sha1("c").alias("digest"))
 
 
 def _element(tag: str) -> str:
@@ -386,19 +386,19 @@ def _(t):
     return rows.where("clean <> ''").select("id", titles.clean_narrative(F.concat(lit("About "), "raw", lit(" now")), col("raw"), col("clean"), col("venue")).alias("text"))
 
 
-@query("generated_guides", f"""WITH {PAPERS} SELECT id, CASE WHEN id % 2 = 0 THEN 'reasoning' ELSE 'audio-speech' END AS "primaryCategory", CASE WHEN id % 2 = 0 THEN 'reasoning,rag-knowledge' ELSE 'audio-speech,rag-knowledge' END AS categories, 'g,' || lang AS keywords, 'h' || id AS hook FROM papers WHERE id % 3 = 0""")
+@query("generated_guides", f"""WITH {PAPERS} SELECT id, CASE WHEN id % 2 = 0 THEN 'reasoning' ELSE 'audio-speech' END AS "primaryCategory", CASE WHEN id % 2 = 0 THEN 'reasoning,rag-knowledge' ELSE 'audio-speech,rag-knowledge' END AS categories, 'g,' || lang AS keywords, 'h' || id AS hook FROM papers WHERE id IN (SELECT doc_id FROM labels)""")
 def _(t):
     p = papers(t)
-    made = p.where("id % 3 = 0").select("id", F.when(col("id") % 2 == 0, "reasoning").otherwise("no such").alias("primaryCategory"), F.array(lit("rag-knowledge"), lit("none")).alias("categories"), F.array(lit(" g ")).alias("keywords"), F.concat(lit("h"), "id").alias("hook"))
+    made = p.join(t("labels").select(col("doc_id").alias("id")), "id").select("id", F.when(col("id") % 2 == 0, "reasoning").otherwise("no such").alias("primaryCategory"), F.array(lit("rag-knowledge"), lit("none")).alias("categories"), F.array(lit(" g ")).alias("keywords"), F.concat(lit("h"), "id").alias("hook"))
     rows = p.select("id", lit("audio-speech").alias("primaryCategory"), F.array(lit("audio-speech")).alias("categories"), F.array("lang", lit("g")).alias("keywords"))
     out = catalog.with_generated(rows, made)
     return out.select("id", "primaryCategory", F.array_join("categories", ",").alias("categories"), F.array_join("keywords", ",").alias("keywords"), "hook")
 
 
-@query("notes_normalize", f"""WITH {PAPERS} SELECT coalesce(nullif({slug('title', '')}, ''), 'f' || id) AS id, title, 2000 + (id % 30) AS year, 'Ann ' || lang || '|Bo' AS authors, 'https://openreview.net/forum?id=f' || id AS "openreviewUrl" FROM papers WHERE id % 7 = 0""")
+@query("notes_normalize", f"""WITH {PAPERS} SELECT coalesce(nullif({slug('title', '')}, ''), 'f' || id) AS id, title, 2000 + (id % 30) AS year, 'Ann ' || lang || '|Bo' AS authors, 'https://openreview.net/forum?id=f' || id AS "openreviewUrl" FROM papers""")
 def _(t):
     body = F.expr("to_json(named_struct('title', named_struct('value', title), 'venue', concat('VENUE ', 2000 + id % 30, ' poster'), 'authors', named_struct('value', array(concat('Ann ', lang), 'Bo'))))")
-    out = catalog.from_notes(papers(t).where("id % 7 = 0").select(F.concat(lit("f"), "id").alias("forum"), body.alias("content")))
+    out = catalog.from_notes(papers(t).select(F.concat(lit("f"), "id").alias("forum"), body.alias("content")))
     return out.select("id", "title", "year", F.array_join("authors", "|").alias("authors"), "openreviewUrl")
 
 
