@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..shared import apart, cut
 
 
+#: Edges that one task holds, about: a round's table has as many parts as its predecessor's edges fill.
+PART = 500_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs to (node, root): root is the smallest node of the component.
 
@@ -23,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before == tuple(row) or not row[0]:
             break
         before = tuple(row)
-        state = cut(_small_star(_large_star(state)))
+        state = cut(_small_star(_large_star(state)).coalesce(1 + 2 * row[0] // PART))
     else:
         raise RuntimeError("connected components did not settle")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -27,6 +27,17 @@ def over_http(url: str) -> str:
         return answer.read().decode()
 
 
+def map_limit(rows, call: Callable[[dict], str | None], limit: int, into: str = "answer"):
+    """rows with what call() gives for each, at most `limit` calls at a time; rows keep their columns, and so their positions."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{into: [retry(lambda r=r: call(r), sleep=time.sleep) for r in pdf.to_dict("records")]})
+
+    return rows.repartition(limit).mapInPandas(run, StructType([*rows.schema.fields, StructField(into, StringType())]))
+
+
 class Page(InputPartition):
     def __init__(self, offset: int):
         self.offset = offset

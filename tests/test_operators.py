@@ -214,6 +214,8 @@ def test_paged(spark):
         return x
 
     assert paged.retry(call, sleep=waits.append) == 5 and waits == [1.0, 2.0]
+    called = paged.map_limit(spark.range(5).withColumnRenamed("id", "pos"), lambda r: f"page {r['pos']}", 2).orderBy("pos").collect()
+    assert [r["answer"] for r in called] == [f"page {i}" for i in range(5)]
     answers = spark.createDataFrame([('{"data": {"search_result": [{"link": "https://a.org", "name": "N"}, {"url": "x"}]}}',)], "value string")
     hits = paged.search_items(answers, "web", {"stage": "seed", "query": "q", "label": "seed-1"}).collect()
     assert [(h["url"], h["title"]) for h in hits] == [("https://a.org", "N")]
