@@ -63,14 +63,15 @@ def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     where they meet join the same components, with 65 rows a fingerprint at any size of the bucket.
     """
     seg = lambda i: _segments("fp")[i]
-    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), seg(i).alias("k")) for i in (0, 1)])).alias("e")
+    number = lambda i: F.lit(i).cast("long").alias("s")
+    entry = F.explode(F.array(*[F.struct(number(i), seg(i).alias("k")) for i in (0, 1)])).alias("e")
     table = prints.select("fp", entry).select("fp", "e.s", "e.k")
     bits = F.sequence(F.lit(0), F.lit(31))
     ball = lambda x: F.concat(F.array(x), F.filter(F.transform(bits, lambda b: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))), lambda y: y != x))
-    keyed = lambda i: F.transform(ball(seg(i)), lambda k: F.struct(F.lit(i).alias("s"), k.alias("k")))
+    keyed = lambda i: F.transform(ball(seg(i)), lambda k: F.struct(number(i), k.alias("k")))
     probe = F.explode(F.concat(keyed(0), keyed(1))).alias("e")
     probes = prints.select(F.col("fp").alias("a"), probe).select("a", "e.s", "e.k")
-    large = cut(table.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("s", "k"))
+    large = apart(table.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("s", "k"), "s", "k")
     small = table.join(large, ["s", "k"], "left_anti")
     differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     pairs = probes.join(small, ["s", "k"]).where((F.col("a") != F.col("fp")) & (differ("a", "fp") <= 2)).select("a", F.col("fp").alias("b"))
@@ -91,7 +92,7 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     doc_id and text are ignored.
     """
     rows = cut(fingerprints(docs))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = near_links(prints.select("fp"), bucket)
     roots = connected_components(links).withColumnsRenamed({"node": "fp"})
     known = prints.join(roots, "fp", "left")
