@@ -145,7 +145,14 @@ def solve_configurations(stock: dict[int, int], capacity: int = CAPACITY, rounds
         for k, c in key:
             covered[k] += c * most
     found.append(_rounded(amount, need, capacity))
-    return whole + min(found, key=lambda used: sum(times for _, times in used))
+    best = whole + min(found, key=lambda used: sum(times for _, times in used))
+    held: Counter = Counter()
+    for pattern, times in best:
+        for k, c in pattern.items():
+            held[k] += c * times
+    if held != Counter(stock):
+        raise AssertionError("the patterns don't hold the stock")
+    return best
 
 
 def _rounded(amount: dict[tuple, float], need: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -185,7 +192,11 @@ def best_fit(stock: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
             if not group:
                 del bins[room]
             grown = bins.setdefault(room - each * length, {})
-            grown[(*pattern, (length, each))] = grown.get((*pattern, (length, each)), 0) + take
+            if pattern[-1][0] == length:  # lengths only fall, so a repeated one is the last
+                added = (*pattern[:-1], (length, pattern[-1][1] + each))
+            else:
+                added = (*pattern, (length, each))
+            grown[added] = grown.get(added, 0) + take
             count -= take * each
     return [(dict(p), times) for group in bins.values() for p, times in group.items()]
 
