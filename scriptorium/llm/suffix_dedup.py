@@ -301,7 +301,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 1_000_000, group: int = 8192) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 400_000, group: int = 8192) -> DataFrame:
     """One row per document: its UTF-8 bytes without those that strings of `length` bytes cover which also start elsewhere.
 
     Every window of `length` bytes has an anchor, its gram of least hash, so equal windows meet under one gram.
