@@ -17,6 +17,11 @@ def rx(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUNDARY)
 
 
+def let(value: Column, make) -> Column:
+    """make(x) with x evaluated once. An expression that a lambda or several branches use is otherwise evaluated for each."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def blank(value: Column) -> Column:
     """Null for null and for the empty text, both of which count as missing."""
     return F.nullif(value, F.lit(""))
@@ -109,15 +114,19 @@ def truncate(value: Column, size: int, mark: str = "...") -> Column:
 
 def contained(text: Column, terms: list[str]) -> Column:
     """Those terms, in their order, that a text contains. The list is small and so stands in the plan: no join."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    return let(text, lambda body: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(body, t)))
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], default: str | None) -> Column:
     """The label of the first rule whose needle a text contains."""
-    out = F.lit(default)
-    for needle, label in reversed(rules):
-        out = F.when(F.contains(text, F.lit(needle)), F.lit(label)).otherwise(out)
-    return out
+
+    def pick(body: Column) -> Column:
+        out = F.lit(default)
+        for needle, label in reversed(rules):
+            out = F.when(F.contains(body, F.lit(needle)), F.lit(label)).otherwise(out)
+        return out
+
+    return let(text, pick)
 
 
 def is_stop_word(token: Column) -> Column:
@@ -126,7 +135,10 @@ def is_stop_word(token: Column) -> Column:
 
 def json_block(value: Column) -> Column:
     """The JSON in a text: the whole, a fenced block, or an object at its end; null if none of these is JSON."""
-    text = F.trim(F.coalesce(value, F.lit("")))
+    return let(F.trim(F.coalesce(value, F.lit(""))), _json_block)
+
+
+def _json_block(text: Column) -> Column:
     ok = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), x)
     fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
     return F.coalesce(ok(text), ok(blank(fenced)), ok(blank(F.regexp_extract(text, r"(?s)\{.*\}$", 0))))
@@ -139,7 +151,7 @@ def sentences(value: Column, least: int = 31) -> Column:
 
 def find_sentence(value: Column, needles: list[str]) -> Column:
     """The first sentence that has any of the needles."""
-    has = lambda s: F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(F.lower(s), n))
+    has = lambda s: F.size(contained(F.lower(s), needles)) > 0
     return F.get(F.filter(sentences(value), has), 0)
 
 

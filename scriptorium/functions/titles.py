@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..values import DIRTY_TITLE, EVIDENCE_VENUES, TITLE_BAD_START, WAITING
-from .text import blank, rx, squeeze, unique_strings
+from .text import blank, let, rx, squeeze, unique_strings
 
 _V = f"(?:{EVIDENCE_VENUES})"
 _NAME = r"[A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){0,2}"
@@ -49,17 +49,18 @@ def clean_title(value: Column) -> Column:
     out = strip_source_noise(value)
     for pattern, to in REWRITES:
         out = F.regexp_replace(out, rx(pattern), to)
-    out = squeeze(out)
-    bad = ~F.length(out).between(8, 220) | ~out.rlike("[a-zA-Z]") | out.rlike(rx(TITLE_BAD_START)) | out.rlike(rx(r"(?i)\b(?:for|via|with|and|of|the|from|to)$"))
-    return F.when(bad, "").otherwise(out)
+    bad = lambda x: ~F.length(x).between(8, 220) | ~x.rlike("[a-zA-Z]") | x.rlike(rx(TITLE_BAD_START)) | x.rlike(rx(r"(?i)\b(?:for|via|with|and|of|the|from|to)$"))
+    return let(squeeze(out), lambda x: F.when(bad(x), "").otherwise(x))
 
 
 def is_dirty_title(value: Column) -> Column:
-    text = F.trim(F.coalesce(value, F.lit("")))
-    out = (text == "") | (F.length(text) > 260)
-    for pattern in DIRTY_TITLE:
-        out = out | text.rlike(rx(pattern))
-    return out
+    def dirty(text: Column) -> Column:
+        out = (text == "") | (F.length(text) > 260)
+        for pattern in DIRTY_TITLE:
+            out = out | text.rlike(rx(pattern))
+        return out
+
+    return let(F.trim(F.coalesce(value, F.lit(""))), dirty)
 
 
 def title_quality(value: Column) -> Column:
@@ -77,8 +78,7 @@ def title_quality(value: Column) -> Column:
 
 def title_candidates(value: Column) -> Column:
     """Clean titles that stand in a text, each once, in the order of the patterns."""
-    text = strip_source_noise(value)
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rx(p)), F.lit(1)) for p in TITLE_PATTERNS]))
+    found = let(strip_source_noise(value), lambda text: F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rx(p)), F.lit(1)) for p in TITLE_PATTERNS])))
     return unique_strings(F.transform(found, clean_title))
 
 
@@ -132,7 +132,10 @@ def _rewrite(value: Column, rules: list[tuple[str, str]]) -> Column:
 
 def clean_evidence_title(value: Column) -> Column:
     """A discovery-side title after its rewrites; null if what is left is no title."""
-    out = _rewrite(squeeze(F.coalesce(value, F.lit(""))), EVIDENCE_REWRITES)
+    return let(_rewrite(squeeze(F.coalesce(value, F.lit(""))), EVIDENCE_REWRITES), _if_title)
+
+
+def _if_title(out: Column) -> Column:
     bad = ~F.length(out).between(8, 220) | out.rlike(r"(?i)go to file|repository files navigation|github topics|https?://") | out.rlike(rx(TITLE_BAD_START)) | out.rlike(rx(EVIDENCE_BAD_START)) | ~out.rlike("[a-zA-Z]")
     return F.when(~bad, out)
 
@@ -153,7 +156,10 @@ def view_title(value: Column) -> Column:
     """A title as a view shows it; empty if it shows none."""
     raw = F.trim(F.coalesce(value, F.lit("")))
     found = F.coalesce(*[blank(F.trim(F.regexp_extract(raw, rx(p), 1))) for p in VIEW_PATTERNS], raw)
-    out = _rewrite(found, VIEW_REWRITES)
+    return let(_rewrite(found, VIEW_REWRITES), _if_shown)
+
+
+def _if_shown(out: Column) -> Column:
     bad = ~F.length(out).between(4, 220) | out.rlike(r"(?i)^(?:GitHub|This is|Discovery evidence found|从项目页|该项目明确|没有提供)") | out.rlike(r"(?i)waiting for Zhipu enrichment|repository files navigation|go to file|table of contents")
     bad = bad | ~out.rlike(r"[A-Za-z]|[\x{4e00}-\x{9fff}]") | ((F.length(out) < 12) & ~out.rlike(r"^[A-Z][A-Za-z0-9+_.-]{2,40}$"))
     return F.when(bad, "").otherwise(out)

@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..values import EVIDENCE_CONTEXT, EVIDENCE_OTHER_TRACKS, EVIDENCE_VENUES, HIGH_SIGNAL_URL, OTHER_TRACKS, VENUE_YEAR, VENUES
-from .text import normalize_text, rx, squeeze
+from .text import let, normalize_text, rx, squeeze
 
 
 def venue_rule(text: Column) -> Column:
     """(venue, year) of the first rule that a text meets; null for none and for other tracks."""
-    joined = normalize_text(text)
+    return let(normalize_text(text), _venue_rule)
+
+
+def _venue_rule(joined: Column) -> Column:
     out = F.lit(None).cast("string")
     for word, venue in reversed(VENUES):
         out = F.when(joined.rlike(rx(rf"\b{word}(?:-?26|\s+2026)?\b")), F.lit(venue)).otherwise(out)

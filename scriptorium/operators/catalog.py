@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.display import status_rank
-from ..functions.text import blank, clean_list, contained, content_value, normalize_keywords, normalize_text, parse_authors, slugify, split_keywords, stable_id, unique_strings
+from ..functions.text import blank, clean_list, contained, content_value, let, normalize_keywords, normalize_text, parse_authors, slugify, split_keywords, stable_id, unique_strings
 from ..functions.venues import venue_short, venue_year_key
 from ..values import CATEGORY_HINTS, DEFAULT_CATEGORY, FOCUS_HINTS, INTRO_KEYS, RELEVANT_TERMS, UNCLASSIFIED
 
@@ -17,9 +17,16 @@ def classify(text: Column, hints: dict[str, list[str]] = CATEGORY_HINTS, focus:
 
     Hints are substrings on purpose. The hint lists are literals in the plan, so nothing is joined.
     """
-    body = normalize_text(text)
+    return let(normalize_text(text), lambda body: _classify(body, hints, focus, default, most))
+
+
+def _classify(body: Column, hints: dict[str, list[str]], focus: list[str], default: str, most: int) -> Column:
     rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), contained(body, [h.lower() for h in words]).alias("matched")) for i, (key, words) in enumerate(hints.items())])
     ranked = F.array_sort(F.transform(F.filter(rows, lambda r: F.size(r["matched"]) > 0), lambda r: F.struct((-F.size(r["matched"])).alias("n"), r["ord"].alias("ord"), r["key"].alias("key"), r["matched"].alias("matched"))))
+    return let(ranked, lambda found: _chosen_categories(found, body, focus, default, most))
+
+
+def _chosen_categories(ranked: Column, body: Column, focus: list[str], default: str, most: int) -> Column:
     keys = F.transform(ranked, lambda r: r["key"])
     return F.struct(
         F.size(contained(body, focus)).alias("focus_score"),
@@ -30,8 +37,7 @@ def classify(text: Column, hints: dict[str, list[str]] = CATEGORY_HINTS, focus:
 
 
 def is_relevant_title(title: Column, focus: list[str] = FOCUS_HINTS, terms: list[str] = RELEVANT_TERMS) -> Column:
-    body = normalize_text(title)
-    return (F.size(contained(body, focus)) > 0) | (F.size(contained(body, terms)) > 0)
+    return let(normalize_text(title), lambda body: (F.size(contained(body, focus)) > 0) | (F.size(contained(body, terms)) > 0))
 
 
 def canonical(records: DataFrame, hints: dict[str, list[str]] = CATEGORY_HINTS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.display import enrichment_status, status_of_rank, status_rank
-from ..functions.text import blank, longer_text, normalize_text, rx, squeeze, stable_id, unique_strings
+from ..functions.text import blank, let, longer_text, normalize_text, rx, squeeze, stable_id, unique_strings
 from ..functions.titles import best_title
 from ..functions.venues import has_venue_year, is_high_signal, is_personal_homepage, valid_url, venue_rule
 from ..shared import cut
@@ -32,8 +32,16 @@ def _of(column: Column, weights: dict[str, int]) -> Column:
 
 def evidence_score(text: Column, stage: Column, url: Column, terms: dict[str, dict[str, int]] = EVIDENCE_TERMS, reject: list[str] = REJECT_TERMS) -> Column:
     """(score, keep, strong_reject, signals): weighted terms in a text, its stage and its address. Term tables are literals in the plan."""
+    return let(text, lambda body: _evidence_score(body, stage, url, terms, reject))
+
+
+def _evidence_score(text: Column, stage: Column, url: Column, terms: dict[str, dict[str, int]], reject: list[str]) -> Column:
     rows = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(f"{group}:{t}").alias("s")) for group, words in terms.items() for t, w in words.items()])
     hits = F.filter(rows, lambda r: F.contains(text, r["t"]))
+    return let(hits, lambda found: _relevance(found, text, stage, url, reject))
+
+
+def _relevance(hits: Column, text: Column, stage: Column, url: Column, reject: list[str]) -> Column:
     bad = F.exists(F.array(*[F.lit(t) for t in reject]), lambda t: F.contains(text, t))
     high = is_high_signal(url)
     stage = F.coalesce(stage, F.lit(""))

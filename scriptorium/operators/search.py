@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import blank, contained, is_stop_word, normalize_search, tokenize
+from ..functions.text import blank, contained, is_stop_word, let, normalize_search, tokenize
 from ..values import DICTIONARY
 
 
@@ -44,11 +44,14 @@ def expand(text: str, dictionary: list[tuple] = DICTIONARY) -> Query:
 
 def dictionary_matches(text: Column, dictionary: list[tuple] = DICTIONARY) -> Column:
     """(labels, terms, categories) of the entries with an alias in a text, for a column of queries."""
-    body = normalize_search(text)
+    return let(normalize_search(text), lambda body: _dictionary_matches(body, dictionary))
+
+
+def _dictionary_matches(body: Column, dictionary: list[tuple]) -> Column:
     hit = lambda e: F.size(contained(body, [_norm(a) for a in e[1]])) > 0
     none = F.array().cast("array<string>")
     part = lambda values: F.array_distinct(F.flatten(F.array(*[F.when(hit(e), F.array(*[F.lit(v) for v in values(e)])).otherwise(none) for e in dictionary])))
-    return F.struct(part(lambda e: [e[0]]).alias("labels"), F.array_distinct(F.concat(tokenize(text), part(lambda e: [_norm(t) for t in e[3]]))).alias("terms"), part(lambda e: e[2]).alias("categories"))
+    return F.struct(part(lambda e: [e[0]]).alias("labels"), F.array_distinct(F.concat(F.filter(F.split(body, " "), lambda t: t != ""), part(lambda e: [_norm(t) for t in e[3]]))).alias("terms"), part(lambda e: e[2]).alias("categories"))
 
 
 def prepare(papers: DataFrame, title: str = "title", other_titles: list[str] = (), keywords: str | None = None, blob: list[str] = (), categories: str | None = None) -> DataFrame:  # type: ignore[assignment]
