@@ -302,11 +302,21 @@ def compact_evidence(value: Column, size: int) -> Column:
     return F.when(F.length(text) > size, F.concat(F.rtrim(F.left(text, F.lit(size - 3))), F.lit("..."))).otherwise(text)
 
 
+_PAGE = "title:string,page_title:string,name:string,content:string,text:string,markdown:string,summary:string"
+#: A page reader's answer in all its shapes.
+_ANSWER = f"struct<{_PAGE},reader_result:struct<{_PAGE}>,webpage_content:struct<{_PAGE}>,data:struct<{_PAGE},reader_result:struct<{_PAGE}>>,result:struct<{_PAGE}>>"
+
+
 def reader_payload(json: Column) -> Column:
-    """(title, excerpt) of a page reader's answer, whatever shape it has."""
-    at = lambda name: [F.get_json_object(json, f"$.{root}{name}") for root in ("reader_result.", "webpage_content.", "data.reader_result.", "data.", "result.", "")]
-    first = lambda *names: F.coalesce(*[blank(x) for n in names for x in at(n)], F.lit(""))
-    return F.struct(F.trim(first("title", "page_title", "name")).alias("title"), F.trim(F.left(F.regexp_replace(first("content", "text", "markdown", "summary"), r"\s+", " "), F.lit(2200))).alias("excerpt"))
+    """(title, excerpt) of a page reader's answer, whatever shape it has; parsed once."""
+
+    def pick(x: Column) -> Column:
+        roots = [x["reader_result"], x["webpage_content"], x["data"]["reader_result"], x["data"], x["result"], x]
+        first = lambda *names: F.coalesce(*[blank(r[n]) for n in names for r in roots], F.lit(""))
+        excerpt = F.regexp_replace(first("content", "text", "markdown", "summary"), r"\s+", " ")
+        return F.struct(F.trim(first("title", "page_title", "name")).alias("title"), F.trim(F.left(excerpt, F.lit(2200))).alias("excerpt"))
+
+    return let(F.from_json(json, _ANSWER), pick)
 
 
 def longest(left: Column, right: Column) -> Column:
