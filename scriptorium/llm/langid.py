@@ -60,7 +60,7 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS, width: int = WIDTH, rounds: int = 12) -> Model:
-    """Spherical k-means within each language; the floor is half the lowest cosine of any sampled text with its language."""
+    """Spherical k-means within each language; the floor is a quarter of the lowest cosine of any sampled text with its language, so that texts of one known word stay."""
     order = sorted(range(len(texts)), key=lambda i: (langs[i], texts[i]))
     texts, langs = [texts[i] for i in order], [langs[i] for i in order]
     count = np.concatenate([counts(texts[i : i + 64], width) for i in range(0, len(texts), 64)]) if texts else np.zeros((0, width))
@@ -80,7 +80,7 @@ def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS, width: i
         found.append(centre)
         owner += [j] * k
         low = min(low, (own @ centre.T).max(axis=1).min())
-    return Model(names, idf, np.vstack(found) if found else np.zeros((0, width)), np.array(owner, np.int64), 0.5 * low)
+    return Model(names, idf, np.vstack(found) if found else np.zeros((0, width)), np.array(owner, np.int64), 0.25 * low)
 
 
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool]]:

@@ -305,3 +305,13 @@ def test_mix_order(docs):
     ordered = mixing.mix_order(mixing.mix_sources(docs)).select("finish").collect()
     times = [r["finish"] for r in ordered]
     assert times == sorted(times) and len(times) > 50 and times[-1] < 1.6
+
+
+def test_language_rejection(rows):
+    """Unknown scripts are rejected; texts of a single known word are not."""
+    taught = [(t, la) for d, t, la, *_ in rows if d is not None and d < 9000]
+    model = langid.fit([t for t, _ in taught], [la for _, la in taught])
+    assert all(r for _, _, r in langid.predict(model, ["\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8", "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", None, "12 !"]))
+    words = {t.split()[0].strip(".,") for t, _ in taught if len(t.split()[0].strip(".,")) > 2}
+    kept = [not r for _, _, r in langid.predict(model, sorted(words))]
+    assert sum(kept) >= 0.95 * len(kept)
