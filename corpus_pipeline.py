@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are redacted; documents without any stay as they are."""
+    """Secrets are redacted, opaque strings where the owners of their value over the whole corpus show them live; documents without any stay as they are."""
     return secret_scan.redact_secrets(docs.select(*COLUMNS))
 
 

@@ -63,6 +63,12 @@ def find_candidates(docs: DataFrame, text: str = "text", into: str = "found") ->
     return docs.withColumn(into, F.array_sort(F.flatten(F.array(*[_spans(body, k, i) for i, k in enumerate(KINDS)]))))
 
 
+def _frequencies(some: DataFrame) -> DataFrame:
+    """(_hash, _repos, _owners): distinct repositories and owners of each candidate hash."""
+    who = some.select("_hash", F.struct("_owner", "_repo").alias("r"), F.struct("_owner").alias("o")).distinct()
+    return cut(who.groupBy("_hash").agg(F.count_distinct("r").alias("_repos"), F.count_distinct("o").alias("_owners")))
+
+
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", copied_owners: int = 3) -> DataFrame:
     """One row per document: its secret spans, judged by who else has the same value.
 
@@ -80,9 +86,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     rows = cut(rows)  # the texts are read once; what follows handles candidates only
     some = rows.where(F.size("found") > 0).select("_rid", "_key", "_owner", "_repo", F.explode("found").alias("c"))
     some = some.withColumn("_hash", F.sha2(F.col("c.value"), 256))
-    who = some.select("_hash", F.struct("_owner", "_repo").alias("r"), F.struct("_owner").alias("o")).distinct()
-    freq = cut(who.groupBy("_hash").agg(F.count_distinct("r").alias("_repos"), F.count_distinct("o").alias("_owners")))
-    judged = some.join(freq, "_hash").withColumn("_live", F.col("_owners") <= copied_owners)
+    judged = some.join(_frequencies(some), "_hash").withColumn("_live", F.col("_owners") <= copied_owners)
     per_row = judged.groupBy("_rid").agg(
         F.first("_key").alias("_key"),
         F.array_sort(F.collect_list(F.when((F.col("c.ord") < 3) | F.col("_live"), F.col("c")))).alias("found"),
@@ -108,17 +112,26 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(base), 256).alias("base_sha256"), "spans", "live", "copied", "repositories", "owners")
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every base or provider span of a text replaced by the mark; other texts stay as they are.
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repository: str = "lang", copied_owners: int = 3) -> DataFrame:
+    """docs with every base or provider span of a text, and every opaque one judged live, replaced by the mark; other texts stay as they are.
 
-    Overlapping spans are replaced as one. Opaque strings are left alone, as their judgement needs the corpus.
-    n_chars follows the text. Null texts stay null.
+    Opaque strings are judged as scan_secrets() does, by the owners of their value over all of docs. Overlapping spans
+    are replaced as one. Only rows with an opaque string are joined with the judgement. n_chars follows the text. Null texts stay null.
     """
-    spans = F.filter("_found", lambda s: s["ord"] < 4)
+    rows = cut(find_candidates(docs, into="_found").withColumn("_rid", F.monotonically_increasing_id()))
+    some = rows.where(F.size("_found") > 0).select("_rid", F.col(owner).cast("string").alias("_owner"), F.col(repository).cast("string").alias("_repo"), F.explode("_found").alias("c"))
+    some = some.withColumn("_hash", F.sha2(F.col("c.value"), 256))
+    live = some.where("c.ord = 4").join(_frequencies(some), "_hash").where(F.col("_owners") <= copied_owners)
+    live = live.groupBy("_rid").agg(F.collect_list("c").alias("_live"))
+    opaque = F.exists("_found", lambda s: s["ord"] == 4)
+    sure = F.filter("_found", lambda s: s["ord"] < 4)
+    judged = rows.where(opaque).join(live, "_rid", "left")
+    judged = judged.withColumn("_spans", F.when(F.col("_live").isNull(), sure).otherwise(F.array_sort(F.concat(sure, F.col("_live"))))).drop("_live")
+    out = rows.where(~opaque).withColumn("_spans", sure).unionByName(judged)
     step = lambda st, s: F.struct(
         F.when(s["start"] >= st["at"], F.concat(st["out"], F.substring("text", st["at"] + 1, s["start"] - st["at"]), F.lit(mark))).otherwise(st["out"]).alias("out"),
         F.greatest(st["at"], s["end"]).alias("at"),
     )
-    whole = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda st: F.concat(st["out"], F.substring("text", st["at"] + 1, F.length("text"))))
-    found = find_candidates(docs, into="_found").withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    whole = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda st: F.concat(st["out"], F.substring("text", st["at"] + 1, F.length("text"))))
+    out = out.withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

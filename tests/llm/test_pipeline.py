@@ -31,3 +31,19 @@ def test_empty(spark, empty, tmp_path):
     for _, stage in cp.STAGES:
         at = stage(spark, at, "")
     assert at.collect() == []
+
+
+def test_live_opaque_strings_go(spark):
+    """The secret stage redacts what op1_secret_scan judges live, and leaves widely copied strings alone."""
+    from scriptorium.llm import secret_scan
+
+    copied, live = "Zx9aB3dE5fG7hJ9kL1mN3pQ5rS7t", "Qq1aB3dE5fG7hJ9kL1mN3pQ5rS7t"
+    rows = [(i, f"say {copied} end", "en", f"s{i}", 1) for i in range(6)]
+    rows += [(6, f"é {live} and {copied} password: abcdef", "en", "s6", 1), (7, f"{live}", "en", "s6", 1), (7, f"{live}", "en", "s6", 1), (8, None, None, None, None), (None, "plain", "en", "s1", 5)]
+    at = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in cp.secrets(spark, at, "").collect()), key=str)
+    want = [(i, f"say {copied} end", 1) for i in range(6)]
+    long = f"é [SECRET] and {copied} [SECRET]"
+    want += [(6, long, len(long)), (7, "[SECRET]", 8), (7, "[SECRET]", 8), (8, None, None), (None, "plain", 5)]
+    assert found == sorted(want, key=str)
+    assert {r["doc_id"]: r["live"] for r in secret_scan.scan_secrets(at).collect()}[7] == 1
