@@ -23,16 +23,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document that names it stays; of rows with one doc_id, the one of least hash, once.
+    """Of each component of near-duplicates one document stays, once: that of the least id (none last) and, among rows of that id, of least hash.
 
     What stays is decided on ids and hashes; the texts are dealt out once, by the join that keeps them.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"))
-    rows = docs.select(*COLUMNS, key.alias("_k"), F.xxhash64(*COLUMNS).alias("_h"))
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_k")).distinct()
-    least = rows.select("_k", "_h").groupBy("_k", "_h").agg(F.count("*").alias("_n")).groupBy("_k").agg(F.min(F.struct("_h", "_n")).alias("_r"))
-    keep = least.join(named, "_k", "left_semi").select("_k", "_r.*")
+    key = F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id")).alias("_k")
+    rows = docs.select(*COLUMNS, key, F.xxhash64(*COLUMNS).alias("_h"))
+    keep = simhash.representatives(rows, "_h").select(key, "_h", F.col("n").alias("_n"))
     kept = rows.join(keep.hint("shuffle_hash"), ["_k", "_h"])
     return kept.where("_n = 1").select(*COLUMNS).unionByName(kept.where("_n > 1").select(*COLUMNS).distinct())
 

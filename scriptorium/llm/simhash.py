@@ -39,12 +39,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             prints = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the SimHash as a signed long. Null and empty texts have fingerprint 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the SimHash as a signed long; columns of longs named in `carry` come along. Null and empty texts have fingerprint 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return rows.mapInArrow(_fingerprints, ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in carry]]))
 
 
 def _segments(fp: str):
@@ -83,6 +84,18 @@ def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _components(rows: DataFrame, bucket: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of rows (doc_id, fp): root is the least fingerprint of a component, its name whatever ids its rows have."""
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    links = near_links(prints.select("fp"), bucket)
+    roots = connected_components(links).withColumnsRenamed({"node": "fp"})
+    known = prints.join(roots, "fp", "left")
+    named = known.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = known.where(F.col("root").isNotNull()).join(named, "root").select("fp", "root", "component_id")
+    alone = known.where(F.col("root").isNull()).select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return linked.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fp and component_id, the smallest doc_id that links reach.
 
@@ -92,14 +105,20 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     doc_id and text are ignored.
     """
     rows = cut(fingerprints(docs))
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_links(prints.select("fp"), bucket)
-    roots = connected_components(links).withColumnsRenamed({"node": "fp"})
-    known = prints.join(roots, "fp", "left")
-    named = known.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = known.where(F.col("root").isNotNull()).join(named, "root").select("fp", "component_id")
-    alone = known.where(F.col("root").isNull()).select("fp", F.col("least").alias("component_id"))
-    return rows.join(linked.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_components(rows, bucket), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, key: str, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, key, n): of each component of near-duplicates the row of least doc_id, nulls last, and least key (a long), and how often the two are there.
+
+    Components are told apart by fingerprints, so rows that share an id or have none stand for themselves.
+    """
+    rows = cut(fingerprints(docs, (key,)))
+    counted = rows.groupBy("fp", "doc_id", key).agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", key, "n")
+    each = counted.groupBy("fp").agg(F.min(first).alias("r"))  # one row a fingerprint before it meets its component
+    least = each.join(_components(rows, bucket), "fp").groupBy("root").agg(F.min("r").alias("r"))
+    return least.select("r.doc_id", f"r.{key}", "r.n")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -47,3 +47,14 @@ def test_live_opaque_strings_go(spark):
     want += [(6, long, len(long)), (7, "[SECRET]", 8), (7, "[SECRET]", 8), (8, None, None), (None, "plain", 5)]
     assert found == sorted(want, key=str)
     assert {r["doc_id"]: r["live"] for r in secret_scan.scan_secrets(at).collect()}[7] == 1
+
+
+def test_one_of_each_component_stays(spark):
+    """Unlike texts that share an id, or have none, all stay; of each group of copies exactly one row does."""
+    words = lambda i: " ".join(f"w{i}x{j * (i + 3)}" for j in range(40))
+    unlike = [(None, words(i), "en", "s", 1) for i in range(8)] + [(7, words(100 + i), "en", "s", 1) for i in range(8)]
+    copies = [(7, words(200), "en", "s", 1), (5, words(200), "en", "s", 1), (5, words(201), "en", "s", 1), (3, words(201), "en", "s", 1), (None, words(202), "en", "a", 1), (None, words(202), "en", "b", 1), (None, words(0), "en", "s", 1)]
+    at = spark.createDataFrame(unlike + copies, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    found = [(r["doc_id"], r["text"]) for r in cp.near_dedup(spark, at, "").collect()]
+    want = [(d, t) for d, t, *_ in unlike] + [(5, words(200)), (3, words(201)), (None, words(202))]
+    assert sorted(found, key=str) == sorted(want, key=str)
