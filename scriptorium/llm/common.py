@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..shared import apart, cut, shared_folder, table
+from ..shared import apart, cut, cuts, drop_cuts, shared_folder, table
 
-__all__ = ["SPACE", "apart", "cut", "shared_folder", "table", "word_count"]
+__all__ = ["SPACE", "apart", "cut", "cuts", "drop_cuts", "shared_folder", "table", "word_count"]
 
 #: ASCII white space, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"

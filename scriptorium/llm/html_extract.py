@@ -11,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_TAIL = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?][^>]*|(?!)()()()", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|rel)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose content is no text of the page.
 _RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select", "option", "textarea", "title", "head", "canvas", "audio", "video", "button", "datalist"}
 _SOURCE = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "math", "canvas", "select", "object", "audio", "video", "datalist"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label", "input"}
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that end where the next of their name begins.
+_ITEMS = {"li", "dt", "dd", "tr", "td", "th", "option"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that leave no gap in the text around them.
 _UNSEEN = {"script", "style", "template", "noscript"}
@@ -32,8 +36,8 @@ _ASIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search",
 _MAIN_WORD = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body|text)(?:$|[-_\s])", re.I)
 _SPACE = re.compile(r"\s+")
 
-#: Names of a block's features, in order.
-FEATURES = ("beside", "article", "named", "words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "has_article")
+#: Names of a block's features, in order: those of the block, of the blocks before and after it, and whether an element marks it as part of the article.
+FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "marked")
 
 
 def _zone(name: str, attrs: str, within: bool = False) -> int:
@@ -61,42 +65,77 @@ def _zone(name: str, attrs: str, within: bool = False) -> int:
     return zone
 
 
+class _Open:
+    """Elements that are open, with the places of each name and of those that make blocks, so that no end tag or new block looks through them all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.outer: list[int] = []  # places of elements that make blocks
+        self.zones, self.links, self.headings = [0, 0, 0, 0], 0, 0
+
+    def push(self, name: str, zone: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in _INLINE:
+            self.outer.append(len(self.stack))
+        self.stack.append((name, zone))
+        self._count(name, zone, 1)
+
+    def _count(self, name: str, zone: int, n: int) -> None:
+        self.zones[zone] += n * bool(zone)
+        self.links += n * (name == "a")
+        self.headings += n * (name in _HEADING)
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            name, zone = self.stack.pop()
+            self.places[name].pop()
+            if name not in _INLINE:
+                self.outer.pop()
+            self._count(name, zone, -1)
+
+    def end(self, name: str) -> None:
+        """An end tag closes the last element of its name and what is in it; one of an inline element doesn't reach out of a block."""
+        at = (self.places.get(name) or [-1])[-1]
+        if at >= 0 and (name not in _INLINE or not self.outer or self.outer[-1] < at):
+            self.close(at)
+
+    def begin_block(self, name: str) -> None:
+        """A new block ends an open paragraph or heading, or an item of its own kind."""
+        if self.outer:
+            last = self.stack[self.outer[-1]][0]
+            if last == "p" or last in _HEADING or name == last and name in _ITEMS:
+                self.close(self.outer[-1])
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, words, words in links, zone, heading) of a page's flat blocks in order, empty ones left out.
 
     A zone is -1 if any open element is beside the article, else 1 in an article or main element, 2 in an
-    element named like one, else 0. Unclosed elements last until an enclosing one ends.
+    element named like one, else 0. Unclosed elements last until an enclosing one ends. Time grows with the page's length.
     """
     out: list[tuple[str, int, int, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []
-    zones, links, linked, heading, at = [0, 0, 0, 0], 0, 0, 0, 0
+    open_ = _Open()
+    linked = 0
 
     def end_block() -> None:
         nonlocal linked, parts
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                words = text.count(" ") + 1
-                out.append((text, words, min(words, linked), -1 if zones[3] else 1 if zones[1] else 2 if zones[2] else 0, heading > 0))
+                words, zones = text.count(" ") + 1, open_.zones
+                out.append((text, words, min(words, linked), -1 if zones[3] else 1 if zones[1] else 2 if zones[2] else 0, open_.headings > 0))
             parts = []
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal links, heading
-        while len(stack) > upto:
-            name, zone = stack.pop()
-            zones[zone] -= bool(zone)
-            links -= name == "a"
-            heading -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-
-    pos, size = 0, len(page)
+    pos, size, last = 0, len(page), page.rfind(">")
     while pos < size:
-        m = _TOKEN.search(page, pos)
+        m = _next_token(page, pos, last)
         chunk = page[pos : m.start() if m else size]
         if chunk:
             parts.append(chunk)
-            if links:
+            if open_.links:
                 linked += len(chunk.split())
         if not m:
             break
@@ -109,9 +148,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         if name not in _INLINE and name not in _UNSEEN:
             end_block()
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if at >= 0 and (name not in _INLINE or all(x[0] in _INLINE for x in stack[at:])):
-                close(at)
+            open_.end(name)
             continue
         if name in _VOID:
             continue
@@ -119,72 +156,68 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             gone = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
             pos = gone.end() if gone else size
             continue
-        if name not in _INLINE:  # a new block ends what an open paragraph or a list item left open
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or name == stack[i][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    close(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
+        if name not in _INLINE:
+            open_.begin_block(name)
         if m[0].endswith("/>"):
             continue
-        zone = {-1: 3}.get(z := (-1 if name in _RAW else _zone(name, m[3], zones[1] > 0)), z)
-        stack.append((name, zone))
-        zones[zone] += bool(zone)
-        links += name == "a"
-        heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        zone = {-1: 3}.get(z := (-1 if name in _RAW else _zone(name, m[3], open_.zones[1] > 0)), z)
+        open_.push(name, zone)
     end_block()
     return out
 
 
+def _next_token(page: str, pos: int, last: int) -> re.Match | None:
+    """The next tag, comment or declaration. Nothing but a comment or declaration that runs to the end begins after the last `>`."""
+    if pos > last:
+        return _TAIL.search(page, pos)
+    return _TOKEN.search(page, pos)
+
+
+def candidates(found: list[tuple[str, int, int, int, bool]]) -> list[tuple[str, int, int, int, bool]]:
+    """The blocks that can be main text: those of the page's article or main element, or all if it has none; none beside it.
+
+    Elements that by their kind, role or name hold menus, headers, footers, sidebars, notices, adverts, forms or comments are beside it.
+    """
+    article = any(b[3] == 1 for b in found)
+    return [b for b in found if b[3] == 1 or b[3] >= 0 and not article]
+
+
 def features(found: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
     """FEATURES of each block; a page's edges have neighbours without words. Link: share of a block's words in links."""
     words = np.array([0, *(b[1] for b in found), 0], float)
     link = np.array([0, *(b[2] / b[1] for b in found), 0], float)
-    zone = np.array([b[3] for b in found], float)
     n = len(found)
-    return np.column_stack([zone == -1, zone == 1, zone == 2, words[1:-1], link[1:-1], words[:-2], link[:-2], words[2:], link[2:], np.array([b[4] for b in found], float), np.full(n, float((zone == 1).any()))]) if n else np.zeros((0, len(FEATURES)))
+    if not n:
+        return np.zeros((0, len(FEATURES)))
+    heading, marked = (np.array(x, float) for x in ([b[4] for b in found], [b[3] > 0 for b in found]))
+    return np.column_stack([words[1:-1], link[1:-1], words[:-2], link[:-2], words[2:], link[2:], heading, marked])
 
 
-#: A small labelled table: zone, the FEATURES after the first three, and 1 for main text. Blocks as they stand in pages of several kinds.
+#: A small labelled table: FEATURES and 1 for main text. Blocks as they stand in pages of several kinds.
 LABELLED = [
-    # an article element: its blocks of any length are main text
-    (1, 9, 0, 1, 1, 24, 0, 1, 1, 1), (1, 24, 0, 9, 0, 30, 0, 0, 1, 1), (1, 1, 0, 30, 0, 12, 0, 0, 1, 1), (1, 60, 0.05, 1, 0, 8, 0, 0, 1, 1),
-    (1, 3, 0, 60, 0, 2, 0, 0, 1, 1), (1, 5, 1, 40, 0, 33, 0, 0, 1, 1), (1, 120, 0.02, 3, 0, 0, 0, 0, 1, 1), (1, 2, 0, 1, 0, 9, 0, 0, 1, 1),
-    (1, 7, 0.3, 22, 0, 4, 1, 0, 1, 1), (1, 1, 1, 8, 0, 5, 0, 0, 1, 1), (1, 14, 0, 0, 0, 0, 0, 0, 1, 1), (1, 40, 0.6, 12, 0, 9, 0, 0, 1, 1),
-    # what lies beside it is not, however long
-    (-1, 1, 1, 0, 0, 1, 1, 0, 1, 0), (-1, 12, 0, 1, 1, 9, 0, 0, 1, 0), (-1, 45, 0, 60, 0, 3, 0, 0, 1, 0), (-1, 8, 0, 30, 0, 0, 0, 0, 1, 0),
-    (-1, 80, 0.01, 2, 0, 20, 0, 0, 1, 0), (-1, 2, 0.5, 4, 1, 6, 0, 1, 1, 0), (-1, 30, 0, 20, 0, 28, 0, 0, 0, 0), (-1, 4, 1, 5, 1, 3, 1, 0, 0, 0),
-    (-1, 150, 0, 0, 0, 0, 0, 0, 0, 0), (-1, 1, 0, 2, 0, 1, 1, 0, 0, 0), (-1, 20, 0, 90, 0, 110, 0, 0, 0, 0), (-1, 6, 0, 0, 0, 70, 0, 1, 0, 0),
-    # loose blocks of a page that has an article element
-    (0, 5, 0, 1, 1, 12, 0, 0, 1, 0), (0, 25, 0, 12, 0, 40, 0, 0, 1, 0), (0, 3, 1, 3, 1, 3, 1, 0, 1, 0), (2, 18, 0, 12, 0, 33, 0, 0, 1, 0),
-    (0, 60, 0, 0, 0, 2, 0, 0, 1, 0), (2, 2, 1, 40, 0, 0, 0, 0, 1, 0), (0, 10, 0, 50, 0, 9, 0, 1, 1, 0), (2, 70, 0, 8, 0, 60, 0, 0, 1, 0),
-    # pages without one: an element named like content
-    (2, 8, 0, 1, 1, 30, 0, 1, 0, 1), (2, 40, 0, 8, 0, 50, 0, 0, 0, 1), (2, 3, 0, 40, 0, 22, 0, 0, 0, 1), (2, 70, 0.1, 3, 0, 4, 0, 0, 0, 1),
-    (2, 1, 0, 30, 0, 18, 0, 0, 0, 1), (2, 4, 1, 3, 1, 4, 1, 0, 0, 0), (2, 2, 1, 30, 0, 2, 1, 0, 0, 0), (2, 6, 0.9, 5, 1, 0, 0, 0, 0, 0),
-    # and none at all: word counts and link densities of the block and its neighbours decide
-    (0, 40, 0, 9, 0, 60, 0, 0, 0, 1), (0, 60, 0.05, 40, 0, 3, 0, 0, 0, 1), (0, 25, 0, 60, 0, 2, 0.5, 0, 0, 1), (0, 12, 0, 40, 0, 35, 0, 0, 0, 1),
-    (0, 4, 0, 50, 0, 45, 0, 0, 0, 1), (0, 7, 0, 3, 1, 48, 0, 1, 0, 1), (0, 18, 0.1, 22, 0, 30, 0, 0, 0, 1), (0, 90, 0.2, 2, 1, 5, 1, 0, 0, 1),
-    (0, 6, 0, 1, 1, 30, 0, 1, 0, 1), (0, 16, 0, 12, 0, 14, 0, 0, 0, 1), (0, 2, 1, 2, 1, 2, 1, 0, 0, 0), (0, 1, 1, 0, 0, 1, 1, 0, 0, 0),
-    (0, 5, 0.8, 3, 1, 2, 1, 0, 0, 0), (0, 3, 0, 2, 1, 2, 1, 0, 0, 0), (0, 4, 0, 0, 0, 3, 1, 0, 0, 0), (0, 8, 0.9, 50, 0, 4, 1, 0, 0, 0),
-    (0, 6, 0, 4, 1, 0, 0, 0, 0, 0), (0, 14, 0.7, 6, 1, 5, 1, 0, 0, 0), (0, 5, 0, 3, 1, 0, 0, 0, 0, 0), (0, 3, 1, 60, 0, 40, 0, 0, 0, 0),
+    # in a marked article: headings, long and short paragraphs, with and without links in them
+    (9, 0, 1, 1, 24, 0, 1, 1, 1), (24, 0, 9, 0, 30, 0, 0, 1, 1), (1, 0, 30, 0, 12, 0, 0, 1, 1), (60, 0.05, 1, 0, 8, 0, 0, 1, 1),
+    (3, 0, 60, 0, 2, 0, 0, 1, 1), (120, 0.02, 3, 0, 0, 0, 0, 1, 1), (2, 0, 1, 0, 9, 0, 0, 1, 1), (14, 0, 0, 0, 0, 0, 0, 1, 1),
+    (7, 0.3, 22, 0, 4, 1, 0, 1, 1), (40, 0.6, 12, 0, 9, 0, 0, 1, 1), (2, 0, 4, 1, 1, 1, 0, 1, 1), (1, 0, 1, 1, 1, 0, 1, 1, 1),
+    (1, 0, 0, 0, 2, 1, 0, 1, 1), (18, 0.5, 3, 1, 2, 1, 0, 1, 1), (6, 0.4, 2, 0, 3, 0, 0, 1, 1), (2, 0.5, 5, 0, 30, 0, 0, 1, 1),
+    # a linked heading or paragraph of it, text before and after
+    (5, 1, 40, 0, 33, 0, 0, 1, 1), (1, 1, 8, 0, 5, 0, 0, 1, 1), (8, 1, 0, 0, 60, 0, 1, 1, 1), (30, 0.95, 12, 0, 25, 0, 0, 1, 1), (3, 1, 12, 0, 0, 0, 0, 1, 1),
+    # lists of links in it: links before or after
+    (1, 1, 0, 0, 1, 1, 0, 1, 0), (2, 1, 1, 1, 2, 1, 0, 1, 0), (3, 1, 3, 1, 60, 0, 0, 1, 0), (4, 1, 50, 0, 3, 1, 0, 1, 0),
+    (2, 1, 30, 0, 2, 1, 0, 1, 0), (1, 1, 2, 1, 0, 0, 0, 1, 0), (6, 0.9, 5, 1, 4, 1, 0, 1, 0), (5, 1, 6, 1, 40, 0, 0, 1, 0),
+    # pages that mark none: long blocks, and short ones among them
+    (40, 0, 9, 0, 60, 0, 0, 0, 1), (60, 0.05, 40, 0, 3, 0, 0, 0, 1), (25, 0, 60, 0, 2, 0.5, 0, 0, 1), (12, 0, 40, 0, 35, 0, 0, 0, 1),
+    (4, 0, 50, 0, 45, 0, 0, 0, 1), (7, 0, 3, 1, 48, 0, 1, 0, 1), (18, 0.1, 22, 0, 30, 0, 0, 0, 1), (90, 0.2, 2, 1, 5, 1, 0, 0, 1),
+    (6, 0, 1, 1, 30, 0, 1, 0, 1), (16, 0, 12, 0, 14, 0, 0, 0, 1), (30, 0, 1, 1, 1, 1, 0, 0, 1), (45, 0, 4, 0, 0, 0, 0, 0, 1),
+    # what stands around them: links, and short blocks beside links or at the edge
+    (2, 1, 2, 1, 2, 1, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0), (5, 0.8, 3, 1, 2, 1, 0, 0, 0), (3, 0, 2, 1, 2, 1, 0, 0, 0),
+    (4, 0, 0, 0, 3, 1, 0, 0, 0), (8, 0.9, 50, 0, 4, 1, 0, 0, 0), (6, 0, 4, 1, 0, 0, 0, 0, 0), (14, 0.7, 6, 1, 5, 1, 0, 0, 0),
+    (5, 0, 3, 1, 0, 0, 0, 0, 0), (3, 1, 60, 0, 40, 0, 0, 0, 0), (4, 1, 3, 0, 2, 0, 0, 0, 0), (7, 0.6, 0, 0, 12, 0.5, 0, 0, 0),
 ]
 
 
-def labelled_rows(table: list[tuple]) -> list[tuple]:
-    """Training rows of the labelled table, with zones as FEATURES has them.
-
-    Where a block stands outweighs its words, so each row's words and links are also seen in an article, beside one,
-    and loose in a page that has one.
-    """
-    rows = [*table]
-    for _, *rest, _, _ in table:
-        rows += [(1, *rest, 1, 1), (-1, *rest, 1, 0), (-1, *rest, 0, 0), (0, *rest, 1, 0), (2, *rest, 1, 0)]
-    return [(float(z == -1), float(z == 1), float(z == 2), *rest) for z, *rest in rows]
-
-
 def train_tree(table: list[tuple], depth: int = 8) -> tuple | float:
-    """A binary tree of least Gini impurity over labelled_rows(): (feature, threshold, low, high) or the share of main text in a leaf."""
+    """A binary tree of least Gini impurity: (feature, threshold, low, high) or the share of main text in a leaf."""
     data = np.array(table, float)
     x, y = data[:, :-1], data[:, -1]
     if depth == 0 or len(set(y)) == 1:
@@ -211,18 +244,21 @@ def classify(tree: tuple | float, row) -> bool:
 
 
 def main_text(page: str | None, tree: tuple) -> str:
-    found = blocks(page or "")
+    found = candidates(blocks(page or ""))
     return " ".join(b[0] for b, row in zip(found, features(found).tolist()) if classify(tree, row))
 
 
 def extract_main_text(pages: DataFrame, labelled: list[tuple] = LABELLED) -> DataFrame:
     """page_id, url, text (empty if the page has none) and n_chars of each page.
 
-    The tree is trained on the labelled table and classifies each block of the whole html. Null html: empty.
-    Broken markup is read as far as it goes. Rows that repeat are extracted each; an empty table gives no rows;
-    other columns are ignored.
+    The page is split into flat text blocks. Those in elements of other kinds than the article are left aside, and a tree
+    trained on the labelled table classifies all others by words and link densities, their own and their neighbours'.
+
+    Null or empty html: empty. Pages of any length are read whole, in time that grows with the length; broken markup is
+    read as far as it goes. A leaf with as many of either kind counts as main text. Rows that repeat are extracted each;
+    an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    tree = train_tree(labelled_rows(labelled))
+    tree = train_tree(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

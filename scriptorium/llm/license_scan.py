@@ -9,72 +9,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Notices that state a licence, by SPDX name. A text or line is known if its canonical form is one of these.
-NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This work is licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This work is licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "Released under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "ISC": [
-        "Released under the ISC License.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"],
-    "0BSD": ["SPDX-License-Identifier: 0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'],
-}
+from .license_texts import LONG_TEXTS, NOTICES, TEXTS
+
 #: Spellings that count as one.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "v": "version", "https": "http", "noncommercial": "nc", "organisation": "organization", "favour": "favor"}
-_COPYRIGHT = r"^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Lines that state whose copyright it is; a line of a licence that merely begins with the word stays, however its text is wrapped.
+_COPYRIGHT = r"^[ \t]*(?:(?:copyright:?[ \t]*)?(?:\(c\)|©)|copyright:?[ \t]+(?:[0-9\[<{]|by[ \t]))[^\n]*$|^[ \t]*all rights reserved[.!]?[ \t]*$"
 
 
 def canonical_text(text: str) -> str:
     """What canonical() does, for known texts."""
     out = re.sub("(?m)" + _COPYRIGHT, " ", text.lower())
-    out = f" {re.sub('[^a-z0-9]+', ' ', out)} "
+    out = f" {re.sub('[^a-z0-9]+', '  ', out)} "
     for a, b in SPELLINGS.items():
         out = out.replace(f" {a} ", f" {b} ")
-    return out.strip(" ")
+    return out.replace("  ", " ").strip(" ")
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines; runs of other characters than a-z and 0-9 are one space; one spelling for each word."""
     out = F.regexp_replace(F.lower(text), "(?md)" + _COPYRIGHT, " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9]+", " "), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9]+", "  "), F.lit(" "))  # each word has spaces of its own
     for a, b in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(canonical_text(text).encode()).hexdigest()
 
 
-def digests(notices: dict[str, list[str]] = NOTICES) -> list[tuple[str, str]]:
-    """(digest, licence) of the known texts, without repeats."""
-    found = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, texts in notices.items() for t in texts}
+def digests(notices: dict[str, list[str]] = NOTICES, texts: dict[str, tuple[list[str], str]] = TEXTS, known: dict[str, list[str]] = LONG_TEXTS) -> list[tuple[str, str]]:
+    """(digest, licence) of the known texts, without repeats: notices, short licences under each of their titles and without, and the digests of long ones."""
+    found = {digest(t): name for name, lines in notices.items() for t in lines}
+    found |= {digest(f"{title}\n\n{body}"): name for name, (titles, body) in texts.items() for title in ["", *titles]}
+    found |= {d: name for name, values in known.items() for d in values}
     return sorted(found.items())
 
 
-def scan_licenses(docs: DataFrame, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+def _hint(notices: dict[str, list[str]]) -> tuple[str, str]:
+    """Patterns of the first and the last word of any line whose canonical form is a notice's; all spellings of a word count."""
+    back: dict[str, list[str]] = {}
+    for a, b in SPELLINGS.items():
+        back.setdefault(b, []).append(a)
+    forms = [canonical_text(t).split() for lines in notices.values() for t in lines]
+    either = lambda words: "|".join(sorted({x for w in words for x in [w, *back.get(w, [])]}))
+    return f"^[^a-z0-9]*(?:{either(f[0] for f in forms if f)})(?:[^a-z0-9]|$)", f"(?:^|[^a-z0-9])(?:{either(f[-1] for f in forms if f)})[^a-z0-9]*$"
+
+
+def scan_licenses(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, texts: dict[str, tuple[list[str], str]] = TEXTS) -> DataFrame:
     """One row per document: the licence that its entire text is, and those that its entire lines state.
 
-    A text's or line's canonical form is digested and looked up among the known licences' digests (a fixed
-    table, broadcast). Null and empty texts have the digest of nothing and no licence. Rows that repeat are
-    returned each; an empty table gives no rows. Of columns of docs, doc_id and text are read.
+    A whole text's canonical form is digested and joined with the known licences' digests (a fixed table of the module or
+    the caller, broadcast). A line's is looked up among the notices' digests; only lines that begin and end like a notice
+    are digested, which leaves out none that is one. Null and empty texts have the digest of nothing and no licence. Long
+    texts and lines count whole. Two licences of one digest: the last of the table. Rows that repeat are returned each; an
+    empty table gives no rows. Of columns of docs, doc_id and text are read, whatever others are named.
     Columns: doc_id, text_digest, license (null if the whole text is none), notices (sorted names of the lines'
     licences, repeats dropped), n_notices (lines that are one).
     """
     spark = docs.sparkSession
-    known = digests(notices)
     shape = T.StructType([T.StructField("text_digest", T.StringType()), T.StructField("license", T.StringType())])
-    lookup = F.broadcast(spark.createDataFrame(known, shape))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # a line is worth digesting if it has a word that each known notice has; canonical forms keep those words
-    hint = r"(?i:licen[sc]e|released under|permission to use)"
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(hint))
-    names = F.create_map(*[F.lit(y) for x in known for y in x])
-    stated = F.filter(F.transform(lines, lambda x: F.element_at(names, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), F.when(F.col("text").rlike(hint), stated).otherwise(F.array().cast("array<string>")).alias("_stated"))
+    lookup = F.broadcast(spark.createDataFrame(digests(notices, texts), shape))
+    lines, none = digests(notices, {}, {}), F.array().cast("array<string>")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    stated = none
+    if lines:
+        first, last = _hint(notices)
+        names = F.create_map(*[F.lit(y) for x in lines for y in x])
+        able = F.filter(F.split(F.lower("text"), "\n"), lambda x: x.rlike(first) & x.rlike(last))
+        stated = F.filter(F.transform(able, lambda x: F.element_at(names, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), stated.alias("_stated"))
     out = rows.join(lookup, "text_digest", "left")
     return out.select("doc_id", "text_digest", "license", F.array_join(F.array_sort(F.array_distinct("_stated")), ",").alias("notices"), F.size("_stated").cast("long").alias("n_notices"))

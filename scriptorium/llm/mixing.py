@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 from .common import cut, word_count
 
-#: Rows of a source that one task orders, about.
-BUCKET_ROWS = 20_000
+#: Rows of a source that one task orders, about, and words of a range of finish times.
+BUCKET_ROWS, RANGE_WORDS = 20_000, 20_000_000
+#: Largest table of sources that is broadcast, in bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def fair_targets(sizes: list[int], weights: list[float], budget: float, epochs: int = 3) -> list[float]:
@@ -18,16 +20,16 @@ def fair_targets(sizes: list[int], weights: list[float], budget: float, epochs:
     target, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
     left = float(budget)
     while open_:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total > epochs * sizes[i]]
+        level = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if level * weights[i] > epochs * sizes[i]]
         if not full:
             for i in open_:
-                target[i] = left * weights[i] / total
+                target[i] = level * weights[i]
             break
         for i in full:
             target[i] = float(epochs * sizes[i])
         left -= sum(epochs * sizes[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        open_ = [i for i in open_ if level * weights[i] <= epochs * sizes[i]]
     return target
 
 
@@ -37,55 +39,104 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), empty), F.md5(F.coalesce(text, empty))))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: what a mix of all sources takes of it.
-
-    Sources by code point, null last, get the weights in turn and share a budget of all words
-    (fair_targets). Documents of a source are shuffled by a hash; the e-th copy of a document finishes at
-    (e * source size + words of its source so far) / target. In the order of finish times the mix is cut
-    where its words reach the budget. As targets add up to the budget, that is at time 1, whatever the order
-    within sources, so no global prefix sum is needed; the document of each source that is being served then is
-    cut at the source's target. mix_order() gives the rows in that order.
-
-    The sources (not their documents) come to the driver: their number is a parameter of the mix. A source's
-    words are summed in ranges of the shuffled order, so no task holds a source.
+def _served(docs: DataFrame, weights: tuple[float, ...], epochs: int, seed: int, *extra: Column) -> tuple[DataFrame, int]:
+    """Rows (_rid, doc_id, size, source_size, target, start, *extra), where start counts the words of a source that stand before a document in its shuffled order; and the budget in whole words.
 
-    Null text or text without words: size 0, taken 0. Rows that repeat count each. An empty table or one
-    without words: targets and taken are 0. Columns: doc_id, size, source_size, target, taken, finish (of the first
-    copy; null for size 0), copies (those of which at least half is taken), then those named in `carry`.
+    The sources (not their documents) come to the driver: their number is a parameter of the mix. A source's words are
+    summed in ranges of the shuffled order, so no task holds a source.
     """
     spark = docs.sparkSession
-    kept = [f"_c{i}" for i in range(len(carry))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("r"), *[F.col(c).alias(k) for c, k in zip(carry, kept)])
-    rows = cut(rows)
-    totals = sorted(rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda x: (x["source"] is None, (x["source"] or "").encode()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"), word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("_r"), *extra)
+    names = [c for c in rows.columns if c not in ("doc_id", "_source", "size", "_r")]
+    rows = cut(rows.withColumn("_rid", F.monotonically_increasing_id()))
+    totals = sorted(rows.groupBy("_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda x: (x["_source"] is None, (x["_source"] or "").encode()))
     sizes = [x["n"] for x in totals]
     target = fair_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], sum(sizes), epochs)
-    shape = T.StructType([T.StructField("_s", T.StringType()), T.StructField("o", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    sources = spark.createDataFrame([(x["source"], i, sizes[i], target[i]) for i, x in enumerate(totals)], shape)
-    sources = F.broadcast(sources) if len(totals) <= 100_000 else sources
-    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    shape = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_o", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
+    sources = spark.createDataFrame([(x["_source"], i, sizes[i], target[i]) for i, x in enumerate(totals)], shape)
+    if sum(40 + len(x["_source"] or "") for x in totals) <= BROADCAST_BYTES:
+        sources = F.broadcast(sources)
+    rows = rows.join(sources, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_source")
 
     parts = max(64, -(-max([x["rows"] for x in totals], default=0) // BUCKET_ROWS))
-    rows = rows.withColumn("b", F.floor(F.conv(F.left("r", F.lit(8)), 16, 10).cast("long") * parts / F.lit(2.0**32)).cast("int"))
-    sums = rows.groupBy("o", "b").agg(F.sum("size").alias("w"))
-    before = sums.select("o", "b", (F.sum("w").over(Window.partitionBy("o").orderBy("b")) - F.col("w")).alias("before"))
-    local = Window.partitionBy("o", "b").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("local", F.sum("size").over(local)).join(before, ["o", "b"]).withColumn("cum", F.col("before") + F.col("local"))
+    rows = rows.withColumn("_b", F.floor(F.conv(F.left("_r", F.lit(8)), 16, 10).cast("long") * parts / F.lit(2.0**32)).cast("int"))
+    sums = rows.groupBy("_o", "_b").agg(F.sum("size").alias("w"))
+    before = sums.select("_o", "_b", (F.sum("w").over(Window.partitionBy("_o").orderBy("_b")) - F.col("w")).alias("_before"))
+    local = Window.partitionBy("_o", "_b").orderBy("_r", "doc_id", "size", "_rid").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.sum("size").over(local)).join(before, ["_o", "_b"])
+    return rows.select("_rid", "doc_id", "size", "source_size", "target", (F.col("_before") + F.col("_local") - F.col("size")).alias("start"), *names), sum(int(t) for t in target)
+
+
+def _packets(served: DataFrame, epochs: int, whole: bool) -> DataFrame:
+    """Adds a row for each copy of a document: copy (from 0), words, finish and late.
+
+    The e-th copy of a document finishes at (e * source size + words of its source up to its end) / target, so that at
+    time 1 every source has had its target. Unless `whole`, a copy that is being served at time 1 is two packets, one that
+    finishes then and a late one. Copies that only start after time 1 are beyond the budget and aren't made.
+    """
+    words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("start") - F.col("copy") * F.col("source_size"))).cast("long")
+    copies = served.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_early", words).where("_early > 0")
+    end = (F.col("copy") * F.col("source_size") + F.col("start") + F.col("size")) / F.col("target")
+    if whole:
+        return copies.select("*", F.col("size").alias("words"), end.alias("finish"), F.lit(0).alias("late")).drop("_early")
+    early = F.struct(F.col("_early").alias("words"), F.least(end, F.lit(1.0)).alias("finish"), F.lit(0).alias("late"))
+    late = F.struct((F.col("size") - F.col("_early")).alias("words"), end.alias("finish"), F.lit(1).alias("late"))
+    return copies.withColumn("_p", F.explode(F.array(early, late))).select("*", "_p.*").where("words > 0").drop("_p", "_early")
+
+
+def _truncated(packets: DataFrame, budget: int) -> DataFrame:
+    """Packets in the global order of finish times with `taken`: their words as far as the budget reaches.
+
+    The order is cut into ranges of equal virtual time, which hold about equally many words, as the queue serves at a
+    constant rate. Each range is sorted by one task; the words of earlier ranges come from their sums.
+    """
+    parts = max(64, -(-budget // RANGE_WORDS))
+    rows = packets.withColumn("_range", F.floor(F.col("finish") * parts).cast("int"))
+    sums = rows.groupBy("_range").agg(F.sum("words").alias("w"))
+    before = sums.select("_range", (F.sum("w").over(Window.orderBy("_range")) - F.col("w")).alias("_before"))
+    local = Window.partitionBy("_range").orderBy("finish", "late", "_rid", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.sum("words").over(local)).join(before, "_range")
+    room = F.lit(budget) - F.col("_before") - F.col("_local") + F.col("words")
+    return rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), room)).cast("long")).drop("_range", "_local", "_before")
 
-    start = F.col("cum") - F.col("size")
-    of_copy = [F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start - e * F.col("source_size"))) for e in range(epochs)]
-    half = [((F.col("size") > 0) & (2 * x >= F.col("size"))).cast("int") for x in of_copy]
-    finish = F.when(F.col("size") > 0, F.col("cum") / F.nullif(F.col("target"), F.lit(0.0)))
-    return rows.select("doc_id", "size", "source_size", "target", sum(of_copy[1:], of_copy[0]).cast("long").alias("taken"), finish.alias("finish"), sum(half[1:], half[0]).alias("copies"), *[F.col(k).alias(c) for c, k in zip(carry, kept)])
 
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: int = 17) -> DataFrame:
+    """One row per document: what a mix of all sources takes of it.
 
-def mix_order(mixed: DataFrame) -> DataFrame:
-    """Rows of mix_sources(), one for each copy, dealt out and sorted by the copies' finish times (column finish)."""
-    copies = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    copies = copies.withColumn("finish", F.col("finish") + F.col("_copy") * (F.col("source_size") / F.col("target")))
-    return copies.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id").drop("_copy")
+    Sources by code point, null last, get the weights in turn and share a budget of all words (fair_targets). Documents of
+    a source are shuffled by a hash and queue up in that order, up to `epochs` times. Packets of all sources are sorted by
+    virtual finish time and truncated where their words reach the budget.
+
+    Null text or text without words: size 0, taken 0. Long texts count whole. Ties in the shuffled order go by id and
+    size, ties of finish times by row. Rows that repeat count each. An empty table gives no rows, one without words
+    targets and taken of 0. Columns of docs other than doc_id, text and source are ignored, whatever their names.
+    Columns: doc_id, size, source_size, target, taken.
+    """
+    served, budget = _served(docs, weights, epochs, seed)
+    taken = _truncated(_packets(served, epochs, False), budget).groupBy("_rid").agg(F.sum("taken").alias("taken"))
+    rows = served.select("_rid", "doc_id", "size", "source_size", "target").join(taken, "_rid", "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself: whole documents, once for each copy, sorted by finish time and truncated at the budget.
+
+    A copy that starts within the budget is taken whole if the global order has room for at least half of it. What is
+    taken is decided on hashes of rows; texts move for the join that keeps them and for the sort. Rows that repeat in all
+    columns are taken as often as all of them are. Null and empty texts, having no words, are left out; an empty table
+    gives no rows. Columns: those of docs.
+    """
+    nulls = [F.col(c).isNull() for c in docs.columns]  # a hash passes over nulls
+    key = [F.xxhash64(F.lit(i), *nulls, *docs.columns).alias(f"_h{i}") for i in (1, 2)]
+    served, budget = _served(docs, weights, epochs, seed, *key)
+    taken = _truncated(_packets(served, epochs, True), budget).where("2 * taken >= words and taken > 0")
+    taken = taken.groupBy("_h1", "_h2").agg(F.collect_list(F.struct("finish", "copy")).alias("_at"))
+    many = served.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"))
+    kept = docs.select(*docs.columns, *key).join(taken.join(many, ["_h1", "_h2"]).hint("shuffle_hash"), ["_h1", "_h2"])
+    once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_h1", "_h2"]))
+    copies = once.withColumn("_c", F.explode("_at")).select(*docs.columns, F.col("_c.finish").alias("_finish"), "_h1")
+    return copies.repartitionByRange("_finish", "_h1").sortWithinPartitions("_finish", "_h1").select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs)

@@ -7,7 +7,7 @@ against brute force.
 
 from __future__ import annotations
 
-from . import license_scan, secret_scan
+from .license_texts import LONG_TEXTS, NOTICES, TEXTS
 
 
 def q(text: str) -> str:
@@ -21,27 +21,32 @@ def top_k() -> str:
 
 
 def _canonical(x: str) -> str:
-    out = f"regexp_replace(lower({x}), {q('(?m)' + license_scan._COPYRIGHT)}, ' ', 'g')"
-    out = f"concat(' ', regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'), ' ')"
-    for a, b in license_scan.SPELLINGS.items():
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim({out})"
+    """Lower case without copyright lines, words of a-z and 0-9, then one spelling of each word."""
+    words = f"regexp_extract_all(regexp_replace(lower({x}), '(?m)^[ \\t]*((copyright:?[ \\t]*)?(\\(c\\)|©)|copyright:?[ \\t]+([0-9\\[<{{]|by[ \\t]))[^\\n]*$|^[ \\t]*all rights reserved[.!]?[ \\t]*$', ' ', 'g'), '[a-z0-9]+')"
+    one = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("v", "version"), ("https", "http"), ("noncommercial", "nc"), ("organisation", "organization"), ("favour", "favor"))
+    spelled = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in one)
+    return f"array_to_string(list_transform({words}, lambda w: CASE w {spelled} ELSE w END), ' ')"
 
 
 def licenses() -> str:
-    known = ", ".join(f"({q(d)}, {q(n)})" for d, n in license_scan.digests())
-    return f"""WITH k(digest, name) AS (VALUES {known}), t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t),
+    """Known texts are digested by the SQL itself; of long ones only the digests are known."""
+    lines = ", ".join(f"({q(t)}, {q(n)})" for n, texts in NOTICES.items() for t in texts)
+    wholes = ", ".join(f"({q(title + chr(10) + chr(10) + body)}, {q(n)})" for n, (titles, body) in TEXTS.items() for title in ["", *titles])
+    long = ", ".join(f"({q(d)}, {q(n)})" for n, digests in LONG_TEXTS.items() for d in digests)
+    return f"""WITH n(line, name) AS (VALUES {lines}), x(body, name) AS (VALUES {wholes}), y(digest, name) AS (VALUES {long}), k AS (SELECT DISTINCT sha256({_canonical('line')}) AS digest, name FROM n), a AS (SELECT * FROM k UNION SELECT sha256({_canonical('body')}), name FROM x UNION SELECT * FROM y),
+      t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t),
       s AS (SELECT rid, string_agg(DISTINCT k.name, ',' ORDER BY k.name) AS notices, count(*) AS n FROM l JOIN k ON k.digest = sha256({_canonical('line')}) GROUP BY rid), w AS (SELECT rid, doc_id, sha256({_canonical('text')}) AS text_digest FROM t)
-      SELECT w.doc_id, w.text_digest, k.name AS license, coalesce(s.notices, '') AS notices, coalesce(s.n, 0) AS n_notices FROM w LEFT JOIN k ON k.digest = w.text_digest LEFT JOIN s ON s.rid = w.rid"""
+      SELECT w.doc_id, w.text_digest, a.name AS license, coalesce(s.notices, '') AS notices, coalesce(s.n, 0) AS n_notices FROM w LEFT JOIN a ON a.digest = w.text_digest LEFT JOIN s ON s.rid = w.rid"""
 
 
 def secrets(copied_owners: int = 3) -> str:
-    kinds = list(secret_scan.KINDS)
-    pattern = lambda k: q("[0-9a-f]{24,}" if k == "hex" else secret_scan.KINDS[k])
-    found = " UNION ALL ".join(f"SELECT rid, {i} AS ord, {q(k)} AS kind, regexp_extract_all(t, {pattern(k)}) AS f, string_split_regex(t, {pattern(k)}) AS g FROM d WHERE regexp_matches(t, {q(secret_scan._HINT[k])})" for i, k in enumerate(kinds))
+    key, sep = "(?i:password|passwd|secret|token|api_?key)", """[\"']?\\x20*[:=]\\x20*[\"']?"""
+    # a run of hexadecimal digits is found whole, so shorter ones needn't be looked at
+    kinds = (("assign", f"{key}{sep}[A-Za-z0-9+/_.=-]+"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]{24,}"), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("opaque", "[A-Za-z0-9+/_-]{24,}"))
+    found = " UNION ALL ".join(f"SELECT rid, {i} AS ord, {q(k)} AS kind, regexp_extract_all(t, {q(p)}) AS f, string_split_regex(t, {q(p)}) AS g FROM d WHERE regexp_matches(t, {q(p)})" for i, (k, p) in enumerate(kinds))
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS o, coalesce(lang, chr(1)) AS l, coalesce(text, '') AS t FROM documents), m AS ({found}), u AS (SELECT rid, ord, kind, f, g, unnest(range(len(f))) AS i FROM m),
-      c AS (SELECT rid, ord, kind, f[i + 1] AS m, list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i], lambda x: length(x))), 0) AS s FROM u),
-      v AS (SELECT rid, ord, kind, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + length(m) AS e, CASE WHEN ord = 0 THEN regexp_replace(m, {q(secret_scan._KEY)}, '') ELSE m END AS x FROM c),
+      c AS (SELECT rid, ord, kind, f[i + 1] AS m, CAST(sum(length(g[i + 1])) OVER w + coalesce(sum(length(f[i + 1])) OVER (PARTITION BY rid, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM u WINDOW w AS (PARTITION BY rid, ord ORDER BY i ROWS UNBOUNDED PRECEDING)),
+      v AS (SELECT rid, ord, kind, s, s + length(m) AS e, CASE WHEN ord = 0 THEN regexp_replace(m, {q("^" + key + sep)}, '') ELSE m END AS x FROM c),
       k AS (SELECT * FROM v WHERE CASE ord WHEN 0 THEN length(x) >= 6 WHEN 1 THEN length(x) >= 20 WHEN 2 THEN length(x) >= 24 WHEN 3 THEN true ELSE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') END),
       w AS (SELECT k.x, count(DISTINCT d.o || chr(2) || d.l) AS repos, count(DISTINCT d.o) AS owners FROM k JOIN d ON d.rid = k.rid GROUP BY 1),
       j AS (SELECT k.*, w.repos, w.owners, w.owners <= {copied_owners} AS live, k.kind || ':' || k.s || ':' || k.e AS span FROM k JOIN w ON w.x = k.x),

@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from .common import cut
 
 CAPACITY, END = 1024, 2
+#: Pieces of one length that one task ranks, about.
+BUCKET_ROWS = 20_000
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters on whose classes the rank file's pattern and the tokenizer's agree (tests compare them); other texts go to the tokenizer itself.
 _COMMON = re.compile("[^\x00-ɏ‐-‧€]")
@@ -90,81 +92,89 @@ def tokenise(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACI
     return rows.mapInArrow(_tokenise(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price_pattern(prices: np.ndarray, stock: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable pattern that fits: an unbounded knapsack over lengths 1 to capacity by dynamic programming. Lengths without stock are worth nothing."""
-    worth = np.where(stock > 0, prices, -1.0)
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    back = worth[::-1]  # back[i] is the worth of length capacity - i
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best, last) for each room from 0 to capacity: the value of the best pattern that fits and its last length, 0 where a smaller room does as well. prices: of lengths 1 to capacity, used any number of times."""
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    back = prices[::-1]  # back[i] is the price of length capacity - i
     for c in range(1, capacity + 1):
         values = best[:c] + back[capacity - c :]  # length c - j beside what fits in j
         j = int(values.argmax())
-        best[c], pick[c] = (values[j], c - j) if values[j] > best[c - 1] else (best[c - 1], 0)
+        best[c], last[c] = (values[j], c - j) if values[j] > best[c - 1] else (best[c - 1], 0)
+    return best, last
+
+
+def pattern_in(last: np.ndarray, room: int) -> Counter:
+    """The pattern that knapsack() found for a room: length to count."""
     found: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            found[int(pick[c])] += 1
-            c -= int(pick[c])
+    while room > 0:
+        if last[room]:
+            found[int(last[room])] += 1
+            room -= int(last[room])
         else:
-            c -= 1
-    return dict(found)
+            room -= 1
+    return found
 
 
-def solve_configurations(stock: dict[int, int], capacity: int = CAPACITY, rounds: int = 2000, rate: float = 2.0, shares: tuple[float, ...] = (0.85, 0.6, 0.35, 0.1)) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length to count) and how often to use each, which together hold the stock exactly.
+def relax(need: np.ndarray, capacity: int, accuracy: float, rate: float, power: float) -> dict[tuple, float]:
+    """Patterns and fractional amounts that cover the need of each length in full: the configuration program by multiplicative weights.
 
-    Multiplicative weights on the covering rows of the configuration program: a length's weight falls by the
-    exponential of the part of it that is covered, its price is weight times length, and each round adds the
-    best knapsack at these prices until one of its lengths is covered. Rounds end when the first of `shares` of the
-    volume is covered, as late patterns are the wasteful ones. Amounts are rounded down, and what is left is
-    packed by best fit over the histogram; of the solutions as they stood at each share, the one that rounds to
-    the fewest sequences counts. Work depends on capacity and rounds, not on the number of pieces.
+    A length's weight falls by the exponential of the part of it that is covered; its price is its weight times its length
+    to a power over 1, so that long pieces, which few others fit beside, come before the short ones that fill any gap.
+    Each round prices patterns by one knapsack. It tells the best pattern with each length in it; those within `accuracy`
+    of the best of all are added, as far as one of their lengths is covered. So no more patterns are made than there are lengths.
     """
-    full = stock.get(capacity, 0)
-    whole: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
-    sizes = np.arange(capacity + 1)
-    need, covered = np.zeros(capacity + 1), np.zeros(capacity + 1)
-    for length, count in stock.items():
-        need[length] = count if length < capacity else 0
-    volume = float(need @ sizes)
-    amount: dict[tuple, float] = {}
-    found, goals = [], sorted(shares)
-    for _ in range(rounds):
+    base = (np.arange(capacity + 1) / capacity) ** power
+    covered, amount = np.zeros(capacity + 1), {}
+    while True:
         part = np.divide(covered, need, out=np.ones(capacity + 1), where=need > 0)
         short = part < 1 - 1e-9
-        while goals and covered @ sizes >= goals[0] * volume:
-            found.append(_rounded(amount, need, capacity))
-            goals.pop(0)
-        if not goals or not short.any():
-            break
-        prices = np.exp(-rate * (part - part[short].min())) * sizes
-        pattern = price_pattern(prices[1:], short[1:], capacity)
-        most = min((need[k] - covered[k]) / c for k, c in pattern.items())
-        key = tuple(sorted(pattern.items()))
-        amount[key] = amount.get(key, 0.0) + most
-        for k, c in key:
-            covered[k] += c * most
-    found.append(_rounded(amount, need, capacity))
-    best = whole + min(found, key=lambda used: sum(times for _, times in used))
-    held: Counter = Counter()
-    for pattern, times in best:
-        for k, c in pattern.items():
-            held[k] += c * times
-    if held != Counter(stock):
-        raise AssertionError("the patterns don't hold the stock")
-    return best
+        if not short.any():
+            return amount
+        low = part[short].min()
+        prices = np.where(short, np.exp(-rate * (part - low)) * base, -1.0)[1:]
+        best, last = knapsack(prices, capacity)
+        with_each = prices + best[capacity - 1 :: -1]
+        for i in np.argsort(-with_each, kind="stable").tolist():
+            if with_each[i] < (1 - accuracy) * best[capacity]:
+                break
+            pattern = pattern_in(last, capacity - i - 1) + Counter([i + 1])
+            if any(covered[k] >= need[k] * (1 - 1e-9) for k in pattern):
+                continue
+            if sum(c * base[k] * np.exp(-rate * (covered[k] / need[k] - low)) for k, c in pattern.items()) < (1 - accuracy) * best[capacity]:
+                continue  # at the weights as they stand by now
+            most = min((need[k] - covered[k]) / c for k, c in pattern.items())
+            key = tuple(sorted(pattern.items()))
+            amount[key] = amount.get(key, 0.0) + most
+            for k, c in key:
+                covered[k] += c * most
 
 
-def _rounded(amount: dict[tuple, float], need: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole uses of patterns within the stock, and best fit for the rest."""
-    left, used = need.astype(np.int64), []
-    for key, x in amount.items():
+def solve_configurations(stock: dict[int, int], capacity: int = CAPACITY, accuracy: float = 0.002, rate: float = 0.2, power: float = 1.1) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length to count) and how often to use each, which together hold the stock exactly.
+
+    The configuration program is solved to full coverage (relax) and its amounts are rounded down; only what the rounding
+    leaves is packed by best fit over the histogram. Work depends on the capacity, not on the number of pieces.
+    """
+    full = stock.get(capacity, 0)
+    need = np.zeros(capacity + 1)
+    for length, count in stock.items():
+        need[length] = count if length < capacity else 0
+    used: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    left = need.astype(np.int64)
+    for key, x in relax(need, capacity, accuracy, rate, power).items():
         times = int(min(x + 1e-6, *(left[k] // c for k, c in key)))
         if times:
             used.append((dict(key), times))
             for k, c in key:
                 left[k] -= c * times
-    return used + best_fit({k: int(left[k]) for k in range(1, capacity) if left[k]}, capacity)
+    used += best_fit({k: int(left[k]) for k in range(1, capacity) if left[k]}, capacity)
+    held: Counter = Counter()
+    for pattern, times in used:
+        for k, c in pattern.items():
+            held[k] += c * times
+    if held != Counter(stock):
+        raise AssertionError("the patterns don't hold the stock")
+    return used
 
 
 def best_fit(stock: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -215,20 +225,23 @@ def _places(used: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, rounds: int = 2000, buckets: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     The pieces' length histogram (at most `capacity` rows) goes to the driver, which solves the
     configuration program and gives each range of ranks of a length its sequences. Ranks within a length
-    are counted in hashed buckets, so that a common length is many tasks' work.
+    are counted in hashed buckets, as many as the most common length fills, so that it is many tasks' work.
 
-    Null text: one piece, the end id. Rows that repeat are packed each. An empty table gives no rows.
+    Null and empty texts: one piece, the end id. Long texts are cut into pieces, never shortened. Rows that repeat are
+    packed each; ties within a length go by id, piece and digest. An empty table gives no rows. Columns other than doc_id
+    and text are ignored, whatever their names.
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    rows = cut(tokenise(docs, tokenizer, capacity, end).withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
+    rows = cut(tokenise(docs, tokenizer, capacity, end).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")))
+    stock = {x["length"]: x["n"] for x in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    places = _places(solve_configurations(stock, capacity))
+    rows = rows.withColumn("b", F.pmod("h", F.lit(max(64, -(-max(stock.values(), default=0) // BUCKET_ROWS)))).cast("int")).drop("h")
     counts = rows.groupBy("length", "b").agg(F.count("*").alias("n"))
-    stock = {x["length"]: x["n"] for x in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = _places(solve_configurations(stock, capacity, rounds))
     before = counts.select("length", "b", (F.sum("n").over(Window.partitionBy("length").orderBy("b")) - F.col("n")).alias("before"))
     local = F.row_number().over(Window.partitionBy("length", "b").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = rows.withColumn("local", local).join(before, ["length", "b"]).withColumn("rank", (F.col("before") + F.col("local")).cast("long"))

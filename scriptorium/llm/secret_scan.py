@@ -37,6 +37,30 @@ def _keep(kind: str, value: Column) -> Column:
     return F.length(value) >= {"assign": 6, "access": 20, "hex": 24, "pem": 1}[kind]
 
 
+#: Values of a block of _running(), and code points of a block of a text.
+BLOCK, CHUNK = 256, 4096
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is evaluated once, however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, step) -> Column:
+    """Running sums or maxima of an array of non-negative integers, from 0: blocks first, so that the work grows with the length and not with its square."""
+    grow = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+
+    def in_blocks(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: grow(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(x) > 0, blocks).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(inner: Column) -> Column:
+        offsets = F.slice(grow(F.transform(inner, lambda b: F.element_at(b, -1))), F.lit(1), F.size(inner))
+        return F.flatten(F.zip_with(inner, offsets, lambda b, o: F.transform(F.slice(b, F.lit(2), F.size(b)), lambda v: step(v, o))))
+
+    return _let(values, lambda x: _let(in_blocks(x), joined))
+
+
 def _spans(text: Column, kind: str, order: int) -> Column:
     """Leftmost non-overlapping matches of a kind: array of (start, ord, end, value), in code points.
 
@@ -45,16 +69,15 @@ def _spans(text: Column, kind: str, order: int) -> Column:
     pattern = KINDS[kind]
     if kind == "hex":  # a run of 24 or more is found whole; shorter runs fail anyway
         pattern = "[0-9a-f]{24,}"
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,value:string>>")
 
-    def step(state: Column, p: Column) -> Column:
-        start, end = state["at"] + p["gap"], state["at"] + p["gap"] + F.length(p["m"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), _value(kind, p["m"]).alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def located(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        span = lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(order).alias("ord"), end.alias("end"), _value(kind, m).alias("value"))
+        return F.zip_with(_running(steps, lambda a, b: a + b), found, span)
 
-    walk = F.aggregate(F.filter(pieces, lambda p: p["m"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
-    return F.when(text.rlike(_HINT[kind]), F.filter(walk, lambda s: _keep(kind, s["value"]))).otherwise(none)
+    all_spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
+    return F.when(text.rlike(_HINT[kind]), F.filter(all_spans, lambda s: _keep(kind, s["value"]))).otherwise(none)
 
 
 def find_candidates(docs: DataFrame, text: str = "text", into: str = "found") -> DataFrame:
@@ -77,8 +100,9 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
     kinds are added where at most `copied_owners` owners have the value: a widely copied example isn't a
     live credential. `live` counts owner-specific spans and `copied` those of widely copied values.
 
-    Null text: no spans. Null owner or repository: a group of its own. Rows that repeat are scanned and
-    returned each. An empty table gives no rows; further columns of docs are ignored.
+    Null text: no spans. Texts of any length are scanned whole, in time that grows with the length. Spans of one start
+    are listed by kind. Null owner or repository: a group of its own. Rows that repeat are scanned and
+    returned each. An empty table gives no rows; further columns of docs are ignored, whatever their names.
     Columns: the key, found, spans, live, copied, repositories, owners (maxima over the row's values).
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(owner).cast("string").alias("_owner"), F.col(repository).cast("string").alias("_repo"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -116,7 +140,9 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source
     """docs with every base or provider span of a text, and every opaque one judged live, replaced by the mark; other texts stay as they are.
 
     Opaque strings are judged as scan_secrets() does, by the owners of their value over all of docs. Overlapping spans
-    are replaced as one. Only rows with an opaque string are joined with the judgement. n_chars follows the text. Null texts stay null.
+    are replaced as one. Only rows with an opaque string are joined with the judgement. Null and empty texts stay; long
+    ones take time in proportion. Rows that repeat are treated each; an empty table gives no rows. All columns of docs
+    are returned; n_chars, if there is one, follows the text.
     """
     rows = cut(find_candidates(docs, into="_found").withColumn("_rid", F.monotonically_increasing_id()))
     some = rows.where(F.size("_found") > 0).select("_rid", F.col(owner).cast("string").alias("_owner"), F.col(repository).cast("string").alias("_repo"), F.explode("_found").alias("c"))
@@ -128,10 +154,23 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source
     judged = rows.where(opaque).join(live, "_rid", "left")
     judged = judged.withColumn("_spans", F.when(F.col("_live").isNull(), sure).otherwise(F.array_sort(F.concat(sure, F.col("_live"))))).drop("_live")
     out = rows.where(~opaque).withColumn("_spans", sure).unionByName(judged)
-    step = lambda st, s: F.struct(
-        F.when(s["start"] >= st["at"], F.concat(st["out"], F.substring("text", st["at"] + 1, s["start"] - st["at"]), F.lit(mark))).otherwise(st["out"]).alias("out"),
-        F.greatest(st["at"], s["end"]).alias("at"),
-    )
-    whole = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda st: F.concat(st["out"], F.substring("text", st["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = out.withColumn("text", F.when(F.size("_spans") > 0, _without(F.col("text"), F.col("_spans"), mark)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with the union of sorted spans replaced, run by run. It is read in blocks, as finding a code point takes time in proportion to its place."""
+    reach = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    begins = F.concat(F.array(F.lit(0)), reach)  # what the spans before each one have reached
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
+    gaps = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g["a"] <= g["b"])
+
+    def piece(chunks: Column, g: Column) -> Column:
+        part = lambda c: F.substring(F.get(chunks, c), F.greatest(g["a"] - c * CHUNK, F.lit(0)) + 1, g["b"] - F.greatest(g["a"], c * CHUNK))
+        within = F.sequence(F.floor(g["a"] / CHUNK).cast("int"), F.floor((g["b"] - 1) / CHUNK).cast("int"))
+        return F.when(g["a"] < g["b"], F.concat_ws("", F.transform(within, part))).otherwise(F.lit(""))
+
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+    return F.array_join(_let(chunks, lambda c: F.transform(gaps, lambda g: piece(c, g))), mark)

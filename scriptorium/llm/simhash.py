@@ -80,7 +80,7 @@ def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     flips = F.explode(F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda b: F.when(b < 0, F.col("a")).otherwise(F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))).alias("point")
     points = whole.select("a", flips)
     centre = apart(points.groupBy("point").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b < top").select("point", "b"), "point")
-    stars = points.join(centre, "point").where(F.col("a") != F.col("b")).select("a", "b")
+    stars = points.join(centre, "point").where((F.col("a") != F.col("b")) & (differ("a", "b") <= 2)).select("a", "b")
     return pairs.unionByName(stars)
 
 
@@ -99,10 +99,10 @@ def _components(rows: DataFrame, bucket: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fp and component_id, the smallest doc_id that links reach.
 
-    Texts without words share fingerprint 0 and link like any other. Equal texts are one fingerprint, so
-    copies are never paired. Rows that repeat are returned each; a null doc_id never names a component
-    unless no other does (then component_id is null). An empty table gives no rows; columns other than
-    doc_id and text are ignored.
+    Texts without words, null ones too, share fingerprint 0 and link like any other. Long texts count whole. Equal texts
+    are one fingerprint, so copies are never paired. Rows that repeat are returned each; a null doc_id never names a
+    component unless no other does (then component_id is null). An empty table gives no rows; columns other than
+    doc_id and text are ignored, whatever their names.
     """
     rows = cut(fingerprints(docs))
     return rows.join(_components(rows, bucket), "fp").select("doc_id", "fp", "component_id")
