@@ -5,27 +5,28 @@ Each stage reads what its predecessor kept, written as Parquet, and works on all
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import langid, mixing, packing, secret_scan, simhash
-from scriptorium.llm.common import shared_folder, table
+from scriptorium.llm.common import cut, cuts, drop_cuts, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go: no letter, or far from every centroid."""
-    return langid.identify(docs).where(~F.col("rejected")).select(*COLUMNS)
+    """Documents whose language is rejected go: null texts, texts without a letter, and those far from every centroid for their length.
+
+    Texts count whole; rows that repeat are judged each; no documents give none.
+    """
+    return langid.identify(docs.select(*COLUMNS)).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates one document stays, once: that of the least id (none last) and, among rows of that id, of least hash.
 
-    What stays is decided on ids and hashes; the texts are dealt out once, by the join that keeps them.
+    What stays is decided on ids and hashes; the texts are dealt out once, by the join that keeps them. Null texts and texts
+    without words are one component; unlike texts that share an id, or have none, all stay.
     """
     key = F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id")).alias("_k")
     rows = docs.select(*COLUMNS, key, F.xxhash64(*COLUMNS).alias("_h"))
@@ -35,34 +36,36 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are redacted, opaque strings where the owners of their value over the whole corpus show them live; documents without any stay as they are."""
+    """Secrets are redacted, opaque strings where the owners of their value over the whole corpus show them live.
+
+    Documents without any stay as they are, null and empty ones and rows that repeat too.
+    """
     return secret_scan.redact_secrets(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document, whole, as often as the mix takes at least half of a copy; the rest goes.
+    """The mix: whole documents, once for each copy, sorted by finish time and cut where the order reaches the budget.
 
-    Rows aren't sorted into the order of the mix (mixing.mix_order): packing needs none, and texts would move once more.
+    Null texts and texts without words are no part of a mix. Rows that repeat count each; a null source is one of its own.
     """
-    taken = mixing.mix_sources(docs, carry=("text", "lang", "source", "n_chars"))
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return mixing.mix_documents(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of 1024 tokens."""
-    return packing.pack(docs)
+    """Places of all pieces in sequences of 1024 tokens; null and empty texts are one end id, rows that repeat are packed each."""
+    return packing.pack(docs.select(*COLUMNS))
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_dedup), ("secret scans", secrets), ("mixing", mix), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def step(docs: DataFrame, stage) -> DataFrame:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage[1](spark, docs, sf_dir).write.parquet(path)
-        return spark.read.parquet(path)
-
-    return reduce(step, STAGES, table(spark, sf_dir, "documents"))
+    """Each stage's rows are written to the shared folder; what it leaves there besides, and its input, then goes."""
+    docs, before = table(spark, sf_dir, "documents"), cuts()
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+        drop_cuts(spark, before, but_last=True)
+    return docs
 
 
 ORACLE_SQL = None

@@ -44,9 +44,16 @@ def apart(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete all tables that this process has cut: for a session that is done with its results."""
-    jvm = spark.sparkContext._jvm
-    while _CUTS:
-        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+def cuts() -> int:
+    """How many tables this process has cut and not deleted: a mark for drop_cuts()."""
+    return len(_CUTS)
+
+
+def drop_cuts(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables that this process has cut since a mark, but the last one if so told: for a session that is done with them."""
+    jvm, kept = spark.sparkContext._jvm, _CUTS[-1:] if but_last and len(_CUTS) > since else []
+    gone = _CUTS[since : len(_CUTS) - len(kept)]
+    _CUTS[since:] = kept
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
