@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..values import ENTITIES
-from .text import blank, squeeze
+from .text import blank, let, squeeze
 
 
 def decode_named(value: Column) -> Column:
@@ -54,3 +54,27 @@ def distinct_values(value: Column, pattern: str, most: int = 40) -> Column:
     """Decoded first groups of a pattern, each once, in order."""
     found = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(1)), decode_named)
     return F.slice(F.array_distinct(F.filter(found, lambda x: x != "")), 1, most)
+
+
+def page_detail(value: Column, fallback: Column, most: int = 40) -> Column:
+    """(title, abstract, authors, track) of a paper's page: the first name that it states, its heading or the fallback; the abstract's first paragraph; other names, each once, up to `most`."""
+    names = F.transform(F.regexp_extract_all(value, F.lit(r'"name"\s*:\s*"([^"]+)"'), F.lit(1)), decode_named)
+    title = F.coalesce(blank(F.get(names, 0)), blank(element(value, "h1")), fallback)
+    abstract = clean_html(F.regexp_extract(value, r'(?is)id="abstractText".*?<p>(.*?)</p>', 1))
+    authors = lambda t: F.slice(F.array_distinct(F.filter(names, lambda n: (n != "") & (n != t) & ~F.contains(n, F.lit("CVPR")))), 1, most)
+    track = clean_html(F.regexp_extract(value, r"(?i)<title>CVPR\s+([^<]+?)\s+", 1))
+    return let(title, lambda t: F.struct(t.alias("title"), abstract.alias("abstract"), authors(t).alias("authors"), track.alias("track")))
+
+
+def issue_urls(value: Column, base: str, series: str, title: str) -> Column:
+    """Addresses of a journal's issues whose series and title begin as given, each once, by number."""
+    pattern = rf'(?s)<a class="title" href="{_escaped(base)}(\d+)">(.*?)</a>.*?<div class="series">(.*?)</div>'
+    part = lambda i: F.regexp_extract_all(value, F.lit(pattern), F.lit(i))
+    rows = F.arrays_zip(part(1).alias("id"), part(2).alias("title"), part(3).alias("series"))
+    fits = lambda x: clean_html(x["series"]).startswith(series) & clean_html(x["title"]).startswith(title)
+    numbers = F.array_sort(F.array_distinct(F.transform(F.filter(rows, fits), lambda x: x["id"].cast("long"))))
+    return F.transform(numbers, lambda n: F.concat(F.lit(base), n.cast("string")))
+
+
+def _escaped(text: str) -> str:
+    return "".join(c if c.isalnum() or c in "/:-_" else "\\" + c for c in text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..values import DIRTY_TITLE, EVIDENCE_VENUES, TITLE_BAD_START, WAITING
+from ..values import DIRTY_TITLE, EVIDENCE_VENUES, PICTOGRAPH, TITLE_BAD_START, WAITING
 from .text import blank, let, rx, squeeze, unique_strings
 
 _V = f"(?:{EVIDENCE_VENUES})"
@@ -24,6 +24,8 @@ REWRITES = [
     (r"(?i)\s+\b(?:Abstract|Overview|Installation|Quickstart|Citation|News|Highlights)\b.*$", ""),
     (r"(?i)\s+(?:This is the (?:code )?repository|This is the repo|If you find our work useful|Please consider giving us|The paper has been accepted|This work has been accepted)\b.*$", ""),
     (r"(?i)\s+(?:We introduce|We propose|We present|We release|Accepted by|Accepted to)\b.*$", ""),
+    (r"\s+[πβ][^\x{00}-\x{7F}\S]*.*$", ""),
+    (rf"\s+{PICTOGRAPH}.*$", ""),
     (r"(?i)^this is the official implementation for\s*", ""),
     (rf"\s+{_NAME},\s+{_NAME}.*$", ""),
     (rf"(?i)\s+\b{_V}[-\s']*(?:2026|26)\b.*$", ""),

@@ -10,6 +10,7 @@ from ..functions.display import status_rank
 from ..functions.text import blank, clean_list, contained, content_value, let, normalize_keywords, normalize_text, parse_authors, slugify, split_keywords, stable_id, unique_strings
 from ..functions.venues import venue_short, venue_year_key
 from ..values import CATEGORY_HINTS, DEFAULT_CATEGORY, FOCUS_HINTS, INTRO_KEYS, RELEVANT_TERMS, UNCLASSIFIED
+from .vectors import numbered
 
 
 def classify(text: Column, hints: dict[str, list[str]] = CATEGORY_HINTS, focus: list[str] = FOCUS_HINTS, default: str = DEFAULT_CATEGORY, most: int = 4) -> Column:
@@ -79,9 +80,9 @@ def dedupe_last(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
 
 
 def suffix_ids(rows: DataFrame, key: str, pos: str) -> DataFrame:
-    """Ids that repeat get -2, -3 and so on in order of position."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(pos))
-    return rows.withColumn("_n", n).withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat_ws("-", key, "_n"))).drop("_n")
+    """Ids that repeat get -2, -3 and so on in order of position; an id that many rows have is counted by many tasks."""
+    counted = numbered(rows, pos, key, "_n")
+    return counted.withColumn(key, F.when(F.col("_n") == 0, F.col(key)).otherwise(F.concat_ws("-", key, F.col("_n") + 1))).drop("_n")
 
 
 def dedupe_records(records: DataFrame, pos: str = "pos") -> DataFrame:
@@ -155,6 +156,11 @@ def unofficial_papers(entries: DataFrame, official: DataFrame) -> DataFrame:
     )
 
 
+def catalog_order(venue: str = "venue", title: str = "title") -> list[Column]:
+    """Venue, then title, as readers order words: by the root collation of Unicode and not by code point."""
+    return [F.collate(F.col(c), "UNICODE") for c in (venue, title)]
+
+
 def shard_key(venue: Column, year: Column) -> Column:
     return F.concat_ws("-", year.cast("string"), slugify(venue, "venue"))
 

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.display import enrichment_status, status_of_rank, status_rank
 from ..functions.text import blank, let, longer_text, normalize_text, rx, squeeze, stable_id, unique_strings
-from ..functions.titles import best_title
+from ..functions.titles import best_title, clean_narrative, clean_title, title_quality
 from ..functions.venues import has_venue_year, is_high_signal, is_personal_homepage, valid_url, venue_rule
-from ..shared import cut
+from ..shared import apart, cut
 from ..values import CHAT_SOURCE, EVIDENCE_TERMS, REJECT_TERMS, STAGE_BONUS, STAGE_ORDER, STAGE_WEIGHTS
 from .graph import connected_components
+from .ordered import running
+from .vectors import numbered
 
 
 def scoring_text(*values: Column) -> Column:
@@ -151,22 +152,42 @@ def store_order() -> list[Column]:
     return [F.coalesce(blank(F.col("updatedAt")), F.col("discoveredAt"), F.lit("")).desc(), F.col("title")]
 
 
+_NO_EVIDENCE = "cast(array() as array<struct<platform:string,url:string,title:string,author:string,snippet:string,readerTitle:string,readerExcerpt:string,publishDate:string,query:string>>)"
+
+
+def merged_evidence(evidence: Column) -> Column:
+    """An entry's evidence with one item for each platform and address, in order: longest texts, last dates and queries. Items without an address go."""
+    none = F.lit(None).cast("string")
+    named = lambda e: F.concat(F.coalesce(e["platform"], F.lit("web")), F.lit(":"), e["url"])
+
+    def merge(own: Column) -> Column:
+        of = lambda name: F.transform(own, lambda e: e[name])
+        longest = lambda name: F.aggregate(of(name), none, longer_text).alias(name)
+        last = lambda name: F.coalesce(F.get(F.filter(F.reverse(of(name)), lambda x: F.coalesce(x, F.lit("")) != ""), 0), F.lit("")).alias(name)
+        return F.struct(F.coalesce(F.get(of("platform"), 0), F.lit("web")).alias("platform"), F.get(of("url"), 0).alias("url"), *[longest(n) for n in ("title", "author", "snippet", "readerTitle", "readerExcerpt")], last("publishDate"), last("query"))
+
+    some = F.filter(evidence, lambda e: F.coalesce(e["url"], F.lit("")) != "")
+    return let(some, lambda s: F.transform(F.array_distinct(F.transform(s, named)), lambda k: let(F.filter(s, lambda e: named(e) == k), merge)))
+
+
 def normalize_entry(rows: DataFrame, now: str) -> DataFrame:
-    """Queue rows with defaults, a clean title, an inferred venue and status, and an enrichment status."""
+    """Queue rows with defaults, merged evidence, a clean title and narrative, an inferred venue and status, and an enrichment status."""
     raw = F.trim(F.coalesce("title", F.lit("")))
     none = F.array().cast("array<string>")
-    evidence = F.coalesce(F.col("evidence"), F.expr("cast(array() as array<struct<platform:string,url:string,title:string,author:string,snippet:string,readerTitle:string,readerExcerpt:string,publishDate:string,query:string>>)"))
-    of = lambda name: F.transform(evidence, lambda e: e[name])
-    direct = F.concat(F.flatten(F.transform(evidence, lambda e: F.array(e["readerTitle"], e["title"]))), F.array(raw))
-    texts = F.concat(F.array(raw, F.col("reason"), F.col("summary")), F.flatten(F.transform(evidence, lambda e: F.array(e["readerTitle"], e["title"], e["snippet"], e["readerExcerpt"]))))
+    given = F.coalesce(F.col("evidence"), F.expr(_NO_EVIDENCE))
+    of = lambda name: F.transform(F.col("_evidence"), lambda e: e[name])
+    direct = F.concat(F.flatten(F.transform("_evidence", lambda e: F.array(e["readerTitle"], e["title"]))), F.array(raw))
+    texts = F.concat(F.array(raw, F.col("reason"), F.col("summary")), F.flatten(F.transform("_evidence", lambda e: F.array(e["readerTitle"], e["title"], e["snippet"], e["readerExcerpt"]))))
     rule = venue_rule(F.concat_ws(" ", "acceptedVenue", "reason", "summary"))
-    rows = rows.withColumn("_title", F.coalesce(best_title(direct, texts), raw)).withColumn("_rule", rule)
+    rows = rows.withColumn("_evidence", merged_evidence(given)).withColumn("_title", F.coalesce(best_title(direct, texts), raw)).withColumn("_rule", rule)
     venue = F.coalesce(blank(F.col("acceptedVenue")), F.col("_rule.venue"))
-    state = enrichment_status(F.col("metadataSource"), F.col("_title"), F.col("summary"), F.col("reason"))
+    told = {f"_{c}": clean_narrative(F.col(c), raw, F.col("_title"), venue) for c in ("summary", "reason")}
+    rows = rows.withColumns(told)
+    state = enrichment_status(F.col("metadataSource"), F.col("_title"), F.col("_summary"), F.col("_reason"))
     lists = {c: unique_strings(F.coalesce(F.col(c), none)) for c in ("authors", "keywords", "titleAliases", "aliases")}
     new = {
-        "id": F.coalesce(blank(F.col("id")), stable_id(F.col("_title"))), "title": F.col("_title"),
-        **{c: blank(F.trim(F.col(c))) for c in ("titleZh", "summary", "abstract", "reason", "hookZh")},
+        "id": F.coalesce(blank(F.col("id")), stable_id(F.col("_title"))), "title": F.col("_title"), "summary": F.col("_summary"), "reason": F.col("_reason"),
+        **{c: blank(F.trim(F.col(c))) for c in ("titleZh", "abstract", "hookZh")},
         "primaryUrl": F.coalesce(blank(F.col("primaryUrl")), blank(F.col("canonicalUrl")), F.get(of("url"), 0), F.lit("")),
         "canonicalUrl": F.coalesce("canonicalUrl", F.lit("")), "pdfUrl": F.coalesce("pdfUrl", F.lit("")),
         "sourceId": F.coalesce(blank(F.col("sourceId")), blank(F.col("id")), stable_id(F.col("_title"))), "year": F.coalesce("year", F.lit(2026)),
@@ -174,126 +195,131 @@ def normalize_entry(rows: DataFrame, now: str) -> DataFrame:
         "confidence": F.coalesce("confidence", F.lit(0.0)), "acceptedVenue": venue, "acceptedYear": F.when(F.col("acceptedYear") > 0, F.col("acceptedYear")).otherwise(F.col("_rule.year")),
         "discoveredAt": F.coalesce(blank(F.col("discoveredAt")), F.lit(now)), "updatedAt": F.coalesce(blank(F.col("updatedAt")), F.lit(now)), "lastCheckedAt": F.coalesce("lastCheckedAt", F.lit("")),
         "enrichmentStatus": state, "metadataSource": F.coalesce(blank(F.trim(F.col("metadataSource"))), F.when(state == "provisional", "legacy-repaired").otherwise("unknown")),
-        **lists, "platforms": unique_strings(F.concat(F.coalesce("platforms", none), of("platform"))), "evidence": evidence, "evidenceCount": F.size(evidence),
+        **lists, "platforms": unique_strings(F.concat(F.coalesce("platforms", none), F.transform(given, lambda e: e["platform"]))), "evidence": F.col("_evidence"), "evidenceCount": F.size("_evidence"),
     }
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns if c not in ("_title", "_rule")])
+    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns if c not in ("_evidence", "_title", "_rule", "_summary", "_reason")])
 
 
-_LINKS = ("id", "title_key", "primary_url", "canonical_url")
+def upsert_match(rows: DataFrame) -> DataFrame:
+    """(pos, target): the row that each candidate is merged into, by id, else title key, else primary, else canonical address.
 
+    rows: pos (stored rows before candidates), stored, id, title_key, primary_url, canonical_url and urls (of evidence,
+    which are looked up but never looked for). Later candidates see earlier merges: a key leads to the last row before
+    that has it (an id to the first one), and from there to that row's own target. So each candidate has one parent,
+    found by running values along its keys, and targets are the roots of the forest; no group of rows is replayed in
+    one place. A candidate that matches nothing is its own target.
+    """
+    known = F.array(*[F.struct(F.lit(i).alias("prio"), F.concat(F.lit(mark), blank(F.col(c))).alias("k")) for i, (mark, c) in enumerate((("i:", "id"), ("t:", "title_key"), ("u:", "primary_url"), ("u:", "canonical_url")))])
+    others = F.transform(F.coalesce("urls", F.array().cast("array<string>")), lambda u: F.struct(F.lit(9).alias("prio"), F.concat(F.lit("u:"), blank(u)).alias("k")))
+    rows = cut(rows)
+    marks = rows.select("pos", "stored", F.explode(F.concat(known, others)).alias("m")).where("m.k IS NOT NULL")
+    marks = marks.groupBy("pos", F.col("m.k").alias("k")).agg(F.min("m.prio").alias("prio"), F.first("stored").alias("stored"))
+    seen = running(marks, "k", "pos", last={"before": F.col("pos")}, most={"_first": -F.col("pos")})
+    by = F.when(F.col("prio") == 0, -F.col("_first")).otherwise(F.col("before"))
+    parents = seen.where(~F.col("stored") & (F.col("prio") < 9) & F.col("before").isNotNull()).groupBy("pos").agg(F.min_by(by, "prio").alias("parent"))
+    roots = connected_components(parents.select(F.col("pos").alias("a"), F.col("parent").alias("b"))).withColumnsRenamed({"node": "pos"})
+    return rows.where("NOT stored").select("pos").join(roots, "pos", "left").select("pos", F.coalesce("root", "pos").alias("target"))
+
+
+def merge_entries(rows: DataFrame, target: str, pos: str, now: str | None = None) -> DataFrame:
+    """One row for each target: its rows (in any subset of an entry's columns) folded in order of pos, and normalised if `now` is given.
+
+    Status is the highest, confidence the greatest, acceptance evidence the surest (the earlier of equals); lists are joined
+    in order and evidence is merged by platform and address; the first id and time of discovery stay, of addresses, times
+    and sources the last that are there count. A title is the better one and other texts are the longer ones, unless the row
+    before was provisional or legacy and the new row isn't: then what the new row has replaces all before it. A venue is
+    replaced if there was none, or by a row that is surer than all before by more than 0.05 or has surer acceptance evidence.
+
+    All of it is aggregates over positions: flags of each row come from running values, texts count from the last row that
+    replaced them. So a target that many rows have is no single task's work.
+    """
+    columns = [c for c in rows.columns if c not in (target, pos)]
+    has = lambda c: c in columns
+    of = lambda c, kind="string": F.col(c) if has(c) else F.lit(None).cast(kind)
+    sure = F.coalesce(of("confidence", "double"), F.lit(0.0))
+    proof = F.coalesce(F.col("acceptanceEvidence.confidence"), F.lit(0.0)) if has("acceptanceEvidence") else F.lit(0.0)
+    rule = venue_rule(F.concat_ws(" ", of("acceptedVenue"), of("reason"), of("summary")))
+    stale = (F.coalesce(of("enrichmentStatus"), F.lit("")) == "provisional") | (F.coalesce(of("metadataSource"), F.lit("")) == "local-fallback") | is_legacy(of("title"), of("reason"))
+    fine = (F.coalesce(of("metadataSource"), F.lit("")) == CHAT_SOURCE) | ~is_legacy(of("title"), of("reason"))
+    work = rows.withColumn("_rule", rule).withColumn("_venue", F.coalesce(blank(of("acceptedVenue")), F.col("_rule.venue"))).withColumn("_year", F.coalesce(of("acceptedYear", "int"), F.col("_rule.year"))).drop("_rule")
+    work = running(work.withColumn("_clean", blank(clean_title(of("title")))), target, pos, {"_stale": stale}, {"_sure": sure, "_proof": proof, "_had": F.when(F.col("_venue").isNotNull(), 1)})
+    work = work.withColumn("_fresh", F.coalesce("_stale", F.lit(False)) & fine).withColumn("_trust", F.col("_had").isNull() | (sure > F.col("_sure") + 0.05) | (proof > F.col("_proof")))
+    texts = [c for c in ("title", "titleZh", "summary", "abstract", "reason", "hookZh") if has(c)]
+    text = lambda c: blank(F.trim(F.col(c)))
+    work = cut(work)
+    resets = work.groupBy(target).agg(F.count("*").alias("_rows"), *[F.max(F.when(F.col("_fresh") & text(c).isNotNull(), F.col(pos))).alias(f"_r_{c}") for c in texts])
+    work = work.join(apart(resets, target) if dict(rows.dtypes)[target] == "bigint" else resets, target)
+    since = lambda c: F.col(f"_r_{c}").isNull() | (F.col(pos) >= F.col(f"_r_{c}"))
+    there = lambda c: F.when(text(c).isNotNull() & since(c), F.struct(F.length(text(c)), -F.col(pos)))
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos)))
+    last_text = lambda c: F.max_by(blank(F.col(c)), F.when(blank(F.col(c)).isNotNull(), F.col(pos)))
+    first_text = lambda c: F.min_by(blank(F.col(c)), F.when(blank(F.col(c)).isNotNull(), F.col(pos)))
+    lists = [c for c in ("keywords", "titleAliases", "aliases", "authors", "platforms") if has(c)]
+    made = {c: F.max_by(text(c), there(c)) for c in texts if c != "title"}
+    if has("title"):
+        among = since("title") & F.col("_clean").isNotNull()
+        best = F.max_by("_clean", F.when(among, F.struct(title_quality(F.col("_clean")), F.col(pos))))
+        raw = F.max_by(text("title"), F.when(text("title").isNotNull() & since("title"), F.col(pos)))
+        made["title"] = F.when(F.count_if(since("title") & text("title").isNotNull()) > 1, F.coalesce(best, raw)).otherwise(raw)
+    made |= {c: first_text(c) for c in ("id", "discoveredAt") if has(c)}
+    made |= {c: F.coalesce(last_text(c), F.lit("")) for c in ("canonicalUrl", "primaryUrl", "pdfUrl", "updatedAt", "lastCheckedAt") if has(c)}
+    value = {"acceptedVenue": "_venue", "acceptedYear": "_year"}
+    made |= {c: F.coalesce(F.max_by(v, F.when(F.col("_trust") & F.col(v).isNotNull(), F.col(pos))), F.min_by(v, F.when(F.col(v).isNotNull(), F.col(pos)))) for c, v in value.items() if has(c)}
+    if has("status"):
+        made["status"] = F.coalesce(status_of_rank(F.max(status_rank(F.col("status")))), first_text("status"))
+    if has("confidence"):
+        made["confidence"] = F.max(sure)
+    if has("acceptanceEvidence"):
+        made["acceptanceEvidence"] = F.max_by("acceptanceEvidence", F.when(F.col("acceptanceEvidence").isNotNull(), F.struct(proof, -F.col(pos))))
+    made |= {c: last(c) for c in columns if c not in made and c not in (*lists, "evidence", "evidenceCount")}
+    out = work.groupBy(target).agg(*[x.alias(c) for c, x in made.items()])
+    if lists:
+        out = out.join(_joined_lists(work, target, pos, lists), target, "left")
+    if has("evidence"):
+        out = out.join(_joined_evidence(work, target, pos), target, "left").withColumn("evidence", F.coalesce("evidence", F.expr(_NO_EVIDENCE)))
+    if has("evidenceCount"):
+        out = out.withColumn("evidenceCount", F.size("evidence") if has("evidence") else F.lit(None).cast("int"))
+    none = F.array().cast("array<string>")
+    out = out.select(target, *[(F.coalesce(F.col(c), none) if c in lists else F.col(c)).cast(dict(rows.dtypes)[c]).alias(c) for c in columns])
+    return normalize_entry(out, now) if now else out
 
-def link_groups(rows: DataFrame) -> DataFrame:
-    """Adds group: rows that share any id, title key or address, directly or through others, have one group; the least pos names it.
 
-    Rows of a group are all that an order-dependent merge of one of them can touch, so groups are independent work.
-    """
-    keys = F.array(F.concat(F.lit("i:"), blank(F.col("id"))), F.concat(F.lit("t:"), blank(F.col("title_key"))), F.concat(F.lit("u:"), blank(F.col("primary_url"))), F.concat(F.lit("u:"), blank(F.col("canonical_url"))))
-    marks = rows.select("pos", F.explode(F.filter(F.concat(keys, F.transform(F.coalesce("urls", F.array().cast("array<string>")), lambda u: F.concat(F.lit("u:"), blank(u)))), lambda k: k.isNotNull())).alias("k"))
-    least = marks.groupBy("k").agg(F.min("pos").alias("b"))
-    roots = connected_components(marks.join(least, "k").select(F.col("pos").alias("a"), "b"))
-    return rows.join(roots.select(F.col("node").alias("pos"), F.col("root")), "pos", "left").withColumn("group", F.coalesce("root", "pos")).drop("root")
+def _joined_lists(rows: DataFrame, target: str, pos: str, names: list[str]) -> DataFrame:
+    """Values of list columns, trimmed, each once, in the order in which rows have them; counted apart, so that equal values of many rows are one."""
+    none = F.array().cast("array<string>")
+    tagged = lambda n: F.transform(F.coalesce(F.col(n), none), lambda x, i: F.struct(F.lit(n).alias("n"), F.trim(x).alias("v"), i.alias("i")))
+    own = lambda n: F.transform(F.filter("_all", lambda x: x["n"] == n), lambda x: x["v"])
+    every = F.concat(*map(tagged, names))
+    values = rows.select(target, pos, F.explode(every).alias("x")).where("coalesce(x.v, '') <> ''")
+    first = values.groupBy(target, F.col("x.n").alias("n"), F.col("x.v").alias("v")).agg(F.min(F.struct(F.col(pos).alias("p"), F.col("x.i").alias("i"))).alias("at"))
+    kept = first.groupBy(target).agg(F.array_sort(F.collect_list(F.struct("at", "n", "v"))).alias("_all"))
+    return kept.select(target, *[own(n).alias(n) for n in names])
 
 
-def upsert_match(rows: DataFrame) -> DataFrame:
-    """(pos, target): the row that each candidate is merged into, by id, else title key, else primary, else canonical address.
+def _joined_evidence(rows: DataFrame, target: str, pos: str) -> DataFrame:
+    """Evidence of all rows of a target, merged by platform and address, in the order in which they first appear."""
+    items = rows.select(target, F.col(pos).alias("_row"), F.posexplode("evidence").alias("_i", "e")).select(target, (F.col("_row") * 100_000 + F.col("_i")).alias("_at"), "e.*")
+    merged = merge_evidence(items, target, "_at")
+    fields = ("platform", "url", "title", "author", "snippet", "readerTitle", "readerExcerpt", "publishDate", "query")
+    ordered = F.array_sort(F.collect_list(F.struct("_at", F.struct(*fields).alias("e"))))
+    return merged.groupBy(target).agg(F.transform(ordered, lambda x: x["e"]).alias("evidence"))
 
-    rows: pos (stored rows before candidates), stored, id, title_key, primary_url, canonical_url and urls (of evidence,
-    which are looked up but never looked for). Later candidates see earlier merges; a candidate that matches nothing is
-    its own target. Groups of linked rows are replayed in order of pos.
-    """
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[tuple[str, str], int] = {}
-        out = []
-        for r in pdf.sort_values("pos").itertuples():
-            known = [("i", r.id), ("t", r.title_key), ("u", r.primary_url), ("u", r.canonical_url)]
-            target = r.pos if r.stored else next((seen[k] for k in known if k[1] and k in seen), r.pos)
-            for k in [*known, *(("u", u) for u in (r.urls if r.urls is not None else ()))]:
-                if k[1] and (k[0] != "i" or k not in seen):
-                    seen[k] = target
-            out.append((r.pos, target, bool(r.stored)))
-        return pd.DataFrame(out, columns=["pos", "target", "stored"])
-
-    found = link_groups(cut(rows)).groupBy("group").applyInPandas(replay, "pos long, target long, stored boolean")
-    return found.where("NOT stored").select("pos", "target")
-
-
-def merge_entries(rows: DataFrame, target: str, pos: str) -> DataFrame:
-    """One row for each target, its rows folded in order of pos.
-
-    Status is the highest, confidence the greatest; lists are joined in order; addresses and times of the later row count
-    where it has them; a title is the better and other texts the longer, unless what is stored was provisional and the
-    new row isn't legacy: then the new ones count. A venue is replaced if there was none, if the new row is surer by
-    more than 0.05, or if its acceptance evidence is.
-    """
-    from ..values import STATUS_RANK
+def upsert_queue(stored: DataFrame, candidates: DataFrame, now: str) -> DataFrame:
+    """The queue after candidates: each is matched, merged into its target and normalised; rows keep their order. Both tables are entries with pos, within each table."""
+    both = stored.withColumn("_stored", F.lit(True)).unionByName(candidates.withColumn("_stored", F.lit(False)))
+    both = numbered(both.withColumn("_o", F.struct(~F.col("_stored"), F.col("pos"))), "_o", into="_pos").drop("_o", "pos")
+    both = cut(both)
+    keys = both.select(F.col("_pos").alias("pos"), F.col("_stored").alias("stored"), "id", normalize_text(F.col("title")).alias("title_key"), F.col("primaryUrl").alias("primary_url"), F.col("canonicalUrl").alias("canonical_url"), F.transform("evidence", lambda e: e["url"]).alias("urls"))
+    target = upsert_match(keys).withColumnsRenamed({"pos": "_pos", "target": "_target"})
+    placed = both.drop("_stored").join(target, "_pos", "left").withColumn("_target", F.coalesce("_target", "_pos"))
+    return merge_entries(placed, "_target", "_pos", now).orderBy("_target").drop("_target")
 
-    columns = [c for c in rows.columns if c not in (target, pos)]
-    texts = [c for c in ("titleZh", "summary", "abstract", "reason", "hookZh") if c in columns]
-    lists = [c for c in ("keywords", "titleAliases", "aliases", "authors", "platforms") if c in columns]
-    later = [c for c in ("canonicalUrl", "primaryUrl", "pdfUrl", "updatedAt", "lastCheckedAt") if c in columns]
-
-    def has(x) -> bool:
-        return x is not None and not (isinstance(x, float) and x != x) and x != ""
-
-    def fold(old: dict, new: dict) -> dict:
-        fresh = old.get("enrichmentStatus") == "provisional" or old.get("metadataSource") == "local-fallback"
-        fresh = fresh and (new.get("metadataSource") == CHAT_SOURCE or "local high-confidence extraction" not in (new.get("reason") or "").lower())
-        out = {c: new[c] if has_any(new[c]) else old[c] for c in columns}
-        out["id"] = old["id"] if has(old["id"]) else new["id"]
-        for c in texts:
-            a, b = old[c] if has(old[c]) else None, new[c] if has(new[c]) else None
-            out[c] = (b or a) if fresh else (b if a is None or (b is not None and len(b) > len(a)) else a)
-        out["title"] = (new["title"] or old["title"]) if fresh else new["_picked"] if has(new.get("_picked")) else old["title"]
-        for c in lists:
-            out[c] = list(dict.fromkeys(x for x in [*_list(old[c]), *_list(new[c])] if x and x.strip()))
-        for c in later:
-            out[c] = new[c] if has(new[c]) else old[c]
-        if "discoveredAt" in columns:
-            out["discoveredAt"] = old["discoveredAt"] if has(old["discoveredAt"]) else new["discoveredAt"]
-        sure = lambda r: float(r["confidence"]) if has(r["confidence"]) else 0.0
-        trust = not has(old["acceptedVenue"]) or sure(new) > sure(old) + 0.05
-        for c in ("acceptedVenue", "acceptedYear"):
-            if c in columns:
-                first, second = (new, old) if trust else (old, new)
-                out[c] = first[c] if has(first[c]) else second[c]
-        rank = lambda r: STATUS_RANK.get(r["status"], -1)
-        out["status"] = new["status"] if rank(new) > rank(old) else old["status"]
-        out["confidence"] = max(sure(old), sure(new))
-        return out
-
-    def has_any(x) -> bool:
-        return len(x) > 0 if hasattr(x, "__len__") and not isinstance(x, str) else has(x)
-
-    def _list(x) -> list:
-        return [] if x is None else list(x)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict | None = None
-        ordered = pdf.sort_values(pos)
-        for row in ordered[columns].to_dict("records"):
-            if state is None:
-                state = row
-                continue
-            row["_picked"] = _better_title(state["title"], row["title"])
-            state = fold(state, row)
-            state.pop("_picked", None)
-        return pd.DataFrame([{target: ordered[target].iloc[0], **{c: state[c] for c in columns}}])
-
-    return rows.groupBy(target).applyInPandas(run, rows.drop(pos).select(target, *columns).schema)
-
-
-def _better_title(left: str | None, right: str | None) -> str | None:
-    """The longer title up to 180 characters, with a preference for the right one of equals; dirty marks cost."""
-    import re
-
-    def quality(t: str) -> int:
-        return min(len(t), 180) - 60 * bool(re.search(r"github|official (?:repo|code)|https?://", t, re.I)) - 80 * bool(re.search(r"\b(?:for|via|with|and|of|the)$", t, re.I)) + 6 * t.endswith((".", ":", "?"))
-
-    a, b = (left or "").strip(), (right or "").strip()
-    if not a or not b:
-        return b or a or None
-    return b if quality(b) >= quality(a) else a
+
+def evidence_backfill(papers: DataFrame, candidates: DataFrame, key: str = "id") -> DataFrame:
+    """Refined papers with their own evidence, else that of the candidate of their id (the first of its id), else none."""
+    have = candidates.groupBy(key).agg(F.first("evidence", ignorenulls=True).alias("_have"))
+    return papers.join(have, key, "left").withColumn("evidence", F.coalesce("evidence", "_have", F.expr(_NO_EVIDENCE))).select(*papers.columns)
 
 
 def compact_evidence(value: Column, size: int) -> Column:
@@ -319,10 +345,6 @@ def reader_payload(json: Column) -> Column:
     return let(F.from_json(json, _ANSWER), pick)
 
 
-def longest(left: Column, right: Column) -> Column:
-    return longer_text(left, right)
-
-
 def provisional_batches(entries: DataFrame, size: int, most: int) -> Iterator[DataFrame]:
     """Batches of provisional rows by queue order, for refinement by an outside model: at most `most` batches of `size`."""
     head = entries.where("enrichmentStatus = 'provisional' AND status <> 'officially-published'").orderBy(*queue_order()).limit(size * most)
@@ -331,6 +353,24 @@ def provisional_batches(entries: DataFrame, size: int, most: int) -> Iterator[Da
         yield numbered.where(F.col("_b") == b).drop("_b")
 
 
+def refine(entries: DataFrame, ask, size: int, most: int, budget=None) -> tuple[list[DataFrame], list[str]]:
+    """What ask(batch) gives for batches of provisional rows, and the errors of those that failed; a failed batch stays provisional and so is asked again in the next run.
+
+    A batch is a DataFrame of at most `size` rows. Ends early when the budget has expired or an error says that the limit of calls is reached (status 429).
+    """
+    done, errors = [], []
+    for batch in provisional_batches(entries, size, most):
+        if budget and budget.expired():
+            break
+        try:
+            done.append(ask(batch))
+        except Exception as error:  # the next run's work
+            errors.append(str(error))
+            if getattr(error, "status", None) == 429:
+                break
+    return done, errors
+
+
 def strong_candidates(evidence: DataFrame, limit: int) -> DataFrame:
     """Queue candidates from evidence (pos, url, platform, title, snippet, readerTitle, readerExcerpt, score, priority) that names an accepted paper.
 
@@ -356,3 +396,8 @@ def strong_candidates(evidence: DataFrame, limit: int) -> DataFrame:
 def toggled(selection: set[str], value: str) -> set[str]:
     """A selection with a value put in or taken out."""
     return selection ^ {value}
+
+
+def toggled_values(selection: Column, value: Column) -> Column:
+    """A selection's array with a value put at its end or taken out."""
+    return F.when(F.array_contains(selection, value), F.array_remove(selection, value)).otherwise(F.concat(selection, F.array(value)))

@@ -95,19 +95,58 @@ def lexical_scores(prepared: DataFrame, query: Query, base: Column | None = None
     return rows.drop("_title", "_titles", "_keywords", "_categories", "_blob")
 
 
+#: Weights of the fields of a fuzzy match, the error share up to which a field matches, and the score of a field without error.
+FUZZY_WEIGHTS = {"title": 4.0, "titles": 3.0, "keywords": 2.0, "blob": 1.0}
+FUZZY_THRESHOLD, NO_ERROR = 0.34, 2.220446049250313e-16
+
+
+def fuzzy_error(text: Column, norm: str) -> Column:
+    """The least share of edits between a normalised query and any run of as many words of a normalised text; 0 if the text has it.
+
+    A stand-in for a bitap match, which is part of a library and not of what is matched: it errs by words instead of at any character.
+    """
+    words = max(1, len(norm.split()))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
+    least = let(F.split(text, " "), lambda w: F.array_min(F.transform(runs(w), lambda r: F.levenshtein(r, F.lit(norm)))))
+    return F.when(F.contains(text, F.lit(norm)), 0.0).otherwise(least / float(max(1, len(norm))))
+
+
+def fuzzy_base(query: Query, threshold: float = FUZZY_THRESHOLD) -> Column:
+    """0 to 100 for a prepared row: weighted fields that match, the shorter the field the more it counts; titles and keywords by edits, the rest as it stands.
+
+    Each matching field counts by its error (at least NO_ERROR) to the power of its share of all weights over the root of its number of words;
+    the base is what the product of these leaves to 1.
+    """
+    if not query.norm:
+        return F.lit(0.0)
+    total = sum(FUZZY_WEIGHTS.values())
+    factor = lambda text, error, weight: F.when(error <= threshold, F.pow(F.greatest(error, F.lit(NO_ERROR)), F.lit(weight / total) / F.sqrt(F.size(F.split(text, " "))))).otherwise(1.0)
+    by_edits = lambda text, weight: let(fuzzy_error(text, query.norm), lambda e: factor(text, e, weight))
+    many = lambda texts, weight: F.aggregate(F.transform(texts, lambda x: by_edits(x, weight)), F.lit(1.0), lambda a, b: F.least(a, b))
+    whole = F.when(F.contains("_blob", F.lit(query.norm)), factor(F.col("_blob"), F.lit(0.0), FUZZY_WEIGHTS["blob"])).otherwise(1.0)
+    return (1.0 - by_edits(F.col("_title"), FUZZY_WEIGHTS["title"]) * many(F.col("_titles"), FUZZY_WEIGHTS["titles"]) * many(F.col("_keywords"), FUZZY_WEIGHTS["keywords"]) * whole) * 100.0
+
+
 def exact_collapse(scored: DataFrame) -> DataFrame:
     """Only exact hits, if there is any: rows whose flag equals the greatest flag, an equi-join with one row."""
     most = scored.agg(F.max("exact").alias("_any"))
     return scored.join(F.broadcast(most), F.col("exact") == F.col("_any")).drop("_any")
 
 
-def lexical_search(prepared: DataFrame, query: Query, limit: int, pos: str = "pos", base: Column | None = None) -> DataFrame:
-    """The best rows by score, then position; only exact hits if there are any.
+def lexical_hits(prepared: DataFrame, query: Query) -> DataFrame:
+    """All rows with a score, the fuzzy base included, without an order: for filters that follow. Only exact hits if there are any."""
+    scored = lexical_scores(prepared, query, fuzzy_base(query))
+    any_exact = prepared.select(F.max((F.col("_title") == F.lit(query.norm)) | F.array_contains("_titles", F.lit(query.norm))).alias("_any"))
+    return scored.where("score > 0").join(F.broadcast(any_exact), F.col("exact") == F.col("_any")).drop("_any")
+
+
+def lexical_search(prepared: DataFrame, query: Query, limit: int, pos: str = "pos") -> DataFrame:
+    """The best rows by score, the fuzzy base included, then position; only exact hits if there are any.
 
     One pass and one bounded heap a task: exact hits come first in its order, so the head tells whether there is one.
     A filter on the score would be pushed to the scan and score each row twice; zeros go from the head instead.
     """
-    head = lexical_scores(prepared, query, base).orderBy(F.desc("exact"), F.desc("score"), pos).limit(max(1, limit))
+    head = lexical_scores(prepared, query, fuzzy_base(query)).orderBy(F.desc("exact"), F.desc("score"), pos).limit(max(1, limit))
     any_exact = F.max("exact").over(Window.partitionBy())
     return head.withColumn("_any", any_exact).where((F.col("score") > 0) & (F.col("exact") == F.col("_any"))).drop("_any").orderBy(F.desc("score"), pos)
 

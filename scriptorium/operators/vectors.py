@@ -54,6 +54,12 @@ def adaptive_k(cap: int, rows: int) -> int:
     return min(max(cap * 20, 500), max(rows, 500))
 
 
+def brainstorm_k(papers: int) -> tuple[int, int]:
+    """(semantic, lexical) hits that a brainstorm over so many papers (1 to 20) asks for: 6 a paper within 24 and 120, 8 a paper within 40 and 160."""
+    n = min(max(int(papers), 1), 20)
+    return min(max(6 * n, 24), 120), min(max(8 * n, 40), 160)
+
+
 def check_shape(vectors: DataFrame, dimensions: int, embedding: str = "embedding") -> DataFrame:
     """One row: number of vectors, those of another size, those with a value that is no finite number."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -75,9 +81,10 @@ def numbered(rows: DataFrame, order: str, key: str | None = None, into: str = "_
     keys = [key] if key else []
     dealt = cut(rows.repartitionByRange(*keys, order).withColumn("_p", F.spark_partition_id()))
     counts = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
-    before = counts.select(*keys, "_p", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).alias("_before"))
+    before = counts.select(*[F.col(k).alias("_k") for k in keys], F.col("_p").alias("_q"), (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).alias("_before"))
     local = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(order)) - 1
-    return dealt.withColumn("_l", local).join(before, [*keys, "_p"]).withColumn(into, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before")
+    same = [F.col("_p") == F.col("_q"), *[F.col(k).eqNullSafe(F.col("_k")) for k in keys]]  # null is a key too
+    return dealt.withColumn("_l", local).join(before, same).withColumn(into, F.col("_before") + F.col("_l")).select(*rows.columns, into)
 
 
 def chunk_rows(rows: DataFrame, key: str, order: str, size: int = CHUNK_ROWS) -> DataFrame:

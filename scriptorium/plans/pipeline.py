@@ -27,6 +27,21 @@ class Budget:
         return self.clock() - self.began >= self.seconds
 
 
+class Latest:
+    """Guards a state against answers that come late: only the answer to the last request counts."""
+
+    def __init__(self):
+        self._last = 0
+
+    def begin(self) -> int:
+        """A new request's id; all earlier ones are stale from now on."""
+        self._last += 1
+        return self._last
+
+    def is_current(self, request: int) -> bool:
+        return request == self._last
+
+
 def ordered(steps: list[Step]) -> list[Step]:
     """Steps after all that they need, otherwise as given; ValueError for unknown names and circles."""
     done: dict[str, Step] = {}

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import display, text
+from ..functions import display, text, venues
 from ..operators import catalog, hybrid, queue, search, vectors, views
 from ..plans import search_plans
+from ..sources import outside, paged, store
 from ..values import CATEGORY_HINTS, DICTIONARY, EVIDENCE_TERMS, PLAN_PHRASES, PLAN_THEMES, REJECT_TERMS, STAGE_BONUS, STAGE_ORDER, STAGE_WEIGHTS, STOP_WORDS, TOPICS
 from .base import PAPERS, contained, distinct_in_order, items, norm, norm_search, papers, q, query, re2, slug, squeeze, tokens
-from .text import NOW
+from .text import _RULE, NOW, _candidates, _clean_title, _dirty, _quality
 
 col, lit = F.col, F.lit
 
@@ -41,7 +45,7 @@ def _(t):
     return papers(t).select("id", F.array_join(text.contained(queue.scoring_text(col("abstract")), TOPICS), ",").alias("topics"))
 
 
-_ASK = "CASE id % 6 WHEN 0 THEN 'RAG memory' WHEN 1 THEN '长上下文 agents' WHEN 2 THEN concat(left(title, 20), ' 3D world model') WHEN 3 THEN 'robot policy' ELSE left(title, 30) END"
+_ASK = "CASE id % 6 WHEN 0 THEN 'RAG memory' WHEN 1 THEN '长上下文 agents' WHEN 2 THEN concat(title, ' 3D world model') WHEN 3 THEN 'robot policy' ELSE title END"
 
 
 def _labels(part: int) -> str:
@@ -105,7 +109,7 @@ def _(t):
 
 @query("catalog_sort", f"WITH {PAPERS} SELECT id, venue, title FROM papers ORDER BY venue, title, id")
 def _(t):
-    return papers(t).select("id", "venue", "title").orderBy("venue", "title", "id")
+    return papers(t).select("id", "venue", "title").orderBy(*catalog.catalog_order(), "id")
 
 
 @query("dedupe_first", f"WITH {PAPERS} SELECT id, venue FROM (SELECT *, row_number() OVER (PARTITION BY abstract ORDER BY pos) AS n FROM papers) WHERE n = 1")
@@ -118,9 +122,9 @@ def _(t):
     return catalog.dedupe_last(papers(t).select("title", "id", "venue", "pos"), ["title"], "pos")
 
 
-@query("id_suffix", f"WITH {PAPERS}, n AS (SELECT pos, lower(left(title, 4)) AS k, row_number() OVER (PARTITION BY lower(left(title, 4)) ORDER BY pos) AS n FROM papers) SELECT pos, CASE n WHEN 1 THEN k ELSE k || '-' || n END AS id FROM n")
+@query("id_suffix", f"WITH {PAPERS}, n AS (SELECT pos, lower(string_split(title, ' ')[1]) AS k, row_number() OVER (PARTITION BY lower(string_split(title, ' ')[1]) ORDER BY pos) AS n FROM papers) SELECT pos, CASE n WHEN 1 THEN k ELSE k || '-' || n END AS id FROM n")
 def _(t):
-    return catalog.suffix_ids(papers(t).select("pos", F.lower(F.left("title", lit(4))).alias("id")), "id", "pos")
+    return catalog.suffix_ids(papers(t).select("pos", F.lower(F.get(F.split("title", " "), 0)).alias("id")), "id", "pos")
 
 
 @query("source_fallback", f"WITH {PAPERS}, c AS (SELECT id, venue, 'now' AS taken FROM papers WHERE venue IN ('src1', 'src4', 'src7') AND lang = 'en') SELECT * FROM c UNION ALL SELECT id, venue, 'before' FROM papers WHERE venue NOT IN (SELECT venue FROM c)")
@@ -188,9 +192,14 @@ def _(t):
 
 TEXT = "the ing of tion"
 _Q = search.expand(TEXT)
+_WORDS = "string_split(t, ' ')"
+_RUNS = f"list_transform(range(1, greatest(len({_WORDS}) - 3, 1) + 1), lambda i: levenshtein(array_to_string(list_slice({_WORDS}, i, i + 3), ' '), {q(_Q.norm)}))"
+#: The fuzzy base: weights 4 of the title and 1 of the whole, of 10 in all; errors of runs of four words.
+_BASE = f"""(1 - CASE WHEN contains(t, {q(_Q.norm)}) THEN pow(2.220446049250313e-16, 0.4 / sqrt(len({_WORDS}))) WHEN list_min({_RUNS}) / 15.0 <= 0.34 THEN pow(list_min({_RUNS}) / 15.0, 0.4 / sqrt(len({_WORDS}))) ELSE 1 END
+  * CASE WHEN contains(b, {q(_Q.norm)}) THEN pow(2.220446049250313e-16, 0.1 / sqrt(len(string_split(b, ' ')))) ELSE 1 END) * 100"""
 _LEX = f"""l AS (SELECT id, pos, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(venue, ''), nullif(abstract, ''))")} AS b FROM papers),
   s AS (SELECT id, pos, t = {q(_Q.norm)} AS exact, contains(t, {q(_Q.norm)}) AS tc, contains(b, {q(_Q.norm)}) AS bc,
-  CAST(CASE WHEN t = {q(_Q.norm)} THEN 240 ELSE 0 END + CASE WHEN contains(t, {q(_Q.norm)}) THEN 70 ELSE 0 END + CASE WHEN contains(b, {q(_Q.norm)}) THEN 42 ELSE 0 END + 14 * len({contained('b', _Q.tokens)})
+  CAST({_BASE} + CASE WHEN t = {q(_Q.norm)} THEN 240 ELSE 0 END + CASE WHEN contains(t, {q(_Q.norm)}) THEN 70 ELSE 0 END + CASE WHEN contains(b, {q(_Q.norm)}) THEN 42 ELSE 0 END + 14 * len({contained('b', _Q.tokens)})
   + CASE WHEN len(list_filter({contained('b', _Q.tokens)}, lambda h: contains(t, h))) > 0 THEN 28 ELSE 0 END + 8 * len({contained('b', _Q.terms)}) AS DOUBLE) AS score FROM l),
   lex AS (SELECT id, pos, score, exact, tc OR bc AS strong FROM s WHERE score > 0 AND (exact OR NOT (SELECT coalesce(bool_or(exact), false) FROM s WHERE score > 0)) ORDER BY score DESC, pos LIMIT 100)"""
 
@@ -199,9 +208,9 @@ def _lexical(t, limit: int = 100):
     return search.lexical_search(search.prepare(papers(t), blob=["venue", "abstract"]), _Q, limit)
 
 
-@query("lexical_search", f"WITH {PAPERS}, {_LEX} SELECT id, score, exact FROM lex")
+@query("lexical_search", f"WITH {PAPERS}, {_LEX} SELECT id, round(score, 6) AS score, exact FROM lex")
 def _(t):
-    return _lexical(t).select("id", "score", "exact")
+    return _lexical(t).select("id", F.round("score", 6).alias("score"), "exact")
 
 
 @query("text_rank", f"""WITH {PAPERS}, b AS (SELECT id, pos, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(venue, ''), nullif(lang, ''))")} AS b FROM papers),
@@ -271,10 +280,10 @@ _RRF = f"""{_LEX}, {_SEM}, sr AS (SELECT id, score, 1.0::DOUBLE / (row_number()
   k AS (SELECT *, CAST(row_number() OVER (ORDER BY rs DESC, coalesce(ls, 0) DESC, coalesce(ss, 0) DESC, pos) AS INTEGER) AS rank FROM f)"""
 
 
-@query("rrf_fuse", f"WITH {PAPERS}, {_RRF} SELECT id, rank, round(rs, 12) AS rank_score, round(ss, 9) AS semantic_score, ls AS lexical_score, exact FROM k")
+@query("rrf_fuse", f"WITH {PAPERS}, {_RRF} SELECT id, rank, round(rs, 12) AS rank_score, round(ss, 9) AS semantic_score, round(ls, 6) AS lexical_score, exact FROM k")
 def _(t):
     hits = hybrid.fuse(_semantic(t), _lexical(t), papers(t))
-    return hits.select("id", "rank", F.round("rankScore", 12).alias("rank_score"), F.round("semanticScore", 9).alias("semantic_score"), col("lexicalScore").alias("lexical_score"), col("exactTitleMatch").alias("exact"))
+    return hits.select("id", "rank", F.round("rankScore", 12).alias("rank_score"), F.round("semanticScore", 9).alias("semantic_score"), F.round("lexicalScore", 6).alias("lexical_score"), col("exactTitleMatch").alias("exact"))
 
 
 @query("hybrid_search", f"WITH {PAPERS}, {_RRF} SELECT k.id, p.title, p.venue, p.year, k.rank FROM k JOIN papers p ON p.id = k.id WHERE p.lang IN ('en', 'de') QUALIFY row_number() OVER (ORDER BY k.rank) <= 20")
@@ -353,7 +362,7 @@ def _(t):
     return _scored(t).select("id", queue.evidence_priority(col("r.score"), col("stage"), col("url"), F.concat_ws(" ", "title", "snippet", "url")).alias("priority"))
 
 
-_CAND = "CASE id % 10 WHEN 0 THEN '' WHEN 1 THEN 'GitHub - lab/tool' WHEN 2 THEN 'Our research interests and more' WHEN 3 THEN 'Abstract of a thing' WHEN 4 THEN 'abc' ELSE left(title, 120) END"
+_CAND = "CASE id % 10 WHEN 0 THEN '' WHEN 1 THEN 'GitHub - lab/tool' WHEN 2 THEN 'Our research interests and more' WHEN 3 THEN 'Abstract of a thing' WHEN 4 THEN 'abc' ELSE title END"
 _CURL = "CASE id % 7 WHEN 0 THEN 'not a url' WHEN 1 THEN 'https://github.com/topics/nlp' WHEN 2 THEN 'https://github.com/me/me.github.io' ELSE concat('https://example.com/', id) END"
 _BROKEN = " OR ".join(f"regexp_matches({squeeze('c')}, {re2(p)})" for p in queue.BROKEN_TITLE)
 
@@ -398,14 +407,14 @@ def _(t):
     return search_plans.follow_up_plans(papers(t).select("pos", F.expr(_LINK).alias("url"), lit("no venue here").alias("text"))).select("pos", "query", "platform")
 
 
-_CONV = "SELECT conv_id, turn, role AS platform, 'u' || (turn % 2) AS url, CASE WHEN turn % 3 = 0 THEN '' ELSE left(text, 200) END AS title, left(text, 80) AS snippet, CASE WHEN turn % 2 = 0 THEN '2026-0' || (turn % 9 + 1) ELSE '' END AS \"publishDate\" FROM conversations"
+_CONV = "SELECT conv_id, turn, role AS platform, 'u' || (turn % 2) AS url, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS title, text AS snippet, CASE WHEN turn % 2 = 0 THEN '2026-0' || (turn % 9 + 1) ELSE '' END AS \"publishDate\" FROM conversations"
 
 
 @query("evidence_merge", f"""WITH c AS ({_CONV}), b AS (SELECT conv_id, platform, url, turn, nullif(trim(title), '') AS t, nullif(trim(snippet), '') AS s, nullif("publishDate", '') AS d FROM c)
   SELECT conv_id, platform, url, min(turn) AS turn, arg_max(t, (length(t), -turn)) FILTER (WHERE t IS NOT NULL) AS title, arg_max(s, (length(s), -turn)) FILTER (WHERE s IS NOT NULL) AS snippet, coalesce(arg_max(d, turn) FILTER (WHERE d IS NOT NULL), '') AS "publishDate" FROM b GROUP BY 1, 2, 3""")
 def _(t):
     c = t("conversations")
-    rows = c.select("conv_id", "turn", col("role").alias("platform"), F.concat(lit("u"), (col("turn") % 2).cast("string")).alias("url"), F.when(col("turn") % 3 == 0, "").otherwise(F.left("text", lit(200))).alias("title"), F.left("text", lit(80)).alias("snippet"), F.when(col("turn") % 2 == 0, F.concat(lit("2026-0"), (col("turn") % 9 + 1).cast("string"))).otherwise("").alias("publishDate"))
+    rows = c.select("conv_id", "turn", col("role").alias("platform"), F.concat(lit("u"), (col("turn") % 2).cast("string")).alias("url"), F.when(col("turn") % 3 == 0, "").otherwise(col("text")).alias("title"), col("text").alias("snippet"), F.when(col("turn") % 2 == 0, F.concat(lit("2026-0"), (col("turn") % 9 + 1).cast("string"))).otherwise("").alias("publishDate"))
     return queue.merge_evidence(rows, "conv_id", "turn")
 
 
@@ -439,7 +448,7 @@ def _(t):
     return t("events").select("event_id", F.expr(_ST).alias("s"), state.alias("e")).where("s <> 'officially-published' AND e = 'cleaned'").select("event_id")
 
 
-_REC = """SELECT CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'p' || (doc_id % 400) END AS id, doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'T' || doc_id END AS title, source AS venue, CASE WHEN doc_id % 7 = 0 THEN 'nope' ELSE 'reasoning' END AS pc, CASE WHEN doc_id % 17 = 0 THEN 'bad url' ELSE 'https://example.com/' || doc_id END AS url, left(text, 40) AS abstract FROM documents"""
+_REC = """SELECT CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'p' || (doc_id % 400) END AS id, doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'T' || doc_id END AS title, source AS venue, CASE WHEN doc_id % 7 = 0 THEN 'nope' ELSE 'reasoning' END AS pc, CASE WHEN doc_id % 17 = 0 THEN 'bad url' ELSE 'https://example.com/' || doc_id END AS url, text AS abstract FROM documents"""
 
 
 @query("validate_rules", f"""WITH r AS ({_REC}), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY title NULLS FIRST) AS n FROM r), p AS (SELECT 'missing string field id' AS problem FROM n WHERE id = '' UNION ALL SELECT 'missing string field title' FROM n WHERE title IS NULL UNION ALL SELECT 'missing string field abstract' FROM n WHERE coalesce(abstract, '') = ''
@@ -450,7 +459,7 @@ def _(t):
     pc = on(7, lit("nope"), lit("reasoning"))
     rows = r.select(
         on(11, lit(""), F.concat(lit("p"), (col("doc_id") % 400).cast("string"))).alias("id"), on(13, lit(None), F.concat(lit("T"), "doc_id")).alias("title"), col("source").alias("venue"), pc.alias("primaryCategory"), F.array(lit("reasoning"), pc).alias("categories"),
-        F.array(lit("a")).alias("authors"), on(19, F.array().cast("array<string>"), F.array(lit("k"))).alias("keywords"), on(17, lit("bad url"), F.concat(lit("https://example.com/"), "doc_id")).alias("openreviewUrl"), lit(None).cast("string").alias("pdfUrl"), F.left("text", lit(40)).alias("abstract"),
+        F.array(lit("a")).alias("authors"), on(19, F.array().cast("array<string>"), F.array(lit("k"))).alias("keywords"), on(17, lit("bad url"), F.concat(lit("https://example.com/"), "doc_id")).alias("openreviewUrl"), lit(None).cast("string").alias("pdfUrl"), col("text").alias("abstract"),
     )
     return catalog.validate(rows).groupBy("problem").agg(F.count("*").alias("records"))
 
@@ -471,7 +480,7 @@ def _entries(t):
     status = F.expr("CASE id % 4 WHEN 0 THEN 'ignored' WHEN 1 THEN 'candidate' WHEN 2 THEN 'accepted' ELSE 'officially-published' END")
     none = lambda kind: lit(None).cast(kind)
     return p.select(
-        F.concat(lit("e"), "id").alias("id"), "title", none("string").alias("titleZh"), F.left("abstract", lit(120)).alias("summary"), lit("").alias("abstract"), none("string").alias("reason"), none("string").alias("hookZh"),
+        F.concat(lit("e"), "id").alias("id"), "title", none("string").alias("titleZh"), col("abstract").alias("summary"), lit("").alias("abstract"), none("string").alias("reason"), none("string").alias("hookZh"),
         F.when(col("id") % 3 == 0, "provisional").otherwise("cleaned").alias("enrichmentStatus"), F.when(col("id") % 3 == 0, "unknown").otherwise("zhipu-chat").alias("metadataSource"), lit("").alias("primaryUrl"), F.concat(lit("https://example.com/"), "id").alias("canonicalUrl"), lit("").alias("pdfUrl"), none("string").alias("sourceId"),
         col("year"), status.alias("status"), (col("id") % 10 / 10).alias("confidence"), F.when(col("id") % 2 == 0, "ACL 2026").alias("acceptedVenue"), F.when(col("id") % 2 == 0, 2026).alias("acceptedYear"), lit("2026-01-01").alias("discoveredAt"), lit("2026-01-02").alias("updatedAt"), lit("").alias("lastCheckedAt"),
         none("array<string>").alias("authors"), F.array(lit("k"), lit(" k "), lit("")).alias("keywords"), none("array<string>").alias("titleAliases"), none("array<string>").alias("aliases"), F.array(lit("x")).alias("platforms"), none("array<struct<platform:string,url:string,title:string,author:string,snippet:string,readerTitle:string,readerExcerpt:string,publishDate:string,query:string>>").alias("evidence"), none("int").alias("evidenceCount"),
@@ -479,49 +488,72 @@ def _entries(t):
     )
 
 
-_UN = _classified("concat_ws(' ', nullif(title, ''), nullif(left(abstract, 120), ''), 'k  k  ', CASE WHEN id % 2 = 0 THEN 'ACL 2026' END)", CATEGORY_HINTS, "mllm-foundations")
+_UN = _classified("concat_ws(' ', nullif(title, ''), nullif(abstract, ''), 'k  k  ', CASE WHEN id % 2 = 0 THEN 'ACL 2026' END)", CATEGORY_HINTS, "mllm-foundations")
 
 
 @query("unofficial_record", f"""WITH {PAPERS}, o AS (SELECT DISTINCT {norm('title')} AS k FROM papers WHERE venue IN ('src0', 'src1', 'src2', 'src3')) SELECT 'e' || id AS id, CASE WHEN id % 4 = 2 THEN 'ACL 2026' ELSE '未分类 / Unclassified' END AS venue, CASE WHEN id % 4 = 2 THEN 2026 ELSE year END AS year, CASE WHEN id % 4 = 2 THEN 'accepted' ELSE 'candidate' END AS "acceptanceStatus",
-  {_UN['primary']} AS "primaryCategory", CASE WHEN id % 2 = 0 THEN 'k,ACL 2026,x,unofficial' ELSE 'k,x,unofficial' END AS keywords, 'https://example.com/' || id AS "openreviewUrl", left(abstract, 120) AS abstract FROM papers WHERE id % 4 IN (1, 2) AND id % 3 <> 0 AND {norm('title')} NOT IN (SELECT k FROM o WHERE k <> '')""")
+  {_UN['primary']} AS "primaryCategory", CASE WHEN id % 2 = 0 THEN 'k,ACL 2026,x,unofficial' ELSE 'k,x,unofficial' END AS keywords, 'https://example.com/' || id AS "openreviewUrl", abstract FROM papers WHERE id % 4 IN (1, 2) AND id % 3 <> 0 AND {norm('title')} NOT IN (SELECT k FROM o WHERE k <> '')""")
 def _(t):
     out = catalog.unofficial_papers(_entries(t).drop("pos"), papers(t).where(OFFICIAL).select("title"))
     return out.select("id", "venue", "year", "acceptanceStatus", "primaryCategory", F.array_join("keywords", ",").alias("keywords"), "openreviewUrl", "abstract")
 
 
-@query("entry_normalize")
+_WAIT = q("(?i)waiting for Zhipu enrichment|Discovery evidence found")
+_ENTRY = f"""c AS (SELECT id, list_filter(list_concat([{_clean_title('title')}], {_candidates('title')}, {_candidates('abstract')}), lambda c: c <> '') AS l FROM papers), u AS (SELECT id, unnest(range(len(l))) AS i, unnest(l) AS x FROM c),
+  best AS (SELECT id, x FROM u WHERE NOT {_dirty('x')} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_quality('x')} DESC, i) = 1), n AS (SELECT p.*, trim(coalesce(p.title, '')) AS raw, coalesce(best.x, trim(coalesce(p.title, ''))) AS t FROM papers p LEFT JOIN best ON best.id = p.id),
+  m AS (SELECT *, CASE WHEN t <> '' AND raw <> '' AND t <> raw AND contains(trim(abstract), raw) THEN replace(trim(abstract), raw, t) ELSE trim(abstract) END AS told FROM n),
+  w AS (SELECT *, CASE WHEN trim(abstract) = '' THEN NULL WHEN {_dirty('told')} THEN CASE WHEN t <> '' THEN 'Discovery evidence found an explicit ' || CASE WHEN id % 2 = 0 THEN 'ACL 2026' ELSE 'a 2026 top venue' END || ' paper signal for ' || t || '; waiting for Zhipu enrichment.' END ELSE told END AS summary FROM m)"""
+
+
+@query("entry_normalize", f"""WITH {PAPERS}, {_ENTRY} SELECT 'e' || id AS id, t AS title, CASE id % 4 WHEN 0 THEN 'ignored' WHEN 1 THEN 'candidate' WHEN 2 THEN 'accepted' ELSE 'officially-published' END AS status, CASE WHEN regexp_matches(concat_ws(' ', t, summary), {_WAIT}) OR id % 3 = 0 THEN 'provisional' ELSE 'cleaned' END AS "enrichmentStatus",
+  'https://example.com/' || id AS "primaryUrl", CASE WHEN id % 2 = 0 THEN 'ACL 2026' END AS "acceptedVenue", 'k' AS keywords, summary FROM w""")
 def _(t):
     out = queue.normalize_entry(_entries(t).drop("pos"), "2026-02-01")
-    return out.select("id", "title", "status", "enrichmentStatus", "primaryUrl", "acceptedVenue", F.array_join("keywords", ",").alias("keywords"))
+    return out.select("id", "title", "status", "enrichmentStatus", "primaryUrl", "acceptedVenue", F.array_join("keywords", ",").alias("keywords"), "summary")
 
 
-@query("upsert_match")
+_UP = f"""r AS (SELECT CASE WHEN id % 3 = 0 THEN pos ELSE pos + 1000000000000 END AS pos, id % 3 = 0 AS stored, 'i:p' || (id // 2) AS i, 't:' || nullif({norm('title')}, '') AS t, 'u:u' || id AS p, 'u:u' || (id + 7) AS c FROM papers), k AS (SELECT pos, stored, unnest([0, 1, 2, 3]) AS prio, unnest([i, t, p, c]) AS k FROM r),
+  b AS (SELECT pos, stored, prio, CASE WHEN prio = 0 THEN first_value(pos) OVER w ELSE lag(pos) OVER w END AS before FROM k WHERE k IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY pos)), a AS (SELECT pos, arg_min(before, prio) AS parent FROM b WHERE NOT stored AND before < pos GROUP BY pos),
+  climb AS (SELECT pos, pos AS place FROM r WHERE NOT stored UNION ALL SELECT climb.pos, a.parent FROM climb JOIN a ON a.pos = climb.place)"""
+
+
+@query("upsert_match", f"WITH RECURSIVE {PAPERS}, {_UP} SELECT pos, min(place) AS target FROM climb GROUP BY pos")
 def _(t):
     rows = papers(t).select("pos", (col("id") % 3 == 0).alias("stored"), F.concat(lit("p"), (F.floor(col("id") / 2)).cast("string")).alias("id"), text.normalize_text(col("title")).alias("title_key"), F.concat(lit("u"), "id").alias("primary_url"), F.concat(lit("u"), (col("id") + 7).cast("string")).alias("canonical_url"), F.array().cast("array<string>").alias("urls"))
     rows = rows.withColumn("pos", F.when(col("stored"), col("pos")).otherwise(col("pos") + 1_000_000_000_000))
     return queue.upsert_match(rows)
 
 
-@query("entry_merge")
+_FOLD = f"""e AS (SELECT pos // 3 AS target, pos, id, title, abstract, id % 3 = 0 AS prov, regexp_matches(coalesce(title, ''), '(?i)^bibtex\s+@|\s##\s*$') AS legacy, id % 10 / 10 AS conf, concat_ws(' ', CASE WHEN id % 2 = 0 THEN 'ACL 2026' END, abstract) AS v, nullif({_clean_title('title')}, '') AS clean FROM papers),
+  f AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'ACL 2026' ELSE {_RULE} END AS venue FROM e), h AS (SELECT *, coalesce(lag(prov OR legacy) OVER w, false) AND (NOT prov OR NOT legacy) AS fresh, max(conf) OVER b AS sure, max(CASE WHEN venue IS NOT NULL THEN 1 END) OVER b AS had FROM f WINDOW w AS (PARTITION BY target ORDER BY pos), b AS (PARTITION BY target ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  x AS (SELECT *, coalesce(max(CASE WHEN fresh AND trim(title) <> '' THEN pos END) OVER (PARTITION BY target), -1) AS rt, coalesce(max(CASE WHEN fresh AND trim(abstract) <> '' THEN pos END) OVER (PARTITION BY target), -1) AS rs, had IS NULL OR conf > sure + 0.05 AS trust FROM h)"""
+
+
+@query("entry_merge", f"""WITH {PAPERS}, {_FOLD} SELECT target, 'e' || min(id) AS id, CASE WHEN count_if(pos >= rt AND trim(title) <> '') > 1 THEN coalesce(arg_max(clean, ({_quality('clean')}, pos)) FILTER (WHERE pos >= rt AND clean IS NOT NULL), arg_max(trim(title), pos) FILTER (WHERE pos >= rt AND trim(title) <> '')) ELSE arg_max(trim(title), pos) FILTER (WHERE pos >= rt AND trim(title) <> '') END AS title,
+  arg_max(trim(abstract), (length(trim(abstract)), -pos)) FILTER (WHERE pos >= rs AND trim(abstract) <> '') AS summary, ['ignored', 'candidate', 'accepted', 'officially-published'][1 + max(id % 4)] AS status, max(conf) AS confidence, coalesce(arg_max(venue, pos) FILTER (WHERE trust AND venue IS NOT NULL), arg_min(venue, pos) FILTER (WHERE venue IS NOT NULL)) AS "acceptedVenue", 'k' AS keywords FROM x GROUP BY target""")
 def _(t):
     rows = _entries(t).select("id", "title", "summary", "reason", "metadataSource", "enrichmentStatus", "status", "confidence", "acceptedVenue", "acceptedYear", "keywords", "platforms", F.floor(col("pos") / 3).cast("long").alias("target"), "pos")
     out = queue.merge_entries(rows, "target", "pos")
-    return out.select("target", "id", "title", "status", "confidence", "acceptedVenue", F.array_join("keywords", ",").alias("keywords"))
+    return out.select("target", "id", "title", "summary", "status", "confidence", "acceptedVenue", F.array_join("keywords", ",").alias("keywords"))
+
+
+_HEAD = f"""b AS (SELECT *, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(abstract, ''))")} AS b FROM papers), s AS (SELECT *, CASE WHEN contains(b, {q(_Q.norm)}) THEN 160 ELSE 0 END + 16 * len({contained('b', _Q.tokens)}) + CASE WHEN contains(t, {q(_Q.norm)}) THEN 40 ELSE 0 END AS score FROM b), h AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, pos LIMIT 20)"""
 
 
-@query("brainstorm_plan", f"""WITH {PAPERS}, h AS (SELECT * FROM papers ORDER BY pos LIMIT 40), v AS (SELECT venue AS v, count(*) AS n FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4), c AS (SELECT upper(lang[1]) || lang[2:] AS v, count(*) AS n FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5), k AS (SELECT trim(unnest(list_slice(string_split(title, ' '), 1, 6))) AS w FROM h),
+@query("brainstorm_plan", f"""WITH {PAPERS}, {_HEAD}, v AS (SELECT venue AS v, count(*) AS n FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4), c AS (SELECT upper(lang[1]) || lang[2:] AS v, count(*) AS n FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5), k AS (SELECT trim(unnest(list_slice(string_split(title, ' '), 1, 6))) AS w FROM h),
   kk AS (SELECT w AS v, count(*) AS n FROM k WHERE w <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8), a AS (SELECT title, pos FROM h ORDER BY pos LIMIT 3) SELECT 'Background' || chr(10) || 'Idea' AS query, 'Closest literature cluster: ' || (SELECT string_agg(title, ' | ' ORDER BY pos) FROM a) AS cluster,
   'Recurring neighborhoods: ' || (SELECT string_agg(v, ', ' ORDER BY n DESC, v) FROM c) || '.' AS neighborhoods, 'Benchmark against papers from ' || (SELECT string_agg(v, ', ' ORDER BY n DESC, v) FROM v) || ' with one matched baseline and one stronger reference.' AS evaluation,
   'Add 2-3 ablations around ' || (SELECT string_agg(v, ', ' ORDER BY n DESC, v) FROM (SELECT * FROM kk ORDER BY n DESC, v LIMIT 3)) || ' to show what actually matters.' AS ablations""")
 def _(t):
-    head = papers(t).orderBy("pos").limit(40).select("pos", "title", "venue", col("lang").alias("primaryCategory"), F.split("title", " ").alias("keywords"))
+    hits = search.text_rank(papers(t), TEXT, ["title", "abstract"], 20)  # as many papers as an idea may have
+    head = hits.select("pos", "title", "venue", col("lang").alias("primaryCategory"), F.split("title", " ").alias("keywords"))
     return views.related_plan(head, " Background ", "Idea", "").drop("signals")
 
 
-@query("title_from_evidence", f"""WITH {PAPERS} SELECT id, trim(CASE id % 3 WHEN 0 THEN left(title, 60) WHEN 1 THEN '[page] ' || left(title, 60) ELSE '' END) AS title, rtrim(trim(left(regexp_replace(abstract, '\\s+', ' ', 'g'), 2200))) AS excerpt FROM papers""")
+@query("title_from_evidence", f"""WITH {PAPERS} SELECT id, trim(CASE id % 3 WHEN 0 THEN title WHEN 1 THEN '[page] ' || title ELSE '' END) AS title, rtrim(trim(left(regexp_replace(abstract, '\\s+', ' ', 'g'), 2200))) AS excerpt FROM papers""")
 def _(t):
     p = papers(t)
-    body = F.expr("CASE id % 3 WHEN 0 THEN to_json(named_struct('data', named_struct('title', left(title, 60), 'content', abstract))) WHEN 1 THEN to_json(named_struct('page_title', concat('[page] ', left(title, 60)), 'text', abstract)) ELSE to_json(named_struct('result', named_struct('summary', abstract))) END")
+    body = F.expr("CASE id % 3 WHEN 0 THEN to_json(named_struct('data', named_struct('title', title, 'content', abstract))) WHEN 1 THEN to_json(named_struct('page_title', concat('[page] ', title), 'text', abstract)) ELSE to_json(named_struct('result', named_struct('summary', abstract))) END")
     r = queue.reader_payload(body)
     return p.select("id", r["title"].alias("title"), r["excerpt"].alias("excerpt"))
 
@@ -536,3 +568,84 @@ def _(t):
     return t("events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("rank"))
 
 
+@query("evidence_backfill", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'own' || turn WHEN conv_id % 3 = 0 THEN 'have' || conv_id END AS url FROM conversations")
+def _(t):
+    rows = t("conversations").select("conv_id", "turn")
+    item = lambda url: F.array(F.struct(lit("web").alias("platform"), url.alias("url"), *[lit(None).cast("string").alias(c) for c in ("title", "author", "snippet", "readerTitle", "readerExcerpt", "publishDate", "query")]))
+    refined = rows.withColumn("evidence", F.when(col("turn") % 2 == 0, item(F.concat(lit("own"), "turn"))))
+    candidates = rows.where("conv_id % 3 = 0").select("conv_id").distinct().withColumn("evidence", item(F.concat(lit("have"), "conv_id")))
+    return queue.evidence_backfill(refined, candidates, "conv_id").select("conv_id", "turn", F.get("evidence", 0)["url"].alias("url"))
+
+
+@query("selection_toggle", "SELECT event_id, CASE WHEN list_contains(['error', 'click'], event_type) THEN array_to_string(list_filter(['error', 'click'], lambda x: x <> event_type), ',') ELSE 'error,click,' || event_type END AS selection FROM events")
+def _(t):
+    return t("events").select("event_id", F.array_join(queue.toggled_values(F.array(lit("error"), lit("click")), col("event_type")), ",").alias("selection"))
+
+
+@query("follow_up_seed", f"WITH {_EVID}, {_SCORED} SELECT id, url <> '' AND NOT bad AND (score >= 2 OR high) AS seed FROM sc")
+def _(t):
+    return _scored(t).select("id", queue.is_follow_up_seed(col("r"), col("url")).alias("seed"))
+
+
+_PLACE = "CASE page_id % 8 WHEN 0 THEN 'https://github.com/lab' WHEN 1 THEN 'https://github.com/lab/' WHEN 2 THEN concat('https://GitHub.com/lab/t', page_id) WHEN 3 THEN 'https://arxiv.org/list/cs' WHEN 4 THEN 'https://arxiv.org/abs/1' WHEN 5 THEN 'https://www.Example.com/x' WHEN 6 THEN 'not a host!' ELSE url END"
+
+
+@query("source_gate", f"""WITH u AS (SELECT page_id, {_PLACE} AS u FROM pages), h AS (SELECT page_id, u, lower(regexp_replace(regexp_replace(regexp_replace({squeeze('u')}, '(?i)^https?://', ''), '(?i)^www\.', ''), '/.*$', '')) AS h FROM u)
+  SELECT page_id, NOT (contains(lower(u), 'arxiv.org/list/') OR regexp_matches(u, '(?i)github\.com/[^/\s?#]+/?$')) AND regexp_matches(u, '(?i)github\.com/[^/\s?#]+/[^/\s?#]+|github\.io|openreview\.net|arxiv\.org/abs|x\.com|twitter\.com') AS strong, CASE WHEN h <> '' AND NOT regexp_matches(h, '[^a-z0-9.-]') THEN h END AS host,
+  CASE WHEN page_id % 3 = 0 THEN 'oneWeek' ELSE 'oneMonth' END AS recency FROM h""")
+def _(t):
+    rows = t("pages").select("page_id", F.expr(_PLACE).alias("u"), F.when(col("page_id") % 3 == 0, " oneWeek ").otherwise("ever").alias("r"))
+    return rows.select("page_id", venues.is_strong_source(col("u")).alias("strong"), venues.domain_filter(col("u")).alias("host"), venues.one_of(col("r"), ["oneDay", "oneWeek", "oneMonth"], "oneMonth").alias("recency"))
+
+
+@query("legacy_entry", "SELECT event_id, event_id % 29 = 0 OR event_id % 31 = 0 OR event_id % 37 = 0 AS legacy FROM events")
+def _(t):
+    why = F.when(col("event_id") % 37 == 0, "Local high-confidence extraction of it").otherwise("why")
+    return t("events").select("event_id", queue.is_legacy(F.expr(_TI), why).alias("legacy"))
+
+
+@query("manifest_header", f"WITH m AS ({_manifest_sql('true')}) SELECT 'chunked-v1' AS format, 'm' AS model, CAST(sum(count) AS BIGINT) AS count, max(dimensions) AS dimensions, count(*) AS chunks, CAST(sum(bytes) AS BIGINT) AS bytes, 20 AS \"chunkRows\" FROM m")
+def _(t):
+    return store.manifest_header(_manifest(t), "m", None, 20).select("format", "model", "count", "dimensions", "chunks", "bytes", "chunkRows")
+
+
+@query("manifest_ids", "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, conv_id || ':' || turn AS id, sha1(text) AS fingerprint FROM conversations")
+def _(t):
+    rows = vectors.numbered(t("conversations").withColumn("o", F.struct("conv_id", "turn")), "o").select(col("_i").alias("pos"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.sha1("text").alias("fp"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "id", "fp")))
+    chunks = rows.groupBy(F.floor(col("pos") / 50).alias("c")).agg(F.min("pos").alias("offset"), listed.alias("m"))  # 50 rows a chunk
+    return store.manifest_ids(chunks.select("offset", col("m.id").alias("ids"), col("m.fp").alias("fingerprints")))
+
+
+@query("embedding_pool", "WITH w AS (SELECT p_partkey AS id, list_filter(string_split(p_name, ' '), lambda w: w <> '') AS w FROM part), a AS (SELECT id, list_avg(list_transform(w, lambda x: length(x))) AS m FROM w) SELECT id, round(m / sqrt(m * m + 1), 5) AS x, round(1 / sqrt(m * m + 1), 5) AS y FROM a")
+def _(t):
+    def encode(texts: list[str]) -> list[np.ndarray]:  # a stand-in for a model: a token's vector is its length and 1
+        return [np.array([[len(w), 1.0] for w in text.split()]).reshape(-1, 2) for text in texts]
+
+    out = outside.embed(t("part").select(col("p_partkey").alias("id"), "p_name"), encode, "p_name")
+    return out.select("id", *[F.round(F.get("embedding", i).cast("double"), 5).alias(n) for i, n in enumerate("xy")])
+
+
+@query("paged_scan", "SELECT range AS pos, range * 7 AS n FROM range(1037)")
+def _(t):
+    def fetch(url: str) -> str:  # a service with 1037 notes
+        limit, offset = (int(x.split("=")[1]) for x in url.split("&")[-2:])
+        return json.dumps({"notes": [{"n": 7 * i} for i in range(offset, min(offset + limit, 1037))]})
+
+    spark = t("region").sparkSession
+    spark.dataSource.register(paged.paged_source("paged_notes", fetch))
+    rows = spark.read.format("paged_notes").options(url="https://api.example.org/notes?v=1", limit=100, max_pages=40, lanes=3).load()
+    return rows.select("pos", F.get_json_object("value", "$.n").cast("long").alias("n"))
+
+
+@query("search_answers", f"WITH {PAPERS} SELECT 'https://a.org/' || id AS url, title, CASE id % 3 WHEN 0 THEN 'S' ELSE '' END AS snippet, 'seed' AS stage FROM papers WHERE title <> ''")
+def _(t):
+    body = F.expr("CASE id % 3 WHEN 0 THEN to_json(named_struct('search_result', array(named_struct('link', concat('https://a.org/', id), 'title', title, 'content', 'S'), named_struct('link', '', 'title', 'x', 'content', '')))) WHEN 1 THEN to_json(named_struct('data', named_struct('search_result', array(named_struct('url', concat('https://a.org/', id), 'name', title))))) ELSE to_json(named_struct('results', array(named_struct('url', concat('https://a.org/', id), 'title', title)))) END")
+    return paged.search_items(papers(t).select(body.alias("value")), "web", {"stage": "seed", "query": "q", "label": "seed-1"}).select("url", "title", "snippet", "stage")
+
+
+@query("upsert_queue")
+def _(t):
+    rows = _entries(t)
+    stored, found = rows.where("pos % 3 = 0"), rows.where("pos % 3 <> 0").withColumn("id", lit(None).cast("string"))
+    return queue.upsert_queue(stored, found, "2026-02-01").select("id", "title", "status", "confidence", "acceptedVenue", "enrichmentStatus", "evidenceCount")

@@ -379,10 +379,10 @@ def _(t):
     return _evidence(t).select("id", titles.view_title(col("v")).alias("title"))
 
 
-@query("narrative_clean", f"""WITH {PAPERS}, n AS (SELECT id, 'About ' || left(title, 40) || ' now' AS s, left(title, 40) AS raw, CASE WHEN id % 2 = 0 THEN 'Clean ' || id ELSE left(title, 40) END AS clean, CASE WHEN id % 3 = 0 THEN '' ELSE 'ACL 2026' END AS venue FROM papers),
+@query("narrative_clean", f"""WITH {PAPERS}, n AS (SELECT id, 'About ' || title || ' now' AS s, title AS raw, CASE WHEN id % 2 = 0 THEN 'Clean ' || id ELSE title END AS clean, CASE WHEN id % 3 = 0 THEN '' ELSE 'ACL 2026' END AS venue FROM papers),
   c AS (SELECT *, CASE WHEN clean <> raw AND raw <> '' AND clean <> '' THEN replace(trim(s), raw, clean) ELSE trim(s) END AS x FROM n) SELECT id, CASE WHEN {_dirty('x')} THEN 'Discovery evidence found an explicit ' || coalesce(nullif(venue, ''), 'a 2026 top venue') || ' paper signal for ' || clean || '; waiting for Zhipu enrichment.' ELSE x END AS text FROM c WHERE clean <> ''""")
 def _(t):
-    rows = papers(t).select("id", F.left("title", lit(40)).alias("raw"), F.when(col("id") % 2 == 0, F.concat(lit("Clean "), "id")).otherwise(F.left("title", lit(40))).alias("clean"), F.when(col("id") % 3 == 0, "").otherwise("ACL 2026").alias("venue"))
+    rows = papers(t).select("id", col("title").alias("raw"), F.when(col("id") % 2 == 0, F.concat(lit("Clean "), "id")).otherwise(col("title")).alias("clean"), F.when(col("id") % 3 == 0, "").otherwise("ACL 2026").alias("venue"))
     return rows.where("clean <> ''").select("id", titles.clean_narrative(F.concat(lit("About "), "raw", lit(" now")), col("raw"), col("clean"), col("venue")).alias("text"))
 
 
@@ -402,7 +402,10 @@ def _(t):
     return out.select("id", "title", "year", F.array_join("authors", "|").alias("authors"), "openreviewUrl")
 
 
-@query("repair_title")
+_REPAIRED = ", ".join(f"nullif({_clean_title(f'regexp_extract(s, {re2(p)}, 1)')}, '')" for p in (r"(?i)title=\{([^}]{8,220})\}", r"(?i)accepted paper\s*:\s*([^\n]{8,220})", r'(?i)implementation of\s+"([^"\n]{8,220})"', r"(?i)implementation of\s+([A-Z][^.\n]{8,220})", r"([A-Z][A-Za-z0-9+_.-]{1,48}:\s*[^#\n]{8,220})"))
+
+
+@query("repair_title", f"WITH {_E}, s AS (SELECT id, {squeeze('v')} AS s FROM e) SELECT id, CASE WHEN NOT regexp_matches(s, {q(f'(?i){WAITING}')}) THEN coalesce({_REPAIRED}) END AS title FROM s")
 def _(t):
     return _evidence(t).select("id", titles.repair_title(F.array("v"), lit("")).alias("title"))
 
@@ -411,3 +414,19 @@ def _(t):
 def _(t):
     rows = papers(t).select(col("id").cast("int").alias("pos"), F.concat(lit("https://github.com/lab/t"), "id").alias("url"), lit("").alias("platform"), F.expr(_EV).alias("title"), lit("").alias("snippet"), lit("").alias("readerTitle"), lit("").alias("readerExcerpt"), lit(20).alias("score"), (col("id") % 50).cast("int").alias("priority"))
     return queue.strong_candidates(rows, 24)
+
+
+_DETAIL = "concat('<title>CVPR Oral ', id, ' x</title><h1>head</h1>', CASE WHEN id % 2 = 0 THEN concat('{\"name\": \"Paper ', id, ' &amp; more\"}') ELSE '' END, '{\"name\": \"Ann B\"} {\"name\" : \"Bo &quot;C&quot;\"} {\"name\": \"Ann B\"} {\"name\": \"CVPR 2026\"}<div id=\"abstractText\"><b>x</b><p>', title, ' <i>of</i> it</p><p>no</p></div>')"
+
+
+@query("page_detail", f"""WITH {PAPERS} SELECT id, CASE WHEN id % 2 = 0 THEN 'Paper ' || id || ' & more' ELSE 'Ann B' END AS title, {squeeze("title || ' of it'")} AS abstract, CASE WHEN id % 2 = 0 THEN 'Ann B|Bo "C"' ELSE 'Bo "C"' END AS authors, 'Oral' AS track FROM papers""")
+def _(t):
+    rows = papers(t).select("id", html.page_detail(F.expr(_DETAIL), lit("none")).alias("d"))
+    return rows.select("id", "d.title", "d.abstract", F.array_join("d.authors", "|").alias("authors"), "d.track")
+
+
+@query("issue_urls", f"WITH {PAPERS} SELECT id, 'https://j.example.org/issue/' || (id % 90) || '|https://j.example.org/issue/' || (id % 90 + 100) AS urls FROM papers")
+def _(t):
+    one = lambda n, title, series: f"concat('<a class=\"title\" href=\"https://j.example.org/issue/', {n}, '\"> {title} </a> <p>x</p><div class=\"series\">{series}</div>')"
+    page = f"concat({one('id % 90 + 100', 'J-26 Tracks 2', 'Vol. 40 No. 9')}, {one('id % 90', '<b>J-26</b> Tracks', ' Vol. 40 No. 1')}, {one('id % 90', 'J-26 Tracks', 'Vol. 40 No. 1')}, {one('7', 'J-26 Tracks', 'Vol. 39 No. 1')}, {one('8', 'Other', 'Vol. 40 No. 2')})"
+    return papers(t).select("id", F.array_join(html.issue_urls(F.expr(page), "https://j.example.org/issue/", "Vol. 40 No.", "J-26 Tracks"), "|").alias("urls"))

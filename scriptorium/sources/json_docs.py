@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import chain
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -40,6 +44,81 @@ def read_embedded_json(spark: SparkSession, path: str, name: str, schema: Struct
     return text.select(F.inline(F.from_json(found, ArrayType(schema))))
 
 
+def read_trace(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """A document of one row, or null where there is none."""
+    return spark.read.schema(schema).json(path, multiLine=True) if exists(spark, path) else None
+
+
+def workflow_runs(answers: DataFrame, column: str = "value") -> DataFrame:
+    """Runs in answers of a CI service: id, name, status, conclusion, url, started, updated; an answer without a list has none."""
+    item = "array<struct<id:bigint,name:string,status:string,conclusion:string,html_url:string,created_at:string,updated_at:string>>"
+    runs = F.from_json(F.get_json_object(column, "$.workflow_runs"), item)
+    return answers.select(F.inline(runs)).withColumnsRenamed({"html_url": "url", "created_at": "started", "updated_at": "updated"})
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line; the old output goes once the new one is complete."""
     df.write.mode("overwrite").json(path)
+
+
+def write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """One file from a stream of texts: written beside its place and moved there when it is complete."""
+    jvm = spark.sparkContext._jvm
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(beside, True)
+    try:
+        for part in parts:
+            out.write(part if isinstance(part, bytes) else part.encode())
+    finally:
+        out.close()
+    system.delete(target, False)
+    if not system.rename(beside, target):
+        raise OSError(f"{path} can't be written")
+
+
+def _pretty(df: DataFrame) -> Iterator[str]:
+    """A JSON array, indented; rows pass through the driver one by one."""
+    first = True
+    for row in df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+        yield ("[\n" if first else ",\n") + "\n".join(f"  {line}" for line in row["j"].split("\n"))
+        first = False
+    yield "[]" if first else "\n]"
+
+
+def write_pretty(df: DataFrame, path: str) -> None:
+    """One indented JSON array, in the order of df."""
+    write_text(df.sparkSession, path, chain(_pretty(df), ["\n"]))
+
+
+def write_module(df: DataFrame, path: str, name: str, kind: str, source: str) -> None:
+    """A script that exports the rows under a name, as a list of a kind that it imports."""
+    head = f"import type {{ {kind} }} from '{source}'\n\nexport const {name} = "
+    write_text(df.sparkSession, path, chain([head], _pretty(df), [f" satisfies {kind}[]\n"]))
+
+
+def mirror(spark: SparkSession, source: str, target: str, ignored: tuple[str, ...] = ()) -> list[str]:
+    """Make target hold what source holds: extras are deleted, files copied; ignored names are neither copied nor kept. The names that went, as paths below target."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    gone: list[str] = []
+
+    def sync(a, b, below: str) -> None:
+        here, there = a.getFileSystem(conf), b.getFileSystem(conf)
+        there.mkdirs(b)
+        entries = {x.getPath().getName(): x for x in here.listStatus(a)}
+        for x in there.listStatus(b):
+            name = x.getPath().getName()
+            if name not in entries or name in ignored or entries[name].isDirectory() != x.isDirectory():
+                there.delete(x.getPath(), True)
+                gone.append(below + name)
+        for name, x in entries.items():
+            if name in ignored:
+                continue
+            if x.isDirectory():
+                sync(x.getPath(), path(b, name), f"{below}{name}/")
+            else:
+                jvm.org.apache.hadoop.fs.FileUtil.copy(here, x.getPath(), there, path(b, name), False, True, conf)
+
+    sync(path(source), path(target), "")
+    return sorted(gone)

@@ -1,4 +1,4 @@
-"""A paged REST source: one input partition a page, retried with linear backoff. The transport is a parameter, so tests need no network."""
+"""A paged REST source: lanes of pages, each a partition, retried with linear backoff. The transport is a parameter, so tests need no network."""
 
 from __future__ import annotations
 
@@ -28,41 +28,55 @@ def over_http(url: str) -> str:
 
 
 def map_limit(rows, call: Callable[[dict], str | None], limit: int, into: str = "answer"):
-    """rows with what call() gives for each, at most `limit` calls at a time; rows keep their columns, and so their positions."""
-    from pyspark.sql.types import StringType, StructField, StructType
+    """rows with what call() gives for each, in the order of rows; at most `limit` calls at a time, those of a task in as many threads as its share."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    tasks = max(1, min(limit, rows.sparkSession.sparkContext.defaultParallelism))
+    threads = max(1, limit // tasks)
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(**{into: [retry(lambda r=r: call(r), sleep=time.sleep) for r in pdf.to_dict("records")]})
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                yield pdf.assign(**{into: list(pool.map(lambda r: retry(lambda: call(r), sleep=time.sleep), pdf.drop(columns="_at").to_dict("records")))})
 
-    return rows.repartition(limit).mapInPandas(run, StructType([*rows.schema.fields, StructField(into, StringType())]))
+    shape = StructType([*rows.schema.fields, StructField("_at", LongType()), StructField(into, StringType())])
+    placed = rows.withColumn("_at", F.monotonically_increasing_id()).repartition(tasks)
+    return placed.mapInPandas(run, shape).orderBy("_at").drop("_at")
 
 
-class Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+class Lane(InputPartition):
+    def __init__(self, first: int):
+        self.first = first
 
 
 class PagedReader(DataSourceReader):
-    """Pages at offset 0, limit, 2 limit, up to max_pages; those past the end give no rows, as a short page ends the list."""
+    """Pages at offset 0, limit, 2 limit, up to max_pages, ended by the first short page. Lane i of `lanes` reads every lanes-th page from i on; each stops at its first short one."""
 
     def __init__(self, options: dict, fetch: Callable[[str], str]):
         self.url, self.rows = options["url"], options.get("rows", "notes")
-        self.limit, self.pages = int(options.get("limit", 500)), int(options.get("max_pages", 20))
+        self.limit, self.pages, self.lanes = (int(options.get(k, n)) for k, n in (("limit", 500), ("max_pages", 20), ("lanes", 1)))
         self.fetch = fetch
 
-    def partitions(self) -> list[Page]:
-        return [Page(i * self.limit) for i in range(self.pages)]
+    def partitions(self) -> list[Lane]:
+        return [Lane(i) for i in range(min(self.lanes, self.pages))]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Lane) -> Iterator[tuple]:
         joint = "&" if "?" in self.url else "?"
-        text = retry(lambda: self.fetch(f"{self.url}{joint}limit={self.limit}&offset={partition.offset}"))
-        for i, row in enumerate(json.loads(text).get(self.rows, [])):
-            yield partition.offset + i, json.dumps(row)
+        for page in range(partition.first, self.pages, self.lanes):
+            offset = page * self.limit
+            text = retry(lambda: self.fetch(f"{self.url}{joint}limit={self.limit}&offset={offset}"))
+            found = json.loads(text).get(self.rows) or []
+            for i, row in enumerate(found):
+                yield offset + i, json.dumps(row)
+            if len(found) < self.limit:
+                return
 
 
 def paged_source(name: str = "paged_rest", fetch: Callable[[str], str] = over_http) -> type[DataSource]:
-    """A data source to register: spark.dataSource.register(paged_source()); options url, rows, limit, max_pages."""
+    """A data source to register: spark.dataSource.register(paged_source()); options url, rows, limit, max_pages, lanes."""
 
     class PagedSource(DataSource):
         @classmethod
@@ -93,3 +107,27 @@ def search_items(answers, platform: str, plan):
         F.lit(platform).alias("platform"), F.lit(plan["stage"]).alias("stage"), first("link", "url").alias("url"), first("title", "name").alias("title"), first("author", "site_name").alias("author"),
         first("content", "snippet", "description", "summary").alias("snippet"), first("publish_date", "publish_time", "date").alias("publishDate"), F.lit(plan["query"]).alias("query"), F.lit(plan["label"]).alias("queryLabel"),
     ).where("url <> '' AND title <> ''")
+
+
+# Names of search engines and what they are called in a request.
+ENGINES = {"web-search-pro": "search_pro", "search_pro": "search_pro", "web-search-std": "search_std", "search_std": "search_std", "search_pro_sogou": "search_pro_sogou", "sogou": "search_pro_sogou", "search_pro_quark": "search_pro_quark", "quark": "search_pro_quark"}
+
+
+def search_request(query: str, engine: str | None = None, domain: str | None = None, recency: str | None = None, size: str | None = None, count: int | None = None) -> dict:
+    """The body of a web search: an engine by any of its names, defaults, and no fields without a value."""
+    body = {
+        "search_query": query, "search_engine": ENGINES.get((engine or "").strip().lower(), "search_pro"), "search_intent": False, "search_domain_filter": domain,
+        "search_recency_filter": recency or "oneMonth", "content_size": size or "medium", "count": count,
+    }
+    return {k: v for k, v in body.items() if v is not None and v != ""}
+
+
+def search_web(plans, post: Callable[[str, dict], str], limit: int = 4):
+    """Search plans with the raw JSON answer to each, in column value, for search_items(): at most `limit` calls at a time. post(endpoint, body) is the transport."""
+    ask = lambda r: post("web_search", search_request(r["query"], r.get("searchEngine"), r.get("domainFilter"), r.get("recencyFilter"), r.get("contentSize")))
+    return map_limit(plans, ask, limit, "value")
+
+
+def read_pages(rows, post: Callable[[str, dict], str], limit: int = 4, url: str = "url"):
+    """Rows with a page reader's raw JSON answer for their address, in column value, for reader_payload()."""
+    return map_limit(rows, lambda r: post("reader", {"url": r[url]}) if r[url] else None, limit, "value")

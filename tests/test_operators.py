@@ -3,17 +3,19 @@
 import json
 import os
 import random
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium import api
-from scriptorium.operators import catalog, graph, hybrid, queue, search, vectors, views
+from scriptorium import api, server
+from scriptorium.operators import catalog, graph, hybrid, ordered, queue, search, vectors, views
 from scriptorium.plans import pipeline, search_plans
 from scriptorium.schemas import ENTRY, PAPER
-from scriptorium.sources import json_docs, paged, store
+from scriptorium.sources import json_docs, outside, paged, store
 from scriptorium.streaming import queue_stream
+from scriptorium.values import INTRO_KEYS
 
 
 def test_dedupe_and_suffix(spark):
@@ -62,7 +64,7 @@ def test_vectors_round_trip(spark, tmp_path):
     np.savez(tmp_path / "b.npz", ids=np.array(["p", "q"]), embeddings=matrix[:2])
     assert [r["id"] for r in store.read_npz(spark, f"{tmp_path}/b.npz").collect()] == ["p", "q"]
     chunks = spark.createDataFrame([(5, ["c"], ["z"]), (0, ["a", "b"], ["x", "y"])], "offset int, ids array<string>, fingerprints array<string>")
-    assert store.manifest_ids(chunks).first()["ids"] == ["a", "b", "c"]
+    assert [tuple(r) for r in store.manifest_ids(chunks).orderBy("pos").collect()] == [(0, "a", "x"), (1, "b", "y"), (5, "c", "z")]
 
 
 def test_components_property(spark):
@@ -119,6 +121,95 @@ def test_merge(spark):
     assert one["keywords"] == ["x", "y", "z"] and (two["title"], two["summary"], two["acceptedVenue"], two["status"]) == ("New", "new", "ACL 2026", "accepted")
 
 
+def fold(rows):
+    """Brute force of merge_entries: rows one after the other, on what the operator says it does."""
+    blank = lambda x: x if x and x.strip() else None
+    state, before = None, None
+    for r in rows:
+        legacy = r["title"].startswith("bibtex @") or "local high-confidence extraction" in (r["reason"] or "")
+        if state is None:
+            state = dict(r, keywords=list(dict.fromkeys(r["keywords"])))
+        else:
+            fresh = before and (r["metadataSource"] == "zhipu-chat" or not legacy)
+            for c in ("summary", "reason"):
+                a, b = blank(state[c]), blank(r[c])
+                state[c] = (b or a) if fresh else (b if a is None or (b and len(b) > len(a)) else a)
+            if r["acceptedVenue"] and (not state["acceptedVenue"] or r["confidence"] > state["confidence"] + 0.05):
+                state["acceptedVenue"] = r["acceptedVenue"]
+            state["confidence"] = max(state["confidence"], r["confidence"])
+            state["keywords"] = list(dict.fromkeys([*state["keywords"], *r["keywords"]]))
+        before = legacy or r["enrichmentStatus"] == "provisional" or r["metadataSource"] == "local-fallback"
+    return {c: blank(state[c]) if isinstance(state[c], str) else state[c] for c in ("summary", "reason", "acceptedVenue", "confidence", "keywords")}
+
+
+def test_merge_by_brute_force(spark):
+    """Groups of any size, one of them with a third of all rows."""
+    rng = random.Random(8)
+    names = "target pos title summary reason metadataSource enrichmentStatus status confidence acceptedVenue keywords".split()
+    rows = []
+    for pos in range(400):
+        text = lambda: rng.choice(["", "x" * rng.randrange(1, 30), "words of some length"])
+        rows.append((0 if rng.random() < 0.35 else rng.randrange(60), pos, rng.choice(["bibtex @x", "A Study of Widgets"]), text(), rng.choice([text(), "by local high-confidence extraction"]), rng.choice(["zhipu-chat", "local-fallback", "other"]), rng.choice(["provisional", "cleaned"]), "candidate", rng.randrange(100) / 100, rng.choice([None, "ACL 2026", "KDD 2026", "WWW 2026"]), rng.sample(["a", "b", "c", "d"], rng.randrange(4))))
+    df = spark.createDataFrame(rows, "target long, pos long, title string, summary string, reason string, metadataSource string, enrichmentStatus string, status string, confidence double, acceptedVenue string, keywords array<string>")
+    found = {r["target"]: r for r in queue.merge_entries(df.repartition(5), "target", "pos").collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(dict(zip(names, r)))
+    for target, own in groups.items():
+        want = fold(own)
+        assert {c: found[target][c] for c in want} == want, target
+    assert len(found) == len(groups)
+
+
+def test_running(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "b", "c"]), i, rng.choice([None, rng.randrange(50)])) for i in range(300)]
+    rng.shuffle(rows)
+    got = ordered.running(spark.createDataFrame(rows, "k string, pos int, v int").repartition(6), "k", "pos", {"last": F.col("v")}, {"most": F.col("v")})
+    want = {}
+    for k in "abc":
+        last, most = None, None
+        for _, pos, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            want[(k, pos)] = (last, most)
+            last, most = v, v if most is None else most if v is None else max(v, most)
+    assert {(r["k"], r["pos"]): (r["last"], r["most"]) for r in got.collect()} == want
+
+
+def test_queue_upsert(spark):
+    ev = lambda url, title, snippet: ("web", url, title, None, snippet, None, None, "2026-01-01", None)
+    stored = [entry(id="s1", title="Deep Widgets: A Study of Them", primaryUrl="https://a.org/1", confidence=0.5, status="candidate", keywords=["k"], evidence=[ev("https://a.org/1", "Deep Widgets: A Study of Them", "s")])]
+    new = [entry(title="deep widgets  a study of them", summary="A plain summary of it.", confidence=0.9, acceptedVenue="ACL 2026", status="accepted", keywords=["l"], evidence=[ev("https://a.org/1", "", "a longer snippet"), ev("https://b.org", "t", "u")]), entry(title="Another Paper on Graphs", primaryUrl="https://b.org", confidence=0.3), entry(title="A Third One of Its Kind", primaryUrl="https://c.org")]
+    table = lambda rows: spark.createDataFrame(rows, ENTRY).withColumn("pos", F.monotonically_increasing_id())
+    out = queue.upsert_queue(table(stored), table(new), "2026-02-01").collect()
+    assert [r["id"] for r in out][0] == "s1" and len(out) == 2
+    one = out[0]
+    assert (one["status"], one["acceptedVenue"], one["confidence"], one["keywords"], one["evidenceCount"]) == ("accepted", "ACL 2026", 0.9, ["k", "l"], 2)
+    assert [(e["url"], e["snippet"]) for e in one["evidence"]] == [("https://a.org/1", "a longer snippet"), ("https://b.org", "u")]
+    again = spark.createDataFrame([tuple(r) for r in out], ENTRY).withColumn("pos", F.monotonically_increasing_id())
+    assert sorted(r["id"] for r in queue.upsert_queue(again, table(new), "2026-02-01").collect()) == sorted(r["id"] for r in out)
+    papers = spark.createDataFrame([("s1", None), ("x", None)], "id string, evidence array<struct<platform:string,url:string,title:string,author:string,snippet:string,readerTitle:string,readerExcerpt:string,publishDate:string,query:string>>")
+    assert {r["id"]: len(r["evidence"]) for r in queue.evidence_backfill(papers, again.select("id", "evidence")).collect()} == {"s1": 2, "x": 0}
+
+
+def test_refine(spark):
+    df = queue.normalize_entry(spark.createDataFrame([entry(id=str(i), title=f"A Plain Title of Number {i}") for i in range(5)], ENTRY), "2026-01-01").cache()
+
+    class Limited(Exception):
+        status = 429
+
+    def ask(batch):
+        if batch.where("id = '1'").count():
+            raise ValueError("no answer")
+        if batch.where("id = '3'").count():
+            raise Limited("wait")
+        return batch
+
+    done, errors = queue.refine(df, ask, 1, 5)
+    assert [d.first()["id"] for d in done] == ["0", "2"] and errors == ["no answer", "wait"]
+    assert queue.refine(df, ask, 1, 5, pipeline.Budget(0, lambda: 1.0)) == ([], [])
+    df.unpersist()
+
+
 def test_lattice_commutes(spark):
     rows = [(i % 7, random.Random(i).choice(["ignored", "candidate", "accepted", "officially-published"])) for i in range(60)]
     a = queue.status_lattice(spark.createDataFrame(rows, "k int, status string"), "k")
@@ -214,8 +305,17 @@ def test_paged(spark):
         return x
 
     assert paged.retry(call, sleep=waits.append) == 5 and waits == [1.0, 2.0]
-    called = paged.map_limit(spark.range(5).withColumnRenamed("id", "pos"), lambda r: f"page {r['pos']}", 2).orderBy("pos").collect()
-    assert [r["answer"] for r in called] == [f"page {i}" for i in range(5)]
+    called = paged.map_limit(spark.range(40, numPartitions=3).withColumnRenamed("id", "pos"), lambda r: f"page {r['pos']}", 7).collect()
+    assert [r["answer"] for r in called] == [f"page {i}" for i in range(40)]
+    asked = []
+    lane = paged.PagedReader({"url": "https://api.example.org/notes", "limit": "10", "max_pages": "9"}, lambda url: asked.append(url) or fetch(url))
+    assert len(lane.partitions()) == 1 and len(list(lane.read(lane.partitions()[0]))) == 23 and len(asked) == 3
+    assert paged.search_request("q", " Sogou ", "", None, "", None) == {"search_query": "q", "search_engine": "search_pro_sogou", "search_intent": False, "search_recency_filter": "oneMonth", "content_size": "medium"}
+    plans = spark.createDataFrame([("seed", "a b", "quark", None, None, None)], "stage string, query string, searchEngine string, domainFilter string, recencyFilter string, contentSize string")
+    found = paged.search_web(plans, lambda place, body: json.dumps({"results": [{"url": "https://x.org", "title": f"{place} {body['search_engine']}"}]}))
+    assert paged.search_items(found, "web", {"stage": "seed", "query": "q", "label": "l"}).first()["title"] == "web_search search_pro_quark"
+    read = paged.read_pages(spark.createDataFrame([("https://x.org",), (None,)], "url string"), lambda place, body: json.dumps({"data": {"title": place, "content": body["url"]}}))
+    assert [(r["p"]["title"], r["p"]["excerpt"]) for r in read.where("value IS NOT NULL").select(queue.reader_payload(F.col("value")).alias("p")).collect()] == [("reader", "https://x.org")]
     answers = spark.createDataFrame([('{"data": {"search_result": [{"link": "https://a.org", "name": "N"}, {"url": "x"}]}}',)], "value string")
     hits = paged.search_items(answers, "web", {"stage": "seed", "query": "q", "label": "seed-1"}).collect()
     assert [(h["url"], h["title"]) for h in hits] == [("https://a.org", "N")]
@@ -302,3 +402,149 @@ def test_titles_in_views(spark):
     ]
     row = spark.range(1).select(*[e.alias(f"v{i}") for i, (e, _) in enumerate(exprs)]).first()
     assert [*row] == [w for _, w in exprs]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "Ä", 1, [1.0, 2.0]), ("b", None, 2, [3.0, 4.0])], "id string, title string, pos int, embedding array<float>")
+    json_docs.write_pretty(rows.drop("embedding").orderBy("pos"), f"{tmp_path}/p.json")
+    text = (tmp_path / "p.json").read_text()
+    assert json.loads(text) == [{"id": "a", "title": "Ä", "pos": 1}, {"id": "b", "title": None, "pos": 2}] and text.startswith("[\n  {\n")
+    json_docs.write_pretty(rows.limit(0), f"{tmp_path}/p.json")
+    assert json.loads((tmp_path / "p.json").read_text()) == [] and sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["p.json"]
+    json_docs.write_module(rows.select("id", "pos").orderBy("pos"), f"{tmp_path}/m.ts", "made", "Row", "../types")
+    shape = spark.createDataFrame([], "id string, pos int").schema
+    assert [tuple(r) for r in json_docs.read_embedded_json(spark, f"{tmp_path}/m.ts", "made", shape).collect()] == [("a", 1), ("b", 2)]
+    store.write_npz(rows, f"{tmp_path}/v.npz", f"{tmp_path}/v.json", "m")
+    assert [(r["id"], list(r["embedding"])) for r in store.read_npz(spark, f"{tmp_path}/v.npz").collect()] == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
+    assert json.loads((tmp_path / "v.json").read_text())["titles"] == ["Ä", None]
+    with pytest.raises(ValueError):
+        store.write_npz(rows, f"{tmp_path}/w.npz", f"{tmp_path}/w.json", "m", most=8)
+    (tmp_path / "mono.bin").write_bytes(np.array([[1, 2], [3, 4]], "<f4").tobytes())
+    ids = spark.createDataFrame([(0, "a"), (1, "b")], "row long, id string")
+    assert {r["id"]: list(r["embedding"]) for r in store.read_monolith(spark, f"{tmp_path}/mono.bin", ids, 2).collect()} == {"a": [1.0, 2.0], "b": [3.0, 4.0]}
+    papers = spark.createDataFrame([("p", "AAAI 2026", 2026, "text"), ("q", "ACL", 2025, None)], "id string, venue string, year int, abstract string")
+    store.write_shard_pair(papers, [f"{tmp_path}/x", f"{tmp_path}/y"])
+    assert "abstract" not in spark.read.parquet(f"{tmp_path}/x/shards").columns
+    assert {(r["id"], r["abstract"]) for r in spark.read.parquet(f"{tmp_path}/y/abstracts").collect()} == {("p", "text"), ("q", "")}
+    chunks = spark.createDataFrame([("f1", 1), ("f2", 2)], "file string, v int")
+    store.write_changed_chunks(chunks, spark.createDataFrame([("f1", "write"), ("f2", "write")], "file string, action string"), f"{tmp_path}/c")
+    gone = spark.createDataFrame([("f1", "keep"), ("f2", "delete"), ("f9", "delete")], "file string, action string")
+    assert store.delete_gone_chunks(gone, f"{tmp_path}/c") == ["f2"] and [r["v"] for r in spark.read.parquet(f"{tmp_path}/c").collect()] == [1]
+    store.remove_legacy(spark, [f"{tmp_path}/mono.bin", f"{tmp_path}/none"])
+    assert not (tmp_path / "mono.bin").exists()
+
+
+def test_mirror(spark, tmp_path):
+    for name, text in (("a/x.txt", "1"), ("a/b/y.txt", "2"), ("a/cache/z", "3"), ("t/old.txt", "o"), ("t/b", "a file where a folder comes"), ("t/cache/z", "3"), ("t/x.txt", "0")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert json_docs.mirror(spark, f"{tmp_path}/a", f"{tmp_path}/t", ("cache",)) == ["b", "cache", "old.txt"]
+    assert {str(x.relative_to(tmp_path / "t")): x.read_text() for x in (tmp_path / "t").rglob("*") if x.is_file() and not x.name.startswith(".")} == {"x.txt": "1", "b/y.txt": "2"}
+
+
+def test_feeds(spark, tmp_path):
+    shape = spark.createDataFrame([], "id string, n int").schema
+    assert json_docs.read_trace(spark, f"{tmp_path}/none.json", shape) is None
+    (tmp_path / "t.json").write_text('{"id": "r1",\n "n": 3}')
+    assert tuple(json_docs.read_trace(spark, f"{tmp_path}/t.json", shape).first()) == ("r1", 3)
+    runs = spark.createDataFrame([('{"workflow_runs": [{"id": 5, "status": "completed", "conclusion": "success", "html_url": "u"}]}',), ("{}",)], "value string")
+    assert [(r["id"], r["conclusion"], r["url"]) for r in json_docs.workflow_runs(runs).collect()] == [(5, "success", "u")]
+
+
+def test_outside(spark, tmp_path):
+    waits, answers = [], [outside.HttpError(429), ValueError("x"), json.dumps({"choices": [{"message": {"content": [{"text": "a"}, {"text": "b"}]}}]})]
+
+    def post(place, body):
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert outside.message_text(outside.chat(post, {"model": "m"}, sleep=waits.append)) == "ab" and waits == [5.0, 2.0]
+    assert outside.tool(lambda place, body: json.dumps([place, body["tool"]]), "t", {}) == ["tools", "t"]
+
+    def fetch(url):
+        if "api.github" in url or "/r2/" in url:
+            raise ValueError("404")
+        return " \n" if "HEAD" in url else "# Read <b>me</b>"
+
+    rows = spark.createDataFrame([("https://github.com/o/r1",), ("https://github.com/o/r2",), ("https://github.com/o/o.github.io",), ("https://x.org",)], "url string")
+    assert [(r["readmeTitle"], r["readmeExcerpt"]) for r in outside.readmes(rows, fetch).collect()] == [("o/r1 README", "# Read me"), (None, None), (None, None), (None, None)]
+    with pytest.raises(ValueError):
+        outside.first_readme("o", "r2", fetch)
+    wanted = spark.createDataFrame([("p1", "u1"), ("p2", "u2")], "name string, url string")
+    first = outside.cached_pages(spark, wanted.limit(1), f"{tmp_path}/cache", lambda u: f"old {u}")
+    assert [r["html"] for r in first.collect()] == ["old u1"]
+    assert sorted(r["html"] for r in outside.cached_pages(spark, wanted, f"{tmp_path}/cache", lambda u: f"new {u}").collect()) == ["new u2", "old u1"]
+    texts = spark.createDataFrame([("a bb",), ("",), (None,)], "semantic_text string")
+    vecs = [list(r["embedding"]) for r in outside.embed(texts, lambda ts: [np.array([[3.0 * len(t), 4.0 * len(t)]] * len(t.split())).reshape(-1, 2) for t in ts]).collect()]
+    assert vecs[0] == pytest.approx([0.6, 0.8]) and vecs[1] == [0.0, 0.0] == vecs[2]
+    good = {"titleZh": "t", "hookZh": "h", "primaryCategory": "c", "categories": [], "keywords": [], "introZh": dict.fromkeys(INTRO_KEYS, "x")}
+    assert outside.guide_problem(good) is None and "introZh is missing" in outside.guide_problem(good | {"introZh": {}}) and outside.guide_problem(None) == "no JSON object" and outside.guide_problem({}).startswith("missing keys: titleZh")
+    papers = spark.createDataFrame([("A", ["k"]), ("B", None), ("C", None)], "title string, keywords array<string>")
+    made = outside.generate_guides(papers, papers.where("title = 'C'"), lambda prompt: "```json\n" + json.dumps(good) + "\n```" if "Title: A" in prompt and "Keywords: k" in prompt else "sorry", {"c": "C"})
+    assert {r["title"]: (r["guide"] is not None, r["problem"]) for r in made.collect()} == {"A": (True, None), "B": (False, "no JSON object")}
+
+
+def test_guards(spark):
+    latest = pipeline.Latest()
+    a, b = latest.begin(), latest.begin()
+    assert not latest.is_current(a) and latest.is_current(b)
+    versions = iter(["1", "1", "2", ValueError("offline")])
+
+    def version():
+        x = next(versions)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    cache, built = store.VersionedCache(version), []
+    get = lambda: cache.get("t", lambda v: built.append(v) or spark.range(2))
+    one = get()
+    assert get() is one and built == ["1"]
+    two = get()
+    assert two is not one and not one.is_cached and get() is two and built == ["1", "2"] and len(cache.kept) == 1
+    two.unpersist()
+    assert [vectors.brainstorm_k(n) for n in (0, 3, 5, 20, 50)] == [(24, 40), (24, 40), (30, 40), (120, 160), (120, 160)]
+
+
+def test_server(spark, tmp_path):
+    from urllib.request import urlopen
+
+    papers = spark.createDataFrame([(str(i), i, f"Title {i} of things", "ACL 2026", 2026, "reasoning", ["k"], ["reasoning"], "abstract text") for i in range(12)], "id string, pos int, title string, venue string, year int, primaryCategory string, keywords array<string>, categories array<string>, abstract string")
+    vecs = spark.createDataFrame([(str(i), [float(i == j) for j in range(12)]) for i in range(12)], "id string, embedding array<float>")
+    cat = api.Catalogue(papers, vecs, 12)
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site/index.html").write_text("home")
+    (tmp_path / "site/a.js").write_text("js")
+    (tmp_path / "secret").write_text("no")
+    app = server.App(cat, encode=lambda q: [float(j == len(q)) for j in range(12)], refine=lambda draft, found: {"refinedProblem": f" {draft['idea']} ", "risks": ["a", " ", "b"]} if found else None, refine_model="m", static=f"{tmp_path}/site", base="/app/")
+    get = lambda path, **kw: app.answer("GET", path, **kw)
+    health = json.loads(get("/health")[2])
+    assert health["ok"] and health["papers"] == 12 and health["dimensions"] == 12
+    assert json.loads(get("/search?q=abc&top_k=2")[2])["results"][0] == {"id": "3", "score": 1.0} and len(json.loads(get("/search?q=abc&top_k=2")[2])["results"]) == 2
+    assert json.loads(get("/search?q=%20")[2]) == {"query": "", "results": []} and app.answer("OPTIONS", "/search")[0] == 204
+    assert json.loads(server.App(cat).answer("GET", "/search?q=title+7")[2])["results"][0]["id"] == "7"
+    assert json.loads(get("/api/brainstorm/status")[2])["available"] and not json.loads(server.App(cat).answer("GET", "/api/brainstorm/status")[2])["available"]
+    made = json.loads(app.answer("POST", "/api/brainstorm/enhance", json.dumps({"draft": {"idea": "i"}, "papers": [1]}).encode())[2])
+    assert made["refinedProblem"] == "i" and made["risks"] == ["a", "b"] and made["methodModules"] == []
+    assert app.answer("POST", "/api/brainstorm/enhance", b"{}")[0] == 500 and server.App(cat).answer("POST", "/api/brainstorm/enhance")[0] == 500
+    assert get("/")[:2] == (302, {"Location": "/app/"}) and get("/app/")[2] == b"home" and get("/app/a.js")[1]["Cache-Control"].endswith("immutable") and get("/app/none")[2] == b"home"
+    assert get("/app/..%2f..%2fsecret")[0] in (403, 404) and get("/other")[0] == 404 and server.App(cat).answer("GET", "/x")[0] == 404
+    running = server.serve(app, port=0)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    with urlopen(f"http://127.0.0.1:{running.server_address[1]}/app/", timeout=10) as answer:
+        assert answer.read() == b"home"
+    running.shutdown()
+    assert [r["id"] for r in cat.related("title 7", papers=3).limit(1).collect()] == ["7"] and cat.related("title 7", [float(j == 3) for j in range(12)], papers=3).count() == 3
+    cat.close()
+
+
+def test_fuzzy_base(spark):
+    papers = spark.createDataFrame([(0, "Graph Netwroks for All"), (1, "Graph Networks"), (2, "Something else"), (3, "")], "pos int, title string")
+    prepared = search.prepare(papers)
+    hits = search.lexical_search(prepared, search.expand("graph networks for"), 9).collect()
+    assert hits[0]["pos"] == 0 and hits[0]["score"] > 30  # a title with two letters swapped
+    assert {r["pos"] for r in search.lexical_hits(prepared, search.expand("graph networks for")).collect()} == {h["pos"] for h in hits}
+    base = {r["pos"]: r["b"] for r in prepared.select("pos", search.fuzzy_base(search.expand("graph networks")).alias("b")).collect()}
+    assert base[1] > 99 and 0 < base[0] < base[1] and base[2] == 0 and base[3] == 0
