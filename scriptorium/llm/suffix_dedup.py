@@ -14,6 +14,8 @@ from .common import apart, cut
 
 #: Bytes of the shortest repeat that is removed, and of the k-grams whose hashes choose anchors.
 LENGTH, GRAM = 200, 32
+#: A key that more than one in so many rows have is heavy: there are fewer such keys than that, whatever the table.
+HEAVY = 1000
 #: Bytes that are anchored at once; longer texts are taken in overlapping parts.
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C55 | 5)
@@ -177,8 +179,8 @@ def maximal_repeats(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, least:
                 stack.append((height, begin))
 
 
-def repeats_in(spans: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """(index, start, stop) of the occurrences of maximal repeats among the windows of spans (first start, last start, bytes)."""
+def groups_in(spans: list[tuple[int, int, bytes]], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(size, occurrences as (index, start)) of each maximal repeat among the windows of spans (first start, last start, bytes)."""
     pieces, starts, stops, place, at = [], [], [], [], 0
     for i, (first, last, raw) in enumerate(spans):
         pieces.append(np.frombuffer(raw, np.uint8).astype(np.uint16))
@@ -194,13 +196,14 @@ def repeats_in(spans: list[tuple[int, int, bytes]], length: int) -> list[tuple[i
     begins = np.array([p[0] for p in place])
     owner = np.searchsorted(begins, order, side="right") - 1
     left = np.where(order == begins[owner], -1 - order, data[np.maximum(order - 1, 0)].astype(np.int64))
-    found = []
     for size, members in maximal_repeats(order, lcp, left, length):
         who = np.searchsorted(begins, members, side="right") - 1
-        for w, s in zip(who.tolist(), members.tolist()):
-            base, i, first = place[w]
-            found.append((i, first + s - base, first + s - base + size))
-    return found
+        yield size, [(place[w][1], place[w][2] + s - place[w][0]) for w, s in zip(who.tolist(), members.tolist())]
+
+
+def repeats_in(spans: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """(index, start, stop) of the occurrences of maximal repeats among the windows of spans."""
+    return [(i, start, start + size) for size, found in groups_in(spans, length) for i, start in found]
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -301,6 +304,72 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _spans_and_kinds(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Texts by key (dk, h); spans of grams that stand more than once; kinds of spans (gram, span) with their number n and one of each; and the number of spans."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("dk"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = rows.select("doc_id", "dk", "h", "text")
+    spans = cut(rows.select("dk", "h", "text").mapInArrow(_anchor_batches(length, gram), "dk long, h long, first long, more int, gram long, span long"))
+    again = apart(spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram")
+    spans = cut(spans.join(again, "gram", "left_semi"))
+    kinds = spans.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("dk", "h", "first", "more")).alias("one"))
+    kinds = cut(kinds.select("gram", "span", "n", "one.*"))
+    return rows, spans, kinds, kinds.agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
+def _those_of(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows whose keys counted (keys, n) has. Heavy keys are fewer than HEAVY and so are broadcast; their rows stay where they are, and no other key is much of a task's work."""
+    heavy = F.broadcast(counted.where(F.col("n") > F.lit(max(1, total // HEAVY))).select(*keys))
+    light = counted.where(F.col("n") <= F.lit(max(1, total // HEAVY))).select(*keys)
+    return rows.join(heavy, keys, "left_semi").unionByName(rows.join(heavy, keys, "left_anti").join(light, keys, "left_semi"))
+
+
+def _cut_from(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """(gram, dk, h, first, more, raw): the bytes of the one span that stands for each kind."""
+    want = kinds.groupBy("dk", "h").agg(F.collect_list(F.struct("gram", "first", "more")).alias("want"))
+    return rows.join(want.hint("shuffle_hash"), ["dk", "h"]).select("doc_id", "dk", "h", "text", "want").mapInArrow(_cut_out(length), "gram long, dk long, h long, first long, more int, raw binary")
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Maximal repeats of `length` bytes or more with all their occurrences: (gram, number, size, doc_id, start), a row for each occurrence.
+
+    (gram, number) names a group. Groups are found among the windows of one anchor: a span that only stands as it is, is a
+    group; where spans of an anchor differ, the interval tree gives the groups, and each occurrence in one span stands for
+    all equal spans. A repeat that is longer than an anchor's reach comes out in parts, one for each of its anchors. The spans
+    of an anchor that differ are one task's work; remove_repeats(), which needs no groups, has another way for the largest.
+
+    Null text: empty. Rows that repeat are occurrences each. An empty table gives no rows. Spans count as equal if 64 bits of
+    their hash and those of their anchor do.
+    """
+    rows, spans, kinds, _ = _spans_and_kinds(docs, length, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple] = []
+
+        def found() -> pa.RecordBatch:
+            out = [(own[0][0], number, size, own[i][1], own[i][2], own[i][3], start - own[i][3]) for number, (size, members) in enumerate(groups_in([(r[3], r[3] + r[4], r[5]) for r in own], length)) for i, start in members]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["gram", "number", "size", "dk", "h", "first", "offset"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if own and row[0] != own[0][0]:
+                    yield found()
+                    own = []
+                own.append(row)
+        if own:
+            yield found()
+
+    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
+    mixed = kinds.join(several.where("kinds > 1").select("gram"), "gram")
+    groups = _cut_from(rows, mixed, length).repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, number int, size int, dk long, h long, first long, offset long")
+    groups = groups.join(kinds.select("gram", "span", "dk", "h", "first"), ["gram", "dk", "h", "first"]).select("gram", "span", "number", "size", "offset")
+    plain = kinds.join(several.where("kinds = 1").select("gram"), "gram").where("n > 1").select("gram", "span", F.lit(0).alias("number"), (F.col("more") + length).alias("size"), F.lit(0).cast("long").alias("offset"))
+    places = groups.unionByName(plain).join(spans, ["gram", "span"])
+    ids = F.when(F.col("dk") != -1, F.col("dk"))
+    return places.select("gram", "number", "size", ids.alias("doc_id"), (F.col("first") + F.col("offset")).alias("start"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 400_000, group: int = 8192) -> DataFrame:
     """One row per document: its UTF-8 bytes without those that strings of `length` bytes cover which also start elsewhere.
 
@@ -311,29 +380,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     occurrences. Grams with over `group` kinds of spans have their single windows counted instead.
 
     Null text: empty. A text shorter than `length` keeps all. Rows that repeat are occurrences of their own.
-    An empty table gives no rows; columns other than doc_id and text are ignored. Columns: doc_id, n_bytes,
-    n_removed, n_spans, kept (binary: without repeats a text needn't be UTF-8).
+    An empty table gives no rows; columns other than doc_id and text are ignored, whatever their names. Long texts are
+    anchored in overlapping parts. Spans count as equal if 64 bits of their hash and those of their anchor's do. Columns:
+    doc_id, n_bytes, n_removed, n_spans, kept (binary: without repeats a text needn't be UTF-8).
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("dk"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = rows.select("doc_id", "dk", "h", "text")
-    spans = cut(rows.select("dk", "h", "text").mapInArrow(_anchor_batches(length, gram), "dk long, h long, first long, more int, gram long, span long"))
-    again = apart(spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram")
-    spans = cut(spans.join(again, "gram", "left_semi"))
-    kinds = spans.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("dk", "h", "first", "more")).alias("one"))
-    kinds = cut(kinds.select("gram", "span", "n", "one.*"))
-    equal = spans.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("dk", "h", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("stop"))
+    rows, spans, kinds, total = _spans_and_kinds(docs, length, gram)
+    equal = _those_of(spans, kinds.where("n > 1"), ["gram", "span"], total).select("dk", "h", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("stop"))
     mixed = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
 
     def cut_out(grams: DataFrame) -> DataFrame:
-        want = kinds.join(grams.select("gram"), "gram").groupBy("dk", "h").agg(F.collect_list(F.struct("gram", "first", "more")).alias("want"))
-        return rows.join(want.hint("shuffle_hash"), ["dk", "h"]).select("doc_id", "dk", "h", "text", "want").mapInArrow(_cut_out(length), "gram long, dk long, h long, first long, more int, raw binary")
+        return _cut_from(rows, kinds.join(grams.select("gram"), "gram"), length)
 
     covers = equal.unionByName(cut_out(mixed.where(F.col("kinds") <= group)).repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan(length, most), _COVER))
     if mixed.where(F.col("kinds") > group).head(1):
         windows = cut(cut_out(mixed.where(F.col("kinds") > group)).mapInArrow(_windows(length), "digest binary, dk long, h long, start long"))
-        twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        covers = covers.unionByName(windows.join(twice, "digest", "left_semi").select("dk", "h", "start", (F.col("start") + length).alias("stop")))
+        twice = cut(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
+        covers = covers.unionByName(_those_of(windows, twice, ["digest"], windows.count()).select("dk", "h", "start", (F.col("start") + length).alias("stop")))
     covers = covers.groupBy("dk", "h").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     out = rows.join(covers.hint("shuffle_hash"), ["dk", "h"], "left").select("doc_id", "dk", "h", "text", "gone")
     return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
