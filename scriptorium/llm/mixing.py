@@ -64,7 +64,8 @@ def _served(docs: DataFrame, weights: tuple[float, ...], epochs: int, seed: int,
     before = sums.select("_o", "_b", (F.sum("w").over(Window.partitionBy("_o").orderBy("_b")) - F.col("w")).alias("_before"))
     local = Window.partitionBy("_o", "_b").orderBy("_r", "doc_id", "size", "_rid").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_local", F.sum("size").over(local)).join(before, ["_o", "_b"])
-    return rows.select("_rid", "doc_id", "size", "source_size", "target", (F.col("_before") + F.col("_local") - F.col("size")).alias("start"), *names), sum(int(t) for t in target)
+    served = rows.select("_rid", "doc_id", "size", "source_size", "target", (F.col("_before") + F.col("_local") - F.col("size")).alias("start"), *names)
+    return cut(served), sum(int(t) for t in target)
 
 
 def _packets(served: DataFrame, epochs: int, whole: bool) -> DataFrame:
@@ -132,7 +133,8 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epoch
     taken = _truncated(_packets(served, epochs, True), budget).where("2 * taken >= words and taken > 0")
     taken = taken.groupBy("_h1", "_h2").agg(F.collect_list(F.struct("finish", "copy")).alias("_at"))
     many = served.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"))
-    kept = docs.select(*docs.columns, *key).join(taken.join(many, ["_h1", "_h2"]).hint("shuffle_hash"), ["_h1", "_h2"])
+    decided = cut(taken.join(many, ["_h1", "_h2"]))
+    kept = docs.select(*docs.columns, *key).join(decided.hint("shuffle_hash"), ["_h1", "_h2"])
     once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_h1", "_h2"]))
     copies = once.withColumn("_c", F.explode("_at")).select(*docs.columns, F.col("_c.finish").alias("_finish"), "_h1")
     return copies.repartitionByRange("_finish", "_h1").sortWithinPartitions("_finish", "_h1").select(*docs.columns)
