@@ -75,8 +75,8 @@ def fit(count: np.ndarray, langs: list[str], centroids: int = CENTROIDS, rounds:
     """Spherical k-means within each language over rows of counts(); a model without floors, which rejects nothing."""
     order = sorted(range(len(langs)), key=lambda i: (langs[i], count[i].tobytes()))
     langs, count = [langs[i] for i in order], count[order]
-    idf = np.log((1 + len(langs)) / (1 + (count > 0).sum(axis=0))) + 1
-    x, found, owner = vectors(count, idf), [], []
+    idf = (np.log((1 + len(langs)) / (1 + (count > 0).sum(axis=0))) + 1).astype(np.float32)
+    x, found, owner = vectors(count.astype(np.float32), idf), [], []
     names = sorted(set(langs))
     for j, name in enumerate(names):
         own = x[np.array([a == name for a in langs])]
@@ -163,13 +163,13 @@ def held_out(key):
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, slot, n): the counts that aren't 0 of each text."""
+    """(lang, slot, n): the counts that aren't 0 of each text, as bytes."""
     for batch in batches:
         langs, at = batch.column(1), 0
         for group in _groups(batch.column(0)):
             count, _ = counts(group)
             rows = [np.flatnonzero(x) for x in count]
-            yield pa.RecordBatch.from_arrays([langs.slice(at, len(group)), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([x[r].astype(np.int64) for x, r in zip(count, rows)], pa.list_(pa.int64()))], ["lang", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([langs.slice(at, len(group)), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([x[r].astype("<f4").tobytes() for x, r in zip(count, rows)], pa.binary())], ["lang", "slot", "n"])
             at += len(group)
 
 
@@ -197,10 +197,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     rate = F.create_map(*[F.lit(y) for k, n in sorted(total.items()) for y in (k, sample / n)])
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(2**31)) / float(2**31)
     chosen = cut(usable.where(draw < F.element_at(rate, F.col("lang"))).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
-    rows = chosen.mapInArrow(_count_batches, "lang string, slot array<int>, n array<bigint>").collect()
-    count = np.zeros((len(rows), WIDTH))
+    rows = chosen.mapInArrow(_count_batches, "lang string, slot binary, n binary").collect()
+    count = np.zeros((len(rows), WIDTH), np.float32)
     for x, r in zip(count, rows):
-        x[r["slot"]] = r["n"]
+        x[np.frombuffer(r["slot"], "<i4")] = np.frombuffer(r["n"], "<f4")
     model = fit(count, [r["lang"] for r in rows], centroids)
     low = chosen.select("text").mapInArrow(_nearest_batches(model), "class int, cosine double").groupBy("class").agg(F.percentile("cosine", F.lit(REJECT[0])).alias("low")).collect()
     return with_floors(model, {x["class"]: x["low"] for x in low})
