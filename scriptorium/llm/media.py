@@ -84,26 +84,32 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     return body[:, : w * bits // 8].reshape(rows, w, bits // 8)[:, :, 2::-1]
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, fractions of pixels included, from one integral image; float64."""
-    grey = pixels if pixels.ndim == 2 else pixels.mean(axis=2)
+def _cells(pixels: np.ndarray, height: int, width: int) -> tuple[np.ndarray, int]:
+    """(sums, divisor): whole numbers whose quotients are the means over equal areas, fractions of pixels included, from one integral image."""
+    grey = pixels if pixels.ndim == 2 else pixels.sum(axis=2, dtype=np.int64)
     h, w = grey.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(grey, axis=0, out=total[1:, 1:], dtype=np.float64)
+    total = np.zeros((h + 1, w + 1), np.int64)
+    np.cumsum(grey, axis=0, out=total[1:, 1:], dtype=np.int64)
     np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
 
     def at_lines(m: np.ndarray, n: int, parts: int) -> np.ndarray:
-        edge = np.arange(parts + 1) * (n / parts)
-        low = np.minimum(edge.astype(np.int64), n - 1)
-        return m[low] + (edge - low)[:, None] * (m[low + 1] - m[low])
+        edge = np.arange(parts + 1, dtype=np.int64) * n  # in parts of a line
+        low = np.minimum(edge // parts, n - 1)
+        return m[low] * parts + (edge - low * parts)[:, None] * (m[low + 1] - m[low])
 
     corners = at_lines(at_lines(total, h, height).T, w, width).T
-    return np.diff(np.diff(corners, axis=0), axis=1) / ((h / height) * (w / width))
+    return np.diff(np.diff(corners, axis=0), axis=1), h * w * (1 if pixels.ndim == 2 else 3)
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over equal areas as float64."""
+    sums, divisor = _cells(pixels, height, width)
+    return sums / divisor
 
 
 def difference_hash(pixels: np.ndarray) -> int:
-    """64 bits: whether each cell of an 8 x 9 area-resized image is darker than the one to its right, row by row."""
-    small = area_resize(pixels, 8, 9)
+    """64 bits: whether each cell of an 8 x 9 area-resized image is darker than the one to its right, row by row; compared exactly, so that flat areas give 0."""
+    small, _ = _cells(pixels, 8, 9)
     return int.from_bytes(np.packbits(small[:, :-1] < small[:, 1:]).tobytes(), "big")
 
 
@@ -142,7 +148,8 @@ def store_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """doc_id, n_bytes, media (a PGM or BMP file), tile (an NPY file) and dhash of each whole text as an image.
 
     Null text: the empty payload, one unit of bytes 255. Rows that repeat are stored each; equal texts give
-    equal bytes. An empty table gives no rows. Any length is taken whole; a row must fit a task's memory.
+    equal bytes. An empty table gives no rows. Any length is taken whole; a row must fit a task's memory. Columns other than
+    doc_id and text are ignored, whatever their names.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store(form), "doc_id long, n_bytes long, media binary, tile binary, dhash string")
 

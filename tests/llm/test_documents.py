@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -220,6 +221,29 @@ def test_repeats_small(spark, group, chunk, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in found} == dict(enumerate(want))
 
 
+def test_repeat_groups(spark):
+    """Each group has all occurrences of its string, and covers add up to what is removed."""
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcd") for _ in range(300))
+    texts = ["".join(rng.choice("abcd") for _ in range(150)) for _ in range(6)] + [base[10:90] + "x" + base[100:200], "y" + base[40:180], base[40:120], base[40:120], "", None, "z" * 70]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in suffix_dedup.repeat_groups(df, length=20, gram=6).collect():
+        found[(r["gram"], r["number"])].append((r["size"], r["doc_id"], r["start"]))
+    assert found
+    covered = defaultdict(set)
+    for members in found.values():
+        size = members[0][0]
+        strings = {texts[d][a : a + size] for _, d, a in members}
+        assert len(strings) == 1 and size >= 20 and {n for n, _, _ in members} == {size}
+        text = strings.pop()
+        assert {(d, a) for _, d, a in members} == {(d, m.start()) for d, t in enumerate(texts) if t for m in re.finditer(f"(?={re.escape(text)})", t)}
+        for _, d, a in members:
+            covered[d] |= set(range(a, a + size))
+    removed = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df, length=20, gram=6).collect()}
+    assert {d: len(c) for d, c in covered.items()} == {d: n for d, n in removed.items() if n}
+
+
 def test_maximal_repeats():
     """All maximal repeats of a string with all their occurrences."""
     text = b"abracadabra_abracadabra_cadab"
@@ -238,6 +262,18 @@ def test_maximal_repeats():
     assert found == want
 
 
+def by_fractions(payload):
+    """The difference hash of a payload as an image 24 wide, its cells summed pixel by pixel in exact fractions."""
+    h, bits = len(payload) // 24, ""
+    share = lambda n, parts, i, j: max(Fraction(0), min(Fraction((i + 1) * n, parts), Fraction(j + 1)) - max(Fraction(i * n, parts), Fraction(j)))
+    wide = [[(x, share(24, 9, i, x)) for x in range(24) if share(24, 9, i, x)] for i in range(9)]
+    for i in range(8):
+        tall = [(y, share(h, 8, i, y)) for y in range(i * h // 8, min(h, (i + 1) * h // 8 + 1)) if share(h, 8, i, y)]
+        cells = [sum(a * b * payload[24 * y + x] for y, a in tall for x, b in cols) for cols in wide]
+        bits += "".join("1" if a < b else "0" for a, b in zip(cells, cells[1:]))
+    return f"{int(bits, 2):016x}"
+
+
 def test_media(rows, docs):
     want = Counter()
     for doc, text, *_ in rows:
@@ -246,6 +282,13 @@ def test_media(rows, docs):
         want[(doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))] += 1
     found = media.media_report(docs).collect()
     assert by_text(rows, found, ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"]) == want
+    forms = Counter()
+    for doc, text, *_ in rows:  # the stored form, and cells by brute force in fractions
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        form = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
+        forms[(doc, len(form), hashlib.sha256(form).hexdigest(), by_fractions(payload) if len(payload) < 6000 else None)] += 1
+    assert Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"] if r["payload_bytes"] < 6000 else None) for r in found) == forms
     stored = media.store_media(docs, "bmp").limit(20).collect()
     assert all(media.decode(r["media"]).tobytes()[: r["n_bytes"]] for r in stored if r["n_bytes"])
 
@@ -257,6 +300,13 @@ def test_images():
         assert (media.decode(media.encode_pgm(a)) == a).all() and (media.decode(media.encode_bmp(a)) == a).all()
     a = rng.integers(0, 256, (16, 18), dtype=np.uint8)
     assert np.allclose(media.area_resize(a, 8, 9), a.reshape(8, 2, 9, 2).mean(axis=(1, 3)))
+    for h, w in [(24, 24), (25, 24), (7, 24), (1000, 24), (3, 5), (1, 1)]:
+        flat = np.full((h, w), 137, np.uint8)
+        assert media.difference_hash(flat) == 0 and (media.area_resize(flat, 8, 9) == 137).all()
+        slope = np.tile(np.arange(w, dtype=np.uint8), (h, 1))
+        assert w == 1 or media.difference_hash(slope) == 2**64 - 1 and media.difference_hash(slope[:, ::-1]) == 0
+        colour = np.dstack([flat, flat, flat])
+        assert media.difference_hash(colour) == 0 and np.allclose(media.area_resize(colour, 4, 4), 137)
     whole = media.area_resize(a, 5, 7)
     assert np.isclose(whole.mean(), a.mean())
     assert media.decode(b"P2 # c\n2 1\n9\n3 4\n").tolist() == [[3, 4]] and media.decode(b"P1\n2 2\n10\n01").tolist() == [[1, 0], [0, 1]]

@@ -58,3 +58,42 @@ def test_one_of_each_component_stays(spark):
     found = [(r["doc_id"], r["text"]) for r in cp.near_dedup(spark, at, "").collect()]
     want = [(d, t) for d, t, *_ in unlike] + [(5, words(200)), (3, words(201)), (None, words(202))]
     assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_languages_that_nobody_taught_go(spark, sf):
+    """Every labelled document stays; long texts in other languages, of no letters' use or of code go, as do those without a letter."""
+    from scriptorium.llm import langid
+
+    base = spark.read.parquet(f"{sf}/documents.parquet").select(*cp.COLUMNS)
+    junk = ["To jest zdanie w języku polskim, które jest dłuższe i ma wiele słów. " * 5, "Ez egy hosszabb magyar szöveg, amelyet azért írtunk, hogy lássuk, milyen messze van. " * 5, "bcdfg hjklm npqrs tvwxz " * 20, "Привет мир, это текст на русском языке. " * 5, "12 34 !!", None, "日本語のテキスト" * 9]
+    planted = spark.createDataFrame([(90_000 + i, t, None, "s", 1) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in cp.language(spark, base.unionByName(planted), "").collect()}
+    assert {r["doc_id"] for r in base.collect()} <= kept and len([d for d in kept if d >= 90_000]) <= 1
+    judged = langid.identify(base.unionByName(planted)).groupBy("rejected").count().collect()
+    assert {r["rejected"]: r["count"] for r in judged}[True] >= len(junk) - 1
+
+
+def test_mix_is_in_order_and_cut(spark, docs, tmp_path):
+    """What the stage writes is the head of the global order of finish times, as long as the budget."""
+    from scriptorium.llm import mixing
+
+    at = docs.select(*cp.COLUMNS)
+    cp.mix(spark, at, "").write.parquet(f"{tmp_path}/m")
+    served, budget = mixing._served(at, (1, 2, 3), 3, 17)
+    packets = sorted(mixing._packets(served, 3, True).collect(), key=lambda p: p["finish"])
+    last, used = 0, 0
+    for p in packets:
+        if used + p["words"] > budget:
+            break
+        used, last = used + p["words"], p["finish"]
+    written = spark.read.parquet(f"{tmp_path}/m").count()
+    assert abs(written - sum(p["finish"] <= last for p in packets)) <= 2 and written < len(packets)
+
+
+def test_passed_stages_leave_nothing(spark, sf):
+    """Of all tables that a run writes only its result stays."""
+    from scriptorium import shared
+
+    before = shared.cuts()
+    found = cp.run(spark, sf)
+    assert shared.cuts() == before + 1 and found.count() > 0
