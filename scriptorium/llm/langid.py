@@ -197,6 +197,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     rate = F.create_map(*[F.lit(y) for k, n in sorted(total.items()) for y in (k, sample / n)])
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(2**31)) / float(2**31)
     chosen = cut(usable.where(draw < F.element_at(rate, F.col("lang"))).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    chosen = chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a few files would be few tasks
     rows = chosen.mapInArrow(_count_batches, "lang string, slot binary, n binary").collect()
     count = np.zeros((len(rows), WIDTH), np.float32)
     for x, r in zip(count, rows):
