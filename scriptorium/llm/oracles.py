@@ -78,3 +78,59 @@ def repeats(length: int = 200) -> str:
       e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY rid ORDER BY p) AS before FROM c),
       a AS (SELECT rid, count(*) AS n, CAST(sum(gone) AS BIGINT) AS removed, count_if(gone = 1 AND before = 0) AS spans, string_agg(byte, '' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY rid)
       SELECT d.doc_id, coalesce(a.n, 0) AS n_bytes, coalesce(a.removed, 0) AS n_removed, coalesce(a.spans, 0) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON a.rid = d.rid"""
+
+
+def near_duplicates(percent: int = 85) -> str:
+    """Sets of whole shingles of each distinct text, met by inverted lists; components by reachability."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, array_to_string({words}, ' ') AS t FROM documents),
+      k AS (SELECT t, row_number() OVER (ORDER BY t) AS k, min(doc_id) AS least, string_split(t, ' ') AS w FROM d WHERE t <> '' GROUP BY t),
+      s AS (SELECT k, unnest(list_distinct(CASE WHEN len(w) < 3 THEN [t] ELSE list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')) END)) AS x FROM k),
+      n AS (SELECT k, count(*) AS n FROM s GROUP BY k), p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.k < b.k GROUP BY ALL),
+      l AS (SELECT a, b FROM p JOIN n m ON m.k = p.a JOIN n o ON o.k = p.b WHERE 100 * c >= {percent} * (m.n + o.n - c)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+      r AS (SELECT k AS a, k AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), g AS (SELECT r.a AS k, min(k.least) AS component FROM r JOIN k ON k.k = r.b GROUP BY r.a)
+      SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN d.t = '' THEN d.doc_id ELSE g.component END AS component_id, d.doc_id IS NOT DISTINCT FROM CASE WHEN d.t = '' THEN d.doc_id ELSE g.component END AS kept
+      FROM d LEFT JOIN k ON k.t = d.t LEFT JOIN n ON n.k = k.k LEFT JOIN g ON g.k = k.k"""
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    bits = f"list_transform(range(8 * length({x})), lambda i: (ascii(substr({x}, CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform({bits}, lambda b: b::BIGINT)), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"
+
+
+def manifest() -> str:
+    """Levels are built one by one, trees of a group first, then the tree over their roots; each row then climbs them."""
+    field = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda n: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", n, "text"))) + ")"
+
+    def levels(base: str) -> str:
+        return f"SELECT 0 AS lev, t, i, node, n FROM {base} UNION ALL SELECT lev + 1, t, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM {{own}} WHERE n > 1 GROUP BY lev, t, i // 2, n"
+
+    def climb(own: str, start: str) -> str:
+        """(rid, lev, i, said, node): siblings so far and the node that the row's own leaf gives."""
+        pair = f"CASE WHEN c.i % 2 = 1 THEN x.node || c.node WHEN x.node IS NOT NULL THEN c.node || x.node ELSE c.node END"
+        return f"SELECT rid, t, 0 AS lev, i, said, node, n FROM {start} UNION ALL SELECT c.rid, c.t, c.lev + 1, c.i // 2, c.said || coalesce(x.node, ''), sha256({pair}), (c.n + 1) // 2 FROM {{me}} c LEFT JOIN {own} x ON x.t = c.t AND x.lev = c.lev AND x.i = xor(c.i, 1) WHERE c.n > 1"
+
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || lang, '') AS t, {leaf('n_chars')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {leaf('n_chars + 1')} END AS changed FROM documents),
+      b AS (SELECT rid, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY t) AS n, leaf AS node FROM d),
+      u AS ({levels('b').format(own='u')}), s AS (SELECT t AS of, node AS subroot, row_number() OVER (ORDER BY encode(t)) - 1 AS i, count(*) OVER () AS n, '' AS t FROM u WHERE n = 1),
+      w AS (SELECT 0 AS lev, t, i, subroot AS node, n FROM s UNION ALL SELECT lev + 1, t, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM w WHERE n > 1 GROUP BY lev, t, i // 2, n), z AS (SELECT node AS root FROM w WHERE n = 1),
+      o AS (SELECT b.rid, b.t, b.i, b.n, '' AS said, coalesce(d.changed, d.leaf) AS node FROM b JOIN d USING (rid)), c AS ({climb('u', 'o').format(me='c')}),
+      h AS (SELECT c.rid, '' AS t, s.i, s.n, c.said, c.node FROM c JOIN s ON s.of = c.t WHERE c.n = 1), e AS ({climb('w', 'h').format(me='e')})
+      SELECT d.doc_id, d.leaf, s.subroot, z.root, sha256(e.said) AS proof_sha256, e.node AS folded_root, e.node = z.root AS verified FROM d JOIN e ON e.rid = d.rid AND e.n = 1 JOIN s ON s.of = d.t CROSS JOIN z"""
+
+
+def filter_audit() -> str:
+    words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    letters = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+    return f"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {words} AS w FROM documents), x AS (SELECT *, len(w) AS n, len(list_distinct(w)) AS u, min(doc_id) OVER (PARTITION BY t) AS least FROM w),
+      m AS (SELECT doc_id, part, CASE WHEN n < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * u < 65 * n THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS f FROM x),
+      l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+      c AS (SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY ALL),
+      v(x, b) AS {letters}, o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM v a JOIN v b ON b.x <> a.x JOIN v c ON c.x NOT IN (a.x, b.x) JOIN v d ON d.x NOT IN (a.x, b.x, c.x) JOIN v e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+      s AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step, bits FROM o), q AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS before FROM s),
+      r AS (SELECT part, filter_order, step, n, good, toxic, f & own <> 0 AS fails, f & before <> 0 AS gone, f = own AS sole FROM c CROSS JOIN q),
+      g AS (SELECT part, filter_order, step, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN sole THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+      SELECT *, sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1))::BIGINT AS shapley FROM g"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, license_scan, media, mixing, oracles, packing, secret_scan, simhash, suffix_dedup, topk
+from . import filter_audit, html_extract, langid, license_scan, manifest, media, minhash, mixing, oracles, packing, secret_scan, simhash, suffix_dedup, topk
 from .common import table
 
 
@@ -26,6 +26,12 @@ QUERIES = {
     "op8_packing": _over("documents", packing.pack),
     "op9_language_id": _over("documents", langid.language_report),
     "op10_html_extraction": _over("pages", html_extract.extract_main_text),
+    "op11_minhash": _over("documents", minhash.minhash_report),
+    "op12_manifest": _over("documents", manifest.manifest_report),
+    "op13_filter_audit": lambda spark, sf_dir: filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLES = {"op1_secret_scan": oracles.secrets(), "op3_mixing": oracles.mixing(), "op4_topk": oracles.top_k(), "op6_suffix_dedup": oracles.repeats(), "op5_license_scan": oracles.licenses()}
+ORACLES = {
+    "op1_secret_scan": oracles.secrets(), "op3_mixing": oracles.mixing(), "op4_topk": oracles.top_k(), "op5_license_scan": oracles.licenses(), "op6_suffix_dedup": oracles.repeats(), "op11_minhash": oracles.near_duplicates(),
+    "op12_manifest": oracles.manifest(), "op13_filter_audit": oracles.filter_audit(),
+}
