@@ -1,4 +1,4 @@
-"""Lexical search: additive scores, query expansion, acronyms, fuzzy titles."""
+"""Lexical search: additive scores, query expansion, acronyms."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import blank, contained, is_stop_word, let, normalize_search, tokenize
 from ..values import DICTIONARY
+from .fuzzy import WEIGHTS, field_list, fuzzy_score
 
 
 @dataclass
@@ -54,15 +55,22 @@ def _dictionary_matches(body: Column, dictionary: list[tuple]) -> Column:
     return F.struct(part(lambda e: [e[0]]).alias("labels"), F.array_distinct(F.concat(F.filter(F.split(body, " "), lambda t: t != ""), part(lambda e: [_norm(t) for t in e[3]]))).alias("terms"), part(lambda e: e[2]).alias("categories"))
 
 
-def prepare(papers: DataFrame, title: str = "title", other_titles: list[str] = (), keywords: str | None = None, blob: list[str] = (), categories: str | None = None) -> DataFrame:  # type: ignore[assignment]
-    """Normalised search columns beside the rows; cache or store these when many queries follow."""
-    none = F.array().cast("array<string>")
+def prepare(papers: DataFrame, title: str = "title", other_titles: list[str] = (), keywords: str | None = None, blob: list[str] = (), categories: str | None = None, fields: dict[str, float] | None = None) -> DataFrame:  # type: ignore[assignment]
+    """Search columns beside the rows; cache or store these when many queries follow.
+
+    other_titles and blob may name strings and arrays of strings. fields: those that are matched approximately, with their
+    weights; by default all that papers have of the seven usual ones. What papers lack counts as empty.
+    """
+    kinds, none = dict(papers.dtypes), F.array().cast("array<string>")
+    values = lambda c: F.coalesce(F.col(c), none) if kinds[c].startswith("array") else F.array(F.col(c))
+    titles = F.concat(none, *[values(c) for c in other_titles])
     return papers.withColumns({
         "_title": normalize_search(F.col(title)),
-        "_titles": F.array(*[normalize_search(F.col(c)) for c in other_titles]) if other_titles else none,
+        "_titles": F.transform(titles, normalize_search),
         "_keywords": F.transform(F.coalesce(F.col(keywords), none), normalize_search) if keywords else none,
         "_categories": F.coalesce(F.col(categories), none) if categories else none,
-        "_blob": normalize_search(F.concat_ws(" ", *[blank(F.col(c)) for c in [title, *blob]])),
+        "_blob": normalize_search(F.concat_ws(" ", *[F.filter(values(c), lambda x: x != "") for c in [title, *blob]])),
+        "_fields": field_list(fields or {title if c == "title" else keywords if c == "keywords" and keywords else c: w for c, w in WEIGHTS.items()}, kinds),
     })
 
 
@@ -92,39 +100,12 @@ def lexical_scores(prepared: DataFrame, query: Query, base: Column | None = None
     labels = F.array(*[F.lit(x) for x in query.labels]).cast("array<string>")
     signals = F.array_distinct(F.concat(signals, F.when((terms > 0) | (cats > 0), labels).otherwise(F.array().cast("array<string>"))))
     rows = prepared.withColumns({"score": score.cast("double"), "exact": exact, "signals": signals})
-    return rows.drop("_title", "_titles", "_keywords", "_categories", "_blob")
-
-
-#: Weights of the fields of a fuzzy match, the error share up to which a field matches, and the score of a field without error.
-FUZZY_WEIGHTS = {"title": 4.0, "titles": 3.0, "keywords": 2.0, "blob": 1.0}
-FUZZY_THRESHOLD, NO_ERROR = 0.34, 2.220446049250313e-16
-
-
-def fuzzy_error(text: Column, norm: str) -> Column:
-    """The least share of edits between a normalised query and any run of as many words of a normalised text; 0 if the text has it.
-
-    A stand-in for a bitap match, which is part of a library and not of what is matched: it errs by words instead of at any character.
-    """
-    words = max(1, len(norm.split()))
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
-    least = let(F.split(text, " "), lambda w: F.array_min(F.transform(runs(w), lambda r: F.levenshtein(r, F.lit(norm)))))
-    return F.when(F.contains(text, F.lit(norm)), 0.0).otherwise(least / float(max(1, len(norm))))
-
+    return rows.drop("_title", "_titles", "_keywords", "_categories", "_blob", "_fields")
 
-def fuzzy_base(query: Query, threshold: float = FUZZY_THRESHOLD) -> Column:
-    """0 to 100 for a prepared row: weighted fields that match, the shorter the field the more it counts; titles and keywords by edits, the rest as it stands.
 
-    Each matching field counts by its error (at least NO_ERROR) to the power of its share of all weights over the root of its number of words;
-    the base is what the product of these leaves to 1.
-    """
-    if not query.norm:
-        return F.lit(0.0)
-    total = sum(FUZZY_WEIGHTS.values())
-    factor = lambda text, error, weight: F.when(error <= threshold, F.pow(F.greatest(error, F.lit(NO_ERROR)), F.lit(weight / total) / F.sqrt(F.size(F.split(text, " "))))).otherwise(1.0)
-    by_edits = lambda text, weight: let(fuzzy_error(text, query.norm), lambda e: factor(text, e, weight))
-    many = lambda texts, weight: F.aggregate(F.transform(texts, lambda x: by_edits(x, weight)), F.lit(1.0), lambda a, b: F.least(a, b))
-    whole = F.when(F.contains("_blob", F.lit(query.norm)), factor(F.col("_blob"), F.lit(0.0), FUZZY_WEIGHTS["blob"])).otherwise(1.0)
-    return (1.0 - by_edits(F.col("_title"), FUZZY_WEIGHTS["title"]) * many(F.col("_titles"), FUZZY_WEIGHTS["titles"]) * many(F.col("_keywords"), FUZZY_WEIGHTS["keywords"]) * whole) * 100.0
+def fuzzy_base(query: Query) -> Column:
+    """0 to 100 for a prepared row: its fields' approximate match with the query, as typed."""
+    return fuzzy_score(F.col("_fields"), query.text) * 100.0
 
 
 def exact_collapse(scored: DataFrame) -> DataFrame:
@@ -222,15 +203,3 @@ def text_rank(papers: DataFrame, query: str, fields: list[str], limit: int, titl
     body = normalize_search(F.concat_ws(" ", *[blank(F.col(c)) for c in fields]))
     score = F.when(F.contains(body, F.lit(q.norm)), 160).otherwise(0) + F.size(contained(body, [t for t in q.tokens if len(t) > 1])) * 16 + F.when(F.contains(normalize_search(F.col(title)), F.lit(q.norm)), 40).otherwise(0)
     return papers.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), pos).limit(max(1, limit))
-
-
-def fuzzy_score(text: Column, query: str) -> Column:
-    """1 for equal texts, less by edits a character: a documented stand-in for a bitap match, whose library isn't part of what is matched."""
-    norm = normalize_search(text)
-    return 1.0 - F.levenshtein(norm, F.lit(_norm(query))) / F.greatest(F.length(norm), F.lit(max(1, len(_norm(query)))))
-
-
-def fuzzy_titles(papers: DataFrame, query: str, limit: int, threshold: float = 0.34, title: str = "title", pos: str = "pos") -> DataFrame:
-    """Titles within `threshold` edits a character of a query, best first."""
-    return papers.withColumn("fuzzy", fuzzy_score(F.col(title), query)).where(F.col("fuzzy") >= 1 - threshold).orderBy(F.desc("fuzzy"), pos).limit(limit)
-

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import display, text, venues
-from ..operators import catalog, hybrid, queue, search, vectors, views
+from ..operators import catalog, fuzzy, hybrid, queue, search, vectors, views
 from ..plans import search_plans
 from ..sources import outside, paged, store
 from ..values import CATEGORY_HINTS, DICTIONARY, EVIDENCE_TERMS, PLAN_PHRASES, PLAN_THEMES, REJECT_TERMS, STAGE_BONUS, STAGE_ORDER, STAGE_WEIGHTS, STOP_WORDS, TOPICS
@@ -192,12 +192,21 @@ def _(t):
 
 TEXT = "the ing of tion"
 _Q = search.expand(TEXT)
-_WORDS = "string_split(t, ' ')"
-_RUNS = f"list_transform(range(1, greatest(len({_WORDS}) - 3, 1) + 1), lambda i: levenshtein(array_to_string(list_slice({_WORDS}, i, i + 3), ' '), {q(_Q.norm)}))"
-#: The fuzzy base: weights 4 of the title and 1 of the whole, of 10 in all; errors of runs of four words.
-_BASE = f"""(1 - CASE WHEN contains(t, {q(_Q.norm)}) THEN pow(2.220446049250313e-16, 0.4 / sqrt(len({_WORDS}))) WHEN list_min({_RUNS}) / 15.0 <= 0.34 THEN pow(list_min({_RUNS}) / 15.0, 0.4 / sqrt(len({_WORDS}))) ELSE 1 END
-  * CASE WHEN contains(b, {q(_Q.norm)}) THEN pow(2.220446049250313e-16, 0.1 / sqrt(len(string_split(b, ' ')))) ELSE 1 END) * 100"""
-_LEX = f"""l AS (SELECT id, pos, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(venue, ''), nullif(abstract, ''))")} AS b FROM papers),
+def _fuzzy(relation: str, ident: str, fields: dict[str, float], asked: str, total: float) -> str:
+    """A CTE `fuzzy` (id, score) by the definition: of every part of a value that is about as long as the query, the edits.
+
+    Letters beyond ASCII, which no query here has, count as one byte, as edits do in DuckDB.
+    """
+    m, most = len(asked), int(0.34 * len(asked))
+    values = " UNION ALL ".join(f"SELECT {ident} AS id, {w} AS w, regexp_replace(lower({c}), '[^\\x00-\\x7F]', '~', 'g') AS x FROM {relation} WHERE trim({c}) <> ''" for c, w in fields.items())
+    return f"""fv AS ({values}), fx AS MATERIALIZED (SELECT x, row_number() OVER () AS n FROM (SELECT DISTINCT x FROM fv)), fs AS (SELECT n, x, unnest(range(1, greatest(1, length(x) - {m - most} + 1) + 1)) AS i FROM fx),
+  fp AS MATERIALIZED (SELECT n, substr(x, i, {m + most}) AS p FROM fs), fd AS MATERIALIZED (SELECT DISTINCT p FROM fp), fe AS (SELECT p, least({", ".join(f"levenshtein({q(asked)}, left(p, {n}))" for n in range(m - most, m + most + 1))}) AS e FROM fd),
+  fw AS (SELECT fx.x, min(fe.e) AS e FROM fp JOIN fe ON fe.p = fp.p JOIN fx ON fx.n = fp.n GROUP BY fx.x),
+  fuzzy AS (SELECT id, 1 - exp(sum(w / {total} * round(1 / sqrt(len(regexp_extract_all(fv.x, '[^ ]+'))), 3) * ln(CASE WHEN fv.x = {q(asked)} THEN 2.220446049250313e-16 ELSE greatest(e / {m}.0, 0.001) END))) AS score FROM fv JOIN fw ON fw.x = fv.x WHERE e <= {most} GROUP BY id)"""
+
+
+_BASE = "100 * coalesce((SELECT f.score FROM fuzzy f WHERE f.id = l.id), 0)"
+_LEX = f"""{_fuzzy("papers", "id", {"title": 4.0, "abstract": 1.0}, TEXT, 14.6)}, l AS (SELECT id, pos, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(venue, ''), nullif(abstract, ''))")} AS b FROM papers),
   s AS (SELECT id, pos, t = {q(_Q.norm)} AS exact, contains(t, {q(_Q.norm)}) AS tc, contains(b, {q(_Q.norm)}) AS bc,
   CAST({_BASE} + CASE WHEN t = {q(_Q.norm)} THEN 240 ELSE 0 END + CASE WHEN contains(t, {q(_Q.norm)}) THEN 70 ELSE 0 END + CASE WHEN contains(b, {q(_Q.norm)}) THEN 42 ELSE 0 END + 14 * len({contained('b', _Q.tokens)})
   + CASE WHEN len(list_filter({contained('b', _Q.tokens)}, lambda h: contains(t, h))) > 0 THEN 28 ELSE 0 END + 8 * len({contained('b', _Q.terms)}) AS DOUBLE) AS score FROM l),
@@ -219,9 +228,9 @@ def _(t):
     return search.text_rank(papers(t), TEXT, ["title", "venue", "lang"], 40).select("id", "score")
 
 
-@query("fuzzy_title", f"WITH f AS (SELECT p_partkey, 1.0::DOUBLE - CAST(levenshtein({norm_search('p_name')}, 'smal rings') AS DOUBLE) / greatest(length({norm_search('p_name')}), 10) AS f FROM part) SELECT p_partkey, round(f, 9) AS fuzzy FROM f WHERE f >= 0.66 ORDER BY f DESC, p_partkey LIMIT 50")
+@query("fuzzy_title", f"WITH {_fuzzy('part', 'p_partkey', {'p_name': 4.0, 'p_type': 1.0}, 'smal rings', 5.0)} SELECT id AS p_partkey, round(score, 9) AS fuzzy FROM fuzzy ORDER BY score DESC, id LIMIT 50")
 def _(t):
-    return search.fuzzy_titles(t("part"), "smal rings", 50, title="p_name", pos="p_partkey").select("p_partkey", F.round("fuzzy", 9).alias("fuzzy"))
+    return fuzzy.fuzzy_rows(t("part"), "smal rings", 50, {"p_name": 4.0, "p_type": 1.0}, "p_partkey").select("p_partkey", F.round("fuzzy", 9).alias("fuzzy"))
 
 
 _NAMES = "SELECT p_partkey AS id, concat(p_name, ' of ', p_type, ' ', p_name, CASE WHEN p_partkey % 5 = 0 THEN ' (' || upper(left(p_name, 1)) || upper(left(split_part(p_name, ' ', 2), 1)) || ')' ELSE '' END) AS title FROM part"
@@ -524,7 +533,7 @@ def _(t):
     return queue.upsert_match(rows)
 
 
-_FOLD = f"""e AS (SELECT pos // 3 AS target, pos, id, title, abstract, id % 3 = 0 AS prov, regexp_matches(coalesce(title, ''), '(?i)^bibtex\s+@|\s##\s*$') AS legacy, id % 10 / 10 AS conf, concat_ws(' ', CASE WHEN id % 2 = 0 THEN 'ACL 2026' END, abstract) AS v, nullif({_clean_title('title')}, '') AS clean FROM papers),
+_FOLD = f"""e AS (SELECT pos // 3 AS target, pos, id, title, abstract, id % 3 = 0 AS prov, regexp_matches(coalesce(title, ''), '(?i)^bibtex\\s+@|\\s##\\s*$') AS legacy, id % 10 / 10 AS conf, concat_ws(' ', CASE WHEN id % 2 = 0 THEN 'ACL 2026' END, abstract) AS v, nullif({_clean_title('title')}, '') AS clean FROM papers),
   f AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'ACL 2026' ELSE {_RULE} END AS venue FROM e), h AS (SELECT *, coalesce(lag(prov OR legacy) OVER w, false) AND (NOT prov OR NOT legacy) AS fresh, max(conf) OVER b AS sure, max(CASE WHEN venue IS NOT NULL THEN 1 END) OVER b AS had FROM f WINDOW w AS (PARTITION BY target ORDER BY pos), b AS (PARTITION BY target ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   x AS (SELECT *, coalesce(max(CASE WHEN fresh AND trim(title) <> '' THEN pos END) OVER (PARTITION BY target), -1) AS rt, coalesce(max(CASE WHEN fresh AND trim(abstract) <> '' THEN pos END) OVER (PARTITION BY target), -1) AS rs, had IS NULL OR conf > sure + 0.05 AS trust FROM h)"""
 
@@ -590,8 +599,8 @@ def _(t):
 _PLACE = "CASE page_id % 8 WHEN 0 THEN 'https://github.com/lab' WHEN 1 THEN 'https://github.com/lab/' WHEN 2 THEN concat('https://GitHub.com/lab/t', page_id) WHEN 3 THEN 'https://arxiv.org/list/cs' WHEN 4 THEN 'https://arxiv.org/abs/1' WHEN 5 THEN 'https://www.Example.com/x' WHEN 6 THEN 'not a host!' ELSE url END"
 
 
-@query("source_gate", f"""WITH u AS (SELECT page_id, {_PLACE} AS u FROM pages), h AS (SELECT page_id, u, lower(regexp_replace(regexp_replace(regexp_replace({squeeze('u')}, '(?i)^https?://', ''), '(?i)^www\.', ''), '/.*$', '')) AS h FROM u)
-  SELECT page_id, NOT (contains(lower(u), 'arxiv.org/list/') OR regexp_matches(u, '(?i)github\.com/[^/\s?#]+/?$')) AND regexp_matches(u, '(?i)github\.com/[^/\s?#]+/[^/\s?#]+|github\.io|openreview\.net|arxiv\.org/abs|x\.com|twitter\.com') AS strong, CASE WHEN h <> '' AND NOT regexp_matches(h, '[^a-z0-9.-]') THEN h END AS host,
+@query("source_gate", f"""WITH u AS (SELECT page_id, {_PLACE} AS u FROM pages), h AS (SELECT page_id, u, lower(regexp_replace(regexp_replace(regexp_replace({squeeze('u')}, '(?i)^https?://', ''), '(?i)^www\\.', ''), '/.*$', '')) AS h FROM u)
+  SELECT page_id, NOT (contains(lower(u), 'arxiv.org/list/') OR regexp_matches(u, '(?i)github\\.com/[^/\\s?#]+/?$')) AND regexp_matches(u, '(?i)github\\.com/[^/\\s?#]+/[^/\\s?#]+|github\\.io|openreview\\.net|arxiv\\.org/abs|x\\.com|twitter\\.com') AS strong, CASE WHEN h <> '' AND NOT regexp_matches(h, '[^a-z0-9.-]') THEN h END AS host,
   CASE WHEN page_id % 3 = 0 THEN 'oneWeek' ELSE 'oneMonth' END AS recency FROM h""")
 def _(t):
     rows = t("pages").select("page_id", F.expr(_PLACE).alias("u"), F.when(col("page_id") % 3 == 0, " oneWeek ").otherwise("ever").alias("r"))
