@@ -7,16 +7,16 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.html import strip_markup
 from ..functions.text import json_block
 from ..functions.venues import is_personal_homepage, repository
 from ..values import INTRO_KEYS
 from .json_docs import exists
-from .paged import map_limit, retry
+from .journal import map_limit, retry
 
 
 class HttpError(Exception):
@@ -72,7 +72,7 @@ def first_readme(owner: str, name: str, fetch: Callable[[str], str]) -> str | No
     return None
 
 
-def readmes(rows: DataFrame, fetch: Callable[[str], str], limit: int = 4, url: str = "url") -> DataFrame:
+def readmes(rows: DataFrame, fetch: Callable[[str], str], limit: int = 4, url: str = "url", journal: str | None = None) -> DataFrame:
     """rows with readmeTitle and readmeExcerpt (3000 characters) of the repository that their address names; nulls for others and for personal homepages."""
     repo = repository(F.col(url))
     asked = rows.withColumns({"_owner": F.when(~is_personal_homepage(F.col(url)), repo["owner"]), "_name": repo["name"]})
@@ -83,7 +83,7 @@ def readmes(rows: DataFrame, fetch: Callable[[str], str], limit: int = 4, url: s
         except Exception:  # a repository that can't be read has no README
             return None
 
-    found = map_limit(asked, call, limit, "_text").withColumn("_excerpt", F.trim(F.left(strip_markup(F.col("_text")), F.lit(3000))))
+    found = map_limit(asked, call, limit, "_text", ["_owner", "_name"], journal).withColumn("_excerpt", F.trim(F.left(strip_markup(F.col("_text")), F.lit(3000))))
     some = F.col("_excerpt") != ""
     return found.select(*rows.columns, F.when(some, F.concat("_owner", F.lit("/"), "_name", F.lit(" README"))).alias("readmeTitle"), F.when(some, F.col("_excerpt")).alias("readmeExcerpt"))
 
@@ -93,7 +93,7 @@ def cached_pages(spark: SparkSession, wanted: DataFrame, path: str, fetch: Calla
     shape = "name string, url string, html string"
     old = spark.read.schema(shape).parquet(path) if use_cache and exists(spark, path) else spark.createDataFrame([], shape)
     missing = wanted.join(old, "name", "left_anti").select("name", "url")
-    map_limit(missing, lambda r: fetch(r["url"]), limit, "html").write.mode("append" if use_cache else "overwrite").parquet(path)
+    map_limit(missing, lambda r: fetch(r["url"]), limit, "html", ["url"], f"{path}-journal" if use_cache else None).write.mode("append" if use_cache else "overwrite").parquet(path)
     return spark.read.schema(shape).parquet(path).join(wanted.select("name"), "name", "left_semi")
 
 
@@ -131,31 +131,21 @@ def guide_prompt(paper: dict, categories: dict[str, str]) -> str:
     return "\n".join([*lines, *(f"- {k}: {v}" for k, v in categories.items()), "Paper:", *(f"{name}: {value(paper.get(key))}" for name, key in fields)])
 
 
-def guide_problem(guide: dict | None) -> str | None:
-    """What a generated guide lacks, or null."""
-    if not isinstance(guide, dict):
-        return "no JSON object"
-    if missing := [k for k in GUIDE_FIELDS if guide.get(k) is None]:
-        return f"missing keys: {', '.join(missing)}"
-    intro = guide["introZh"] if isinstance(guide["introZh"], dict) else {}
-    if missing := [k for k in INTRO_KEYS if not intro.get(k)]:
-        return f"introZh is missing keys: {', '.join(missing)}"
-    return None
+def guide_problem(guide: Column) -> Column:
+    """What a generated guide, a JSON text, lacks, or null."""
+    root = F.from_json(guide, "map<string,string>")
+    intro = F.from_json(F.get_json_object(guide, "$.introZh"), "map<string,string>")
+    lacking = lambda names, have: F.array_join(F.filter(F.array(*map(F.lit, names)), lambda k: ~F.coalesce(have(k), F.lit(False))), ", ")
+    fields = lacking(GUIDE_FIELDS, lambda k: root[k].isNotNull())
+    intros = lacking(INTRO_KEYS, lambda k: intro[k] != "")
+    return F.when(root.isNull() | ~F.trim(guide).startswith("{"), "no JSON object").when(fields != "", F.concat(F.lit("missing keys: "), fields)).when(intros != "", F.concat(F.lit("introZh is missing keys: "), intros))
 
 
-def generate_guides(candidates: DataFrame, existing: DataFrame, ask: Callable[[str], str], categories: dict[str, str], limit: int = 2, force: bool = False) -> DataFrame:
+def generate_guides(candidates: DataFrame, existing: DataFrame, ask: Callable[[str], str], categories: dict[str, str], limit: int = 2, force: bool = False, journal: str | None = None) -> DataFrame:
     """(title, guide, problem) of the candidates whose title has no guide yet (or all, by force): the model's answer as JSON, and what it lacks.
 
     Answers may stand in a fence or after other text. Rows with a problem are to be asked again in another run, as only titles of kept guides are passed over.
     """
     todo = candidates if force else candidates.join(existing.select("title"), "title", "left_anti")
-    asked = map_limit(todo, lambda r: ask(guide_prompt(r, categories)), limit, "_answer").select("title", json_block(F.col("_answer")).alias("guide"))
-
-    @F.udf(StringType())
-    def problem(guide: str | None) -> str | None:
-        try:
-            return guide_problem(json.loads(guide) if guide else None)
-        except ValueError:
-            return "no JSON object"
-
-    return asked.withColumn("problem", problem("guide"))
+    asked = map_limit(todo, lambda r: ask(guide_prompt(r, categories)), limit, "_answer", journal=journal).select("title", json_block(F.col("_answer")).alias("guide"))
+    return asked.withColumn("problem", guide_problem(F.col("guide")))

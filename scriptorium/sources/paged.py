@@ -3,21 +3,11 @@
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-
-def retry(call: Callable, attempts: int = 3, delay: float = 1.0, sleep: Callable[[float], None] = time.sleep):
-    """call() again after delay, 2 delay and so on; the last error is raised."""
-    for n in range(1, attempts + 1):
-        try:
-            return call()
-        except Exception:
-            if n == attempts:
-                raise
-            sleep(delay * n)
+from .journal import map_limit, retry
 
 
 def over_http(url: str) -> str:
@@ -27,26 +17,6 @@ def over_http(url: str) -> str:
         return answer.read().decode()
 
 
-def map_limit(rows, call: Callable[[dict], str | None], limit: int, into: str = "answer"):
-    """rows with what call() gives for each, in the order of rows; at most `limit` calls at a time, those of a task in as many threads as its share."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-    tasks = max(1, min(limit, rows.sparkSession.sparkContext.defaultParallelism))
-    threads = max(1, limit // tasks)
-
-    def run(batches):
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                yield pdf.assign(**{into: list(pool.map(lambda r: retry(lambda: call(r), sleep=time.sleep), pdf.drop(columns="_at").to_dict("records")))})
-
-    shape = StructType([*rows.schema.fields, StructField("_at", LongType()), StructField(into, StringType())])
-    placed = rows.withColumn("_at", F.monotonically_increasing_id()).repartition(tasks)
-    return placed.mapInPandas(run, shape).orderBy("_at").drop("_at")
-
-
 class Lane(InputPartition):
     def __init__(self, first: int):
         self.first = first
@@ -122,12 +92,13 @@ def search_request(query: str, engine: str | None = None, domain: str | None = N
     return {k: v for k, v in body.items() if v is not None and v != ""}
 
 
-def search_web(plans, post: Callable[[str, dict], str], limit: int = 4):
-    """Search plans with the raw JSON answer to each, in column value, for search_items(): at most `limit` calls at a time. post(endpoint, body) is the transport."""
+def search_web(plans, post: Callable[[str, dict], str], limit: int = 4, journal: str | None = None):
+    """Search plans with the raw JSON answer to each, in column value, for search_items(): at most `limit` calls at a time, each asked once. post(endpoint, body) is the transport."""
     ask = lambda r: post("web_search", search_request(r["query"], r.get("searchEngine"), r.get("domainFilter"), r.get("recencyFilter"), r.get("contentSize")))
-    return map_limit(plans, ask, limit, "value")
+    asked = [c for c in ("query", "searchEngine", "domainFilter", "recencyFilter", "contentSize") if c in plans.columns]
+    return map_limit(plans, ask, limit, "value", asked, journal)
 
 
-def read_pages(rows, post: Callable[[str, dict], str], limit: int = 4, url: str = "url"):
-    """Rows with a page reader's raw JSON answer for their address, in column value, for reader_payload()."""
-    return map_limit(rows, lambda r: post("reader", {"url": r[url]}) if r[url] else None, limit, "value")
+def read_pages(rows, post: Callable[[str, dict], str], limit: int = 4, url: str = "url", journal: str | None = None):
+    """Rows with a page reader's raw JSON answer for their address, in column value, for reader_payload(); an address is read once."""
+    return map_limit(rows, lambda r: post("reader", {"url": r[url]}) if r[url] else None, limit, "value", [url], journal)

@@ -480,7 +480,6 @@ def test_outside(spark, tmp_path):
     vecs = [list(r["embedding"]) for r in outside.embed(texts, lambda ts: [np.array([[3.0 * len(t), 4.0 * len(t)]] * len(t.split())).reshape(-1, 2) for t in ts]).collect()]
     assert vecs[0] == pytest.approx([0.6, 0.8]) and vecs[1] == [0.0, 0.0] == vecs[2]
     good = {"titleZh": "t", "hookZh": "h", "primaryCategory": "c", "categories": [], "keywords": [], "introZh": dict.fromkeys(INTRO_KEYS, "x")}
-    assert outside.guide_problem(good) is None and "introZh is missing" in outside.guide_problem(good | {"introZh": {}}) and outside.guide_problem(None) == "no JSON object" and outside.guide_problem({}).startswith("missing keys: titleZh")
     papers = spark.createDataFrame([("A", ["k"]), ("B", None), ("C", None)], "title string, keywords array<string>")
     made = outside.generate_guides(papers, papers.where("title = 'C'"), lambda prompt: "```json\n" + json.dumps(good) + "\n```" if "Title: A" in prompt and "Keywords: k" in prompt else "sorry", {"c": "C"})
     assert {r["title"]: (r["guide"] is not None, r["problem"]) for r in made.collect()} == {"A": (True, None), "B": (False, "no JSON object")}
