@@ -218,13 +218,17 @@ _COVER = "dk long, h long, start long, stop long"
 
 
 def _cut_out(length: int):
-    """The bytes of the wanted spans of each text."""
+    """The bytes of the wanted spans of each text, once for rows that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
-            for dk, h, text, want in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()):
-                raw = text.as_py()
+            for dk, h, text, want in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4)):
+                if (dk, h) in seen:
+                    continue
+                seen.add((dk, h))
+                raw, want = text.as_py(), want.as_py()
                 rows += [(w["gram"], dk, h, w["first"], w["more"], raw[w["first"] : w["first"] + w["more"] + length]) for w in want]
                 if len(rows) >= 20_000:
                     yield _batch(rows)
@@ -257,6 +261,8 @@ def _scan(length: int, most: int):
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:4] == group[-1][:4]:  # a row that repeats, cut out by another task
+                    continue
                 if size >= most and row[0] != group[-1][0]:
                     yield found(group)
                     group, size = [], 0
@@ -356,13 +362,14 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 if own and row[0] != own[0][0]:
                     yield found()
                     own = []
-                own.append(row)
+                if not own or row[:4] != own[-1][:4]:
+                    own.append(row)
         if own:
             yield found()
 
     several = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
     mixed = kinds.join(several.where("kinds > 1").select("gram"), "gram")
-    groups = _cut_from(rows, mixed, length).repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, number int, size int, dk long, h long, first long, offset long")
+    groups = _cut_from(rows, mixed, length).repartition("gram").sortWithinPartitions("gram", "dk", "h", "first").mapInArrow(run, "gram long, number int, size int, dk long, h long, first long, offset long")
     groups = groups.join(kinds.select("gram", "span", "dk", "h", "first"), ["gram", "dk", "h", "first"]).select("gram", "span", "number", "size", "offset")
     plain = kinds.join(several.where("kinds = 1").select("gram"), "gram").where("n > 1").select("gram", "span", F.lit(0).alias("number"), (F.col("more") + length).alias("size"), F.lit(0).cast("long").alias("offset"))
     places = groups.unionByName(plain).join(spans, ["gram", "span"])
@@ -379,8 +386,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     windows go into an enhanced suffix array, whose interval tree gives the maximal repeats with all
     occurrences. Grams with over `group` kinds of spans have their single windows counted instead.
 
-    Null text: empty. A text shorter than `length` keeps all. Rows that repeat are occurrences of their own.
-    An empty table gives no rows; columns other than doc_id and text are ignored, whatever their names. Long texts are
+    Null text: empty. A text shorter than `length` keeps all. Rows that repeat are occurrences of their own; their covers
+    are told once, however many they are. An empty table gives no rows; columns other than doc_id and text are ignored, whatever their names. Long texts are
     anchored in overlapping parts. Spans count as equal if 64 bits of their hash and those of their anchor's do. Columns:
     doc_id, n_bytes, n_removed, n_spans, kept (binary: without repeats a text needn't be UTF-8).
     """
@@ -391,12 +398,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     def cut_out(grams: DataFrame) -> DataFrame:
         return _cut_from(rows, kinds.join(grams.select("gram"), "gram"), length)
 
-    covers = equal.unionByName(cut_out(mixed.where(F.col("kinds") <= group)).repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan(length, most), _COVER))
+    covers = equal.unionByName(cut_out(mixed.where(F.col("kinds") <= group)).repartition("gram").sortWithinPartitions("gram", "dk", "h", "first").mapInArrow(_scan(length, most), _COVER))
     if mixed.where(F.col("kinds") > group).head(1):
         windows = cut(cut_out(mixed.where(F.col("kinds") > group)).mapInArrow(_windows(length), "digest binary, dk long, h long, start long"))
         twice = cut(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
         covers = covers.unionByName(_those_of(windows, twice, ["digest"], windows.count()).select("dk", "h", "start", (F.col("start") + length).alias("stop")))
-    covers = covers.groupBy("dk", "h").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    covers = covers.distinct().groupBy("dk", "h").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     out = rows.join(covers.hint("shuffle_hash"), ["dk", "h"], "left").select("doc_id", "dk", "h", "text", "gone")
     return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

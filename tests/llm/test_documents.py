@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scriptorium.llm import langid, license_scan, license_texts, media, mixing, packing, secret_scan, simhash, suffix_dedup
 
@@ -221,6 +222,22 @@ def test_repeats_small(spark, group, chunk, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in found} == dict(enumerate(want))
 
 
+def test_repeated_rows(spark):
+    """Thousands of equal rows, with an id and without: time that grows with their number."""
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(160))
+    other = text[:400] + " and another end that no other text has"
+    began = time.time()
+    rows = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text + "!").alias("text")))
+    rows = rows.unionByName(spark.createDataFrame([(8, other), (9, "short")], "doc_id long, text string"))
+    found = Counter(tuple(r) for r in suffix_dedup.repeat_report(rows).collect())
+    whole = hashlib.sha256(b"").hexdigest()
+    n = len(text)
+    assert found[(7, n, n, 1, whole)] == 5000 and found[(None, n + 1, n + 1, 1, whole)] == 5000
+    assert found[(8, len(other), 400, 1, hashlib.sha256(other[400:].encode()).hexdigest())] == 1 and found[(9, 5, 0, 0, hashlib.sha256(b"short").hexdigest())] == 1
+    assert time.time() - began < 120
+
+
 def test_repeat_groups(spark):
     """Each group has all occurrences of its string, and covers add up to what is removed."""
     rng = random.Random(11)
