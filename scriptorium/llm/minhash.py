@@ -20,14 +20,14 @@ BANDS, ROWS = 32, 6
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: A candidate is dropped unconfirmed only where its registers are e**MARGIN times less likely at the threshold than at the best estimate.
 MARGIN = 20.0
-#: Members of a bucket's block when leftover pairs are compared block by block.
-BLOCK = 2048
+#: Shingles of a bucket's block when leftover members are compared block by block.
+BLOCK = 1 << 18
 _DIGEST = xxhash.xxh64_intdigest
 
 
 def _factors(m: int) -> tuple[np.ndarray, np.ndarray]:
-    drawn = np.random.Generator(np.random.PCG64(20_211)).integers(0, 1 << 64, (2, m), np.uint64, endpoint=False)
-    return drawn[0] | np.uint64(1), drawn[1]
+    drawn = np.random.Generator(np.random.PCG64(20_211)).integers(0, 1 << 32, (2, m), np.uint32, endpoint=False)
+    return drawn[0] | np.uint32(1), drawn[1]
 
 
 def shingles(raw: bytes, size: int = 3) -> np.ndarray:
@@ -48,10 +48,10 @@ def sketch(hashes: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
     The least variate is that of the greatest uniform one, so only maxima are kept; registers of a union are the maxima of registers.
     """
     a, b = _factors(m)
-    top = np.zeros(m, np.uint64)
-    for at in range(0, len(hashes), 2048):  # bounded memory for very long texts
-        np.maximum(top, (hashes[at : at + 2048, None] * a + b).max(axis=0), out=top)
-    least = -np.log((top >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / RATE
+    values, top = (hashes >> np.uint64(32)).astype(np.uint32)[:, None], np.zeros(m, np.uint32)
+    for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
+        np.maximum(top, (values[at : at + 1024] * a + b).max(axis=0), out=top)
+    least = -np.log((top.astype(np.float64) + 0.5) * 2.0**-32) / RATE
     return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, LIMIT).astype("<u2")
 
 
@@ -131,63 +131,104 @@ def _likely_pairs(threshold: float):
     return run
 
 
-def _alike(size: int, percent: int):
-    """Pairs (a, b, text, other) whose whole shingle sets are alike enough."""
+def _sets(size: int):
+    """(node, set): the whole shingle set of a text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, np.empty(0, np.uint64)  # partners of one text often come in a row
         for batch in batches:
-            a, b = [], []
-            for x, y, text, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
-                if y != last:
-                    last, known = y, shingles(other.as_py(), size)
-                own = shingles(text.as_py(), size)
-                both = len(np.intersect1d(own, known, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(known) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [shingles(x.as_py(), size).tobytes() for x in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["node", "set"])
 
     return run
 
 
-def _compared(threshold: float):
-    """Of a block of a bucket: pairs of an outlier and a member of another component whose sketches allow the threshold."""
+def _enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _alike(percent: int):
+    """Pairs (a, b, set, other) whose whole sets are alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array([_enough(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    return run
+
+
+def joining_pairs(sets: list[np.ndarray], roots: list[int], odd: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Pairs (i, j), i odd, of sets that are alike enough and whose components nothing before has joined: at most one less than there are components.
+
+    Sets that are alike share one of the rarest members of each, as many as may be missing and one more; so each set is
+    only held against those it meets there. Nothing is left out: the frequencies only order the members.
+    """
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    rank = np.argsort(np.argsort(np.bincount(at, minlength=len(values)), kind="stable"), kind="stable")
+    bounds, parent = np.cumsum([0, *map(len, sets)]), {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    heads: dict[int, list[int]] = {}
+    prefixes = []
+    for i, own in enumerate(sets):
+        n = len(own)
+        prefixes.append(np.sort(rank[at[bounds[i] : bounds[i + 1]]])[: n - -(-percent * n // 100) + 1].tolist())
+        for x in prefixes[i]:
+            heads.setdefault(x, []).append(i)
+    out = []
+    for i in (i for i, o in enumerate(odd) if o):
+        tried = {i}
+        for x in prefixes[i]:
+            for j in heads[x]:
+                if j not in tried and 100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])):
+                    tried.add(j)
+                    if find(roots[i]) != find(roots[j]) and _enough(sets[i], sets[j], percent):
+                        parent[find(roots[i])] = find(roots[j])
+                        out.append((i, j))
+    return out
+
+
+def _compared(percent: int):
+    """Of a block of a bucket: links between outliers and members of other components, as few as join these."""
 
     def run(group: pa.Table) -> pa.Table:
-        node, root, n = (group[c].to_numpy() for c in ("node", "root", "n"))
-        own, odd = _registers(group["sketch"]), group["odd"].to_numpy(zero_copy_only=False)
-        rest, a, b = np.flatnonzero(~odd), [], []
-        for i in np.flatnonzero(odd).tolist():
-            others = rest[root[rest] != root[i]]
-            if len(others):
-                more, same = (own[i] > own[others]).sum(axis=1), (own[i] == own[others]).sum(axis=1)
-                ok = others[likely(more, own.shape[1] - more - same, same, np.full(len(others), float(n[i])), n[others].astype(float), threshold)]
-                a += np.maximum(node[i], node[ok]).tolist()
-                b += np.minimum(node[i], node[ok]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        group = group.sort_by([("node", "ascending"), ("odd", "descending")])
+        node, root, odd = (group[c].to_pylist() for c in ("node", "root", "odd"))
+        first = [i for i in range(len(node)) if not i or node[i] != node[i - 1]]  # an outlier may be on both sides
+        sets = [np.frombuffer(group["set"][i].as_py(), np.uint64) for i in first]
+        found = joining_pairs(sets, [root[i] for i in first], [odd[i] for i in first], percent)
+        pairs = [(max(a, b), min(a, b)) for a, b in ((node[first[i]], node[first[j]]) for i, j in found)]
+        return pa.table({c: pa.array([p[i] for p in pairs], pa.int64()) for i, c in enumerate("ab")})
 
     return run
 
 
-def _leftover(members: DataFrame, roots: DataFrame, near: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): pairs within a bucket that no star has tried, of different components, whose sketches allow the threshold.
+def _leftover(members: DataFrame, roots: DataFrame, near: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): links within a bucket, between members that no star has tried, that join components.
 
     Pairs of one component need no link, so only outliers, members beyond a bucket's main component, are held against the
-    others. Both sides are dealt out in blocks, so no task holds a bucket, and only likely pairs come out.
+    others. Both sides are dealt out in blocks of about so many shingles, so no task holds a bucket, and what comes out of
+    a block joins what is in it: never more links than members.
     """
-    placed = members.where("node <> rep").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("k"), F.max("c").alias("c"), F.count("*").alias("roots")).where("roots > 1")
-    blocks = lambda c: F.ceil(c / F.lit(block)).cast("long")
-    mixed = apart(mixed.select("key", "main", blocks(F.col("k")).alias("kbs"), blocks(F.col("k") - F.col("c")).alias("obs")), "key")
+    placed = members.where("node <> rep").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")).join(near.select("node", "n"), "node")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by(F.struct("root", "n"), F.struct("c", "root")).alias("main"), F.sum("n").alias("k"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(block))).cast("long")
+    mixed = apart(mixed.select("key", F.col("main.root").alias("main"), blocks(F.col("k")).alias("kbs"), blocks(F.col("k") - F.col("main.n")).alias("obs")), "key")
     rows = placed.join(mixed, "key")
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     all_ = rows.select("key", "node", "root", spot("kbs").alias("kb"), every("obs").alias("ob"), F.lit(False).alias("odd"))
-    odd = rows.where("root <> main").select("key", "node", "root", spot("obs").alias("ob"), every("kbs").alias("kb"), F.lit(True).alias("odd"))
-    both = all_.unionByName(odd).join(near.select("node", "n", "sketch"), "node")
-    return both.groupBy("key", "kb", "ob").applyInArrow(_compared(threshold), "a long, b long").distinct()
+    odd = rows.where("root <> main").select("key", "node", "root", every("kbs").alias("kb"), spot("obs").alias("ob"), F.lit(True).alias("odd"))
+    both = all_.unionByName(odd).join(sets, "node")
+    return both.groupBy("key", "kb", "ob").applyInArrow(_compared(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -195,9 +236,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
 
     Texts of equal words are one kind. Each kind has a SetSketch of bands * rows registers; kinds that share all registers
     of a band are a bucket. Every kind is first held against one bucket's first member, then against those of its other
-    buckets that are still in another component, then, block by block, against members of its buckets in other
-    components, so a group of near copies costs a few comparisons a member and yet no pair of a bucket that could join
-    components is left out. Candidates pass by the likelihood of their registers and are confirmed on whole texts.
+    buckets that are still in another component; these candidates pass by the likelihood of their registers and are confirmed
+    on whole sets. Members of a bucket that are in different components even then are compared block by block on whole sets,
+    each only with those it shares a rare enough shingle with. So a group of near copies costs a few comparisons a member,
+    and yet no pair of a bucket that could join components is left out.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Long texts count whole. Rows that repeat are
     returned each. component_id is the smallest doc_id, null only where all ids of a component are; kept: doc_id is
@@ -213,15 +255,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     buckets = apart(members.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("rep")).where("c > 1").select("key", "rep"), "key")
     members = cut(members.join(buckets, "key").select("key", "node", "rep"))
     near = cut(kinds.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch", "dk", "h"))
-    texts = cut(_texts(docs).select("dk", "h", "text").join(near.select("dk", "h", "node").hint("shuffle_hash"), ["dk", "h"]).dropDuplicates(["node"]).select("node", "text"))
+    texts = _texts(docs).select("dk", "h", "text").join(near.select("dk", "h", "node").hint("shuffle_hash"), ["dk", "h"]).select("node", "text")
+    sets = cut(texts.mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda df, a, *cols: df.select(F.col("node").alias(a), *cols)
         own, other = side(near, "a", "n", "sketch"), side(near, "b", F.col("n").alias("of"), F.col("sketch").alias("other"))
         tried = pairs.join(own, "a").join(other, "b").where(F.least("n", "of") * 100 >= F.greatest("n", "of") * percent)
         passed = cut(tried.select("a", "b", "n", "sketch", "of", "other").mapInArrow(_likely_pairs(threshold), "a long, b long"))
-        whole = passed.join(side(texts, "a", "text"), "a").join(side(texts, "b", F.col("text").alias("other")), "b")
-        return cut(whole.select("a", "b", "text", "other").mapInArrow(_alike(size, percent), "a long, b long"))
+        whole = passed.join(side(sets, "a", "set"), "a").join(side(sets, "b", F.col("set").alias("other")), "b")
+        return cut(whole.select("a", "b", "set", "other").mapInArrow(_alike(percent), "a long, b long"))
 
     stars = cut(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct())
     first = apart(stars.groupBy("a").agg(F.min("b").alias("b")), "a")
@@ -230,10 +273,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     of = lambda a, r: roots.select(F.col("node").alias(a), F.col("root").alias(r))
     again = stars.join(first.withColumnRenamed("b", "tried"), "a").where("b <> tried").select("a", "b")
     again = again.join(of("a", "_a"), "a", "left").join(of("b", "_b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    for pairs in (lambda: again, lambda: _leftover(members, roots, near, threshold, block)):
-        more = confirmed(cut(pairs()))
-        if more.head(1):
-            links = links.unionByName(more)
+    for more in (lambda: confirmed(cut(again)), lambda: cut(_leftover(members, roots, near, sets, percent, block))):
+        new = more()
+        if new.head(1):
+            links = links.unionByName(new)
             roots = connected_components(links)
 
     known = kinds.select("d1", "d2", "node", "least").join(roots, "node", "left").select("d1", "d2", "least", F.coalesce("root", "node").alias("root"))
