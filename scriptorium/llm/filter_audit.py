@@ -48,10 +48,7 @@ def _finer(cls: Column, block: Column) -> Column:
 
 def _final_class(length: Column, hashes: Column) -> Column:
     """The class that a text has once all its blocks are looked at."""
-    out = length.cast("long")
-    for k, (first, _) in enumerate(BOUNDS):
-        out = F.when(length > first, _finer(out, hashes[k])).otherwise(out)
-    return out
+    return F.aggregate(F.filter(hashes, lambda h: h.isNotNull()), length.cast("long"), _finer)
 
 
 def repeated_classes(rows: DataFrame) -> DataFrame:
