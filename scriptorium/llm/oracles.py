@@ -57,15 +57,18 @@ def secrets(copied_owners: int = 3) -> str:
 
 
 def mixing(epochs: int = 3, seed: int = 17) -> str:
-    """Sources by how soon they are full: those whose limit over their weight is below the level that the others then have."""
+    """Sources by how soon they are full: those whose limit over their weight is below the level that the others then have. All copies then queue up by finish time."""
     return f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5({seed} || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS r FROM documents),
       s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS LAST) AS o FROM d GROUP BY source),
       f AS (SELECT *, {epochs} * n / w AS ratio FROM s),
       l AS (SELECT *, ((SELECT sum(n) FROM s) - coalesce(sum({epochs} * n) OVER (ORDER BY ratio, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
       c AS (SELECT *, bool_and(ratio < level) OVER (ORDER BY ratio, o ROWS UNBOUNDED PRECEDING) AS capped FROM l),
       t AS (SELECT source, n, CASE WHEN capped THEN CAST({epochs} * n AS DOUBLE) ELSE CAST((SELECT sum(n) FROM c) - coalesce((SELECT sum({epochs} * n) FROM c WHERE capped), 0) AS DOUBLE) * w / (SELECT sum(w) FROM c WHERE NOT capped) END AS target FROM c),
-      q AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
-      SELECT q.doc_id, q.size, t.n AS source_size, t.target, CAST({" + ".join(f"greatest(0, least(q.size, floor(t.target) - q.start - {e} * t.n))" for e in range(epochs))} AS BIGINT) AS taken FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source"""
+      q AS (SELECT row_number() OVER () AS rid, doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+      k AS (SELECT q.rid, q.size, o, e, CAST(e * t.n + q.start + q.size AS DOUBLE) / t.target AS finish FROM q JOIN (SELECT t.*, s.o FROM t JOIN s ON s.source IS NOT DISTINCT FROM t.source) t ON q.source IS NOT DISTINCT FROM t.source CROSS JOIN range({epochs}) x(e) WHERE q.size > 0),
+      g AS (SELECT rid, size, sum(size) OVER (ORDER BY finish, o, e ROWS UNBOUNDED PRECEDING) - size AS before FROM k),
+      a AS (SELECT rid, sum(greatest(0, least(size, (SELECT sum(n) FROM s) - before))) AS taken FROM g GROUP BY rid)
+      SELECT q.doc_id, q.size, t.n AS source_size, t.target, CAST(coalesce(a.taken, 0) AS BIGINT) AS taken FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source LEFT JOIN a ON a.rid = q.rid"""
 
 
 def repeats(length: int = 200) -> str:

@@ -146,9 +146,11 @@ def test_mixing(rows, docs):
     for r in found:
         taken[source[r["doc_id"]]] += r["taken"]
         assert r["target"] == pytest.approx(target[source[r["doc_id"]]])
-    assert sum(taken.values()) <= sum(sizes)
-    assert all(target[n] - 1 <= taken[n] <= target[n] for n in names)
-    assert sum(r["taken"] % max(1, r["size"]) > 0 for r in found) <= len(names)
+    assert sum(taken.values()) == sum(sizes)
+    most = {n: max([size(t) for _, t, _, s, _ in rows if s == n]) for n in names}
+    over = sum(most.values()) / sum(sizes)  # how far the queue runs beyond time 1
+    assert all(target[n] - most[n] - 1 <= taken[n] <= (1 + over) * target[n] + most[n] for n in names)
+    assert sum(r["taken"] % max(1, r["size"]) > 0 for r in found) <= 1  # the one at which the budget ends
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
     assert sorted(map(key, found)) == sorted(map(key, mixing.mix_report(docs.repartition(3)).collect()))
 
@@ -415,12 +417,36 @@ def test_empty(empty):
         assert report(empty).collect() == []
 
 
-def test_mix_by_closed_form(docs):
-    """What the global order of finish times takes up to the budget is what the sources' targets give in closed form."""
-    served, _ = mixing._served(docs, (1, 2, 3), 3, 17)
-    early = lambda r, e: max(0, min(r["size"], int(r["target"]) - r["start"] - e * r["source_size"]))
-    want = Counter((r["doc_id"], r["size"], sum(early(r, e) for e in range(3))) for r in served.collect())
-    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(docs).collect()) == want
+def queued(served, budget, key=lambda finish, o: (finish, o), epochs=3):
+    """Words taken of each row by sorting all copies by finish time and cutting the order at the budget."""
+    copies = sorted((*key((e * r["source_size"] + r["start"] + r["size"]) / r["target"], r["_o"]), e, r["_rid"], r["size"]) for r in served if r["size"] for e in range(epochs))
+    taken, used = Counter(), 0
+    for *_, rid, size in copies:
+        taken[rid] += max(0, min(size, budget - used))
+        used += size
+    return taken
+
+
+def test_mix_by_queue(docs):
+    """The queue decides: its order cut at the budget gives `taken`, and other orders of finish times give something else."""
+    served, budget, _ = mixing._served(docs, (1, 2, 3), 3, 17)
+    rows = served.collect()
+    as_taken = lambda taken: Counter((r["doc_id"], r["size"], taken[r["_rid"]]) for r in rows)
+    found = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(docs).collect())
+    assert found == as_taken(queued(rows, budget))
+    assert found != as_taken(queued(rows, budget, lambda finish, o: (-finish, o))) and found != as_taken(queued(rows, budget, lambda finish, o: (o, finish)))
+
+
+def test_mix_keeps_to_targets(spark):
+    """With documents that are short beside their source's target, sources come within a few words of it; a capped one is taken whole, three times."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), f"s{min(i % 11, 4)}" if i > 20 else "a") for i in range(4000)]
+    found = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[(r["target"], r["source_size"])].append(r["taken"])
+    assert len(by) == 6 and all(abs(sum(x) - target) <= 60 for (target, _), x in by.items())
+    assert any(sum(x) == 3 * size == target for (target, size), x in by.items())
 
 
 def test_mix_documents(spark, docs, rows):
@@ -433,14 +459,14 @@ def test_mix_documents(spark, docs, rows):
     assert set(times) <= set(have) and all(n <= 3 * have[r] for r, n in times.items()) and all(size(r[1]) for r in times)
     budget, most = sum(size(t) for _, t, *_ in rows), max(size(t) for _, t, *_ in rows)
     assert budget - most <= sum(size(r[1]) * n for r, n in times.items()) <= budget + most
-    served, total = mixing._served(at, (1, 2, 3), 3, 17)
-    packets = sorted(mixing._packets(served, 3, True).collect(), key=lambda p: (p["finish"], p["_rid"], p["copy"]))
+    served, total, _ = mixing._served(at, (1, 2, 3), 3, 17)
+    copies = sorted(((e * r["source_size"] + r["start"] + r["size"]) / r["target"], r["_o"], e, r["size"], r["_rid"], r["doc_id"]) for r in served.collect() if r["size"] for e in range(3))
     used, want = 0, Counter()
-    for p in packets:
-        taken = max(0, min(p["words"], total - used))
-        used += p["words"]
-        if taken and 2 * taken >= p["words"]:
-            want[p["doc_id"]] += 1
+    for _, _, _, words, _, doc in copies:
+        taken = max(0, min(words, total - used))
+        used += words
+        if taken and 2 * taken >= words:
+            want[doc] += 1
     assert Counter(r[0] for r in mixed) == want
     twice = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", None, "s", 5), (2, "d e", "s", None, 3), (2, "d e", None, "s", 3), (1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     found = Counter(tuple(r) for r in mixing.mix_documents(twice).collect())

@@ -79,15 +79,15 @@ def test_mix_is_in_order_and_cut(spark, docs, tmp_path):
 
     at = docs.select(*cp.COLUMNS)
     cp.mix(spark, at, "").write.parquet(f"{tmp_path}/m")
-    served, budget = mixing._served(at, (1, 2, 3), 3, 17)
-    packets = sorted(mixing._packets(served, 3, True).collect(), key=lambda p: p["finish"])
+    served, budget, horizon = mixing._served(at, (1, 2, 3), 3, 17)
+    copies = sorted(mixing._copies(served, 3, horizon).collect(), key=lambda c: (c["finish"], c["_o"]))
     last, used = 0, 0
-    for p in packets:
-        if used + p["words"] > budget:
+    for c in copies:
+        if used + c["size"] > budget:
             break
-        used, last = used + p["words"], p["finish"]
+        used, last = used + c["size"], c["finish"]
     written = spark.read.parquet(f"{tmp_path}/m").count()
-    assert abs(written - sum(p["finish"] <= last for p in packets)) <= 2 and written < len(packets)
+    assert abs(written - sum(c["finish"] <= last for c in copies)) <= 2 and written < len(copies)
 
 
 def test_passed_stages_leave_nothing(spark, sf):
