@@ -42,12 +42,12 @@ def licenses() -> str:
 def secrets(copied_owners: int = 3) -> str:
     key, sep = "(?i:password|passwd|secret|token|api_?key)", """[\"']?\\x20*[:=]\\x20*[\"']?"""
     # a run of hexadecimal digits is found whole, so shorter ones needn't be looked at
-    kinds = (("assign", f"{key}{sep}[A-Za-z0-9+/_.=-]+"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]{24,}"), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("opaque", "[A-Za-z0-9+/_-]{24,}"))
+    kinds = (("assign", f"{key}{sep}[A-Za-z0-9+/_.=-]+"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]{24,}"), ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*Proc-Type:[^\n]*\n)?(?:\s*DEK-Info:[^\n]*\n)?[^-]*-----END [A-Z ]*PRIVATE KEY-----"), ("opaque", "[A-Za-z0-9+/_-]{24,}"))
     found = " UNION ALL ".join(f"SELECT rid, {i} AS ord, {q(k)} AS kind, regexp_extract_all(t, {q(p)}) AS f, string_split_regex(t, {q(p)}) AS g FROM d WHERE regexp_matches(t, {q(p)})" for i, (k, p) in enumerate(kinds))
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS o, coalesce(lang, chr(1)) AS l, coalesce(text, '') AS t FROM documents), m AS ({found}), u AS (SELECT rid, ord, kind, f, g, unnest(range(len(f))) AS i FROM m),
       c AS (SELECT rid, ord, kind, f[i + 1] AS m, CAST(sum(length(g[i + 1])) OVER w + coalesce(sum(length(f[i + 1])) OVER (PARTITION BY rid, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM u WINDOW w AS (PARTITION BY rid, ord ORDER BY i ROWS UNBOUNDED PRECEDING)),
-      v AS (SELECT rid, ord, kind, s, s + length(m) AS e, CASE WHEN ord = 0 THEN regexp_replace(m, {q("^" + key + sep)}, '') ELSE m END AS x FROM c),
-      k AS (SELECT * FROM v WHERE CASE ord WHEN 0 THEN length(x) >= 6 WHEN 1 THEN length(x) >= 20 WHEN 2 THEN length(x) >= 24 WHEN 3 THEN true ELSE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') END),
+      v AS (SELECT rid, ord, kind, s, s + length(m) AS e, CASE ord WHEN 0 THEN regexp_replace(m, {q("^" + key + sep)}, '') WHEN 3 THEN regexp_replace(m, '-----[A-Z ]*-----|\\s', '', 'g') ELSE m END AS x FROM c),
+      k AS (SELECT * FROM v WHERE CASE ord WHEN 0 THEN length(x) >= 6 WHEN 1 THEN length(x) >= 20 WHEN 2 THEN length(x) >= 24 WHEN 3 THEN length(x) >= 16 ELSE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') END),
       w AS (SELECT k.x, count(DISTINCT d.o || chr(2) || d.l) AS repos, count(DISTINCT d.o) AS owners FROM k JOIN d ON d.rid = k.rid GROUP BY 1),
       j AS (SELECT k.*, w.repos, w.owners, w.owners <= {copied_owners} AS live, k.kind || ':' || k.s || ':' || k.e AS span FROM k JOIN w ON w.x = k.x),
       a AS (SELECT rid, count_if(ord = 0) AS n_assign, count_if(ord = 1) AS n_access, count_if(ord = 2) AS n_hex, string_agg(span, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base, string_agg(span, ',' ORDER BY s, ord) FILTER (WHERE ord < 3 OR live) AS spans,

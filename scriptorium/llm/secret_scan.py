@@ -12,9 +12,11 @@ KINDS = {
     "assign": r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]+",
-    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*Proc-Type:[^\n]*\n)?(?:\s*DEK-Info:[^\n]*\n)?[^-]*-----END [A-Z ]*PRIVATE KEY-----",
     "opaque": r"[A-Za-z0-9+/_-]{24,}",
 }
+#: What stands around the body of a key: its first and last line and white space.
+_PEM_FRAME = r"-----[A-Z ]*-----|\s"
 #: What precedes the value in an assignment.
 _KEY = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 #: Cheap tests that a text has any match worth keeping.
@@ -28,13 +30,16 @@ _HINT = {
 
 
 def _value(kind: str, match: Column) -> Column:
+    """What is hashed: an assigned value, a key's body, else the match."""
+    if kind == "pem":
+        return F.regexp_replace(match, _PEM_FRAME, "")
     return F.regexp_replace(match, _KEY, "") if kind == "assign" else match
 
 
 def _keep(kind: str, value: Column) -> Column:
     if kind == "opaque":  # three classes of characters: neither words nor plain numbers
         return value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
-    return F.length(value) >= {"assign": 6, "access": 20, "hex": 24, "pem": 1}[kind]
+    return F.length(value) >= {"assign": 6, "access": 20, "hex": 24, "pem": 16}[kind]
 
 
 #: Values of a block of _running(), and code points of a block of a text.
@@ -137,27 +142,29 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repository: str = "lang", copied_owners: int = 3) -> DataFrame:
-    """docs with every base or provider span of a text, and every opaque one judged live, replaced by the mark; other texts stay as they are.
+    """docs with every base span of a text, and every private key and opaque string judged live, replaced by the mark; other texts stay as they are.
 
-    Opaque strings are judged as scan_secrets() does, by the owners of their value over all of docs. Overlapping spans
-    are replaced as one. Only rows with an opaque string are joined with the judgement. Null and empty texts stay; long
-    ones take time in proportion. Rows that repeat are treated each; an empty table gives no rows. All columns of docs
-    are returned; n_chars, if there is one, follows the text.
+    Keys, from their first line to their last, and opaque strings are judged as scan_secrets() does, by the owners of their
+    value over all of docs: what many owners have is a sample that stays. Base spans go however many have them, as a
+    password that was copied is none the safer. Overlapping spans are replaced as one. Only rows with a span to be judged are joined with
+    the judgement. Null and empty texts stay; long ones take time in proportion. Rows that repeat are treated each; an empty
+    table gives no rows. All columns of docs are returned, whatever their names; n_chars, if there is one, follows the text.
     """
-    rows = cut(find_candidates(docs, into="_found").withColumn("_rid", F.monotonically_increasing_id()))
-    some = rows.where(F.size("_found") > 0).select("_rid", F.col(owner).cast("string").alias("_owner"), F.col(repository).cast("string").alias("_repo"), F.explode("_found").alias("c"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col(owner).cast("string").alias("_owner"), F.col(repository).cast("string").alias("_repo"))
+    rows = cut(find_candidates(rows, into="found").withColumn("_rid", F.monotonically_increasing_id()).drop("text"))
+    some = rows.where(F.size("found") > 0).select("_rid", "_owner", "_repo", F.explode("found").alias("c"))
     some = some.withColumn("_hash", F.sha2(F.col("c.value"), 256))
-    live = some.where("c.ord = 4").join(_frequencies(some), "_hash").where(F.col("_owners") <= copied_owners)
-    live = live.groupBy("_rid").agg(F.collect_list("c").alias("_live"))
-    opaque = F.exists("_found", lambda s: s["ord"] == 4)
-    sure = F.filter("_found", lambda s: s["ord"] < 4)
-    judged = rows.where(opaque).join(live, "_rid", "left")
-    judged = judged.withColumn("_spans", F.when(F.col("_live").isNull(), sure).otherwise(F.array_sort(F.concat(sure, F.col("_live"))))).drop("_live")
-    out = rows.where(~opaque).withColumn("_spans", sure).unionByName(judged)
-    out = out.withColumn("text", F.when(F.size("_spans") > 0, _without(F.col("text"), F.col("_spans"), mark)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    live = some.where(F.col("c.ord") >= 3).join(_frequencies(some), "_hash").where(F.col("_owners") <= copied_owners)
+    live = live.groupBy("_rid").agg(F.collect_list("c").alias("live"))
+    open_ = F.exists("found", lambda s: s["ord"] >= 3)
+    sure = F.filter("found", lambda s: s["ord"] < 3)
+    judged = rows.where(open_).join(live, "_rid", "left")
+    judged = judged.withColumn("spans", F.when(F.col("live").isNull(), sure).otherwise(F.array_sort(F.concat(sure, F.col("live")))))
+    out = rows.where(~open_).withColumn("spans", sure).select("row", "spans").unionByName(judged.select("row", "spans"))
+    text = F.when(F.size("spans") > 0, _without(F.col("row.text"), F.col("spans"), mark)).otherwise(F.col("row.text"))
+    out = out.withColumn("text", text)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _without(text: Column, spans: Column, mark: str) -> Column:
