@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import display, text, venues
-from ..operators import catalog, fuzzy, hybrid, queue, search, vectors, views
+from ..operators import catalog, fuzzy, hybrid, index, queue, search, vectors, views
 from ..plans import search_plans
+from ..shared import shared_folder
 from ..sources import outside, paged, store
 from ..values import CATEGORY_HINTS, DICTIONARY, EVIDENCE_TERMS, PLAN_PHRASES, PLAN_THEMES, REJECT_TERMS, STAGE_BONUS, STAGE_ORDER, STAGE_WEIGHTS, STOP_WORDS, TOPICS
 from .base import PAPERS, contained, distinct_in_order, items, norm, norm_search, papers, q, query, re2, slug, squeeze, tokens
@@ -206,11 +208,17 @@ def _fuzzy(relation: str, ident: str, fields: dict[str, float], asked: str, tota
 
 
 _BASE = "100 * coalesce((SELECT f.score FROM fuzzy f WHERE f.id = l.id), 0)"
-_LEX = f"""{_fuzzy("papers", "id", {"title": 4.0, "abstract": 1.0}, TEXT, 14.6)}, l AS (SELECT id, pos, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(venue, ''), nullif(abstract, ''))")} AS b FROM papers),
-  s AS (SELECT id, pos, t = {q(_Q.norm)} AS exact, contains(t, {q(_Q.norm)}) AS tc, contains(b, {q(_Q.norm)}) AS bc,
-  CAST({_BASE} + CASE WHEN t = {q(_Q.norm)} THEN 240 ELSE 0 END + CASE WHEN contains(t, {q(_Q.norm)}) THEN 70 ELSE 0 END + CASE WHEN contains(b, {q(_Q.norm)}) THEN 42 ELSE 0 END + 14 * len({contained('b', _Q.tokens)})
-  + CASE WHEN len(list_filter({contained('b', _Q.tokens)}, lambda h: contains(t, h))) > 0 THEN 28 ELSE 0 END + 8 * len({contained('b', _Q.terms)}) AS DOUBLE) AS score FROM l),
-  lex AS (SELECT id, pos, score, exact, tc OR bc AS strong FROM s WHERE score > 0 AND (exact OR NOT (SELECT coalesce(bool_or(exact), false) FROM s WHERE score > 0)) ORDER BY score DESC, pos LIMIT 100)"""
+def _lex(text: str, limit: int = 100) -> str:
+    """CTEs up to `lex` (id, pos, score, exact, strong): the lexical hits of a query."""
+    asked = search.expand(text)
+    return f"""{_fuzzy("papers", "id", {"title": 4.0, "abstract": 1.0}, text, 14.6)}, l AS (SELECT id, pos, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(venue, ''), nullif(abstract, ''))")} AS b FROM papers),
+  s AS (SELECT id, pos, t = {q(asked.norm)} AS exact, contains(t, {q(asked.norm)}) AS tc, contains(b, {q(asked.norm)}) AS bc,
+  CAST({_BASE} + CASE WHEN t = {q(asked.norm)} THEN 240 ELSE 0 END + CASE WHEN contains(t, {q(asked.norm)}) THEN 70 ELSE 0 END + CASE WHEN contains(b, {q(asked.norm)}) THEN 42 ELSE 0 END + 14 * len({contained('b', asked.tokens)})
+  + CASE WHEN len(list_filter({contained('b', asked.tokens)}, lambda h: contains(t, h))) > 0 THEN 28 ELSE 0 END + 8 * len({contained('b', asked.terms)}) AS DOUBLE) AS score FROM l),
+  lex AS (SELECT id, pos, score, exact, tc OR bc AS strong FROM s WHERE score > 0 AND (exact OR NOT (SELECT coalesce(bool_or(exact), false) FROM s WHERE score > 0)) ORDER BY score DESC, pos LIMIT {limit})"""
+
+
+_LEX = _lex(TEXT)
 
 
 def _lexical(t, limit: int = 100):
@@ -222,6 +230,15 @@ def _(t):
     return _lexical(t).select("id", F.round("score", 6).alias("score"), "exact")
 
 
+@query("indexed_search", f"WITH {PAPERS}, {_lex('password token', 40)} SELECT id, round(score, 6) AS score, exact FROM lex")
+def _(t):
+    rows = papers(t)
+    path = f"{shared_folder(rows.sparkSession)}/index-{uuid.uuid4().hex}"
+    index.build_index(search.prepare(rows, blob=["venue", "abstract"]), path)
+    hits, _ = index.indexed_search(rows.sparkSession, path, search.expand("password token"), 40)
+    return hits.select("id", F.round("score", 6).alias("score"), "exact")
+
+
 @query("text_rank", f"""WITH {PAPERS}, b AS (SELECT id, pos, {norm_search('title')} AS t, {norm_search("concat_ws(' ', nullif(title, ''), nullif(venue, ''), nullif(lang, ''))")} AS b FROM papers),
   s AS (SELECT id, pos, CASE WHEN contains(b, {q(_Q.norm)}) THEN 160 ELSE 0 END + 16 * len({contained('b', _Q.tokens)}) + CASE WHEN contains(t, {q(_Q.norm)}) THEN 40 ELSE 0 END AS score FROM b) SELECT id, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 ORDER BY score DESC, pos LIMIT 40""")
 def _(t):
