@@ -112,8 +112,16 @@ def truncate(value: Column, size: int, mark: str = "...") -> Column:
     return F.when(F.length(text) > size, F.concat(F.rtrim(F.left(text, F.lit(size))), F.lit(mark))).otherwise(text)
 
 
+#: Terms up to which each is looked for by itself, in the JVM; more go through one automaton, with the same result.
+FEW_TERMS = 64
+
+
 def contained(text: Column, terms: list[str]) -> Column:
-    """Those terms, in their order, that a text contains. The list is small and so stands in the plan: no join."""
+    """Those terms, in their order, that a text contains. The list stands in the plan: no join."""
+    if len(terms) > FEW_TERMS:
+        from .automaton import contained_many
+
+        return contained_many(text, terms)
     return let(text, lambda body: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(body, t)))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,3 +120,73 @@ def chunk_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
 def batches(rows: DataFrame, order: str, size: int, partition: str | None = None) -> DataFrame:
     """Adds batch (from 0): groups of `size` rows in order, within a partition column if one is given."""
     return numbered(rows, order, partition).withColumn("batch", F.floor(F.col("_i") / size).cast("long")).drop("_i")
+
+
+#: Rows that regions are drawn from, and chunks that are read first.
+SAMPLE, FIRST_CHUNKS = 256, 8
+
+
+def write_chunks(vectors: DataFrame, path: str, identity: str = "id", embedding: str = "embedding", size: int = CHUNK_ROWS, regions: int = SAMPLE) -> None:
+    """Store vectors as float32 matrices of up to `size` rows, with bounds of each: its centre, its radius around it and its longest vector.
+
+    Rows are dealt to the nearest of `regions` vectors (those of least hash, a bounded sample), so that a chunk's rows are
+    close together; every row is stored. Vectors that are null, or have null or non-finite components, are left out.
+    """
+    good = vectors.where(F.col(embedding).isNotNull() & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    rows = good.select(F.col(identity).alias("id"), F.col(embedding).cast("array<float>").alias("v"))
+    pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(regions).collect()], float)  # at most `regions`
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def near(batches):
+        for pdf in batches:
+            yield pdf.assign(region=_nearest(np.vstack(pdf["v"].to_numpy()).astype(float), pivots) if len(pdf) else np.zeros(0, "int32"))
+
+    placed = numbered(rows.mapInPandas(near, f"id {kind}, v array<float>, region int"), "id", "region").withColumn("chunk", F.floor(F.col("_i") / size).cast("long"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        own = np.vstack(pdf["v"].to_numpy()).astype("<f4")
+        centre = own.astype(float).mean(axis=0)
+        radius, longest = np.linalg.norm(own - centre, axis=1).max(), np.linalg.norm(own.astype(float), axis=1).max()
+        return pd.DataFrame({"region": pdf["region"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "rows": len(pdf), "ids": [pdf["id"].tolist()], "matrix": [own.tobytes()], "centre": [centre.tolist()], "radius": radius, "longest": longest})
+
+    packed = placed.groupBy("region", "chunk").applyInPandas(pack, f"region int, chunk long, rows int, ids array<{kind}>, matrix binary, centre array<double>, radius double, longest double")
+    packed.write.mode("overwrite").partitionBy("region").parquet(path)
+
+
+def _nearest(own: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The nearest pivot of each row, by squares and products."""
+    return ((pivots**2).sum(axis=1) - 2 * own @ pivots.T).argmin(axis=1).astype("int32")
+
+
+def top_k_chunked(spark, path: str, query, k: int) -> tuple[DataFrame, int, int]:
+    """(id, score, rank) of top_k() from stored chunks, and how many chunks were read of how many.
+
+    No row of a chunk can score more than the query with its centre plus its radius, or than its longest vector allows.
+    Chunks of the highest bounds are scored first; then only those whose bound isn't below the k-th score.
+    """
+    q = np.asarray(query, float)
+    stored = spark.read.parquet(path)
+    length, slack = float(np.linalg.norm(q)), 1e-9 * (1 + float(np.linalg.norm(q)))
+    bound = F.least(dot(F.col("centre"), literal_vector(q)) + length * F.col("radius"), length * F.col("longest")) + F.lit(slack) * (1 + F.col("longest"))
+    bounds = cut(stored.select("region", "chunk", bound.alias("bound")))
+    kind = stored.schema["ids"].dataType.elementType.simpleString()
+
+    def score(batches):
+        for pdf in batches:
+            for ids, matrix in zip(pdf["ids"], pdf["matrix"]):
+                scores = np.frombuffer(matrix, "<f4").reshape(len(ids), -1).astype(float) @ q
+                best = np.lexsort((np.asarray(ids), -scores))[:k]
+                yield pd.DataFrame({"id": np.asarray(ids)[best], "score": scores[best]})
+
+    first = bounds.orderBy(F.desc("bound"), "region", "chunk").limit(FIRST_CHUNKS).collect()
+    chosen = reduce(or_, [(F.col("region") == c["region"]) & (F.col("chunk") == c["chunk"]) for c in first], F.lit(False))  # named in the filter: other files aren't read
+    scored = lambda chunks: chunks.select("ids", "matrix").mapInPandas(score, f"id {kind}, score double")
+    hits = cut(scored(stored.where(chosen)))
+    head = hits.orderBy(F.desc("score"), "id").limit(k).select("score").collect()
+    floor = head[-1]["score"] if len(head) == k else float("-inf")
+    more = cut(bounds.where((F.col("bound") >= floor) & ~chosen).select("region", "chunk"))
+    rest = scored(stored.join(more, ["region", "chunk"], "left_semi"))
+    best = hits.unionByName(rest).orderBy(F.desc("score"), "id").limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
+    return best.withColumn("rank", rank), len(first) + more.count(), bounds.count()

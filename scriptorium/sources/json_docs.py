@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..shared import shared_folder
+
 #: Names under which an object may hold its rows.
 WRAPPERS = ("papers", "records")
 
@@ -61,15 +62,29 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
-    """One file from a stream of texts: written beside its place and moved there when it is complete."""
-    jvm = spark.sparkContext._jvm
+def write_text(spark: SparkSession, path: str, parts: Iterable[str | bytes], folder: str | None = None, drop: int = 0, tail: str = "") -> None:
+    """One file: texts, then the part files of a folder in order without their last `drop` bytes, then a tail. Written beside its place and moved there when it is complete.
+
+    Part files are copied by the file system's streams, block by block; the driver never holds one.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system = target.getFileSystem(conf)
     out = system.create(beside, True)
     try:
         for part in parts:
             out.write(part if isinstance(part, bytes) else part.encode())
+        if folder:
+            place = jvm.org.apache.hadoop.fs.Path(folder)
+            files = sorted((f for f in place.getFileSystem(conf).listStatus(place) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+            for f in files:
+                source = f.getPath().getFileSystem(conf).open(f.getPath())
+                try:
+                    own = jvm.org.apache.commons.io.input.BoundedInputStream(source, f.getLen() - (drop if f is files[-1] else 0))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 16, False)
+                finally:
+                    source.close()
+        out.write(tail.encode())
     finally:
         out.close()
     system.delete(target, False)
@@ -77,24 +92,29 @@ def write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
         raise OSError(f"{path} can't be written")
 
 
-def _pretty(df: DataFrame) -> Iterator[str]:
-    """A JSON array, indented; rows pass through the driver one by one."""
-    first = True
-    for row in df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-        yield ("[\n" if first else ",\n") + "\n".join(f"  {line}" for line in row["j"].split("\n"))
-        first = False
-    yield "[]" if first else "\n]"
+def _write_rows(df: DataFrame, path: str, head: str, tail: str) -> None:
+    """Rows as an indented JSON array between two texts: tasks write parts, which are joined in order."""
+    spark = df.sparkSession
+    parts = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    lines = F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(F.concat(F.lit("  "), F.replace(lines, F.lit("\n"), F.lit("\n  "))).alias("value")).write.option("lineSep", ",\n").text(parts)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parts)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        some = any(f.getLen() for f in system.listStatus(place) if f.getPath().getName().startswith("part-"))
+        write_text(spark, path, [head, "[\n" if some else "[]"], parts, 2, ("\n]" if some else "") + tail)
+    finally:
+        system.delete(place, True)
 
 
 def write_pretty(df: DataFrame, path: str) -> None:
     """One indented JSON array, in the order of df."""
-    write_text(df.sparkSession, path, chain(_pretty(df), ["\n"]))
+    _write_rows(df, path, "", "\n")
 
 
 def write_module(df: DataFrame, path: str, name: str, kind: str, source: str) -> None:
     """A script that exports the rows under a name, as a list of a kind that it imports."""
-    head = f"import type {{ {kind} }} from '{source}'\n\nexport const {name} = "
-    write_text(df.sparkSession, path, chain([head], _pretty(df), [f" satisfies {kind}[]\n"]))
+    _write_rows(df, path, f"import type {{ {kind} }} from '{source}'\n\nexport const {name} = ", f" satisfies {kind}[]\n")
 
 
 def mirror(spark: SparkSession, source: str, target: str, ignored: tuple[str, ...] = ()) -> list[str]:
