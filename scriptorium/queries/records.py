@@ -652,16 +652,15 @@ def _(t):
     return out.select("id", *[F.round(F.get("embedding", i).cast("double"), 5).alias(n) for i, n in enumerate("xy")])
 
 
-@query("paged_scan", "SELECT range AS pos, range * 7 AS n FROM range(1037)")
-def _(t):
-    def fetch(url: str) -> str:  # a service with 1037 notes
-        limit, offset = (int(x.split("=")[1]) for x in url.split("&")[-2:])
-        return json.dumps({"notes": [{"n": 7 * i} for i in range(offset, min(offset + limit, 1037))]})
-
-    spark = t("region").sparkSession
-    spark.dataSource.register(paged.paged_source("paged_notes", fetch))
-    rows = spark.read.format("paged_notes").options(url="https://api.example.org/notes?v=1", limit=100, max_pages=40, lanes=3).load()
-    return rows.select("pos", F.get_json_object("value", "$.n").cast("long").alias("n"))
+@query("paged_scan", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey, c_name, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def _(t):
+    rows = t("customer").select("c_custkey", "c_name", "c_nationkey")
+    spark = rows.sparkSession
+    spark.dataSource.register(paged.paged_source("paged_customers", paged.stored_pages(rows, "c_custkey", 100)))
+    pages = -(-rows.count() // 100) + 1
+    notes = spark.read.format("paged_customers").options(url="https://api.example.org/customers?v=1", limit=100, max_pages=pages, lanes=4).load()
+    note = F.from_json("value", "c_custkey long, c_name string, c_nationkey long")
+    return notes.select("pos", note.alias("n")).join(t("nation"), col("n.c_nationkey") == col("n_nationkey")).select("pos", "n.c_custkey", "n.c_name", "n_name")
 
 
 @query("search_answers", f"WITH {PAPERS} SELECT 'https://a.org/' || id AS url, title, CASE id % 3 WHEN 0 THEN 'S' ELSE '' END AS snippet, 'seed' AS stage FROM papers WHERE title <> ''")

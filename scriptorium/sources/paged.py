@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .journal import map_limit, retry
 
@@ -45,8 +46,52 @@ class PagedReader(DataSourceReader):
                 return
 
 
+class Span(InputPartition):
+    def __init__(self, first: int, stop: int):
+        self.first, self.stop = first, stop
+
+
+class PagedStream(DataSourceStreamReader):
+    """Rows of a service that only grows, by number: a batch is what came since the last one, a page each task. How many there are is found by asking for single rows, doubling and halving."""
+
+    def __init__(self, options: dict, fetch: Callable[[str], str]):
+        self.url, self.rows, self.limit = options["url"], options.get("rows", "notes"), int(options.get("limit", 500))
+        self.fetch, self.seen = fetch, 0
+
+    def _found(self, offset: int, limit: int) -> list:
+        joint = "&" if "?" in self.url else "?"
+        return json.loads(retry(lambda: self.fetch(f"{self.url}{joint}limit={limit}&offset={offset}"))).get(self.rows) or []
+
+    def initialOffset(self) -> dict:
+        return {"rows": 0}
+
+    def latestOffset(self) -> dict:
+        low, step = self.seen, 1
+        while self._found(low + step - 1, 1):  # rows up to low + step are there
+            low, step = low + step, step * 2
+        high = low + step - 1  # and of those up to this one perhaps
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self._found(middle - 1, 1) else (low, middle - 1)
+        self.seen = low
+        return {"rows": low}
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        return [Span(at, min(at + self.limit, end["rows"])) for at in range(start["rows"], end["rows"], self.limit)]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        found = self._found(partition.first, partition.stop - partition.first)
+        if len(found) != partition.stop - partition.first:
+            raise ValueError(f"rows {partition.first} to {partition.stop} are gone")
+        for i, row in enumerate(found):
+            yield partition.first + i, json.dumps(row)
+
+
 def paged_source(name: str = "paged_rest", fetch: Callable[[str], str] = over_http) -> type[DataSource]:
-    """A data source to register: spark.dataSource.register(paged_source()); options url, rows, limit, max_pages, lanes."""
+    """A data source to register: spark.dataSource.register(paged_source()); options url, rows, limit, and for tables max_pages, lanes.
+
+    Read as a stream, it goes on where the checkpoint of the query ends, so each row comes once, whatever restarts.
+    """
 
     class PagedSource(DataSource):
         @classmethod
@@ -59,9 +104,43 @@ def paged_source(name: str = "paged_rest", fetch: Callable[[str], str] = over_ht
         def reader(self, schema) -> PagedReader:
             return PagedReader(self.options, fetch)
 
+        def streamReader(self, schema) -> PagedStream:
+            return PagedStream(self.options, fetch)
+
     return PagedSource
 
 
+def stored_pages(rows, order: str, limit: int) -> Callable[[str], str]:
+    """The transport of a service that serves a table's rows as notes, in order: pages of `limit` are written to the shared folder and read from there."""
+    from pyspark.sql import functions as F
+
+    from ..operators.vectors import numbered
+    from ..shared import shared_folder
+
+    folder = f"{shared_folder(rows.sparkSession)}/pages-{uuid.uuid4().hex}"
+    placed = numbered(rows, order, into="_n").withColumn("page", F.floor(F.col("_n") / limit))
+    note = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    placed.select("page", "_n", note.alias("value")).repartition("page").sortWithinPartitions("page", "_n").drop("_n").write.partitionBy("page").text(folder)
+
+    def fetch(url: str) -> str:
+        from urllib.parse import parse_qs, urlparse
+
+        from pyarrow import fs
+
+        asked = {k: int(v[0]) for k, v in parse_qs(urlparse(url).query).items() if k in ("limit", "offset")}
+        system, path = fs.FileSystem.from_uri(folder)
+        lines: list[str] = []
+        for page in range(asked["offset"] // limit, (asked["offset"] + asked["limit"] - 1) // limit + 1):
+            place = fs.FileSelector(f"{path}/page={page}", allow_not_found=True)
+            for file in (f for f in system.get_file_info(place) if f.base_name.startswith("part-")):
+                with system.open_input_stream(file.path) as stream:
+                    lines += stream.read().decode().splitlines()
+        first = asked["offset"] % limit
+        return json.dumps({"notes": [json.loads(x) for x in lines[first : first + asked["limit"]]]})
+
+    return fetch
+
+
 def search_items(answers, platform: str, plan):
     """(platform, stage, url, title, author, snippet, publishDate, query, queryLabel) of JSON search answers of several shapes; hits without url or title go."""
     from pyspark.sql import functions as F
