@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, apart, cut, word_count
+from .common import SPACE, apart, cut
 
 #: Code points of a text's first block, and how much longer each further one is: ten blocks hold any text.
 FIRST, GROWTH = 256, 8
@@ -31,24 +31,26 @@ BOUNDS = _bounds()
 
 def failures(text: Column) -> Column:
     """Bits of the filters A to D that a text fails: under 50 words, under 65 % of words distinct, over 5 % capitals, symbols."""
-    words, distinct = word_count(text), F.size(F.array_distinct(F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")))
+    trimmed = F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
+    counts = F.transform(F.array(F.split(trimmed, f"[{SPACE}]+")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("distinct")))  # split once
     capitals = F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long")
-    tests = [words < 50, 100 * distinct.cast("long") < 65 * words, 100 * capitals > 5 * F.length(text).cast("long"), text.rlike(r"[#$%&*|]")]
-    return sum((F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)), F.lit(0))
 
+    def bits(c: Column) -> Column:
+        words, distinct = F.when(trimmed == "", 0).otherwise(c["n"]), F.when(trimmed == "", 0).otherwise(c["distinct"])
+        tests = [words < 50, 100 * distinct < 65 * words, 100 * capitals > 5 * F.length(text).cast("long"), text.rlike(r"[#$%&*|]")]
+        return sum((F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)), F.lit(0))
 
-def _block_hashes(text: Column) -> Column:
-    """A hash of each block that a text reaches; further ones are null."""
-    return F.array(*[F.when(F.length(text) > first, F.xxhash64(F.substring(text, first + 1, size))) for first, size in BOUNDS])
+    return F.get(F.transform(counts, bits), F.lit(0))
 
 
-def _finer(cls: Column, block: Column) -> Column:
-    return F.xxhash64(cls, block)
+def _block_hashes(text: Column) -> list[Column]:
+    """A hash of each block that a text reaches; further ones are null."""
+    return [F.when(F.length(text) > first, F.xxhash64(F.substring(text, first + 1, size))) for first, size in BOUNDS]
 
 
-def _final_class(length: Column, hashes: Column) -> Column:
-    """The class that a text has once all its blocks are looked at."""
-    return F.aggregate(F.filter(hashes, lambda h: h.isNotNull()), length.cast("long"), _finer)
+def _class_of(length: Column, hashes: list[Column]) -> Column:
+    """The class of texts of a length and the hashes of their first blocks; blocks that a text doesn't reach change nothing."""
+    return F.xxhash64(length.cast("long"), *hashes)
 
 
 def repeated_classes(rows: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def repeated_classes(rows: DataFrame) -> DataFrame:
     Classes are split by length, then by one block's hash after the other; rows that are alone in theirs leave at once, and
     those whose last block has been looked at are done.
     """
-    live, done = rows.select("doc_id", "length", "hashes", F.col("length").cast("long").alias("cls")), None
+    live, done = rows.select("doc_id", "length", "hashes", _class_of(F.col("length"), []).alias("cls")), None
     for k in range(len(BOUNDS) + 1):
         covered = BOUNDS[k][0] if k < len(BOUNDS) else 1 << 31
         several = apart(live.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls"), "cls")
@@ -67,7 +69,7 @@ def repeated_classes(rows: DataFrame) -> DataFrame:
         live = live.where(F.col("length") > covered)
         if not live.head(1):
             break
-        live = live.withColumn("cls", _finer(F.col("cls"), F.col("hashes")[k]))
+        live = live.withColumn("cls", _class_of(F.col("length"), [F.col("hashes")[i] for i in range(k + 1)]))
     return done.where("least IS NOT NULL").groupBy("cls").agg(F.min("least").alias("least"))
 
 
@@ -82,7 +84,7 @@ def later_copies(docs: DataFrame, rows: DataFrame | None = None, broadcast_rows:
     rows = rows if rows is not None else cut(_described(docs))
     classes = cut(repeated_classes(rows))
     classes = F.broadcast(classes) if classes.count() <= broadcast_rows else classes.hint("shuffle_hash")
-    texts = docs.withColumn("cls", _final_class(F.length("text"), _block_hashes(F.col("text"))))
+    texts = docs.withColumn("cls", _class_of(F.length("text"), _block_hashes(F.col("text"))))
     left = cut(texts.join(classes, "cls").select("cls", "least", "doc_id", "part", "text"))
     marked = None
     while True:
@@ -99,7 +101,7 @@ def later_copies(docs: DataFrame, rows: DataFrame | None = None, broadcast_rows:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "part", failures(F.col("text")).alias("failed"), F.length("text").alias("length"), _block_hashes(F.col("text")).alias("hashes"))
+    return docs.select("doc_id", "part", failures(F.col("text")).alias("failed"), F.length("text").alias("length"), F.array(*_block_hashes(F.col("text"))).alias("hashes"))
 
 
 def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
