@@ -26,73 +26,92 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _UNSEEN = {"script", "style", "template", "noscript"}
 #: Elements that stand for a part of a page other than its article.
 _ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "address"}
-_ASIDE_WORD = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|promo\w*|sponsor\w*|banner|nav\w*|menu\w*|sidebar|side|footer|foot|header|masthead|breadcrumbs?|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|discussion|disqus|widget|login|signup|search|pagination|pager|toolbar|copyright|legal|gdpr|alert|skip\w*|teaser|tags?|byline-links)(?:$|[-_\s])", re.I)
-#: Of these, only those that stand for a part beside the article even where an article element has them, and those that within an article name a part of it.
-_ASIDE_ARTICLE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|promo\w*|sponsor\w*|comments?|replies|reply|related|recommend\w*|teaser|widget|sidebar)(?:$|[-_\s])", re.I)
-_OWN_PART = re.compile(r"(?:^|[-_\s])(?:header|head|masthead|byline-links|side)(?:$|[-_\s])", re.I)
+_ASIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "note"}
+#: Parts of names that elements beside the article have, and parts that say nothing beside these.
+_ASIDE_PART = re.compile(r"ads?|advert\w*|promo\w*|sponsor\w*|banner|nav\w*|menu\w*|sidebar|side|footer|foot|header|masthead|breadcrumbs?|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|discussion|disqus|widget|login|signup|search|pagination|pager|toolbar|copyright|legal|gdpr|alert|skip\w*|teaser|tags?")
+_NEUTRAL = {"area", "articles", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "page", "panel", "posts", "right", "row", "section", "site", "slot", "stories", "thread", "title", "to", "top", "unit", "wrap", "wrapper", ""}
+#: Of these, what an article or main element itself may be called to stand beside the article, and names of parts that an article has of its own.
+_ASIDE_ARTICLE = re.compile(r"ads?|advert\w*|promo\w*|sponsor\w*|comments?|replies|reply|related|recommend\w*|teaser|widget|sidebar")
+_OWN_PART = {"header", "head", "masthead", "side"}
 #: Class names that say what a page has rather than what an element is.
 _HAS = ("has-", "with-", "no-", "without-", "show-", "hide-", "is-")
-_ASIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "note"}
 _MAIN_WORD = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body|text)(?:$|[-_\s])", re.I)
 _SPACE = re.compile(r"\s+")
 
-#: Names of a block's features, in order: those of the block, of the blocks before and after it, and whether an element marks it as part of the article.
-FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "marked")
+#: Names of a block's features, in order: those of the block and of the blocks before and after it; whether it is a heading; whether it is in an
+#: article or main element (2) or in one named like one (1); whether it is in an element for another part, by kind, role or whole name (2) or by a part of a name (1);
+#: and how long the article element that it is in, or what stands in none, is beside the longest of a page's.
+FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "marked", "beside", "share")
+#: Kinds of open elements that are counted: beside by their whole name, by a part of it, article elements, elements named like one.
+_STRONG, _WEAK, _ARTICLE, _NAMED = range(4)
+
+
+def _named(value: str, own: set[str] | None, parts: re.Pattern) -> int:
+    """2 if a name stands for another part of a page as a whole, 1 if a part of one does, else 0."""
+    out = 0
+    for name in value.lower().split():
+        if name.startswith(_HAS):
+            continue
+        found = [p for p in re.split(r"[-_]", name) if not own or p not in own]
+        hits = [bool(parts.fullmatch(p)) for p in found]
+        if any(hits):
+            out = max(out, 2 if all(h or p in _NEUTRAL for h, p in zip(hits, found)) else 1)
+    return out
 
 
-def _zone(name: str, attrs: str, within: bool = False) -> int:
-    """-1 for a part beside the article, 1 for the article, 2 for an element named like one, 0 for none of these. within: in an article."""
-    zone = -1 if name in _ASIDE and not (within and name == "header") else 1 if name in ("article", "main") else 0
+def _kinds(name: str, attrs: str, within: bool = False) -> tuple[int, ...]:
+    """The kinds that an element is counted as. within: in an article."""
+    beside = 2 if name in _RAW or name in _ASIDE and not (within and name == "header") else 0
+    marked = 2 if name in ("article", "main") else 0
     if attrs and name not in ("body", "html"):
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
             if key in ("hidden",) or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return -1
-            if key == "role":
-                zone = -1 if value in _ASIDE_ROLE else 1 if value in ("main", "article") else zone
+                beside = 2
+            elif key == "role":
+                beside, marked = (2 if value in _ASIDE_ROLE else beside), (2 if value in ("main", "article") else marked)
             elif key in ("class", "id"):
-                names = " ".join(x for x in value.split() if not x.lower().startswith(_HAS))
                 if name == "article":
-                    names = " ".join(_ASIDE_ARTICLE.findall(names)) and "comment"
-                elif name == "main":
-                    names = ""
-                elif within:
-                    names = _OWN_PART.sub(" ", names)
-                if names and _ASIDE_WORD.search(names):
-                    return -1
-                if _MAIN_WORD.search(value) and zone == 0:
-                    zone = 2
-    return zone
+                    beside = max(beside, 2 * bool(_named(value, None, _ASIDE_ARTICLE)))
+                elif name != "main":
+                    beside = max(beside, _named(value, _OWN_PART if within else None, _ASIDE_PART))
+                if _MAIN_WORD.search(value):
+                    marked = max(marked, 1)
+    return tuple(k for k, on in ((_STRONG, beside == 2), (_WEAK, beside == 1), (_ARTICLE, marked == 2), (_NAMED, marked == 1)) if on)
 
 
 class _Open:
     """Elements that are open, with the places of each name and of those that make blocks, so that no end tag or new block looks through them all."""
 
     def __init__(self):
-        self.stack: list[tuple[str, int]] = []
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
         self.places: dict[str, list[int]] = {}
         self.outer: list[int] = []  # places of elements that make blocks
         self.zones, self.links, self.headings = [0, 0, 0, 0], 0, 0
+        self.articles = 0  # outermost ones that have begun
 
-    def push(self, name: str, zone: int) -> None:
+    def push(self, name: str, kinds: tuple[int, ...]) -> None:
+        if _ARTICLE in kinds and not self.zones[_ARTICLE]:
+            self.articles += 1
         self.places.setdefault(name, []).append(len(self.stack))
         if name not in _INLINE:
             self.outer.append(len(self.stack))
-        self.stack.append((name, zone))
-        self._count(name, zone, 1)
+        self.stack.append((name, kinds))
+        self._count(name, kinds, 1)
 
-    def _count(self, name: str, zone: int, n: int) -> None:
-        self.zones[zone] += n * bool(zone)
+    def _count(self, name: str, kinds: tuple[int, ...], n: int) -> None:
+        for k in kinds:
+            self.zones[k] += n
         self.links += n * (name == "a")
         self.headings += n * (name in _HEADING)
 
     def close(self, upto: int) -> None:
         while len(self.stack) > upto:
-            name, zone = self.stack.pop()
+            name, kinds = self.stack.pop()
             self.places[name].pop()
             if name not in _INLINE:
                 self.outer.pop()
-            self._count(name, zone, -1)
+            self._count(name, kinds, -1)
 
     def end(self, name: str) -> None:
         """An end tag closes the last element of its name and what is in it; one of an inline element doesn't reach out of a block."""
@@ -108,13 +127,16 @@ class _Open:
                 self.close(self.outer[-1])
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(text, words, words in links, zone, heading) of a page's flat blocks in order, empty ones left out.
+#: A block: its text, words, words in links, whether it is a heading, marked and beside as in FEATURES, and the number of its article element (0: none).
+Block = tuple[str, int, int, bool, int, int, int]
+
+
+def blocks(page: str) -> list[Block]:
+    """A page's flat blocks in order, empty ones left out. Only what is no text of the page (scripts, styles, controls) is passed over.
 
-    A zone is -1 if any open element is beside the article, else 1 in an article or main element, 2 in an
-    element named like one, else 0. Unclosed elements last until an enclosing one ends. Time grows with the page's length.
+    Unclosed elements last until an enclosing one ends. Time grows with the page's length.
     """
-    out: list[tuple[str, int, int, int, bool]] = []
+    out: list[Block] = []
     parts: list[str] = []
     open_ = _Open()
     linked = 0
@@ -124,8 +146,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                words, zones = text.count(" ") + 1, open_.zones
-                out.append((text, words, min(words, linked), -1 if zones[3] else 1 if zones[1] else 2 if zones[2] else 0, open_.headings > 0))
+                words, z = text.count(" ") + 1, open_.zones
+                out.append((text, words, min(words, linked), open_.headings > 0, 2 if z[_ARTICLE] else min(1, z[_NAMED]), 2 if z[_STRONG] else min(1, z[_WEAK]), open_.articles if z[_ARTICLE] else 0))
             parts = []
         linked = 0
 
@@ -160,8 +182,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             open_.begin_block(name)
         if m[0].endswith("/>"):
             continue
-        zone = {-1: 3}.get(z := (-1 if name in _RAW else _zone(name, m[3], open_.zones[1] > 0)), z)
-        open_.push(name, zone)
+        open_.push(name, _kinds(name, m[3], open_.zones[_ARTICLE] > 0))
     end_block()
     return out
 
@@ -173,46 +194,47 @@ def _next_token(page: str, pos: int, last: int) -> re.Match | None:
     return _TOKEN.search(page, pos)
 
 
-def candidates(found: list[tuple[str, int, int, int, bool]]) -> list[tuple[str, int, int, int, bool]]:
-    """The blocks that can be main text: those of the page's article or main element, or all if it has none; none beside it.
-
-    Elements that by their kind, role or name hold menus, headers, footers, sidebars, notices, adverts, forms or comments are beside it.
-    """
-    article = any(b[3] == 1 for b in found)
-    return [b for b in found if b[3] == 1 or b[3] >= 0 and not article]
-
-
-def features(found: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
+def features(found: list[Block]) -> np.ndarray:
     """FEATURES of each block; a page's edges have neighbours without words. Link: share of a block's words in links."""
-    words = np.array([0, *(b[1] for b in found), 0], float)
-    link = np.array([0, *(b[2] / b[1] for b in found), 0], float)
     n = len(found)
     if not n:
         return np.zeros((0, len(FEATURES)))
-    heading, marked = (np.array(x, float) for x in ([b[4] for b in found], [b[3] > 0 for b in found]))
-    return np.column_stack([words[1:-1], link[1:-1], words[:-2], link[:-2], words[2:], link[2:], heading, marked])
+    words = np.array([0, *(b[1] for b in found), 0], float)
+    link = np.array([0, *(b[2] / b[1] for b in found), 0], float)
+    heading, marked, beside, article = (np.array([b[i] for b in found]) for i in (3, 4, 5, 6))
+    length = np.bincount(article, weights=words[1:-1] * (beside < 2))
+    share = length[article] / max(1.0, length.max())
+    return np.column_stack([words[1:-1], link[1:-1], words[:-2], link[:-2], words[2:], link[2:], heading, marked, beside, share])
 
 
-#: A small labelled table: FEATURES and 1 for main text. Blocks as they stand in pages of several kinds.
+#: A small labelled table: FEATURES and 1 for main text. Blocks as they stand in pages of several kinds, marked and unmarked.
 LABELLED = [
-    # in a marked article: headings, long and short paragraphs, with and without links in them
-    (9, 0, 1, 1, 24, 0, 1, 1, 1), (24, 0, 9, 0, 30, 0, 0, 1, 1), (1, 0, 30, 0, 12, 0, 0, 1, 1), (60, 0.05, 1, 0, 8, 0, 0, 1, 1),
-    (3, 0, 60, 0, 2, 0, 0, 1, 1), (120, 0.02, 3, 0, 0, 0, 0, 1, 1), (2, 0, 1, 0, 9, 0, 0, 1, 1), (14, 0, 0, 0, 0, 0, 0, 1, 1),
-    (7, 0.3, 22, 0, 4, 1, 0, 1, 1), (40, 0.6, 12, 0, 9, 0, 0, 1, 1), (2, 0, 4, 1, 1, 1, 0, 1, 1), (1, 0, 1, 1, 1, 0, 1, 1, 1),
-    (1, 0, 0, 0, 2, 1, 0, 1, 1), (18, 0.5, 3, 1, 2, 1, 0, 1, 1), (6, 0.4, 2, 0, 3, 0, 0, 1, 1), (2, 0.5, 5, 0, 30, 0, 0, 1, 1),
-    # a linked heading or paragraph of it, text before and after
-    (5, 1, 40, 0, 33, 0, 0, 1, 1), (1, 1, 8, 0, 5, 0, 0, 1, 1), (8, 1, 0, 0, 60, 0, 1, 1, 1), (30, 0.95, 12, 0, 25, 0, 0, 1, 1), (3, 1, 12, 0, 0, 0, 0, 1, 1),
-    # lists of links in it: links before or after
-    (1, 1, 0, 0, 1, 1, 0, 1, 0), (2, 1, 1, 1, 2, 1, 0, 1, 0), (3, 1, 3, 1, 60, 0, 0, 1, 0), (4, 1, 50, 0, 3, 1, 0, 1, 0),
-    (2, 1, 30, 0, 2, 1, 0, 1, 0), (1, 1, 2, 1, 0, 0, 0, 1, 0), (6, 0.9, 5, 1, 4, 1, 0, 1, 0), (5, 1, 6, 1, 40, 0, 0, 1, 0),
-    # pages that mark none: long blocks, and short ones among them
-    (40, 0, 9, 0, 60, 0, 0, 0, 1), (60, 0.05, 40, 0, 3, 0, 0, 0, 1), (25, 0, 60, 0, 2, 0.5, 0, 0, 1), (12, 0, 40, 0, 35, 0, 0, 0, 1),
-    (4, 0, 50, 0, 45, 0, 0, 0, 1), (7, 0, 3, 1, 48, 0, 1, 0, 1), (18, 0.1, 22, 0, 30, 0, 0, 0, 1), (90, 0.2, 2, 1, 5, 1, 0, 0, 1),
-    (6, 0, 1, 1, 30, 0, 1, 0, 1), (16, 0, 12, 0, 14, 0, 0, 0, 1), (30, 0, 1, 1, 1, 1, 0, 0, 1), (45, 0, 4, 0, 0, 0, 0, 0, 1),
+    # in a marked article: headings, long and short paragraphs, lists of links and of sources
+    (9, 0, 1, 1, 24, 0, 1, 2, 0, 1, 1), (24, 0, 9, 0, 30, 0, 0, 2, 0, 1, 1), (1, 0, 30, 0, 12, 0, 0, 2, 0, 1, 1), (60, 0.05, 1, 0, 8, 0, 0, 2, 0, 1, 1), (3, 0, 60, 0, 2, 0, 0, 2, 0, 1, 1), (2, 0, 1, 0, 9, 0, 0, 2, 0, 1, 1),
+    (14, 0, 0, 0, 0, 0, 0, 2, 0, 1, 1), (7, 0.3, 22, 0, 4, 1, 0, 2, 0, 1, 1), (40, 0.6, 12, 0, 9, 0, 0, 2, 0, 1, 1), (1, 0, 1, 1, 1, 0, 1, 2, 0, 1, 1), (8, 1, 0, 0, 60, 0, 1, 2, 0, 1, 1), (30, 0.95, 12, 0, 25, 0, 0, 2, 0, 1, 1),
+    (1, 1, 0, 0, 1, 1, 0, 2, 0, 1, 1), (2, 1, 1, 1, 2, 1, 0, 2, 0, 1, 1), (6, 0.9, 5, 1, 4, 1, 0, 2, 0, 1, 1), (3, 1, 12, 0, 0, 0, 0, 2, 0, 0.6, 1), (50, 0, 30, 0, 12, 0, 0, 2, 0, 0.5, 1), (2, 0, 9, 0, 30, 0, 1, 2, 0, 0.5, 1),
+    (4, 0, 3, 0, 1, 0, 0, 2, 0, 1, 1), (9, 0, 26, 0, 2, 0, 0, 2, 0, 1, 1), (4, 0, 23, 0, 1, 0, 0, 2, 0, 1, 1), (5, 0, 9, 0, 0, 0, 0, 2, 0, 1, 1), (6, 0, 2, 0, 2, 0, 0, 2, 0, 1, 1), (8, 0, 4, 0, 1, 0, 0, 2, 0, 0.7, 1), (10, 0, 1, 0, 0, 0, 0, 2, 0, 1, 1),
+    (3, 0.3, 5, 0, 2, 0, 0, 2, 0, 1, 1), (7, 0, 60, 0, 0, 0, 1, 2, 0, 1, 1), (5, 0, 1, 0, 1, 1, 0, 2, 0, 1, 1), (1, 0, 0, 0, 2, 1, 0, 2, 0, 1, 1), (18, 0.5, 3, 1, 2, 1, 0, 2, 0, 1, 1), (2, 0.5, 5, 0, 30, 0, 0, 2, 0, 1, 1), (6, 0, 0, 0, 1, 0, 1, 2, 0, 1, 1),
+    (3, 0.33, 8, 0, 0, 0, 0, 2, 0, 1, 1), (2, 0, 30, 0, 0, 0, 0, 2, 0, 1, 1), (5, 0, 3, 0, 0, 0, 0, 2, 0, 1, 1), (4, 0, 12, 0, 0, 0, 0, 2, 0, 1, 1), (1, 0, 5, 0, 0, 0, 0, 2, 0, 1, 1), (6, 0.2, 20, 0, 0, 0, 0, 2, 0, 0.8, 1), (1, 1, 32, 0, 1, 1, 0, 2, 0, 1, 1), (3, 1, 40, 0, 2, 1, 0, 2, 0, 1, 1), (4, 1, 2, 1, 0, 0, 0, 2, 0, 1, 1),
+    # in an article that is short beside the page's longest text: cards
+    (8, 1, 3, 0, 18, 0, 1, 2, 0, 0.05, 0), (18, 0, 8, 1, 9, 1, 0, 2, 0, 0.05, 0), (25, 0.1, 6, 0, 5, 1, 0, 2, 0, 0.1, 0), (5, 0, 30, 0, 7, 0, 1, 2, 0, 0.08, 0), (35, 0, 4, 0, 6, 0, 0, 2, 0, 0.12, 0), (2, 1, 20, 0, 80, 0, 0, 2, 0, 0.04, 0),
+    # in parts that stand for something else, within an article and elsewhere: menus, comments of any length, notices, adverts, forms
+    (30, 0, 1, 1, 24, 0, 0, 2, 2, 1, 0), (14, 0, 60, 0, 20, 0, 0, 2, 2, 1, 0), (1, 1, 1, 1, 2, 1, 0, 2, 2, 1, 0), (3, 0, 40, 0, 0, 0, 0, 2, 2, 1, 0), (80, 0, 12, 0, 30, 0, 0, 2, 2, 1, 0), (5, 0, 0, 0, 8, 0, 1, 2, 2, 1, 0),
+    (2, 1, 2, 1, 2, 1, 0, 0, 2, 1, 0), (40, 0, 9, 0, 60, 0, 0, 0, 2, 1, 0), (6, 0, 3, 0, 12, 0, 0, 0, 2, 1, 0), (12, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0), (25, 0, 50, 0, 2, 1, 0, 1, 2, 1, 0), (9, 0.2, 40, 0, 12, 0, 0, 1, 2, 1, 0), (3, 0, 0, 0, 400, 0, 0, 0, 2, 0.02, 0),
+    # in elements of which a part of the name could stand for something else: prose stays, links and scraps go
+    (48, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1), (48, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1), (30, 0.1, 8, 0, 40, 0, 0, 0, 1, 1, 1), (22, 0, 30, 0, 12, 0, 0, 1, 1, 1, 1), (60, 0.05, 2, 1, 9, 0, 0, 2, 1, 1, 1), (25, 0, 60, 0, 4, 0, 0, 2, 1, 1, 1),
+    (3, 0, 30, 0, 2, 1, 0, 0, 1, 1, 0), (2, 1, 4, 1, 3, 1, 0, 0, 1, 1, 0), (7, 0.8, 60, 0, 5, 1, 0, 1, 1, 1, 0), (4, 0, 12, 0, 0, 0, 0, 2, 1, 1, 0), (1, 1, 30, 0, 1, 1, 0, 2, 1, 1, 0), (8, 0, 40, 0, 3, 1, 0, 1, 1, 1, 0), (14, 0.9, 20, 0, 3, 1, 0, 2, 1, 1, 0),
+    # around a marked article, in no element that says so
+    (5, 0, 2, 1, 9, 0, 0, 0, 0, 0.02, 0), (2, 1, 1, 1, 9, 0, 0, 0, 0, 0.03, 0), (12, 0, 30, 0, 0, 0, 0, 0, 0, 0.05, 0), (30, 0, 25, 0, 3, 0, 0, 1, 0, 0.1, 0), (3, 0, 0, 0, 8, 0, 1, 0, 0, 0.04, 0), (9, 0.5, 14, 0, 2, 1, 0, 1, 0, 0.06, 0),
+    # pages that mark none, or name a part like an article: long blocks, and short ones among them
+    (40, 0, 9, 0, 60, 0, 0, 0, 0, 1, 1), (60, 0.05, 40, 0, 3, 0, 0, 0, 0, 1, 1), (25, 0, 60, 0, 2, 0.5, 0, 0, 0, 1, 1), (12, 0, 40, 0, 35, 0, 0, 0, 0, 1, 1), (4, 0, 50, 0, 45, 0, 0, 0, 0, 1, 1), (7, 0, 3, 1, 48, 0, 1, 0, 0, 1, 1),
+    (18, 0.1, 22, 0, 30, 0, 0, 0, 0, 1, 1), (90, 0.2, 2, 1, 5, 1, 0, 0, 0, 1, 1), (6, 0, 1, 1, 30, 0, 1, 0, 0, 1, 1), (16, 0, 12, 0, 14, 0, 0, 0, 0, 1, 1), (30, 0, 1, 1, 1, 1, 0, 0, 0, 1, 1), (45, 0, 4, 0, 0, 0, 0, 0, 0, 1, 1),
+    (40, 0, 9, 0, 60, 0, 0, 1, 0, 1, 1), (4, 0, 50, 0, 45, 0, 0, 1, 0, 1, 1), (7, 0, 3, 1, 48, 0, 1, 1, 0, 1, 1), (36, 0, 0, 0, 2, 1, 0, 1, 0, 1, 1), (22, 0, 1, 1, 30, 0, 0, 1, 0, 1, 1),
     # what stands around them: links, and short blocks beside links or at the edge
-    (2, 1, 2, 1, 2, 1, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0), (5, 0.8, 3, 1, 2, 1, 0, 0, 0), (3, 0, 2, 1, 2, 1, 0, 0, 0),
-    (4, 0, 0, 0, 3, 1, 0, 0, 0), (8, 0.9, 50, 0, 4, 1, 0, 0, 0), (6, 0, 4, 1, 0, 0, 0, 0, 0), (14, 0.7, 6, 1, 5, 1, 0, 0, 0),
-    (5, 0, 3, 1, 0, 0, 0, 0, 0), (3, 1, 60, 0, 40, 0, 0, 0, 0), (4, 1, 3, 0, 2, 0, 0, 0, 0), (7, 0.6, 0, 0, 12, 0.5, 0, 0, 0),
+    (2, 1, 2, 1, 2, 1, 0, 0, 0, 1, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0, 1, 0), (5, 0.8, 3, 1, 2, 1, 0, 0, 0, 1, 0), (3, 0, 2, 1, 2, 1, 0, 0, 0, 1, 0), (4, 0, 0, 0, 3, 1, 0, 0, 0, 1, 0), (8, 0.9, 50, 0, 4, 1, 0, 0, 0, 1, 0),
+    (6, 0, 4, 1, 0, 0, 0, 0, 0, 1, 0), (14, 0.7, 6, 1, 5, 1, 0, 0, 0, 1, 0), (5, 0, 3, 1, 0, 0, 0, 0, 0, 1, 0), (4, 1, 3, 0, 2, 0, 0, 0, 0, 1, 0), (7, 0.6, 0, 0, 12, 0.5, 0, 0, 0, 1, 0), (2, 1, 2, 1, 2, 1, 0, 1, 0, 1, 0),
+    (5, 1, 40, 0, 33, 0, 0, 0, 0, 1, 0), (30, 0.9, 20, 0, 25, 0, 0, 0, 0, 1, 0), (24, 1, 2, 0, 40, 0, 0, 0, 0, 1, 0), (40, 0.8, 9, 0, 30, 0, 0, 1, 0, 1, 0), (9, 1, 30, 0, 30, 0, 1, 0, 0, 1, 0), (3, 1, 8, 0, 26, 0, 0, 1, 0, 1, 0),
+    (5, 0.8, 3, 1, 2, 1, 0, 1, 0, 1, 0), (1, 1, 36, 0, 0, 0, 0, 1, 0, 1, 0), (3, 0, 2, 1, 2, 1, 0, 1, 0, 1, 0),
 ]
 
 
@@ -244,15 +266,16 @@ def classify(tree: tuple | float, row) -> bool:
 
 
 def main_text(page: str | None, tree: tuple) -> str:
-    found = candidates(blocks(page or ""))
+    found = blocks(page or "")
     return " ".join(b[0] for b, row in zip(found, features(found).tolist()) if classify(tree, row))
 
 
 def extract_main_text(pages: DataFrame, labelled: list[tuple] = LABELLED) -> DataFrame:
     """page_id, url, text (empty if the page has none) and n_chars of each page.
 
-    The page is split into flat text blocks. Those in elements of other kinds than the article are left aside, and a tree
-    trained on the labelled table classifies all others by words and link densities, their own and their neighbours'.
+    The page is split into flat text blocks, and a tree trained on the labelled table classifies all of them: by words and
+    link densities, their own and their neighbours', by what the elements around them are or are called, and by how
+    long their article is beside the page's longest.
 
     Null or empty html: empty. Pages of any length are read whole, in time that grows with the length; broken markup is
     read as far as it goes. A leaf with as many of either kind counts as main text. Rows that repeat are extracted each;

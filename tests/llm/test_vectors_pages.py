@@ -75,11 +75,37 @@ def test_tree_reads_words_and_links():
     links = "<ul>" + "".join(f"<li><a href=/{w}>{w}</a>" for w in ("One", "Two", "Three", "Four")) + "</ul>"
     body = "<p>" + "plain words of it " * 10 + "</p><p>Short.</p><p><a href=x>A linked line</a></p><p>" + "and more of them " * 8 + "</p>"
     want = ("plain words of it " * 10 + "Short. A linked line " + "and more of them " * 8).strip()
-    assert text(f"<article>{links}{body}{links}</article>") == want
+    assert text(f"<article>{body}{links}</article>") == f"{want} One Two Three Four"  # an article's own list of sources
     linked = "<p><a href=x>A linked line</a></p>"
     assert text(f"<div>{links}{body.replace(linked, '')}{links}</div>") == want.replace(" A linked line", "")
 
 
+PROSE = "plain words that stand in a row here "
+
+
+def test_names_are_features():
+    """A part of a name doesn't take the text of an element; cards beside a longer body aren't the article; scraps and comments go by the tree."""
+    tree = html_extract.train_tree(html_extract.LABELLED)
+    text = lambda page: html_extract.main_text(page, tree)
+    for name in ("content side-by-side", "share-prices-today", "notice-board-story"):
+        assert text(f'<body><div class="{name}">{PROSE * 6}</div></body>') == (PROSE * 6).strip()
+    cards = "".join(f'<article class="card"><h2><a href=/{i}>Card {i}</a></h2><p>A short lead of it.</p></article>' for i in range(3))
+    assert text(f"<div class='content'><h1>The head of it all</h1><p>{PROSE * 6}</p><p>{PROSE * 5}</p></div>{cards}").endswith((PROSE * 6 + PROSE * 5).strip())
+    assert "Card" not in text(f"{cards}<div class='content'><p>{PROSE * 6}</p><p>{PROSE * 9}</p></div>")
+    for beside in ("comment-list", "related-posts", "cookie-banner", "newsletter-signup", "sidebar"):
+        assert text(f"<article><h1>Head</h1><p>{PROSE * 4}</p></article><div class='{beside}'><p>{PROSE * 3}</p></div>") == f"Head {(PROSE * 4).strip()}"
+    assert text(f"<div>Slogan of the site</div><article><p>{PROSE * 4}</p></article>") == (PROSE * 4).strip()
+
+
+def test_tree_rejects(spark, sf):
+    """All blocks of the pages reach the tree, which turns many of them away: those that no element marks too."""
+    tree = html_extract.train_tree(html_extract.LABELLED)
+    kept = gone = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        for row in html_extract.features(html_extract.blocks(r["html"])).tolist():
+            kept, gone = (kept + 1, gone) if html_extract.classify(tree, row) else (kept, gone + 1)
+    assert kept > 100 and gone > kept / 4
+
 def test_parts_of_pages():
     tree = html_extract.train_tree(html_extract.LABELLED)
     text = lambda page: html_extract.main_text(page, tree)
