@@ -230,6 +230,7 @@ LABELLED = [
     (40, 0, 9, 0, 60, 0, 0, 0, 0, 1, 1), (60, 0.05, 40, 0, 3, 0, 0, 0, 0, 1, 1), (25, 0, 60, 0, 2, 0.5, 0, 0, 0, 1, 1), (12, 0, 40, 0, 35, 0, 0, 0, 0, 1, 1), (4, 0, 50, 0, 45, 0, 0, 0, 0, 1, 1), (7, 0, 3, 1, 48, 0, 1, 0, 0, 1, 1),
     (18, 0.1, 22, 0, 30, 0, 0, 0, 0, 1, 1), (90, 0.2, 2, 1, 5, 1, 0, 0, 0, 1, 1), (6, 0, 1, 1, 30, 0, 1, 0, 0, 1, 1), (16, 0, 12, 0, 14, 0, 0, 0, 0, 1, 1), (30, 0, 1, 1, 1, 1, 0, 0, 0, 1, 1), (45, 0, 4, 0, 0, 0, 0, 0, 0, 1, 1),
     (40, 0, 9, 0, 60, 0, 0, 1, 0, 1, 1), (4, 0, 50, 0, 45, 0, 0, 1, 0, 1, 1), (7, 0, 3, 1, 48, 0, 1, 1, 0, 1, 1), (36, 0, 0, 0, 2, 1, 0, 1, 0, 1, 1), (22, 0, 1, 1, 30, 0, 0, 1, 0, 1, 1),
+    (40, 0, 48, 0, 2, 1, 0, 1, 0, 1, 1), (26, 0, 60, 0, 3, 1, 0, 0, 0, 1, 1), (70, 0.1, 30, 0, 1, 1, 0, 0, 0, 0.8, 1), (20, 0, 45, 0, 2, 1, 0, 1, 0, 1, 1), (35, 0, 22, 0, 5, 0.8, 0, 0, 0, 1, 1),
     # what stands around them: links, and short blocks beside links or at the edge
     (2, 1, 2, 1, 2, 1, 0, 0, 0, 1, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0, 1, 0), (5, 0.8, 3, 1, 2, 1, 0, 0, 0, 1, 0), (3, 0, 2, 1, 2, 1, 0, 0, 0, 1, 0), (4, 0, 0, 0, 3, 1, 0, 0, 0, 1, 0), (8, 0.9, 50, 0, 4, 1, 0, 0, 0, 1, 0),
     (6, 0, 4, 1, 0, 0, 0, 0, 0, 1, 0), (14, 0.7, 6, 1, 5, 1, 0, 0, 0, 1, 0), (5, 0, 3, 1, 0, 0, 0, 0, 0, 1, 0), (4, 1, 3, 0, 2, 0, 0, 0, 0, 1, 0), (7, 0.6, 0, 0, 12, 0.5, 0, 0, 0, 1, 0), (2, 1, 2, 1, 2, 1, 0, 1, 0, 1, 0),
