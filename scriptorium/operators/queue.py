@@ -120,7 +120,7 @@ def merge_evidence(rows: DataFrame, owner: str, pos: str, last_wins: bool = Fals
     texts = [c for c in ("title", "author", "snippet", "readerTitle", "readerExcerpt") if c in rows.columns]
     lasts = [c for c in ("publishDate", "query") if c in rows.columns]
     text = lambda c: blank(F.trim(F.col(c)))
-    longest = [F.max_by(text(c), F.when(text(c).isNotNull(), F.struct(F.length(text(c)), -F.col(pos)))).alias(c) for c in texts]
+    longest = [F.min_by(text(c), F.when(text(c).isNotNull(), F.struct(-F.length(text(c)), F.col(pos)))).alias(c) for c in texts]
     last = [F.coalesce(F.max_by(blank(F.col(c)), F.when(blank(F.col(c)).isNotNull(), F.col(pos))), F.lit("")).alias(c) for c in lasts]
     return rows.groupBy(owner, "platform", "url").agg(*longest, *last, F.min(pos).alias(pos))
 
@@ -298,7 +298,7 @@ def _joined_lists(rows: DataFrame, target: str, pos: str, names: list[str]) -> D
 
 def _joined_evidence(rows: DataFrame, target: str, pos: str) -> DataFrame:
     """Evidence of all rows of a target, merged by platform and address, in the order in which they first appear."""
-    items = rows.select(target, F.col(pos).alias("_row"), F.posexplode("evidence").alias("_i", "e")).select(target, (F.col("_row") * 100_000 + F.col("_i")).alias("_at"), "e.*")
+    items = rows.select(target, F.col(pos).alias("_row"), F.posexplode("evidence").alias("_i", "e")).select(target, F.struct("_row", "_i").alias("_at"), "e.*")
     merged = merge_evidence(items, target, "_at")
     fields = ("platform", "url", "title", "author", "snippet", "readerTitle", "readerExcerpt", "publishDate", "query")
     ordered = F.array_sort(F.collect_list(F.struct("_at", F.struct(*fields).alias("e"))))
@@ -348,22 +348,22 @@ def reader_payload(json: Column) -> Column:
 def provisional_batches(entries: DataFrame, size: int, most: int) -> Iterator[DataFrame]:
     """Batches of provisional rows by queue order, for refinement by an outside model: at most `most` batches of `size`."""
     head = entries.where("enrichmentStatus = 'provisional' AND status <> 'officially-published'").orderBy(*queue_order()).limit(size * most)
-    numbered = head.withColumn("_b", F.floor((F.row_number().over(Window.orderBy(*queue_order())) - 1) / size))
+    placed = cut(head.withColumn("_b", F.floor((F.row_number().over(Window.orderBy(*queue_order())) - 1) / size)))  # at most size * most rows, sorted once
     for b in range(most):
-        yield numbered.where(F.col("_b") == b).drop("_b")
+        yield placed.where(F.col("_b") == b).drop("_b")
 
 
 def refine(entries: DataFrame, ask, size: int, most: int, budget=None) -> tuple[list[DataFrame], list[str]]:
     """What ask(batch) gives for batches of provisional rows, and the errors of those that failed; a failed batch stays provisional and so is asked again in the next run.
 
-    A batch is a DataFrame of at most `size` rows. Ends early when the budget has expired or an error says that the limit of calls is reached (status 429).
+    A batch is a DataFrame of at most `size` rows; its answer is written at once, so that what goes wrong in it is its own. Ends early when the budget has expired or an error says that the limit of calls is reached (status 429).
     """
     done, errors = [], []
     for batch in provisional_batches(entries, size, most):
         if budget and budget.expired():
             break
         try:
-            done.append(ask(batch))
+            done.append(cut(ask(batch)))
         except Exception as error:  # the next run's work
             errors.append(str(error))
             if getattr(error, "status", None) == 429:

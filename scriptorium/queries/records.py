@@ -13,7 +13,7 @@ from ..functions import display, text, venues
 from ..operators import catalog, fuzzy, hybrid, index, queue, search, vectors, views
 from ..plans import search_plans
 from ..shared import shared_folder
-from ..sources import outside, paged, store
+from ..sources import outside, paged, snapshots, store
 from ..values import CATEGORY_HINTS, DICTIONARY, EVIDENCE_TERMS, PLAN_PHRASES, PLAN_THEMES, REJECT_TERMS, STAGE_BONUS, STAGE_ORDER, STAGE_WEIGHTS, STOP_WORDS, TOPICS
 from .base import PAPERS, contained, distinct_in_order, items, norm, norm_search, papers, q, query, re2, slug, squeeze, tokens
 from .text import _RULE, NOW, _candidates, _clean_title, _dirty, _quality
@@ -288,6 +288,34 @@ def _(t):
     return _semantic(t).select("id", F.round("score", 9).alias("score"))
 
 
+@query("vector_topk_chunked", f"WITH {_SEM} SELECT id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM sem")
+def _(t):
+    rows = t("embeddings").withColumnRenamed("vec_id", "id")
+    path = f"{shared_folder(rows.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    vectors.write_chunks(rows, path, size=128, regions=64)
+    hits, _, _ = vectors.top_k_chunked(rows.sparkSession, path, rows.where("id = 0").first()["embedding"], 100)
+    return hits.select("id", F.round("score", 9).alias("score"), "rank")
+
+
+_MANY = sorted({f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in ("th", "er", "ion", "ough", "ly")})
+
+
+@query("large_dictionary", f"SELECT doc_id, len(f) AS terms, md5(array_to_string(f, ',')) AS digest FROM (SELECT doc_id, {contained('text', _MANY)} AS f FROM documents WHERE text IS NOT NULL)")
+def _(t):
+    found = text.contained(col("text"), _MANY)
+    return t("documents").where("text IS NOT NULL").select("doc_id", found.alias("f")).select("doc_id", F.size("f").alias("terms"), F.md5(F.array_join("f", ",")).alias("digest"))
+
+
+@query("queue_snapshot", f"WITH {PAPERS} SELECT id, CASE WHEN id % 10 = 0 THEN 'changed ' || coalesce(title, '') ELSE title END AS title FROM papers WHERE id % 7 <> 3")
+def _(t):
+    rows = papers(t).select("id", "title")
+    path = f"{shared_folder(rows.sparkSession)}/snapshot-{uuid.uuid4().hex}"
+    snapshots.write_snapshot(rows, path, "id")
+    changed = F.when(col("id") % 10 == 0, F.concat(lit("changed "), F.coalesce("title", lit("")))).otherwise(col("title"))
+    snapshots.write_snapshot(rows.where("id % 7 <> 3").withColumn("title", changed), path, "id")
+    return snapshots.read_snapshot(rows.sparkSession, path)
+
+
 @query("vector_topk_many", """WITH o AS (SELECT 'q' || vec_id AS query, embedding AS v FROM embeddings WHERE vec_id IN (1, 2, 3)), s AS (SELECT o.query, e.vec_id AS id, list_dot_product(e.embedding::DOUBLE[], o.v::DOUBLE[]) AS score FROM embeddings e, o), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
   SELECT query, id, round(score, 9) AS score, rank FROM r WHERE rank <= 10""")
 def _(t):
@@ -417,15 +445,24 @@ def _(t):
 _VALUES = ", ".join(f"({q(s)}, {i}, {q(x)})" for (s, _, _), xs in search_plans.FAMILIES.items() for i, x in enumerate(xs, 1))
 
 
+def _papers_by_stage(t):
+    """How many papers each stage has found."""
+    return papers(t).groupBy(F.expr(_STAGE).alias("stage")).agg(F.count("*").alias("papers"))
+
+
 @query("plan_generate", f"""WITH f(stage, i, query) AS (VALUES {_VALUES}), s AS (SELECT stage || '-' || i AS label, query, stage FROM f UNION ALL SELECT 'social-' || coalesce(nullif(left(regexp_replace(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 32), ''), 'query') || '-' || j, p || ' ' || h || ' 2026', 'social'
-  FROM (SELECT unnest({items(PLAN_PHRASES)}) AS p), (SELECT unnest({items(PLAN_THEMES)}) AS h, unnest(range(1, {len(PLAN_THEMES) + 1})) AS j)) SELECT label, query, stage FROM s""")
+  FROM (SELECT unnest({items(PLAN_PHRASES)}) AS p), (SELECT unnest({items(PLAN_THEMES)}) AS h, unnest(range(1, {len(PLAN_THEMES) + 1})) AS j)), {PAPERS}, k AS (SELECT {_STAGE} AS stage, count(*) AS papers FROM papers GROUP BY 1)
+  SELECT label, query, s.stage, coalesce(papers, 0) AS papers FROM s LEFT JOIN k ON k.stage = s.stage""")
 def _(t):
-    return search_plans.static_plans(t("region").sparkSession).select("label", "query", "stage")
+    plans = search_plans.static_plans(t("documents").sparkSession)
+    return plans.join(_papers_by_stage(t), "stage", "left").select("label", "query", "stage", F.coalesce("papers", lit(0)).alias("papers"))
 
 
-@query("plan_select", f"""WITH f(stage, i, query) AS (VALUES {_VALUES}), s AS (SELECT stage, i FROM f UNION ALL SELECT 'social', i FROM range(1, {len(PLAN_PHRASES) * len(PLAN_THEMES) + 1}) r(i)), r AS (SELECT stage, row_number() OVER (ORDER BY i, list_position({items(STAGE_ORDER)}, stage)) AS n FROM s) SELECT stage, count(*) AS plans FROM r WHERE n <= 16 GROUP BY 1""")
+@query("plan_select", f"""WITH f(stage, i, query) AS (VALUES {_VALUES}), s AS (SELECT stage, i FROM f UNION ALL SELECT 'social', i FROM range(1, {len(PLAN_PHRASES) * len(PLAN_THEMES) + 1}) r(i)), r AS (SELECT stage, row_number() OVER (ORDER BY i, list_position({items(STAGE_ORDER)}, stage)) AS n FROM s), {PAPERS}, k AS (SELECT {_STAGE} AS stage, count(*) AS papers FROM papers GROUP BY 1), p AS (SELECT stage, count(*) AS plans FROM r WHERE n <= 16 GROUP BY 1)
+  SELECT p.stage, plans, coalesce(papers, 0) AS papers FROM p LEFT JOIN k ON k.stage = p.stage""")
 def _(t):
-    return search_plans.select_plans(search_plans.static_plans(t("region").sparkSession), 16).groupBy("stage").agg(F.count("*").alias("plans"))
+    picked = search_plans.select_plans(search_plans.static_plans(t("documents").sparkSession), 16).groupBy("stage").agg(F.count("*").alias("plans"))
+    return picked.join(_papers_by_stage(t), "stage", "left").select("stage", "plans", F.coalesce("papers", lit(0)).alias("papers"))
 
 
 @query("follow_up_plans", f"""WITH {PAPERS}, e AS (SELECT id, {_LINK} AS url FROM papers) SELECT id * 10 + j AS pos, CASE j WHEN 0 THEN '"lab/t' || id || '" paper accepted 2026' ELSE 'site:x.com "t' || id || '" paper' END AS query, CASE j WHEN 0 THEN 'web' ELSE 'x' END AS platform FROM e, (SELECT unnest([0, 1]) AS j) WHERE id % 5 = 0""")
