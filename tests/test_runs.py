@@ -51,13 +51,12 @@ def plans(spark):
     return spark.createDataFrame(rows, "pos long, label string, query string, stage string, platform string, domainFilter string, recencyFilter string, searchEngine string, contentSize string, intent string, parentUrl string")
 
 
-def test_discovery(spark, tmp_path, official, plans, monkeypatch):
+def test_discovery(spark, tmp_path, official, plans):
     """A run that fails at its reader is started again: searches aren't made twice; then what is found is in the queue, and another run updates it."""
     store, folder = f"{tmp_path}/store", f"{tmp_path}/run"
     down, made = service(tmp_path / "calls", broken=("reader",))
     from scriptorium.sources import journal
 
-    monkeypatch.setattr(journal.time, "sleep", lambda s: None)
     with pytest.raises(journal.CallsFailed):
         runs.discover(spark, folder, store, official, down, NOW, queries=8, follow_ups=3, plans=plans)
     searched = made()["web_search"]
