@@ -46,6 +46,7 @@ def build_index(prepared: DataFrame, path: str, pos: str = "pos", rows: int = RO
     """
     placed = cut(numbered(prepared, pos, into="_n").withColumn("_block", F.floor(F.col("_n") / rows).cast("long")).withColumn("_part", F.floor(F.col("_block") / BLOCKS).cast("long")))
     placed.repartition("_part").sortWithinPartitions("_block", pos).write.mode("overwrite").partitionBy("_part").parquet(f"{path}/rows")
+    placed.limit(0).write.mode("overwrite").parquet(f"{path}/shape")  # a partitioned table without rows has no file to tell its columns
     words = lambda x: F.greatest(F.size(F.filter(F.split(x, " +"), lambda w: w != "")), F.lit(1))
     share = F.aggregate("_fields", F.lit(0.0), lambda s, f: s + f["w"] / total * F.floor(1000 / F.sqrt(words(f["x"])) + 0.5) / 1000)
     placed.groupBy("_block", "_part").agg(F.max(share).alias("share"), F.max(F.size("_keywords")).alias("keywords")).write.mode("overwrite").parquet(f"{path}/blocks")
@@ -103,6 +104,8 @@ def indexed_search(spark: SparkSession, path: str, query: Query, limit: int, pos
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     every = blocks.count()
+    if not every:
+        return _hits(spark.read.parquet(f"{path}/shape"), query, limit, pos), Read(0, 0, False)
     if len(query.norm) < GRAM:
         return _hits(spark.read.parquet(f"{path}/rows"), query, limit, pos), Read(every, every, False)
     exact = cut(_postings(spark, path, [f"x{query.norm}"], buckets).select("_part", "_block").distinct())
