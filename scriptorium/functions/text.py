@@ -29,7 +29,7 @@ def blank(value: Column) -> Column:
 
 def squeeze(value: Column) -> Column:
     """White space runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.trim(F.regexp_replace(value, r"\s{2,}|[^\S ]", " "))  # a single space stays as it is
 
 
 def normalize_text(value: Column) -> Column:

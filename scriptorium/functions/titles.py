@@ -31,6 +31,8 @@ REWRITES = [
     (rf"(?i)\s+\b{_V}[-\s']*(?:2026|26)\b.*$", ""),
     (r"[。；;，,]+$", ""),
 ]
+# A sign without which there is nothing to rewrite, what is rewritten, and to what.
+SOURCE_NOISE = [("![", r"!\[[^\]]*\]\([^)]*\)", " "), ("](", r"\[([^\]]+)\]\([^)]*\)", "$1"), ("<", "<[^>]+>", " "), ("&", "(?i)&nbsp;", " "), ("&", "(?i)&amp;", "&")]
 # Where titles stand in a text; the first group is the title.
 TITLE_PATTERNS = [
     r"(?i)title\s*=\s*[{\"]([^}\"]{8,240})[}\"]", r"标题为\s*([^。；;\n]{8,240})", r"(?:^|\s)([A-Z][A-Za-z0-9+_.-]{1,48}:\s*[^#\n]{8,240})",
@@ -40,9 +42,9 @@ TITLE_PATTERNS = [
 
 def strip_source_noise(value: Column) -> Column:
     """Images, Markdown links to their text, tags, two entities, quotes and heading marks. NFKC is applied at ingest."""
-    out = F.regexp_replace(F.coalesce(value, F.lit("")), r"!\[[^\]]*\]\([^)]*\)", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"\[([^\]]+)\]\([^)]*\)", "$1"), "<[^>]+>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, "(?i)&nbsp;", " "), "(?i)&amp;", "&")
+    out = F.coalesce(value, F.lit(""))
+    for sign, pattern, to in SOURCE_NOISE:
+        out = let(out, lambda x: F.when(F.contains(x, F.lit(sign)), F.regexp_replace(x, pattern, to)).otherwise(x))  # noqa: B023 (called at once)
     return squeeze(F.regexp_replace(F.regexp_replace(out, "^[\"'`]+|[\"'`]+$", ""), r"^[#>\s]+", ""))
 
 

@@ -10,16 +10,26 @@ from .text import let, normalize_text, rx, squeeze
 
 
 def venue_rule(text: Column) -> Column:
-    """(venue, year) of the first rule that a text meets; null for none and for other tracks."""
-    return let(normalize_text(text), _venue_rule)
+    """(venue, year) of the first rule that a text meets; null for none and for other tracks.
 
+    Rules are those of the normalised text. As normalising only turns characters that aren't letters or digits into spaces, words
+    stand in the lower-case text if and only if they stand there, and most texts are told by plain substrings.
+    """
+    return let(F.lower(F.coalesce(text, F.lit(""))), _venue_rule)
 
-def _venue_rule(joined: Column) -> Column:
+
+def _venue_rule(low: Column) -> Column:
     out = F.lit(None).cast("string")
     for word, venue in reversed(VENUES):
-        out = F.when(joined.rlike(rx(rf"\b{word}(?:-?26|\s+2026)?\b")), F.lit(venue)).otherwise(out)
-    out = F.when((joined == "") | joined.rlike(rx(rf"\b(?:{OTHER_TRACKS})\b")), None).otherwise(out)
-    return F.when(out.isNotNull(), F.struct(out.alias("venue"), F.lit(VENUE_YEAR).alias("year")))
+        stem = word[:-2] if word.endswith("?") else word
+        # VENUE-26 and VENUE 2026 have a boundary after the venue, so of the forms with a year only VENUE26 adds something
+        found = F.contains(low, F.lit(stem)) & low.rlike(rf"{stem}(?<![a-z0-9]{stem}){word[len(stem) :]}(?:26)?(?![a-z0-9])")
+        out = F.when(found, F.lit(venue)).otherwise(out)
+    other = F.lit(False)
+    for first in dict.fromkeys(t.split(" ")[0] for t in OTHER_TRACKS.split("|")):
+        other = other | F.contains(low, F.lit(first))
+    other = other & normalize_text(low).rlike(rx(rf"\b(?:{OTHER_TRACKS})\b"))
+    return let(out, lambda venue: F.when(venue.isNotNull() & ~other, F.struct(venue.alias("venue"), F.lit(VENUE_YEAR).alias("year"))))
 
 
 def venue_in_evidence(text: Column) -> Column:

@@ -233,22 +233,36 @@ def merge_entries(rows: DataFrame, target: str, pos: str, now: str | None = None
     All of it is aggregates over positions: flags of each row come from running values, texts count from the last row that
     replaced them. So a target that many rows have is no single task's work.
     """
-    columns = [c for c in rows.columns if c not in (target, pos)]
+    out = _merged(rows, rows.select(target, pos), [target, pos], target, pos)
+    return normalize_entry(out, now) if now else out
+
+
+def _merged(rows: DataFrame, places: DataFrame, key: list[str], target: str, pos: str) -> DataFrame:
+    """What merge_entries() folds; places has target and pos of each row's key.
+
+    What depends on other rows is told from short columns, whose expressions over texts are evaluated once; texts are joined with it and aggregated, and are moved by nothing else.
+    """
+    columns = [c for c in rows.columns if c not in (target, pos, *key)]
     has = lambda c: c in columns
     of = lambda c, kind="string": F.col(c) if has(c) else F.lit(None).cast(kind)
+    placed = lambda x: x if key == [target, pos] else x.join(places, key).drop(*key)
     sure = F.coalesce(of("confidence", "double"), F.lit(0.0))
     proof = F.coalesce(F.col("acceptanceEvidence.confidence"), F.lit(0.0)) if has("acceptanceEvidence") else F.lit(0.0)
     rule = venue_rule(F.concat_ws(" ", of("acceptedVenue"), of("reason"), of("summary")))
     stale = (F.coalesce(of("enrichmentStatus"), F.lit("")) == "provisional") | (F.coalesce(of("metadataSource"), F.lit("")) == "local-fallback") | is_legacy(of("title"), of("reason"))
     fine = (F.coalesce(of("metadataSource"), F.lit("")) == CHAT_SOURCE) | ~is_legacy(of("title"), of("reason"))
-    work = rows.withColumn("_rule", rule).withColumn("_venue", F.coalesce(blank(of("acceptedVenue")), F.col("_rule.venue"))).withColumn("_year", F.coalesce(of("acceptedYear", "int"), F.col("_rule.year"))).drop("_rule")
-    work = running(work.withColumn("_clean", blank(clean_title(of("title")))), target, pos, {"_stale": stale}, {"_sure": sure, "_proof": proof, "_had": F.when(F.col("_venue").isNotNull(), 1)})
-    work = work.withColumn("_fresh", F.coalesce("_stale", F.lit(False)) & fine).withColumn("_trust", F.col("_had").isNull() | (sure > F.col("_sure") + 0.05) | (proof > F.col("_proof")))
     texts = [c for c in ("title", "titleZh", "summary", "abstract", "reason", "hookZh") if has(c)]
     text = lambda c: blank(F.trim(F.col(c)))
-    work = cut(work)
-    resets = work.groupBy(target).agg(F.count("*").alias("_rows"), *[F.max(F.when(F.col("_fresh") & text(c).isNotNull(), F.col(pos))).alias(f"_r_{c}") for c in texts])
-    work = work.join(apart(resets, target) if dict(rows.dtypes)[target] == "bigint" else resets, target)
+    short = rows.withColumn("_rule", rule).select(
+        *key, F.coalesce(blank(of("acceptedVenue")), F.col("_rule.venue")).alias("_venue"), F.coalesce(of("acceptedYear", "int"), F.col("_rule.year")).alias("_year"), blank(clean_title(of("title"))).alias("_clean"),
+        stale.alias("_stale_"), fine.alias("_fine"), sure.alias("_sure_"), proof.alias("_proof_"), *[text(c).isNotNull().alias(f"_t_{c}") for c in texts],
+    )
+    short = running(cut(placed(cut(short))), target, pos, {"_stale": F.col("_stale_")}, {"_sure": F.col("_sure_"), "_proof": F.col("_proof_"), "_had": F.when(F.col("_venue").isNotNull(), 1)})
+    short = short.withColumn("_fresh", F.coalesce("_stale", F.lit(False)) & F.col("_fine")).withColumn("_trust", F.col("_had").isNull() | (F.col("_sure_") > F.col("_sure") + 0.05) | (F.col("_proof_") > F.col("_proof")))
+    short = cut(short.select(target, pos, "_venue", "_year", "_clean", "_fresh", "_trust", *[f"_t_{c}" for c in texts]))
+    resets = short.groupBy(target).agg(F.count("*").alias("_rows"), *[F.max(F.when(F.col("_fresh") & F.col(f"_t_{c}"), F.col(pos))).alias(f"_r_{c}") for c in texts])
+    short = short.join(apart(resets, target) if dict(places.dtypes)[target] == "bigint" else resets, target).drop("_fresh", "_rows", *[f"_t_{c}" for c in texts])
+    work = rows.join(short if key == [target, pos] else places.join(short, [target, pos]), key)
     since = lambda c: F.col(f"_r_{c}").isNull() | (F.col(pos) >= F.col(f"_r_{c}"))
     there = lambda c: F.when(text(c).isNotNull() & since(c), F.struct(F.length(text(c)), -F.col(pos)))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos)))
@@ -274,14 +288,13 @@ def merge_entries(rows: DataFrame, target: str, pos: str, now: str | None = None
     made |= {c: last(c) for c in columns if c not in made and c not in (*lists, "evidence", "evidenceCount")}
     out = work.groupBy(target).agg(*[x.alias(c) for c, x in made.items()])
     if lists:
-        out = out.join(_joined_lists(work, target, pos, lists), target, "left")
+        out = out.join(_joined_lists(placed(rows.select(*key, *lists)), target, pos, lists), target, "left")
     if has("evidence"):
-        out = out.join(_joined_evidence(work, target, pos), target, "left").withColumn("evidence", F.coalesce("evidence", F.expr(_NO_EVIDENCE)))
+        out = out.join(_joined_evidence(placed(rows.select(*key, "evidence")), target, pos), target, "left").withColumn("evidence", F.coalesce("evidence", F.expr(_NO_EVIDENCE)))
     if has("evidenceCount"):
         out = out.withColumn("evidenceCount", F.size("evidence") if has("evidence") else F.lit(None).cast("int"))
     none = F.array().cast("array<string>")
-    out = out.select(target, *[(F.coalesce(F.col(c), none) if c in lists else F.col(c)).cast(dict(rows.dtypes)[c]).alias(c) for c in columns])
-    return normalize_entry(out, now) if now else out
+    return out.select(target, *[(F.coalesce(F.col(c), none) if c in lists else F.col(c)).cast(dict(rows.dtypes)[c]).alias(c) for c in columns])
 
 
 def _joined_lists(rows: DataFrame, target: str, pos: str, names: list[str]) -> DataFrame:
@@ -308,12 +321,14 @@ def _joined_evidence(rows: DataFrame, target: str, pos: str) -> DataFrame:
 def upsert_queue(stored: DataFrame, candidates: DataFrame, now: str) -> DataFrame:
     """The queue after candidates: each is matched, merged into its target and normalised; rows keep their order. Both tables are entries with pos, within each table."""
     both = stored.withColumn("_stored", F.lit(True)).unionByName(candidates.withColumn("_stored", F.lit(False)))
-    both = numbered(both.withColumn("_o", F.struct(~F.col("_stored"), F.col("pos"))), "_o", into="_pos").drop("_o", "pos")
-    both = cut(both)
-    keys = both.select(F.col("_pos").alias("pos"), F.col("_stored").alias("stored"), "id", normalize_text(F.col("title")).alias("title_key"), F.col("primaryUrl").alias("primary_url"), F.col("canonicalUrl").alias("canonical_url"), F.transform("evidence", lambda e: e["url"]).alias("urls"))
+    both = cut(both.withColumn("_id", F.monotonically_increasing_id()))
+    places = cut(numbered(both.select("_id", "_stored", F.struct(~F.col("_stored"), F.col("pos")).alias("_o")), "_o", into="_pos").select("_id", "_stored", "_pos"))  # only numbers are sorted and joined, not texts
+    told = both.select("_id", "id", normalize_text(F.col("title")).alias("title_key"), F.col("primaryUrl").alias("primary_url"), F.col("canonicalUrl").alias("canonical_url"), F.transform("evidence", lambda e: e["url"]).alias("urls"))
+    keys = told.join(places.select("_id", F.col("_pos").alias("pos"), F.col("_stored").alias("stored")), "_id").drop("_id")
     target = upsert_match(keys).withColumnsRenamed({"pos": "_pos", "target": "_target"})
-    placed = both.drop("_stored").join(target, "_pos", "left").withColumn("_target", F.coalesce("_target", "_pos"))
-    return merge_entries(placed, "_target", "_pos", now).orderBy("_target").drop("_target")
+    places = cut(places.join(target, "_pos", "left").select("_id", "_pos", F.coalesce("_target", "_pos").alias("_target")))
+    merged = _merged(both.drop("_stored", "pos"), places, ["_id"], "_target", "_pos").orderBy("_target")  # sorted before texts are normalised, as a sort's sample evaluates what is below it
+    return normalize_entry(merged, now).drop("_target")
 
 
 def evidence_backfill(papers: DataFrame, candidates: DataFrame, key: str = "id") -> DataFrame:

@@ -547,3 +547,48 @@ def test_fuzzy_base(spark):
     assert {r["pos"] for r in search.lexical_hits(prepared, search.expand("graph networks for")).collect()} == {h["pos"] for h in hits}
     base = {r["pos"]: r["b"] for r in prepared.select("pos", search.fuzzy_base(search.expand("graph networks")).alias("b")).collect()}
     assert base[1] > 99 and 0 < base[0] < base[1] and base[2] == 0 and base[3] == 0
+
+
+def shuffled(spark, run):
+    """Bytes that all stages of run() write for shuffles."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    total = lambda: (bus.waitUntilEmpty(30_000), sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size())))[1]
+    before = total()
+    run()
+    return total() - before
+
+
+def test_upsert_moves_texts_three_times_at_most(spark):
+    """Texts are joined with their target, aggregated and sorted; numbering, keys and flags of the merge leave them where they are."""
+    rng = random.Random(9)
+    text = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2500))  # noqa: E731  (texts that don't compress)
+    table = lambda n, at: spark.createDataFrame([entry(title=f"A Plain Title of Number {at + i}", summary=text()) for i in range(n)], ENTRY).withColumn("pos", F.monotonically_increasing_id())
+    stored, new = table(400, 0).repartition(4).cache(), table(400, 200).repartition(4).cache()
+    size = sum(stored.unionByName(new).agg(F.sum(F.octet_length("summary"))).first())
+    stored.count(), new.count()
+    joins = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in joins.items():
+        spark.conf.set(k, v)
+    try:
+        out = []
+        moved = shuffled(spark, lambda: out.extend(queue.upsert_queue(stored, new, "2026-02-01").select("title", "summary").collect()))
+    finally:
+        for k in joins:
+            spark.conf.unset(k)
+    assert [r["title"] for r in out] == [f"A Plain Title of Number {i}" for i in map(int, (r["title"].split()[-1] for r in out))] and len(out) == 600
+    assert moved < 3.5 * size
+
+
+def test_venue_rule_as_on_normalised_text(spark):
+    from scriptorium.functions.text import normalize_text, rx
+    from scriptorium.functions.venues import venue_rule
+    from scriptorium.values import OTHER_TRACKS, VENUES
+
+    parts = ["acl", "ACL-26", "acl26", "mm", "Comment", "x_mm_y", "mm26x", "éacl", "neurip", "NeurIPS", "neurips26", "www", "aaai\t2026", "shared\n / task", "Short  paper", "shared-task", "demo", "democracy", "findings", "", None, "oracle acl's", "ICLR.2026", "kdd2026", "kdd 2027"]
+    rows = spark.createDataFrame([(f"{a} {b}" if a and b else a,) for a in parts for b in parts], "t string").withColumn("n", normalize_text(F.col("t")))
+    want = F.lit(None).cast("string")
+    for word, venue in reversed(VENUES):
+        want = F.when(F.col("n").rlike(rx(rf"\b{word}(?:-?26|\s+2026)?\b")), venue).otherwise(want)
+    want = F.when(~F.col("n").rlike(rx(rf"\b(?:{OTHER_TRACKS})\b")), want)
+    got = rows.select("t", venue_rule(F.col("t"))["venue"].alias("got"), want.alias("want")).collect()
+    assert not [r for r in got if r["got"] != r["want"]] and sum(r["want"] is not None for r in got) > 200
