@@ -234,8 +234,9 @@ def _(t):
 def _(t):
     rows = papers(t)
     path = f"{shared_folder(rows.sparkSession)}/index-{uuid.uuid4().hex}"
-    index.build_index(search.prepare(rows, blob=["venue", "abstract"]), path)
-    hits, _ = index.indexed_search(rows.sparkSession, path, search.expand("password token"), 40)
+    made = lambda x: search.prepare(x, blob=["venue", "abstract"])
+    index.build_index(rows, path, prepare=made)
+    hits, _ = index.indexed_search(rows.sparkSession, path, search.expand("password token"), 40, prepare=made)
     return hits.select("id", F.round("score", 6).alias("score"), "exact")
 
 

@@ -57,3 +57,20 @@ def test_empty_index(spark, tmp_path):
     index.build_index(search.prepare(papers, blob=["abstract"]), f"{tmp_path}/e")
     hits, read = index.indexed_search(spark, f"{tmp_path}/e", search.expand("graph"), 5)
     assert hits.count() == 0 and read.blocks == 0
+
+
+def test_disk_of_the_build(spark, tmp_path):
+    """Papers are shuffled and stored once, and no pair of a term and a row is shuffled: both stay within a few times the texts. A search gives the rows of a scan."""
+    rng = random.Random(5)
+    papers = spark.createDataFrame([(i, "Title %d" % i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(400))) for i in range(600)], "pos int, title string, abstract string").repartition(4).cache()
+    made = lambda x: search.prepare(x, blob=["abstract"])
+    size, store, bus = papers.agg(F.sum(F.length("abstract"))).first()[0], spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    written = lambda: (bus.waitUntilEmpty(30_000), sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size())))[1]
+    before, path = written(), f"{tmp_path}/d"
+    args = {"prepare": made} if "prepare" in index.build_index.__annotations__ else {}
+    index.build_index(papers if args else made(papers), path, rows=64, buckets=16, **args)
+    stored = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert written() - before < 5 * size and stored < 3 * size
+    hits, read = index.indexed_search(spark, path, search.expand("title 77"), 9, buckets=16, **args)
+    want = search.lexical_search(made(papers), search.expand("title 77"), 9)
+    assert read.of == 10 and [(r["pos"], r["score"]) for r in hits.collect()] == [(r["pos"], r["score"]) for r in want.collect()]
